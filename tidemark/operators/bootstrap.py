@@ -101,11 +101,13 @@ def member_f1(
 def hash_draws(totals: DataFrame, by: Sequence[str], B: int, seed: int | str, chunk: int = 1 << 14) -> DataFrame:
     """(by, total, rep, pos): ``total`` positions per group and replicate, spread in chunks of draws."""
     steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / chunk))
+    spark = totals.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     starts = (
         totals.filter("total > 0")
         .select(*by, "total", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rep"))
         .select(*by, "total", "rep", F.explode(steps).alias("_k"))
-        .repartition(*by, "rep", "_k")
+        .repartition(tasks, *by, "rep", "_k")
     )
     last = F.least(F.col("total"), (F.col("_k") + 1) * chunk) - 1
     draws = starts.select(*by, "total", "rep", F.explode(F.sequence(F.col("_k") * chunk, last)).alias("_j"))
@@ -329,7 +331,7 @@ def cluster_weights(cells: DataFrame, cluster: str, members: Sequence[tuple], B:
 
 
 def cluster_multinomial_f1(
-    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = 256
+    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = 64
 ) -> DataFrame:
     """Cluster draws at scale: clusters are hashed into parts, a shared seed fixes how many draws
     each part gets, and every task draws its own clusters. Only (rep, cell) sums leave a task."""
@@ -346,17 +348,23 @@ def cluster_multinomial_f1(
         base, part = int(pdf["_seed"].iloc[0]), int(pdf["_part"].iloc[0])
         ids, k = list(pdf["_parts"].iloc[0]), np.asarray(pdf["_sizes"].iloc[0])
         mine = np.random.default_rng(base).multinomial(k.sum(), k / k.sum(), size=B)[:, ids.index(part)]
-        names, codes_of = np.unique(pdf[cluster].to_numpy().astype(str), return_inverse=True)
-        rng = np.random.default_rng([base, part])
+        names, cluster_of = np.unique(pdf[cluster].to_numpy().astype(str), return_inverse=True)
         cell_keys, cell_of = np.unique(pdf[["y", *codes]].to_numpy(), axis=0, return_inverse=True)
-        cell_of, n = cell_of.ravel(), pdf["n"].to_numpy(dtype=float)
+        order = np.argsort(cell_of.ravel(), kind="stable")
+        starts = np.searchsorted(cell_of.ravel()[order], np.arange(len(cell_keys)))
+        row_cluster, row_n = cluster_of.ravel()[order], pdf["n"].to_numpy(dtype=float)[order]
+        rng = np.random.default_rng([base, part])
+        step = max(1, 4_000_000 // max(len(row_n), len(names)))
         out = []
-        for b in range(B):
-            m = np.bincount(rng.integers(0, len(names), int(mine[b])), minlength=len(names))
-            w = np.bincount(cell_of, weights=m[codes_of] * n, minlength=len(cell_keys))
-            keep = w > 0
-            frame = pd.DataFrame(cell_keys[keep], columns=["y", *codes])
-            frame["rep"], frame["w"] = b, w[keep]
+        for first in range(0, B, step):
+            k_block = mine[first : first + step]
+            rep = np.repeat(np.arange(len(k_block)), k_block)
+            hit = rng.integers(0, len(names), len(rep))
+            m = np.bincount(rep * len(names) + hit, minlength=len(k_block) * len(names)).reshape(len(k_block), -1)
+            w = np.add.reduceat(m[:, row_cluster] * row_n, starts, axis=1)
+            r, c = np.nonzero(w)
+            frame = pd.DataFrame(cell_keys[c], columns=["y", *codes])
+            frame["rep"], frame["w"] = r + first, w[r, c]
             out.append(frame)
         res = pd.concat(out, ignore_index=True)
         res["yr"] = pdf["yr"].iloc[0]

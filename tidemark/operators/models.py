@@ -34,9 +34,13 @@ def _softmax_regression(n_rows: int, max_iter: int, features: str = "features")
     )
 
 
-def text_classifier(train: DataFrame, max_iter: int = 100) -> Model:
-    """Class-balanced multinomial logistic regression on a ``features`` column."""
-    return _softmax_regression(train.count(), max_iter).fit(with_class_weight(train))
+def text_classifier(train: DataFrame, max_iter: int = 100, labels: DataFrame | None = None) -> Model:
+    """Class-balanced multinomial logistic regression on a ``features`` column.
+
+    ``labels`` is a cheaper frame with the same ``y`` rows (the texts before vectorising), used for counts.
+    """
+    counted = train if labels is None else labels
+    return _softmax_regression(counted.count(), max_iter).fit(with_class_weight(train, full=counted))
 
 
 def add_length_features(df: DataFrame, length: str = "text_len") -> DataFrame:
@@ -48,7 +52,7 @@ def add_length_features(df: DataFrame, length: str = "text_len") -> DataFrame:
 
 def length_model(train: DataFrame, tests: DataFrame, max_iter: int = 100) -> DataFrame:
     """Predictions of a classifier that sees nothing but text length."""
-    model = text_classifier(add_length_features(train), max_iter)
+    model = text_classifier(add_length_features(train), max_iter, labels=train)
     return score_predictions(model, add_length_features(tests))
 
 

@@ -50,14 +50,17 @@ def effective_labels(log: DataFrame) -> DataFrame:
     return keep_last(labelled, ["source", "model", "item_id"], ["utc", "label"]).select("source", "model", "item_id", "label")
 
 
-def read_annotation_log(spark: SparkSession, path: str, schema: str = schemas.RATER_LOG, sep: str = "__") -> DataFrame:
+# Fixed value: ``<source>__<model>`` in the name of a log file, or of the folder Spark wrote it to.
+LOG_NAME = r"([^/=]+?)__([^/]+?)(?:\.jsonl(?:\.gz)?)?(?:/part-[^/]*)?$"
+
+
+def read_annotation_log(spark: SparkSession, path: str, schema: str = schemas.RATER_LOG, pattern: str = LOG_NAME) -> DataFrame:
     """Annotation logs named ``<source>__<model>.jsonl``: source and model from the name, last label per item."""
     df = spark.read.schema(schema).json(path)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", "")
-    at = F.instr(stem, sep)
+    where = F.col("_metadata.file_path")
     named = df.select(
-        F.substring(stem, F.lit(1), at - 1).alias("source"),
-        F.substring(stem, at + len(sep), F.length(stem)).alias("model"),
+        F.regexp_extract(where, pattern, 1).alias("source"),
+        F.regexp_extract(where, pattern, 2).alias("model"),
         "item_id",
         "label",
         "utc",
