@@ -91,13 +91,12 @@ query(
     lambda v: through(
         v, "aspects_xml",
         lambda p: v.aspects.join(v.table("documents").select(F.col("doc_id").alias("sentence_id"), "source", "lang"), "sentence_id").select(
-            F.concat(
-                F.lit('<sentence id="'), F.col("sentence_id").cast("string"), F.lit('"><text>'), F.concat_ws(" in ", "source", "lang"),
-                F.lit("</text><aspectTerms>"),
-                F.array_join(F.transform("polarities", lambda x: F.concat(F.lit('<aspectTerm term="x" polarity="'), x, F.lit('"/>'))), ""),
-                F.lit("</aspectTerms></sentence>"),
-            ).alias("value")
-        ).write.text(p),
+            F.col("sentence_id").alias("_id"),
+            F.concat_ws(" in ", "source", "lang").alias("text"),
+            F.struct(
+                F.transform("polarities", lambda x: F.struct(F.lit("x").alias("_term"), x.alias("_polarity"))).alias("aspectTerm")
+            ).alias("aspectTerms"),
+        ).write.format("xml").option("rootTag", "sentences").option("rowTag", "sentence").save(p),
         lambda p: RD.read_aspect_xml(v.spark, p).select("sentence_id", "text", F.array_join("polarities", ",").alias("polarities")),
     )
 )

@@ -22,6 +22,7 @@ from tidemark.functions.keys import composite_key, ph
 from tidemark.functions.labels import CLASSES
 from tidemark.operators import metrics as M
 from tidemark.operators.sampling import dense_index
+from tidemark.session import cut
 
 MEMBER = ("model", "train_set", "seed")
 DIGITS = 39  # class digits of base 3 that fit a signed 64-bit integer
@@ -69,7 +70,11 @@ def joint_cells(
     member_cols: Sequence[str] = MEMBER,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(by, carry, y, codes, n). Fails when a run misses an item that another run scored."""
+    """(by, carry, y, codes, n). Fails when a run misses an item that another run scored.
+
+    Cells are written out once: the pass over all predictions is the expensive step, and point
+    values, totals and replicates all start from the few cells.
+    """
     aligned = align_predictions(preds, members, by, member_cols, carry)
     codes = _codes(len(members))
     checked = aligned.withColumn(
@@ -78,7 +83,7 @@ def joint_cells(
             F.raise_error(F.lit("runs do not cover the same items with the same labels")).cast("long")
         ),
     )
-    return checked.groupBy(*by, *carry, "y", *codes).agg(F.count(F.lit(1)).alias("n"))
+    return cut(checked.groupBy(*by, *carry, "y", *codes).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _member_structs(members: Sequence[tuple], member_cols: Sequence[str]):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import binary_pred
 from tidemark.operators import metrics as M
 from tidemark.operators.profile import share_in_partition, with_category
+from tidemark.session import cut
 
 
 def yearly_slope(metrics: DataFrame, keys: Sequence[str], value: str = "macro_f1", year: str = "yr") -> DataFrame:
@@ -65,15 +66,19 @@ def month_mix(items: DataFrame, last_month: int = 9) -> DataFrame:
 
 def month_matched_slopes(preds: DataFrame, last_month: int = 9) -> DataFrame:
     """Slopes over all months next to slopes over the first months only."""
-    keys = ["model", "train_set"]
-    full = model_slopes(preds, keys).select(*keys, F.col("slope").alias("slope_all"))
-    part = model_slopes(preds.filter(F.col("month") <= last_month), keys).select(*keys, F.col("slope").alias("slope_matched"))
-    return full.join(part, keys)
+    weights = {"all": F.lit(1), "matched": F.when(F.col("month") <= last_month, 1).otherwise(0)}
+    f1 = M.macro_f1_variants(preds, ["model", "train_set", "seed", "yr"], weights)
+    per_year = f1.groupBy("model", "train_set", "yr").agg(F.avg("all").alias("all"), F.avg("matched").alias("matched"))
+    x = F.col("yr").cast("double")
+    return per_year.groupBy("model", "train_set").agg(
+        F.regr_slope("all", x).alias("slope_all"), F.regr_slope("matched", x).alias("slope_matched")
+    )
 
 
 def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(yr, cat_l1, w): reference-year share of a category over its share in the year."""
-    counts = with_category(items.select("yr", "parent_asin"), meta).groupBy("yr", "cat_l1").agg(F.count(F.lit(1)).alias("n"))
+    per_product = items.groupBy("yr", "parent_asin").agg(F.count(F.lit(1)).alias("n"))
+    counts = with_category(per_product, meta).groupBy("yr", "cat_l1").agg(F.sum("n").alias("n"))
     shares = share_in_partition(counts, ["yr"])
     ref = shares.filter(F.col("yr") == ref_year).select("cat_l1", F.col("share").alias("_ref"))
     return shares.join(ref, "cat_l1", "left").select(
@@ -84,16 +89,13 @@ def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
 def mix_reweighted_f1(preds: DataFrame, items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(model, train_set, yr, raw, reweighted): macro F1 with every year given the reference year's category mix.
 
-    Predictions are counted per (run, year, category, y, pred) first; weights join those counts.
+    Predictions are counted per product before the category join and per category before the weights join.
     """
     keys = ["model", "train_set", "seed", "yr"]
-    cells = with_category(preds.select(*keys, "parent_asin", "y", "pred"), meta).groupBy(*keys, "cat_l1", "y", "pred").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    per_product = preds.groupBy(*keys, "parent_asin", "y", "pred").agg(F.count(F.lit(1)).alias("n"))
+    cells = with_category(per_product, meta).groupBy(*keys, "cat_l1", "y", "pred").agg(F.sum("n").alias("n"))
     weighted = cells.join(mix_weights(items, meta, ref_year), ["yr", "cat_l1"])
-    raw = M.class_f1(weighted, keys, weight=F.col("n")).select(*keys, F.col("macro_f1").alias("raw"))
-    rew = M.class_f1(weighted, keys, weight=F.col("n") * F.col("w")).select(*keys, F.col("macro_f1").alias("reweighted"))
-    both = raw.join(rew, keys)
+    both = M.macro_f1_variants(weighted, keys, {"raw": F.col("n"), "reweighted": F.col("n") * F.col("w")})
     return both.groupBy("model", "train_set", "yr").agg(F.avg("raw").alias("raw"), F.avg("reweighted").alias("reweighted"))
 
 
@@ -164,7 +166,7 @@ def shift_share_bootstrap(items: DataFrame, B: int, seed: int, group: str = "lab
     """(term, estimate, lo, hi): items resampled within each period, drawn over cells of equal rows."""
     from tidemark.operators.bootstrap import draw_cells
 
-    cells = items.groupBy("period", group, value).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(items.groupBy("period", group, value).agg(F.count(F.lit(1)).alias("n")))
     reps = shift_share(draw_cells(cells, ["period"], [group, value], B, seed), group, value, ["rep"], F.col("w"))
     point = shift_share(cells, group, value, [], F.col("n"))
 

@@ -234,13 +234,14 @@ def key_uniqueness(pool: DataFrame, samples: DataFrame) -> DataFrame:
 def nonunique_items(pool: DataFrame, samples: DataFrame) -> DataFrame:
     """Sampled items whose public key repeats: rows with the key, and rows with key and label.
 
-    Only keys touched by the sample are counted: a semi join cuts the pool first.
+    Rows are counted per (key, label) before the join with the touched keys, so a key with very
+    many rows crosses the network as one row per map task.
     """
     ids = samples.select("item_id").distinct()
     items = pool.select("item_id", *PUBLIC_KEY, "y").join(ids, "item_id", "left_semi")
     touched = items.select(*PUBLIC_KEY).distinct()
-    same_key = pool.select(*PUBLIC_KEY, "y").join(touched, list(PUBLIC_KEY), "left_semi")
-    by_label = same_key.groupBy(*PUBLIC_KEY, "y").agg(F.count(F.lit(1)).alias("n_key_and_label"))
+    counted = pool.groupBy(*PUBLIC_KEY, "y").agg(F.count(F.lit(1)).alias("n_key_and_label"))
+    by_label = counted.join(touched, list(PUBLIC_KEY), "left_semi")
     by_key = by_label.groupBy(*PUBLIC_KEY).agg(F.sum("n_key_and_label").alias("n_key")).filter("n_key > 1")
     return (
         items.join(by_key, list(PUBLIC_KEY)).join(by_label, [*PUBLIC_KEY, "y"])

@@ -40,14 +40,21 @@ def tfidf_terms(
     )
     counts = per_doc.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter(F.col("df") >= min_df)
     top = counts.orderBy(F.desc("cf"), "term").limit(max_terms)
-    n = docs.agg(F.count(F.lit(1)).alias("_n"))
+    n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1) + F.col("_n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
-    return top.crossJoin(F.broadcast(n)).select("term", "df", "cf", idf.alias("idf"))
+    return top.withColumn("_n", n).select("term", "df", "cf", idf.alias("idf"))
 
 
-def tfidf_weights(docs: DataFrame, terms: DataFrame, ngrams: tuple[int, ...] = (1, 2), doc_id: str = "doc_id") -> DataFrame:
+def _lookup_side(terms: DataFrame, max_terms: int | None) -> DataFrame:
+    """A vocabulary cut at max_terms has a known bound; a common word would skew a shuffled join on term."""
+    return F.broadcast(terms) if max_terms is not None and max_terms <= 1_000_000 else terms
+
+
+def tfidf_weights(
+    docs: DataFrame, terms: DataFrame, ngrams: tuple[int, ...] = (1, 2), doc_id: str = "doc_id", max_terms: int | None = None
+) -> DataFrame:
     """(doc, term, weight): (1 + ln tf) * idf, scaled to unit length per document."""
-    raw = term_counts(docs, ngrams, doc_id=doc_id).join(terms, "term").select(
+    raw = term_counts(docs, ngrams, doc_id=doc_id).join(_lookup_side(terms, max_terms), "term").select(
         doc_id, "term", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc_id)))
@@ -58,7 +65,8 @@ def tfidf_vectors(
     docs: DataFrame, terms: DataFrame, size: int, ngrams: tuple[int, ...] = (1, 2), doc_id: str = "doc_id"
 ) -> DataFrame:
     """``docs`` plus a unit-length sparse ``features`` column over an indexed term table (term, idx, idf)."""
-    entries = term_counts(docs, ngrams, doc_id=doc_id).join(terms.select("term", "idx", "idf"), "term")
+    lookup = _lookup_side(terms.select("term", "idx", "idf"), size)
+    entries = term_counts(docs, ngrams, doc_id=doc_id).join(lookup, "term")
     pairs = entries.groupBy(doc_id).agg(
         F.sort_array(F.collect_list(F.struct("idx", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("w")))).alias("_e")
     )

@@ -60,10 +60,8 @@ def recover_timestamp(items: DataFrame, reviews: DataFrame) -> DataFrame:
     """Earliest raw timestamp with the item's user, product, text and year."""
     keys = ["user_id", "parent_asin", "text_hash", "yr"]
     raw = reviews.select("user_id", "parent_asin", "text_hash", epoch_year("ts").alias("yr"), "ts")
-    return (
-        items.select("item_id", *keys).join(raw, keys).groupBy("item_id").agg(F.min("ts").alias("ts"))
-        .withColumn("month", epoch_month("ts"))
-    )
+    earliest = raw.groupBy(*keys).agg(F.min("ts").alias("ts"))  # a record copied many times is one row here
+    return items.select("item_id", *keys).join(earliest, keys).select("item_id", "ts", epoch_month("ts").alias("month"))
 
 
 def candidate_rows(items: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -81,10 +79,9 @@ def lookup(df: DataFrame, table: dict, key: str, name: str, default=None) -> Dat
 
 
 def ratio_of_counts(a: DataFrame, b: DataFrame, name: str = "ratio") -> DataFrame:
-    """count(a) / count(b) from two one-row frames."""
-    left = a.agg(F.count(F.lit(1)).alias("n_a"))
-    right = b.agg(F.count(F.lit(1)).alias("n_b"))
-    return left.crossJoin(F.broadcast(right)).withColumn(name, F.col("n_a") / F.col("n_b"))
+    """count(a) / count(b) with the second count as a scalar subquery."""
+    other = b.agg(F.count(F.lit(1))).scalar()
+    return a.agg(F.count(F.lit(1)).alias("n_a")).withColumn("n_b", other).withColumn(name, F.col("n_a") / F.col("n_b"))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

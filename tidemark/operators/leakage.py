@@ -75,11 +75,16 @@ def leakage_exact(reviews: DataFrame, min_len: int = 50) -> DataFrame:
 
 def sampled_leakage(train: DataFrame, test: DataFrame) -> DataFrame:
     """Shares of sampled test rows whose text, and whose user, occur in the sampled train rows."""
-    texts = train.select("text_hash").distinct().withColumn("_t", F.lit(1))
-    users = train.select("user_id").distinct().withColumn("_u", F.lit(1))
-    joined = test.select("text_hash", "user_id").join(texts, "text_hash", "left").join(users, "user_id", "left")
-    share = lambda c: F.avg(F.col(c).isNotNull().cast("double"))
-    return joined.agg(F.count(F.lit(1)).alias("n_test"), share("_t").alias("text_leak"), share("_u").alias("user_seen"))
+
+
+    def seen(key: str) -> DataFrame:
+        per_key = test.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        known = train.select(key).distinct().withColumn("_k", F.lit(1))
+        hits = F.sum(F.when(F.col("_k").isNotNull(), F.col("_n")).otherwise(0))
+        return per_key.join(known, key, "left").agg(F.sum("_n").alias("n_test"), (hits / F.sum("_n")).alias("share"))
+
+    users = seen("user_id").select("share").scalar()
+    return seen("text_hash").select("n_test", F.col("share").alias("text_leak"), users.alias("user_seen"))
 
 
 def item_overlap_flags(items: DataFrame, membership: Mapping[str, DataFrame], id_col: str = "item_id") -> DataFrame:

@@ -16,19 +16,21 @@ def _sum_if(cond: Column, weight: Column | None) -> Column:
     return F.sum(F.when(cond, weight).otherwise(F.lit(0)))
 
 
-def f1_aggregates(y: Column, pred: Column, classes: Sequence[int] = CLASSES, weight: Column | None = None) -> list[Column]:
+def f1_aggregates(
+    y: Column, pred: Column, classes: Sequence[int] = CLASSES, weight: Column | None = None, tag: str = ""
+) -> list[Column]:
     """Per class: weight of hits, and weight of true plus predicted members."""
     out = []
     for c in classes:
-        out.append(_sum_if((y == c) & (pred == c), weight).alias(f"_tp{c}"))
-        out.append((_sum_if(y == c, weight) + _sum_if(pred == c, weight)).alias(f"_tot{c}"))
+        out.append(_sum_if((y == c) & (pred == c), weight).alias(f"_tp{tag}{c}"))
+        out.append((_sum_if(y == c, weight) + _sum_if(pred == c, weight)).alias(f"_tot{tag}{c}"))
     return out
 
 
-def f1_columns(classes: Sequence[int] = CLASSES) -> dict[str, Column]:
+def f1_columns(classes: Sequence[int] = CLASSES, tag: str = "") -> dict[str, Column]:
     """2tp / (true + predicted), 0 for an absent class, and the plain mean over classes."""
     f1 = {
-        f"f1_{c}": F.when(F.col(f"_tot{c}") > 0, F.lit(2.0) * F.col(f"_tp{c}") / F.col(f"_tot{c}")).otherwise(F.lit(0.0))
+        f"f1_{c}": F.when(F.col(f"_tot{tag}{c}") > 0, F.lit(2.0) * F.col(f"_tp{tag}{c}") / F.col(f"_tot{tag}{c}")).otherwise(F.lit(0.0))
         for c in classes
     }
     total = None
@@ -52,6 +54,13 @@ def class_f1(
     return grouped.select(*kept, *[v.alias(k) for k, v in names.items()])
 
 
+def macro_f1_variants(preds: DataFrame, keys: Sequence[str], weights: dict[str, Column], classes: Sequence[int] = CLASSES) -> DataFrame:
+    """Macro F1 under several item weights in one pass: one column per name."""
+    aggs = [a for name, w in weights.items() for a in f1_aggregates(F.col("y"), F.col("pred"), classes, w, f"_{name}")]
+    grouped = preds.groupBy(*keys).agg(*aggs)
+    return grouped.select(*keys, *[f1_columns(classes, f"_{name}")["macro_f1"].alias(name) for name in weights])
+
+
 def confusion_matrix(preds: DataFrame, keys: Sequence[str], classes: Sequence = CLASSES, y: str = "y", pred: str = "pred") -> DataFrame:
     """Dense (keys, y, pred, n): empty cells are present with 0."""
     pairs = [(a, b) for a in classes for b in classes]

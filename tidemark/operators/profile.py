@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import array_element
 from tidemark.operators.joins import dedup_dimension
 
-ONE = F.lit
-
 
 def _n() -> Column:
     return F.count(F.lit(1)).alias("n")
@@ -22,9 +20,8 @@ def _share(cond: Column) -> Column:
 
 
 def pct_of_total(df: DataFrame, n: str = "n", name: str = "pct") -> DataFrame:
-    """Percent of the grand total; the total is one row, so no single-task window over the input."""
-    total = df.agg(F.sum(n).alias("_total"))
-    return df.crossJoin(F.broadcast(total)).withColumn(name, F.lit(100.0) * F.col(n) / F.col("_total")).drop("_total")
+    """Percent of the grand total. The total is a scalar subquery, so no window gathers the rows in one task."""
+    return df.withColumn(name, F.lit(100.0) * F.col(n) / df.agg(F.sum(n)).scalar())
 
 
 def share_in_partition(df: DataFrame, part: Sequence[str], n: str = "n", name: str = "share") -> DataFrame:
@@ -66,21 +63,30 @@ def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: di
     of the table costs its distinct values, not its rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f"))
-    exprs = [F.percentile(value, F.lit(p), F.col("_f")).alias(name) for name, p in probs.items()]
-    return counts.groupBy(*keys).agg(*exprs)
+    names = list(probs)
+    out = counts.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]), F.col("_f")).alias("_q"))
+    return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def length_by_rating(reviews: DataFrame, approximate: bool = False) -> DataFrame:
     """Count, length quantiles and mean helpful votes per rating."""
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    means = reviews.groupBy("rating").agg(_n(), F.avg("helpful_vote").alias("mean_helpful"))
+    levels = F.array(*[F.lit(p) for p in probs.values()])
     if approximate:
-        quantiles = reviews.groupBy("rating").agg(
-            *[F.percentile_approx("text_len", p, 10_000).alias(name) for name, p in probs.items()]
+        out = reviews.groupBy("rating").agg(
+            _n(), F.percentile_approx("text_len", levels, 10_000).alias("_q"), F.avg("helpful_vote").alias("mean_helpful")
         )
     else:
-        quantiles = weighted_quantiles(reviews, ["rating"], "text_len", probs)
-    return means.join(quantiles, "rating").select("rating", "n", *probs, "mean_helpful").orderBy("rating")
+        counts = reviews.groupBy("rating", "text_len").agg(
+            F.count(F.lit(1)).alias("_f"), F.sum("helpful_vote").alias("_h"), F.count("helpful_vote").alias("_hn")
+        )
+        out = counts.groupBy("rating").agg(
+            F.sum("_f").alias("n"),
+            F.percentile("text_len", levels, F.col("_f")).alias("_q"),
+            (F.sum("_h") / F.sum("_hn")).alias("mean_helpful"),
+        )
+    quantiles = [F.col("_q")[i].cast("double").alias(name) for i, name in enumerate(probs)]
+    return out.select("rating", "n", *quantiles, "mean_helpful").orderBy("rating")
 
 
 def top_categories(meta: DataFrame, k: int = 40, col: str = "main_category") -> DataFrame:
@@ -89,23 +95,31 @@ def top_categories(meta: DataFrame, k: int = 40, col: str = "main_category") ->
 
 def label_by_year(pool: DataFrame) -> DataFrame:
     """Class shares and median length per year."""
-    shares = pool.groupBy("yr").agg(
-        _n(),
-        *[_share(F.col("y") == c).alias(name) for c, name in ((0, "neg"), (1, "neu"), (2, "pos"))],
+    names = ("neg", "neu", "pos")
+    counts = pool.groupBy("yr", "text_len").agg(
+        F.count(F.lit(1)).alias("_f"), *[F.count_if(F.col("y") == c).alias(f"_{n}") for c, n in enumerate(names)]
+    )
+    return (
+        counts.groupBy("yr")
+        .agg(
+            F.sum("_f").alias("n"),
+            *[(F.sum(f"_{n}") / F.sum("_f")).alias(n) for n in names],
+            F.percentile("text_len", F.lit(0.5), F.col("_f")).alias("median_len"),
+        )
+        .orderBy("yr")
     )
-    medians = weighted_quantiles(pool, ["yr"], "text_len", {"median_len": 0.5})
-    return shares.join(medians, "yr").orderBy("yr")
 
 
 def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """(y, n, prior, weight) with weight = n / (k * n_class)."""
     counts = df.groupBy(y).agg(_n())
-    total = counts.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    total = counts.agg(F.struct(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))).scalar()
+    rows = counts.withColumn("_all", total)
+    return rows.select(
         y,
         "n",
-        (F.col("n") / F.col("_t")).alias("prior"),
-        (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"),
+        (F.col("n") / F.col("_all.t")).alias("prior"),
+        (F.col("_all.t") / (F.col("_all.k") * F.col("n"))).alias("weight"),
     )
 
 
@@ -134,11 +148,14 @@ def fold_rest(df: DataFrame, col: str, k: int, name: str = "cat", other: str = "
 
 
 def category_year_counts(pool: DataFrame, meta: DataFrame, k: int = 15) -> DataFrame:
-    """(yr, cat, n, n_neg, n_neu). Rows are counted per category first, so the fold works on counts."""
+    """(yr, cat, n, n_neg, n_neu). Rows are counted per product before the join and per category before the fold."""
+    per_product = pool.groupBy("parent_asin", "yr").agg(
+        _n(), F.count_if(F.col("y") == 0).alias("n_neg"), F.count_if(F.col("y") == 1).alias("n_neu")
+    )
     cells = (
-        with_category(pool.select("parent_asin", "yr", "y"), meta)
+        with_category(per_product, meta)
         .groupBy("yr", "cat_l1")
-        .agg(_n(), F.count_if(F.col("y") == 0).alias("n_neg"), F.count_if(F.col("y") == 1).alias("n_neu"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "n_neg", "n_neu")])
     )
     top = (
         cells.groupBy("cat_l1").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "cat_l1").limit(k)
@@ -197,8 +214,8 @@ def membership_summary(samples: DataFrame) -> DataFrame:
     overlap = per_item.agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.col("_tr") * F.col("_te")), F.lit(0)).cast("long").alias("overlap")
     )
-    names = samples.agg(F.count_distinct("sample").alias("n_samples"))
-    return overlap.crossJoin(F.broadcast(names)).select("n", "n_samples", "overlap")
+    names = samples.agg(F.count_distinct("sample")).scalar()
+    return overlap.select("n", names.alias("n_samples"), "overlap")
 
 
 def match_rate(left: DataFrame, matched: DataFrame, key: str = "item_id") -> DataFrame:

@@ -32,8 +32,7 @@ def train_rows(pool: DataFrame, train_years: tuple[int, int], id_col: str = "ite
 def class_prior(df: DataFrame, y: str = "y") -> DataFrame:
     """(y, n, prior). The division runs over one row per class."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(y, "n", (F.col("n") / F.col("_total")).alias("prior"))
+    return counts.withColumn("prior", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def period_tests(
@@ -102,22 +101,17 @@ def temporal_samples(
     pool: DataFrame,
     train_years: tuple[int, int],
     test_years: tuple[int, int],
-    recent_years: tuple[int, int],
     n_train: int,
     n_test: int,
     train_seed: int = 42,
     test_seed: int = 7,
     columns: Sequence[str] = ("item_id", "yr", "y"),
 ) -> DataFrame:
-    """The whole sample design: train, holdout, natural and prior-matched years, recent retraining set."""
+    """The sample design: a training sample, and the fixed holdout, natural and prior-matched tests."""
     cols = ["sample", *columns]
     base = pool.select(*columns)
     train_all = train_rows(base, train_years)
     train = bottom_n(train_all, "item_id", n_train, train_seed).withColumn("sample", F.lit(f"train_seed{train_seed}"))
     natural = period_tests(base, n_test, train_years, test_years, test_seed)
     matched = matched_tests(base, class_prior(train_all), n_test, test_years, test_seed)
-    tests = natural.select(*cols).unionByName(matched.select(*cols))
-    recent = train_excluding(base, tests, recent_years, n_train, train_seed).withColumn(
-        "sample", F.lit(f"train_{recent_years[0]}_{recent_years[1]}")
-    )
-    return train.select(*cols).unionByName(tests).unionByName(recent.select(*cols))
+    return train.select(*cols).unionByName(natural.select(*cols)).unionByName(matched.select(*cols))

@@ -18,24 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import broadcast_checked, cut
+
 Z95 = 1.959963984540054  # Fixed value: normal quantile of a 95 % interval.
 
 
 def collapse_rare(df: DataFrame, col: str, min_n: int = 30, name: str = "cat", other: str = "(other)") -> DataFrame:
     """Values seen fewer than min_n times become one value."""
     common = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n).select(col, F.lit(True).alias("_keep"))
-    return df.join(common, col, "left").withColumn(name, F.when(F.col("_keep"), F.col(col)).otherwise(other)).drop("_keep")
+    return df.join(broadcast_checked(common), col, "left").withColumn(name, F.when(F.col("_keep"), F.col(col)).otherwise(other)).drop("_keep")
 
 
 def quantile_bins(df: DataFrame, col: str, labels: Sequence[str] = ("short", "medium", "long"), name: str = "bin") -> DataFrame:
     """Equal-count bins by cut points, so equal values stay together (right edge inclusive)."""
     k = len(labels)
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_f"))
-    cuts = counts.agg(*[F.percentile(col, F.lit(i / k), F.col("_f")).alias(f"_q{i}") for i in range(1, k)])
+    cuts = counts.agg(F.percentile(col, F.array(*[F.lit(i / k) for i in range(1, k)]), F.col("_f"))).scalar()
     out = F
     for i in range(1, k):
-        out = out.when(F.col(col) <= F.col(f"_q{i}"), labels[i - 1])
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, out.otherwise(labels[-1])).drop(*[f"_q{i}" for i in range(1, k)])
+        out = out.when(F.col(col) <= F.col("_cuts")[i - 1], labels[i - 1])
+    return df.withColumn("_cuts", cuts).withColumn(name, out.otherwise(labels[-1])).drop("_cuts")
 
 
 def _design(df: DataFrame, y: str, x: Sequence[str], factor: str | None) -> tuple[DataFrame, list[str]]:
@@ -150,15 +152,14 @@ def lpm_hc1_single(df: DataFrame, y: str, x: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("w")
     )
     w, xx, yy = F.col("w"), F.col("x"), F.col("y")
-    m = pairs.agg(F.sum(w).alias("n"), (F.sum(w * xx) / F.sum(w)).alias("mx"), (F.sum(w * yy) / F.sum(w)).alias("my"))
-    dx, dy = xx - F.col("mx"), yy - F.col("my")
-    centred = pairs.crossJoin(F.broadcast(m))
-    fit = centred.agg((F.sum(w * dx * dy) / F.sum(w * dx * dx)).alias("b"), F.sum(w * dx * dx).alias("sxx"))
-    resid = centred.crossJoin(F.broadcast(fit))
-    e = dy - F.col("b") * dx
-    out = resid.groupBy("n", "b", "sxx").agg(F.sum(w * dx * dx * e * e).alias("meat"))
-    n = F.col("n")
-    return out.select(n.alias("n"), "b", F.sqrt(n / (n - 2) * F.col("meat") / (F.col("sxx") * F.col("sxx"))).alias("se_hc1"))
+    pairs = cut(pairs)
+    m = pairs.agg(F.struct(F.sum(w).alias("n"), (F.sum(w * xx) / F.sum(w)).alias("x"), (F.sum(w * yy) / F.sum(w)).alias("y"))).scalar()
+    centred = pairs.withColumn("_m", m).select("w", (xx - F.col("_m.x")).alias("dx"), (yy - F.col("_m.y")).alias("dy"), "_m.n")
+    dx, dy, n = F.col("dx"), F.col("dy"), F.col("n")
+    fit = centred.agg(F.struct((F.sum(w * dx * dy) / F.sum(w * dx * dx)).alias("b"), F.sum(w * dx * dx).alias("sxx"))).scalar()
+    e = dy - F.col("_f.b") * dx
+    out = centred.withColumn("_f", fit).groupBy("n", "_f.b", "_f.sxx").agg(F.sum(w * dx * dx * e * e).alias("meat"))
+    return out.select("n", "b", F.sqrt(n / (n - 2) * F.col("meat") / (F.col("sxx") * F.col("sxx"))).alias("se_hc1"))
 
 
 def stratified_trend(

@@ -100,13 +100,22 @@ class Views:
             F.lit("The "), "p_name", F.lit(" by "), "p_brand", F.lit(" in the "), "p_type", F.lit(" line came as "),
             "o_orderpriority", order, F.lit(": "), pick(PHRASES, tone),
         )
+        # Each step is its own column: used several times below, evaluated once per row.
+        j = j.withColumns(
+            {
+                "words": words,
+                "look": mod(pre("w", k), 7),
+                "stock": mod(pre("m", k), 200),
+                "odd": mod(pre("n", k), 400),
+            }
+        )
+        look, stock, odd, words = (F.col(c) for c in ("look", "stock", "odd", "words"))
         shaped = (
-            F.when(mod(pre("w", k), 7) == 0, F.concat(F.regexp_replace(words, " ", "  "), F.lit("\n")))
+            F.when(look == 0, F.concat(F.replace(words, F.lit(" "), F.lit("  ")), F.lit("\n")))
             .when(mod(pre("b", k), 11) == 0, F.concat(F.lit("<b>"), words, F.lit("</b> !!")))
             .when(mod(pre("x", k), 13) == 0, F.upper(words))
             .otherwise(words)
         )
-        stock = mod(pre("m", k), 200)
         stocked = F.when(
             stock == 0,
             F.concat(F.lit("Thank you for this purchase, stock sentence of the seller number "), mod(pre("e", k), 8).cast("string")),
@@ -114,7 +123,6 @@ class Views:
             stock == 1,
             F.concat(F.lit("I was asked to leave these words, stock sentence of the brand number "), mod(pre("e", k), 30).cast("string")),
         ).otherwise(shaped)
-        odd = mod(pre("n", k), 400)
         text = (
             F.when(odd == 0, F.lit(""))
             .when(odd == 1, F.lit(None).cast("string"))
@@ -177,10 +185,16 @@ class Views:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return self.stage(
-            "samples",
-            lambda: splits.temporal_samples(self.pool, TRAIN_YEARS, TEST_YEARS, RECENT_YEARS, N_TRAIN, N_TEST),
-        )
+        return self.stage("samples", self._samples)
+
+    def _samples(self) -> DataFrame:
+        """Tests are staged before the retraining sample that must avoid them is drawn."""
+        base = self.pool.select("item_id", "yr", "y")
+        fixed = self.stage("samples_fixed", lambda: splits.temporal_samples(base, TRAIN_YEARS, TEST_YEARS, N_TRAIN, N_TEST))
+        tests = fixed.filter(F.col("sample").startswith("test"))
+        recent = splits.train_excluding(base, tests, RECENT_YEARS, N_TRAIN, 42)
+        name = F.lit(f"train_{RECENT_YEARS[0]}_{RECENT_YEARS[1]}")
+        return fixed.unionByName(recent.withColumn("sample", name))
 
     # ---- predictions -----------------------------------------------------------------------
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -43,3 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back: computed once, lineage cut, sizes known.
+
+    The copy is plain Parquet, so losing executors does not lose it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidemark/{df.sparkSession.sparkContext.applicationId}/cut/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a frame whose size is not known in advance only after counting it; else leave the join to the planner."""
+    written = cut(df)
+    return F.broadcast(written) if written.count() <= max_rows else written
