@@ -216,7 +216,7 @@ query(
     f"""SELECT {DUP_TYPE} AS dup_type, count(*) n_groups, sum(n_rows)::BIGINT n_rows,
       100.0::DOUBLE*sum(n_rows)::BIGINT/(sum(sum(n_rows)) OVER ())::BIGINT AS pct_rows FROM g GROUP BY 1""",
     {"g": GROUPS},
-)(lambda v: D.duplicate_types(D.duplicate_groups(v.reviews)))
+)(lambda v: D.duplicate_types(D.text_sharing(v.reviews)))
 query("AG8_duplicate_group_sizes", f"SELECT {SIZE} AS group_size, count(*) n_groups, sum(n_rows)::BIGINT n_rows FROM g GROUP BY 1", {"g": GROUPS})(
     lambda v: D.duplicate_group_sizes(v.reviews, edges=(1, 5, 20, 50))
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import binary_pred
 from tidemark.operators import metrics as M
-from tidemark.operators.profile import share_in_partition, with_category
+from tidemark.operators.profile import count_by_category, share_in_partition
 from tidemark.session import cut
 
 
@@ -77,9 +77,7 @@ def month_matched_slopes(preds: DataFrame, last_month: int = 9) -> DataFrame:
 
 def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(yr, cat_l1, w): reference-year share of a category over its share in the year."""
-    per_product = items.groupBy("yr", "parent_asin").agg(F.count(F.lit(1)).alias("n"))
-    counts = with_category(per_product, meta).groupBy("yr", "cat_l1").agg(F.sum("n").alias("n"))
-    shares = share_in_partition(counts, ["yr"])
+    shares = share_in_partition(cut(count_by_category(items, ["yr"], meta)), ["yr"])
     ref = shares.filter(F.col("yr") == ref_year).select("cat_l1", F.col("share").alias("_ref"))
     return shares.join(ref, "cat_l1", "left").select(
         "yr", "cat_l1", (F.coalesce("_ref", F.lit(0.0)) / F.col("share")).alias("w")
@@ -89,11 +87,10 @@ def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
 def mix_reweighted_f1(preds: DataFrame, items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(model, train_set, yr, raw, reweighted): macro F1 with every year given the reference year's category mix.
 
-    Predictions are counted per product before the category join and per category before the weights join.
+    Predictions are counted per (run, year, category, y, pred) first; weights join those counts.
     """
     keys = ["model", "train_set", "seed", "yr"]
-    per_product = preds.groupBy(*keys, "parent_asin", "y", "pred").agg(F.count(F.lit(1)).alias("n"))
-    cells = with_category(per_product, meta).groupBy(*keys, "cat_l1", "y", "pred").agg(F.sum("n").alias("n"))
+    cells = count_by_category(preds, [*keys, "y", "pred"], meta)
     weighted = cells.join(mix_weights(items, meta, ref_year), ["yr", "cat_l1"])
     both = M.macro_f1_variants(weighted, keys, {"raw": F.col("n"), "reweighted": F.col("n") * F.col("w")})
     return both.groupBy("model", "train_set", "yr").agg(F.avg("raw").alias("raw"), F.avg("reweighted").alias("reweighted"))

@@ -57,11 +57,33 @@ def duplicate_groups(reviews: DataFrame, min_len: int = 50) -> DataFrame:
     )
 
 
+def text_sharing(reviews: DataFrame, min_len: int = 50) -> DataFrame:
+    """(text_hash, n_rows, n_users, n_parent) with the last two capped at 2 ('several').
+
+    Telling one from several needs only the smallest and largest value: one aggregation, where
+    exact distinct counts would copy every row once per counted column.
+    """
+    several = lambda lo, hi: F.when(F.col(lo) == F.col(hi), 1).otherwise(2)
+    ends = (
+        reviews.filter(F.col("text_len") >= min_len)
+        .groupBy("text_hash")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.min("user_id").alias("_u0"),
+            F.max("user_id").alias("_u1"),
+            F.min("parent_asin").alias("_p0"),
+            F.max("parent_asin").alias("_p1"),
+        )
+    )
+    return ends.select("text_hash", "n_rows", several("_u0", "_u1").alias("n_users"), several("_p0", "_p1").alias("n_parent"))
+
+
 def _rollup(groups: DataFrame, label, name: str) -> DataFrame:
     return groups.groupBy(label.alias(name)).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_rows").alias("n_rows"))
 
 
 def duplicate_types(groups: DataFrame) -> DataFrame:
+    """Groups and rows per kind of sharing, from ``text_sharing`` or ``duplicate_groups``."""
     rolled = _rollup(groups, L.dup_type("n_rows", "n_users", "n_parent"), "dup_type")
     return pct_of_total(rolled, "n_rows", "pct_rows").orderBy("dup_type")
 

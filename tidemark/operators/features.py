@@ -33,12 +33,18 @@ def vocabulary(docs: DataFrame, min_df: int = 5, ngrams: tuple[int, ...] = (1,),
 def tfidf_terms(
     docs: DataFrame, min_df: int = 5, max_terms: int = 1_000_000, ngrams: tuple[int, ...] = (1, 2), text: str = "text"
 ) -> DataFrame:
-    """(term, df, cf, idf): terms in min_df documents, the max_terms most frequent ones, idf = ln((1+n)/(1+df)) + 1."""
-    tokens = tokenize_words(text, ngrams)
-    per_doc = docs.select(F.explode(tokens).alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")).unionAll(
-        docs.select(F.explode(F.array_distinct(tokens)), F.lit(0), F.lit(1))
+    """(term, df, cf, idf): terms in min_df documents, the max_terms most frequent ones, idf = ln((1+n)/(1+df)) + 1.
+
+    Tokens are sorted inside each document, so the first of a run counts the document and every token
+    counts the corpus: one explode and one shuffle of partial counts by term.
+    """
+    sorted_tokens = docs.select(F.sort_array(tokenize_words(text, ngrams)).alias("_t"))
+    before = lambda i: F.get(F.col("_t"), i - 1)
+    marked = F.transform("_t", lambda x, i: F.struct(x.alias("term"), F.coalesce(before(i) != x, F.lit(True)).alias("first")))
+    tokens = sorted_tokens.select(F.explode(marked).alias("t"))
+    counts = (
+        tokens.groupBy("t.term").agg(F.count_if("t.first").alias("df"), F.count(F.lit(1)).alias("cf")).filter(F.col("df") >= min_df)
     )
-    counts = per_doc.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter(F.col("df") >= min_df)
     top = counts.orderBy(F.desc("cf"), "term").limit(max_terms)
     n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1) + F.col("_n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.labels import array_element
 from tidemark.operators.joins import dedup_dimension
+from tidemark.session import cut
 
 
 def _n() -> Column:
@@ -20,8 +21,8 @@ def _share(cond: Column) -> Column:
 
 
 def pct_of_total(df: DataFrame, n: str = "n", name: str = "pct") -> DataFrame:
-    """Percent of the grand total. The total is a scalar subquery, so no window gathers the rows in one task."""
-    return df.withColumn(name, F.lit(100.0) * F.col(n) / df.agg(F.sum(n)).scalar())
+    """Percent of the grand total of a grouped result with few rows: the window saves a second pass over the input."""
+    return df.withColumn(name, F.lit(100.0) * F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(0))))
 
 
 def share_in_partition(df: DataFrame, part: Sequence[str], n: str = "n", name: str = "share") -> DataFrame:
@@ -112,14 +113,10 @@ def label_by_year(pool: DataFrame) -> DataFrame:
 
 def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """(y, n, prior, weight) with weight = n / (k * n_class)."""
-    counts = df.groupBy(y).agg(_n())
-    total = counts.agg(F.struct(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))).scalar()
-    rows = counts.withColumn("_all", total)
-    return rows.select(
-        y,
-        "n",
-        (F.col("n") / F.col("_all.t")).alias("prior"),
-        (F.col("_all.t") / (F.col("_all.k") * F.col("n"))).alias("weight"),
+    classes = Window.partitionBy(F.lit(0))  # one row per class
+    total, k = F.sum("n").over(classes), F.count(F.lit(1)).over(classes)
+    return df.groupBy(y).agg(_n()).select(
+        y, "n", (F.col("n") / total).alias("prior"), (total / (k * F.col("n"))).alias("weight")
     )
 
 
@@ -130,15 +127,34 @@ def class_shares(df: DataFrame, keys: Sequence[str], y: str = "y", prefix: str =
     )
 
 
-def with_category(rows: DataFrame, meta: DataFrame, level: int = 2, name: str = "cat_l1") -> DataFrame:
-    """Second level of the category path, '(none)' when the product or the level is missing."""
-    dim = dedup_dimension(meta, ["parent_asin"], ["categories"]).select(
+def category_dimension(meta: DataFrame, level: int = 2, name: str = "cat_l1") -> DataFrame:
+    """(parent_asin, category): one row per product, a level of its category path."""
+    return dedup_dimension(meta, ["parent_asin"], ["categories"]).select(
         "parent_asin", array_element("categories", level).alias(name)
     )
+
+
+def _with_dim(rows: DataFrame, dim: DataFrame, name: str) -> DataFrame:
     joined = rows.join(dim, "parent_asin", "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit("(none)")))
 
 
+def with_category(rows: DataFrame, meta: DataFrame, level: int = 2, name: str = "cat_l1") -> DataFrame:
+    """Category path level per row, '(none)' when the product or the level is missing."""
+    return _with_dim(rows, category_dimension(meta, level, name), name)
+
+
+def count_by_category(rows: DataFrame, keys: Sequence[str], meta: DataFrame, name: str = "cat_l1", max_rows: int = 1_000_000) -> DataFrame:
+    """(keys, category, n). A product table of checked size is broadcast to the rows; a larger one is
+    joined to counts per product, so that a product owning a third of the rows joins as a few rows."""
+    dim = cut(category_dimension(meta, name=name))
+    if dim.count() <= max_rows:
+        joined = _with_dim(rows.select(*keys, "parent_asin"), F.broadcast(dim), name)
+        return joined.groupBy(*keys, name).agg(_n())
+    per_product = rows.groupBy(*keys, "parent_asin").agg(_n())
+    return _with_dim(per_product, dim, name).groupBy(*keys, name).agg(F.sum("n").alias("n"))
+
+
 def fold_rest(df: DataFrame, col: str, k: int, name: str = "cat", other: str = "(other)") -> DataFrame:
     """Keep the k most frequent values, fold the rest. The broadcast side is k rows."""
     top = df.groupBy(col).agg(_n()).orderBy(F.desc("n"), col).limit(k).select(col, F.lit(True).alias("_top"))
@@ -148,23 +164,17 @@ def fold_rest(df: DataFrame, col: str, k: int, name: str = "cat", other: str = "
 
 
 def category_year_counts(pool: DataFrame, meta: DataFrame, k: int = 15) -> DataFrame:
-    """(yr, cat, n, n_neg, n_neu). Rows are counted per product before the join and per category before the fold."""
-    per_product = pool.groupBy("parent_asin", "yr").agg(
-        _n(), F.count_if(F.col("y") == 0).alias("n_neg"), F.count_if(F.col("y") == 1).alias("n_neu")
-    )
-    cells = (
-        with_category(per_product, meta)
-        .groupBy("yr", "cat_l1")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "n_neg", "n_neu")])
-    )
+    """(yr, cat, n, n_neg, n_neu). Counts per (year, class, category) are written once; the fold works on them."""
+    cells = cut(count_by_category(pool, ["yr", "y"], meta))
     top = (
         cells.groupBy("cat_l1").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "cat_l1").limit(k)
         .select("cat_l1", F.lit(True).alias("_top"))
     )
+    of_class = lambda c: F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0))
     return (
         cells.join(F.broadcast(top), "cat_l1", "left")
         .groupBy("yr", F.when(F.col("_top"), F.col("cat_l1")).otherwise(F.lit("(other)")).alias("cat"))
-        .agg(F.sum("n").alias("n"), F.sum("n_neg").alias("n_neg"), F.sum("n_neu").alias("n_neu"))
+        .agg(F.sum("n").alias("n"), of_class(0).alias("n_neg"), of_class(1).alias("n_neu"))
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import in_tenths
@@ -30,9 +30,9 @@ def train_rows(pool: DataFrame, train_years: tuple[int, int], id_col: str = "ite
 
 
 def class_prior(df: DataFrame, y: str = "y") -> DataFrame:
-    """(y, n, prior). The division runs over one row per class."""
+    """(y, n, prior). The window sees one row per class."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("prior", F.col("n") / counts.agg(F.sum("n")).scalar())
+    return counts.withColumn("prior", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
 def period_tests(
