@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
@@ -40,6 +40,13 @@ def normalise_reviews(raw: DataFrame) -> DataFrame:
     )
 
 
+def rating_sd(rating: str = "rating") -> Column:
+    """Population deviation from sums. Star ratings are whole numbers, so the sums are exact and a
+    group whose deviation is exactly 1 never lands below 1 by a rounding error."""
+    r, n = F.col(rating), F.count(rating).cast("double")
+    return F.sqrt((n * F.sum(r * r) - F.sum(r) * F.sum(r)) / (n * n))
+
+
 def duplicate_groups(reviews: DataFrame, min_len: int = 50) -> DataFrame:
     """Per text: rows, users, products, variants, rating mean and spread, length."""
     return (
@@ -51,7 +58,7 @@ def duplicate_groups(reviews: DataFrame, min_len: int = 50) -> DataFrame:
             F.count_distinct("parent_asin").alias("n_parent"),
             F.count_distinct("asin").alias("n_asin"),
             F.avg("rating").alias("mean_rating"),
-            F.stddev_pop("rating").alias("sd_rating"),
+            rating_sd().alias("sd_rating"),
             F.min("text_len").alias("len"),
         )
     )
@@ -102,7 +109,7 @@ def duplicate_rating_agreement(reviews: DataFrame, min_len: int = 50) -> DataFra
     spread = (
         reviews.filter(F.col("text_len") >= min_len)
         .groupBy("text_hash")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.stddev_pop("rating").alias("sd_rating"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), rating_sd().alias("sd_rating"))
         .filter("n_rows > 1")
     )
     return _rollup(spread, L.rating_agreement("sd_rating"), "rating_agreement")

@@ -35,16 +35,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return configure(spark)
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stage tables: the cluster's spark.checkpoint.dir, or a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder for stage tables: the session's spark.checkpoint.dir, or a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _OWN_FOLDERS[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
