@@ -13,7 +13,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from tidemark.session import local_session
 
-    s = local_session(8, 8, "6g", "tests")
+    s = local_session(8, 4, "6g", "tests")
     yield s
     s.stop()
 

@@ -19,11 +19,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def summary_struct(**parts: DataFrame) -> DataFrame:
     """One row with a nested struct per named one-row frame."""
-    out = None
-    for name, df in parts.items():
-        one = df.select(F.struct(*df.columns).alias(name))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    first = next(iter(parts.values()))
+    return first.sparkSession.range(1).select(
+        *[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in parts.items()]
+    )
 
 
 def write_summary(df_one_row: DataFrame, path: str, mode: str = "error") -> None:
