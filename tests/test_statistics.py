@@ -111,6 +111,20 @@ def test_hash_and_multinomial_draws_agree(views):
         assert abs(a[m].lo - b[m].lo) < 0.3 * width and abs(a[m].hi - b[m].hi) < 0.3 * width
 
 
+def test_split_draws_follow_the_same_law(views):
+    cells = B.joint_cells(views.preds, EARLY, ["yr"])
+    mean = {}
+    for parts in (1, 7):
+        reps = B.multinomial_f1(cells, EARLY, ["yr"], 200, 3, parts=parts)
+        mean[parts] = {
+            (r.yr, r.model, r.seed): (r.m, r.s)
+            for r in reps.groupBy("yr", "model", "seed").agg(F.avg("macro_f1").alias("m"), F.stddev_samp("macro_f1").alias("s")).collect()
+        }
+    assert mean[1].keys() == mean[7].keys()
+    for k, (m, s) in mean[1].items():
+        assert abs(m - mean[7][k][0]) < 0.4 * s and 0.75 < s / mean[7][k][1] < 1.35
+
+
 def test_cluster_draws_agree(views):
     a = {r.model: r for r in B.cluster_bootstrap(views.preds, EARLY, "parent_asin", 100, 2)[0].collect()}
     b = {r.model: r for r in B.cluster_bootstrap(views.preds, EARLY, "parent_asin", 100, 2, "multinomial")[0].collect()}

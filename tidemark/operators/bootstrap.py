@@ -150,19 +150,15 @@ def draw_cells(
     return hit.groupBy(*by, *order, "rep").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _f1_frame(y: np.ndarray, digits: np.ndarray, weights: np.ndarray, reps: np.ndarray) -> pd.DataFrame:
-    """F1 of every run under every weight vector: rows are (replicate, run)."""
+def _tally_frame(y: np.ndarray, digits: np.ndarray, weights: np.ndarray, reps: np.ndarray) -> pd.DataFrame:
+    """Hits and class totals of every run under every weight vector: rows are (replicate, run)."""
     parts = []
     for i in range(digits.shape[1]):
         cols = {"rep": reps, "_i": np.full(len(reps), i)}
-        total = np.zeros(len(reps))
         for c in CLASSES:
             true, pred = (y == c), (digits[:, i] == c)
-            tp = weights @ (true & pred).astype(float)
-            tot = weights @ (true.astype(float) + pred)
-            cols[f"f1_{c}"] = np.where(tot > 0, 2 * tp / np.maximum(tot, 1e-12), 0.0)
-            total += cols[f"f1_{c}"]
-        cols["macro_f1"] = total / len(CLASSES)
+            cols[f"_tp{c}"] = weights @ (true & pred).astype(float)
+            cols[f"_tot{c}"] = weights @ (true.astype(float) + pred)
         parts.append(pd.DataFrame(cols))
     return pd.concat(parts, ignore_index=True)
 
@@ -180,10 +176,29 @@ def _named_members(df: DataFrame, members: Sequence[tuple], member_cols: Sequenc
     )
 
 
-def _f1_schema(df: DataFrame, by: Sequence[str]) -> str:
-    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    f1 = ", ".join(f"f1_{c} double" for c in CLASSES)
-    return f"{keys}, rep int, _i int, {f1}, macro_f1 double"
+def _typed(df: DataFrame, cols: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def part_draws(sizes: DataFrame, by: Sequence[str], B: int, seed: int) -> DataFrame:
+    """(by, _part, draws): how many of the group's draws fall into each part, for B replicates.
+
+    ``sizes`` holds one row (by, _part, k) per part, so a group here is a list of part sizes.
+    """
+    seeded = sizes.withColumn("_seed", ph(composite_key(F.lit(seed), *by, sep=":")))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        k = pdf["k"].to_numpy(dtype=float)
+        n = np.random.default_rng(int(pdf["_seed"].iloc[0])).multinomial(int(k.sum()), k / k.sum(), size=B)
+        return pdf[[*by, "_part"]].assign(draws=list(n.T))
+
+    return seeded.groupBy(*by).applyInPandas(split, f"{_typed(sizes, by)}, _part int, draws array<long>")
+
+
+def _n_parts(rows: DataFrame, per_part: int) -> int:
+    """Enough parts that a task holds about per_part rows; ``rows`` is a written table, so counting is cheap."""
+    return max(1, -(-rows.count() // per_part))
 
 
 def multinomial_f1(
@@ -194,26 +209,41 @@ def multinomial_f1(
     seed: int,
     member_cols: Sequence[str] = MEMBER,
     block: int = 100,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Replicate F1 from multinomial cell counts; one Arrow group per (by, block of replicates)."""
-    codes, n_members = _codes(len(members)), len(members)
-    blocks = cells.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((B - 1) // block))))
-    seeded = blocks.withColumn("_seed", ph(composite_key(F.lit(seed), *by, "_blk", sep=":")))
+    """Replicate F1 from multinomial cell counts.
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    Cells are hashed into parts of bounded size; a draw over parts fixes how many draws each part
+    gets, then every (part, block of replicates) task draws its own cells. Tasks return class
+    totals, which are added up per replicate, so no task needs all cells of a group.
+    """
+    codes, n_members = _codes(len(members)), len(members)
+    n_parts = parts or _n_parts(cells, 50_000)
+    part = F.pmod(ph(composite_key(F.lit(f"p{seed}"), "y", *codes, sep=":")), F.lit(n_parts)).cast("int")
+    parted = cells.withColumn("_part", part)
+    header = part_draws(parted.groupBy(*by, "_part").agg(F.sum("n").alias("k")), by, B, seed)
+    blocks = lambda df: df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((B - 1) // block))))
+    seeded = blocks(header).withColumn("_seed", ph(composite_key(F.lit(seed), *by, "_part", "_blk", sep=":")))
+
+    def draw(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", *codes])
         n = pdf["n"].to_numpy(dtype=float)
-        first = int(pdf["_blk"].iloc[0]) * block
+        first = int(head["_blk"].iloc[0]) * block
         reps = np.arange(first, min(first + block, B))
-        rng = np.random.default_rng(int(pdf["_seed"].iloc[0]))
-        w = rng.multinomial(int(n.sum()), n / n.sum(), size=len(reps)).astype(float)
-        out = _f1_frame(pdf["y"].to_numpy(), _digits(pdf, n_members), w, reps)
+        quota = np.asarray(head["draws"].iloc[0])[reps]
+        w = np.random.default_rng(int(head["_seed"].iloc[0])).multinomial(quota, n / n.sum()).astype(float)
+        out = _tally_frame(pdf["y"].to_numpy(), _digits(pdf, n_members), w, reps)
         for c in by:
-            out[c] = pdf[c].iloc[0]
+            out[c] = head[c].iloc[0]
         return out
 
-    drawn = seeded.groupBy(*by, "_blk").applyInPandas(draw, _f1_schema(cells, by))
-    return _named_members(drawn, members, member_cols)
+    keys = [*by, "_part", "_blk"]
+    sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
+    schema = f"{_typed(cells, by)}, rep int, _i int, " + ", ".join(f"{c} double" for c in sums)
+    tallies = blocks(parted).groupBy(*keys).cogroup(seeded.groupBy(*keys)).applyInPandas(draw, schema)
+    added = tallies.groupBy(*by, "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
+    f1 = added.select(*by, "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()])
+    return _named_members(f1, members, member_cols)
 
 
 def replicate_f1(
@@ -335,30 +365,25 @@ def cluster_weights(cells: DataFrame, cluster: str, members: Sequence[tuple], B:
     return named.join(cells, ["yr", cluster]).groupBy("yr", "rep", "y", *codes).agg(F.sum(F.col("_m") * F.col("n")).alias("w"))
 
 
-def cluster_multinomial_f1(
-    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = 64
+def cluster_multinomial_weights(
+    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int | None = None
 ) -> DataFrame:
-    """Cluster draws at scale: clusters are hashed into parts, a shared seed fixes how many draws
-    each part gets, and every task draws its own clusters. Only (rep, cell) sums leave a task."""
+    """The same weights at scale: clusters are hashed into parts, a draw over parts fixes how many
+    draws each part gets, and every task draws its own clusters. Only (rep, cell) sums leave a task."""
     codes = _codes(len(members))
-    by_cluster = cells.withColumn("_part", F.pmod(ph(F.concat(F.lit(f"{seed}:"), F.col(cluster))), F.lit(parts)).cast("int"))
-    sizes = (
-        by_cluster.select("yr", "_part", cluster).distinct().groupBy("yr", "_part").agg(F.count(F.lit(1)).alias("k"))
-        .groupBy("yr").agg(F.sort_array(F.collect_list(F.struct("_part", "k"))).alias("_s"))
-        .select("yr", F.col("_s._part").alias("_parts"), F.col("_s.k").alias("_sizes"))
-    )
-    rows = by_cluster.join(F.broadcast(sizes), "yr").withColumn("_seed", ph(composite_key(F.lit(seed), "yr", sep=":")))
+    n_parts = parts or max(16, _n_parts(cells, 100_000))
+    by_cluster = cells.withColumn("_part", F.pmod(ph(F.concat(F.lit(f"{seed}:"), F.col(cluster))), F.lit(n_parts)).cast("int"))
+    sizes = by_cluster.select("yr", "_part", cluster).distinct().groupBy("yr", "_part").agg(F.count(F.lit(1)).alias("k"))
+    header = part_draws(sizes, ["yr"], B, seed).withColumn("_seed", ph(composite_key(F.lit(seed), "yr", "_part", sep=":")))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, part = int(pdf["_seed"].iloc[0]), int(pdf["_part"].iloc[0])
-        ids, k = list(pdf["_parts"].iloc[0]), np.asarray(pdf["_sizes"].iloc[0])
-        mine = np.random.default_rng(base).multinomial(k.sum(), k / k.sum(), size=B)[:, ids.index(part)]
+    def draw(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        mine = np.asarray(head["draws"].iloc[0])
         names, cluster_of = np.unique(pdf[cluster].to_numpy().astype(str), return_inverse=True)
         cell_keys, cell_of = np.unique(pdf[["y", *codes]].to_numpy(), axis=0, return_inverse=True)
         order = np.argsort(cell_of.ravel(), kind="stable")
         starts = np.searchsorted(cell_of.ravel()[order], np.arange(len(cell_keys)))
         row_cluster, row_n = cluster_of.ravel()[order], pdf["n"].to_numpy(dtype=float)[order]
-        rng = np.random.default_rng([base, part])
+        rng = np.random.default_rng(int(head["_seed"].iloc[0]))
         step = max(1, 4_000_000 // max(len(row_n), len(names)))
         out = []
         for first in range(0, B, step):
@@ -371,12 +396,11 @@ def cluster_multinomial_f1(
             frame = pd.DataFrame(cell_keys[c], columns=["y", *codes])
             frame["rep"], frame["w"] = r + first, w[r, c]
             out.append(frame)
-        res = pd.concat(out, ignore_index=True)
-        res["yr"] = pdf["yr"].iloc[0]
-        return res[["yr", "rep", "y", *codes, "w"]]
+        return pd.concat(out, ignore_index=True).assign(yr=head["yr"].iloc[0])[["yr", "rep", "y", *codes, "w"]]
 
     schema = "yr int, rep int, y int, " + ", ".join(f"{c} long" for c in codes) + ", w double"
-    drawn = rows.groupBy("yr", "_part").applyInPandas(draw, schema)
+    keys = ["yr", "_part"]
+    drawn = by_cluster.groupBy(*keys).cogroup(header.groupBy(*keys)).applyInPandas(draw, schema)
     return drawn.groupBy("yr", "rep", "y", *codes).agg(F.sum("w").alias("w"))
 
 
@@ -387,7 +411,7 @@ def cluster_bootstrap(
     group = ["model", "train_set"]
     cells = cluster_cells(preds, members, cluster)
     point = slopes(seed_mean(member_f1(cells, members, ["yr"]), [*group, "yr"]), group)
-    make = cluster_multinomial_f1 if draws == "multinomial" else cluster_weights
+    make = cluster_multinomial_weights if draws == "multinomial" else cluster_weights
     args = (cells, cluster, members, B, seed)
     f1 = member_f1(make(*args), members, ["yr", "rep"], "w")
     reps = slopes(seed_mean(f1, [*group, "yr", "rep"]), [*group, "rep"])
