@@ -103,16 +103,26 @@ def member_f1(
     return M.class_f1(flat, [*keys, *member_cols], weight=F.col("_w"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions for work that is heavy per byte: a fixed number is not coalesced for being small."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    """Both sides on the same fixed partitioning, grouped for a joint Arrow function."""
+    n = _tasks(left)
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
+
+
 def hash_draws(totals: DataFrame, by: Sequence[str], B: int, seed: int | str, chunk: int = 1 << 14) -> DataFrame:
     """(by, total, rep, pos): ``total`` positions per group and replicate, spread in chunks of draws."""
     steps = F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / chunk))
-    spark = totals.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     starts = (
         totals.filter("total > 0")
         .select(*by, "total", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rep"))
         .select(*by, "total", "rep", F.explode(steps).alias("_k"))
-        .repartition(tasks, *by, "rep", "_k")
+        .repartition(_tasks(totals), *by, "rep", "_k")
     )
     last = F.least(F.col("total"), (F.col("_k") + 1) * chunk) - 1
     draws = starts.select(*by, "total", "rep", F.explode(F.sequence(F.col("_k") * chunk, last)).alias("_j"))
@@ -240,7 +250,7 @@ def multinomial_f1(
     keys = [*by, "_part", "_blk"]
     sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
     schema = f"{_typed(cells, by)}, rep int, _i int, " + ", ".join(f"{c} double" for c in sums)
-    tallies = blocks(parted).groupBy(*keys).cogroup(seeded.groupBy(*keys)).applyInPandas(draw, schema)
+    tallies = _paired(blocks(parted), seeded, keys).applyInPandas(draw, schema)
     added = tallies.groupBy(*by, "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
     f1 = added.select(*by, "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()])
     return _named_members(f1, members, member_cols)
@@ -400,7 +410,7 @@ def cluster_multinomial_weights(
 
     schema = "yr int, rep int, y int, " + ", ".join(f"{c} long" for c in codes) + ", w double"
     keys = ["yr", "_part"]
-    drawn = by_cluster.groupBy(*keys).cogroup(header.groupBy(*keys)).applyInPandas(draw, schema)
+    drawn = _paired(by_cluster, header, keys).applyInPandas(draw, schema)
     return drawn.groupBy("yr", "rep", "y", *codes).agg(F.sum("w").alias("w"))
 
 
