@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, lattice_lm, mixing, quality_model, quality_rules, sharding, simhash_dedup, token_counts
+from tidemark.llm import byte_bpe, embedding_dedup, lattice_lm, line_dedup, mixing, quality_model, quality_rules, sharding, simhash_dedup, token_counts
 from tidemark.llm.common import WORD_CLASS, table
 from tidemark.session import configure
 
@@ -27,6 +27,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(configure(spark), sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), scan=True)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.regexp_count("text", F.lit(WORD_CLASS + "+")))
@@ -79,8 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_embedding_dedup, op3_mix_sources, op4_quality_model, op5_quality_rules, op6_shard,
-        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup,
+        op1_embedding_dedup, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_quality_rules, op6_shard,
+        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup, pipeline,
     )
 }
 
