@@ -21,7 +21,7 @@ BANDS, ROWS = 12, 4
 BLANK = " \t\n\x0b\x0c\r"
 #: Rows of one band value that one task may get beyond twice the mean of its cell; more are dealt by the line's hash.
 BUCKET_ROWS = 200_000
-CELLS = 1 << 18
+CELLS = 1 << 14
 #: Lines on either side of one comparison of a bucket whose lines are not all like its smallest.
 TILE = 256
 #: Bits of the map of line hashes whose text is wanted: 2 MB, whatever the number of lines.
@@ -221,7 +221,14 @@ def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
 
 
 def _mixed_links(stars: DataFrame, unlike: DataFrame, lines: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links in buckets where some line is unlike the smallest: those lines against all others, tile by tile."""
+    """Links in buckets where some line is unlike the smallest: those lines against all others, tile by tile.
+
+    Two lines that share several bands meet in as many buckets; of buckets with the same lines one is enough, and a bucket
+    of two lines has nothing left to compare.
+    """
+    named = stars.groupBy("bucket").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y"))
+    chosen = named.filter("n > 1").groupBy("rep", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    stars = cut(stars.join(chosen, "bucket", "left_semi"))
     doubtful = stars.join(unlike, ["h", "rep"], "left_semi").select("bucket", "h").distinct()
     sizes = stars.join(doubtful.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
