@@ -14,7 +14,9 @@ from tidemark.operators import sampling as S
 from tidemark.plans.views import Views
 
 MEMBERS, EARLY = list(Views.members), list(Views.early)
-REPS = 20  # replicates of the SQL-checked queries; the multinomial twins use more
+# Replicates, and those of clusters. Hash draws over the whole prediction table, which SQL repeats, cost replicates x items
+# on either side, so these twins draw fewer; the multinomial queries draw all.
+REPS, CLUSTER_REPS, TWIN_REPS = 1000, 500, 200
 RUN4 = "model, train_set, seed, yr"
 
 
@@ -80,7 +82,7 @@ def cell_ctes(members, tag: str = "", where: str = "true", source: str = "preds"
     }
 
 
-def draw_ctes(seed: str, reps: int = REPS) -> dict[str, str]:
+def draw_ctes(seed: str, reps: int = TWIN_REPS) -> dict[str, str]:
     return {
         "ranged": "SELECT *, hi-n AS lo FROM (SELECT *, (sum(n) OVER (PARTITION BY yr ORDER BY y, code))::BIGINT AS hi FROM cells)",
         "totals": "SELECT yr, sum(n)::BIGINT AS total FROM cells GROUP BY yr",
@@ -99,9 +101,9 @@ def f1_ctes(source: str, weight: str, keys: str, name: str) -> dict[str, str]:
     }
 
 
-def boot(members, seed: str, where: str = "true", source: str = "preds") -> dict[str, str]:
+def boot(members, seed: str, where: str = "true", source: str = "preds", reps: int = TWIN_REPS) -> dict[str, str]:
     return {
-        **cell_ctes(members, where=where, source=source), **draw_ctes(seed),
+        **cell_ctes(members, where=where, source=source), **draw_ctes(seed, reps),
         **f1_ctes("cells", "n", "yr", "pt"), **f1_ctes("weighted", "w", "yr, rep", "rp"),
     }
 
@@ -131,8 +133,8 @@ query(
     f"""SELECT yr, model, train_set, seed, {r8("f1, lo, hi")} FROM (SELECT yr, model, train_set, seed, macro_f1 AS f1 FROM pt)
       JOIN (SELECT yr, model, train_set, seed, {Q.format("macro_f1", "lo", "hi")} FROM rp GROUP BY ALL) USING (yr, model, train_set, seed)""",
     boot(EARLY, "42"),
-)(lambda v: rounded(B.bootstrap_macro_f1(v.preds, EARLY, ["yr"], REPS, 42), "f1", "lo", "hi"))
-query("BO1_bootstrap_macro_f1_multinomial")(lambda v: B.bootstrap_macro_f1(v.preds, EARLY, ["yr"], 1000, 42, "multinomial"))
+)(lambda v: rounded(B.bootstrap_macro_f1(v.preds, EARLY, ["yr"], TWIN_REPS, 42, "hash"), "f1", "lo", "hi"))
+query("BO1_bootstrap_macro_f1_multinomial")(lambda v: B.bootstrap_macro_f1(v.preds, EARLY, ["yr"], REPS, 42))
 
 SLOPES = lambda col: {
     "pts": f"SELECT model, train_set, regr_slope(f, yr) AS slope, avg(f) AS level FROM (SELECT model, train_set, yr, avg({col}) AS f FROM pt GROUP BY ALL) GROUP BY ALL",
@@ -141,12 +143,12 @@ SLOPES = lambda col: {
 _SLOPE_SQL = f"""SELECT model, train_set, {r8("slope, lo, hi")} FROM (SELECT model, train_set, slope FROM pts)
   JOIN (SELECT model, train_set, {Q.format("slope", "lo", "hi")} FROM rps GROUP BY ALL) USING (model, train_set)"""
 query("BO2_bootstrap_slope", _SLOPE_SQL, {**boot(EARLY, "11"), **SLOPES("macro_f1")})(
-    lambda v: rounded(B.bootstrap_slope(v.preds, EARLY, REPS, 11), "slope", "lo", "hi")
+    lambda v: rounded(B.bootstrap_slope(v.preds, EARLY, TWIN_REPS, 11, draws="hash"), "slope", "lo", "hi")
 )
 query("BO2_bootstrap_slope_neutral", _SLOPE_SQL, {**boot(EARLY, "11"), **SLOPES("f1_1")})(
-    lambda v: rounded(B.bootstrap_slope(v.preds, EARLY, REPS, 11, "f1_1"), "slope", "lo", "hi")
+    lambda v: rounded(B.bootstrap_slope(v.preds, EARLY, TWIN_REPS, 11, "f1_1", draws="hash"), "slope", "lo", "hi")
 )
-query("BO2_bootstrap_slope_multinomial")(lambda v: B.bootstrap_slope(v.preds, EARLY, 1000, 11, draws="multinomial"))
+query("BO2_bootstrap_slope_multinomial")(lambda v: B.bootstrap_slope(v.preds, EARLY, REPS, 11))
 
 PAIRS = [("big/early", "small/early")]
 
@@ -161,7 +163,7 @@ def diff_sql(a: tuple[str, str], b: tuple[str, str]) -> str:
 
 _DIFFS = ("slope_diff", "level_diff", "slope_lo", "slope_hi", "p_neg", "level_lo", "level_hi")
 query("BO3_paired_slope_diff", diff_sql(("big", "early"), ("small", "early")), {**boot(EARLY, "11"), **SLOPES("macro_f1")})(
-    lambda v: rounded(B.paired_slope_diff(v.preds, EARLY, PAIRS, REPS, 11), *_DIFFS)
+    lambda v: rounded(B.paired_slope_diff(v.preds, EARLY, PAIRS, TWIN_REPS, 11, draws="hash"), *_DIFFS)
 )
 
 
@@ -171,7 +173,7 @@ def cluster_ctes(cluster: str, seed: int) -> dict[str, str]:
         "clusters": f"""SELECT yr, {cluster}, row_number() OVER (PARTITION BY yr ORDER BY ph('{seed}:'||{cluster}), {cluster})-1 AS pos
           FROM (SELECT DISTINCT yr, {cluster} FROM cells)""",
         "draws": f"""SELECT yr, b AS rep, ph('{seed}:{cluster}:'||yr||':'||b||':'||j)%total AS pos, count(*) AS m FROM (SELECT yr, total, b, unnest(range(total)) AS j
-          FROM (SELECT yr, count(*) AS total, unnest(range({REPS})) AS b FROM clusters GROUP BY yr)) GROUP BY ALL""",
+          FROM (SELECT yr, count(*) AS total, unnest(range({CLUSTER_REPS})) AS b FROM clusters GROUP BY yr)) GROUP BY ALL""",
         "weighted": f"SELECT yr, rep, y, code, sum(m*n)::BIGINT AS w FROM draws JOIN clusters USING (yr, pos) JOIN cells USING (yr, {cluster}) GROUP BY ALL",
         **f1_ctes("cells", "n", "yr", "pt"), **f1_ctes("weighted", "w", "yr, rep", "rp"), **SLOPES("macro_f1"),
     }
@@ -179,16 +181,16 @@ def cluster_ctes(cluster: str, seed: int) -> dict[str, str]:
 
 for _c in ("parent_asin", "user_id"):
     query(f"BO4_cluster_bootstrap_{_c}", _SLOPE_SQL, cluster_ctes(_c, 5))(
-        lambda v, c=_c: rounded(B.cluster_bootstrap(v.preds, EARLY, c, REPS, 5)[0], "slope", "lo", "hi")
+        lambda v, c=_c: rounded(B.cluster_bootstrap(v.preds, EARLY, c, CLUSTER_REPS, 5, "hash")[0], "slope", "lo", "hi")
     )
 query(
     "BO4_cluster_pair_diff",
     f"""SELECT 'big/early' AS a, 'small/early' AS b, {r8("lo, hi")} FROM (SELECT {Q.format("s", "lo", "hi")} FROM
       (SELECT a.slope-b.slope AS s FROM rps a JOIN rps b USING (rep) WHERE a.model='big' AND b.model='small'))""",
     cluster_ctes("user_id", 5),
-)(lambda v: rounded(B.cluster_pair_diff(B.cluster_bootstrap(v.preds, EARLY, "user_id", REPS, 5)[1], PAIRS), "lo", "hi"))
+)(lambda v: rounded(B.cluster_pair_diff(B.cluster_bootstrap(v.preds, EARLY, "user_id", CLUSTER_REPS, 5, "hash")[1], PAIRS), "lo", "hi"))
 query("BO4_cluster_bootstrap_multinomial")(
-    lambda v: B.cluster_bootstrap(v.preds, EARLY, "parent_asin", 200, 5, "multinomial")[0]
+    lambda v: B.cluster_bootstrap(v.preds, EARLY, "parent_asin", CLUSTER_REPS, 5)[0]
 )
 
 
@@ -214,10 +216,10 @@ ZS = {
 query(
     "BO5_paired_zero_shot",
     diff_sql(("big", "early"), ("zs", "none")) + " UNION ALL " + diff_sql(("small", "early"), ("zs", "none")),
-    {**ZS, **boot(ZS_MEMBERS, "7", source="zs_preds"), **SLOPES("macro_f1")},
+    {**ZS, **boot(ZS_MEMBERS, "7", source="zs_preds", reps=REPS), **SLOPES("macro_f1")},
 )(
     lambda v: rounded(
-        B.paired_slope_diff(with_zero_shot(v), ZS_MEMBERS, [("big/early", "zs/none"), ("small/early", "zs/none")], REPS, 7), *_DIFFS
+        B.paired_slope_diff(with_zero_shot(v), ZS_MEMBERS, [("big/early", "zs/none"), ("small/early", "zs/none")], REPS, 7, draws="hash"), *_DIFFS
     )
 )
 _UN = "(SELECT *, unnest([{'k':'macro','v':macro_f1},{'k':'0','v':f1_0},{'k':'1','v':f1_1},{'k':'2','v':f1_2}]) AS u FROM %s)"
@@ -235,7 +237,7 @@ query(
     {**boot(GAIN_MEMBERS, "77", "yr IN (2000,2001)"), **GAINS},
 )(
     lambda v: rounded(
-        B.retraining_gain(v.preds, ["big", "small"], [42, 43, 44], [2000, 2001], REPS, 77), "old", "new", "gain", "lo", "hi"
+        B.retraining_gain(v.preds, ["big", "small"], [42, 43, 44], [2000, 2001], TWIN_REPS, 77, draws="hash"), "old", "new", "gain", "lo", "hi"
     )
 )
 CONTRASTS = {"size": ("big/early", "small/early"), "small_new_vs_big_old": ("small/recent", "big/early")}
@@ -252,7 +254,14 @@ query(
         "cp": "SELECT model||'/'||train_set AS who, avg(macro_f1) AS f FROM pt GROUP BY ALL",
         "cr": "SELECT model||'/'||train_set AS who, rep, avg(macro_f1) AS f FROM rp GROUP BY ALL",
     },
-)(lambda v: rounded(B.gain_contrast(v.preds, CONTRASTS, MEMBERS, [2000, 2001], REPS, 77), "diff", "lo", "hi"))
+)(lambda v: rounded(B.gain_contrast(v.preds, CONTRASTS, MEMBERS, [2000, 2001], TWIN_REPS, 77, draws="hash"), "diff", "lo", "hi"))
+
+query("BO3_paired_slope_diff_multinomial")(lambda v: B.paired_slope_diff(v.preds, EARLY, PAIRS, REPS, 11))
+query("BO5_paired_zero_shot_multinomial")(
+    lambda v: B.paired_slope_diff(with_zero_shot(v), ZS_MEMBERS, [("big/early", "zs/none"), ("small/early", "zs/none")], REPS, 7)
+)
+query("BO6_retraining_gain_multinomial")(lambda v: B.retraining_gain(v.preds, ["big", "small"], [42, 43, 44], [2000, 2001], REPS, 77))
+query("DR11_figure_series_multinomial")(lambda v: D.figure_series(v.preds, EARLY, REPS, 11))
 
 # ---- drift ----------------------------------------------------------------------------------------
 
@@ -322,7 +331,7 @@ query(
       JOIN (SELECT yr, model, train_set, {Q.format("f", "lo", "hi")} FROM (SELECT yr, model, train_set, rep, avg(macro_f1) AS f FROM rp GROUP BY ALL) GROUP BY ALL)
       USING (yr, model, train_set)""",
     boot(EARLY, "11"),
-)(lambda v: rounded(D.figure_series(v.preds, EARLY, REPS, 11), "macro", "lo", "hi", "neu"))
+)(lambda v: rounded(D.figure_series(v.preds, EARLY, TWIN_REPS, 11, "hash"), "macro", "lo", "hi", "neu"))
 query(
     "DR11_zero_shot_series",
     f"""SELECT model, train_set, yr, {r8("macro_f1")} FROM (SELECT model, train_set, yr, avg(macro_f1) AS macro_f1 FROM ({tally(RUN4, "zs_preds")}) GROUP BY ALL)""",

@@ -215,7 +215,7 @@ def ss_sql(keys: str, source: str, w: str) -> str:
 query("DR8_shift_share", f"SELECT {', '.join(f'round({t},8) AS {t}' for t in _TERMS.split(', '))} FROM ({ss_sql('', 'period_items', '1')})")(
     lambda v: rounded(D.shift_share(period_items(v)), *_TERMS.split(", "))
 )
-_REPS = 50
+_REPS = 1000
 _LONG = "unnest([{t: 'r_early', v: r_early}, {t: 'r_late', v: r_late}, {t: 'total', v: total}, {t: 'composition', v: composition}, {t: 'within', v: within}, {t: 'interaction', v: interaction}])"
 query(
     "BO7_shift_share_bootstrap",
@@ -228,7 +228,8 @@ query(
           (SELECT period, sum(n)::BIGINT AS total, unnest(range({_REPS})) AS b FROM sc GROUP BY period))""",
         "sw": "SELECT d.period, d.b AS rep, r.label, r.share_neu, count(*) AS w FROM sd d ASOF JOIN sr r ON d.period=r.period AND d.pos>=r.lo GROUP BY ALL",
     },
-)(lambda v: rounded(D.shift_share_bootstrap(period_items(v), _REPS, 11), "estimate", "lo", "hi"))
+)(lambda v: rounded(D.shift_share_bootstrap(period_items(v), _REPS, 11, draws="hash"), "estimate", "lo", "hi"))
+query("BO7_shift_share_bootstrap_multinomial")(lambda v: D.shift_share_bootstrap(period_items(v), _REPS, 11))
 query(
     "DR10_pred_dist_given_text",
     """SELECT period, count(*) n, round(avg(share_neg),8) AS share_neg, round(avg(share_neu),8) AS share_neu, round(avg(share_pos),8) AS share_pos

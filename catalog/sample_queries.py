@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.profile_queries import NONUNIQUE
 from catalog.registry import query, rounded
 from catalog.sqlviews import LOOSE
 from tidemark.functions import keys as K
@@ -86,9 +87,12 @@ query(
 )(lambda v: J.recover_timestamp(J.semi(v.pool, tests(v), "item_id"), v.reviews))
 query(
     "JN10_candidate_rows",
-    """SELECT i.item_id, r.asin, r.ts, r.rating FROM (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id, parent_asin, text_hash) AS n_key FROM pool)
-      WHERE n_key>1 AND item_id IN (SELECT item_id FROM samples)) i JOIN reviews r
-      ON r.user_id=i.user_id AND r.parent_asin=i.parent_asin AND r.text_hash=i.text_hash WHERE r.rating BETWEEN 1 AND 5""",
+    "SELECT nu.item_id, c.asin, c.ts, c.rating FROM nu JOIN c USING (user_id, parent_asin, text_hash)",
+    {
+        "nu": NONUNIQUE,
+        "c": """SELECT user_id, parent_asin, text_hash, asin, ts, rating FROM reviews WHERE rating>=1 AND rating<=5
+          AND text_hash IN (SELECT text_hash FROM nu)""",
+    },
 )(lambda v: J.candidate_rows(D.nonunique_items(v.pool, v.samples), v.reviews))
 query(
     "JN11_chained_using",

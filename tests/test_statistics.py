@@ -103,7 +103,7 @@ def test_incomplete_runs_are_refused(views):
 
 
 def test_hash_and_multinomial_draws_agree(views):
-    a = {r.model: r for r in B.bootstrap_slope(views.preds, EARLY, 150, 1).collect()}
+    a = {r.model: r for r in B.bootstrap_slope(views.preds, EARLY, 150, 1, draws="hash").collect()}
     b = {r.model: r for r in B.bootstrap_slope(views.preds, EARLY, 150, 1, draws="multinomial").collect()}
     for m in a:
         assert a[m].slope == pytest.approx(b[m].slope)
@@ -126,7 +126,7 @@ def test_split_draws_follow_the_same_law(views):
 
 
 def test_cluster_draws_agree(views):
-    a = {r.model: r for r in B.cluster_bootstrap(views.preds, EARLY, "parent_asin", 100, 2)[0].collect()}
+    a = {r.model: r for r in B.cluster_bootstrap(views.preds, EARLY, "parent_asin", 100, 2, "hash")[0].collect()}
     b = {r.model: r for r in B.cluster_bootstrap(views.preds, EARLY, "parent_asin", 100, 2, "multinomial")[0].collect()}
     for m in a:
         width = a[m].hi - a[m].lo
@@ -266,3 +266,92 @@ def test_classifier_beats_majority(views):
     assert ours > base + 0.2
     r = scored.first()
     assert r.p_neg + r.p_neu + r.p_pos == pytest.approx(1.0)
+
+
+def _bad_preds(spark, rows):
+    return spark.createDataFrame(rows, "model string, train_set string, seed int, item_id string, yr int, y int, pred int")
+
+
+def test_alignment_refuses_bad_input(spark):
+    members = [("m", "t", 1), ("m", "t", 2)]
+    row = lambda item, seed, pred, y=1: ("m", "t", seed, item, 2000, y, pred)
+    rows = [row("good", 1, 1), row("good", 2, 0)]
+    rows += [row("doubled", 1, 1), row("doubled", 1, 1)] + [row("missing", 1, 1)]
+    rows += [row("null", 1, 1), row("null", 2, None)] + [row("foreign", 1, 1), row("foreign", 2, 7)]
+    rows += [row("disagrees", 1, 1, 1), row("disagrees", 2, 1, 2)] + [row("no class", 1, 1, None), row("no class", 2, 1, None)]
+    rows += [row("thrice", 1, 1), row("thrice", 2, 1), row("thrice", 2, 1)]
+    got = {r.item_id: r.complete for r in B.align_predictions(_bad_preds(spark, rows), members, ["yr"]).collect()}
+    assert got == {k: k == "good" for k in got} and len(got) == 8
+
+
+def test_alignment_of_many_runs(spark):
+    members = [("m", "t", i) for i in range(45)]
+    rows = [("m", "t", i, "all", 2000, 1, i % 3) for i in range(45)] + [("m", "t", min(i, 43), "last missing", 2000, 1, 0) for i in range(45)]
+    got = {r.item_id: r.complete for r in B.align_predictions(_bad_preds(spark, rows), members, ["yr"]).collect()}
+    assert got == {"all": True, "last missing": False}
+
+
+def test_multinomial_weights_have_the_right_law(spark):
+    import numpy as np
+
+    cells = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 20, 75])] + [("b", 0, 9)], "g string, c int, n long")
+    got = B.multinomial_weights(cells, ["g"], ["c"], 4000, 3).toPandas()
+    assert (got.groupby(["g", "rep"]).w.sum().unstack(0) == [100, 9]).all().all()
+    a = got[got.g == "a"].pivot(index="rep", columns="c", values="w").fillna(0).to_numpy()
+    p = np.array([0.05, 0.2, 0.75])
+    assert np.abs(a.mean(axis=0) - 100 * p).max() < 0.4 and np.abs(a.var(axis=0) / (100 * p * (1 - p)) - 1).max() < 0.12
+    again = B.multinomial_weights(cells.repartition(3), ["g"], ["c"], 4000, 3).toPandas()
+    assert sorted(map(tuple, again.to_numpy())) == sorted(map(tuple, got.to_numpy()))
+
+
+def test_drift_without_anything_to_divide_by(spark):
+    from tidemark.operators import drift as D
+
+    flat = spark.createDataFrame([("m", "t", 2000, 0.0), ("m", "t", 2001, 0.5)], "model string, train_set string, yr int, macro_f1 double")
+    assert D.yearly_slope(flat, ["model"]).first().rel_slope is None
+    months = spark.createDataFrame([(2000, 11, 1), (2001, 3, 0)], "yr int, month int, y int")
+    got = {r.yr: (r.kept_share, r.neg) for r in D.month_mix(months).collect()}
+    assert got == {2000: (0.0, None), 2001: (1.0, 1.0)}
+    same = [("m", t, y, 0.5) for t in ("early", "recent") for y in (2000, 2001)]
+    assert D.recovery_share(spark.createDataFrame(same, flat.schema), 2000, [2001]).first().recovered is None
+    early = spark.createDataFrame([("early", "A", 1.0)], "period string, label string, share_neu double")
+    assert D.shift_share(early).first().r_late is None
+
+
+def test_leakage_of_an_empty_test_side(spark):
+    from tidemark.operators import leakage as LK
+
+    rows = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert LK.seen_in_train(rows, F.lit(True), "key").first().leak_pct is None
+    got = LK.leakage_matrix(rows, {"all": F.lit(True)}, ["key"]).first()
+    assert (got.n_test, got.leak_pct) == (0, None)
+
+
+def _rated(spark, rows):
+    return spark.createDataFrame(rows, "item_id int, rater string, label string")
+
+
+def test_agreement_without_chance_or_raters(spark):
+    import pytest
+    from tidemark.operators import raters as R
+
+    same = _rated(spark, [(i, r, "POSITIVE") for i in range(3) for r in "ab"])
+    assert R.cohen_kappa(same, ["a", "b"]).first().kappa is None
+    assert R.fleiss_kappa(same).first().kappa is None
+    assert R.fleiss_kappa(_rated(spark, [(1, "a", "POSITIVE"), (2, "a", "NEGATIVE")])).first().kappa is None
+    with pytest.raises(Exception, match="different numbers"):
+        R.fleiss_kappa(_rated(spark, [(1, "a", "POSITIVE"), (2, "a", "MIXED"), (2, "b", "MIXED")])).collect()
+    with pytest.raises(Exception, match="unknown label"):
+        R.majority_vote(_rated(spark, [(1, r, "odd") for r in "abc"])).collect()
+
+
+def test_regressions_without_error_or_cells(spark):
+    from tidemark.operators import stats as ST
+
+    line = spark.createDataFrame([("two", 1, 1.0), ("two", 2, 3.0), ("flat", 1, 2.0), ("flat", 2, 2.0), ("flat", 3, 2.0)], "g string, x int, y double")
+    got = {r.g: r for r in ST.linear_trend_p(line, ["g"], "x", "y").collect()}
+    assert got["two"].slope == 2.0 and got["two"].se is None and got["two"].p is None
+    assert got["flat"].slope == 0.0 and got["flat"].t is None
+    empty = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "y int, x int")
+    r = ST.binary_logit(empty, "y", "x").first()
+    assert r.b is None and r.share_1 == 1.0 and r.share_0 == 0.5

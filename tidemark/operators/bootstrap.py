@@ -4,9 +4,9 @@ F1 depends on an item only through its true class and the class each run predict
 with the same pattern are counted into one cell and replicates are drawn over cells. All runs
 share a cell, hence share draws: differences between runs are paired without extra work.
 
-Two ways to draw. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n
-light rows, repeatable in any engine. ``multinomial`` draws cell counts inside Arrow tasks: B x
-cells numbers whatever n is, the way to go for large tables. Both follow the same law.
+Two ways to draw. ``multinomial``, the default, draws cell counts inside Arrow tasks: B x cells numbers
+whatever the number of items is. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n
+light rows, repeatable in any engine, the twin that SQL can check. Both follow the same law.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tidemark.functions.keys import composite_key, ph
 from tidemark.functions.labels import CLASSES
 from tidemark.operators import metrics as M
 from tidemark.operators.sampling import dense_index
-from tidemark.session import cut
+from tidemark.session import broadcast_checked, cut
 
 MEMBER = ("model", "train_set", "seed")
 DIGITS = 39  # class digits of base 3 that fit a signed 64-bit integer
@@ -41,7 +41,8 @@ def align_predictions(
 ) -> DataFrame:
     """One row per item: true class, run count, and all runs' classes as base-3 digits.
 
-    ``complete`` tells whether every run covers the item and agrees on its class.
+    ``complete``: every run has exactly one row for the item, with a class from 0 to 2, and all agree on its true class.
+    A doubled, missing or null prediction makes it false.
     """
     index = {"|".join(str(v) for v in m): i for i, m in enumerate(members)}
     table = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
@@ -52,15 +53,23 @@ def align_predictions(
         F.sum(F.when(F.floor(F.col("_i") / DIGITS) == k, digit).otherwise(F.lit(0).cast("long"))).alias(name)
         for k, name in enumerate(_codes(len(members)))
     ]
+    bit = F.array(*[F.lit(1 << d).cast("long") for d in range(DIGITS)])[F.col("_i") % DIGITS]
+    seen = [F.bit_or(F.when(F.floor(F.col("_i") / DIGITS) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"_seen{k}") for k in range(len(codes))]
+    wanted = [(1 << min(DIGITS, len(members) - k * DIGITS)) - 1 for k in range(len(codes))]
+    known = lambda c: F.coalesce(F.col(c).isin(*CLASSES), F.lit(False))
     out = rows.groupBy(*by, "item_id").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.min("y").alias("y"),
         F.max("y").alias("_ymax"),
+        F.bool_and(known("pred") & known("y")).alias("_known"),
+        *seen,
         *codes,
         *[F.min(c).alias(c) for c in carry],
     )
-    whole = (F.col("n_runs") == len(members)) & (F.col("y") == F.col("_ymax"))
-    return out.withColumn("complete", whole).drop("_ymax")
+    whole = (F.col("n_runs") == len(members)) & F.col("_known") & (F.col("y") == F.col("_ymax"))
+    for k, mask in enumerate(wanted):
+        whole &= F.col(f"_seen{k}") == mask
+    return out.withColumn("complete", F.coalesce(whole, F.lit(False))).drop("_ymax", "_known", *[f"_seen{k}" for k in range(len(codes))])
 
 
 def joint_cells(
@@ -135,8 +144,8 @@ def draw_cells(
 ) -> DataFrame:
     """Replicate weights (by, order, rep, w) by hash draws.
 
-    A draw finds its cell by an equality join on position slots plus a range test, so the cost is
-    one lookup per draw however many cells there are.
+    A draw finds its cell by an equality join on position slots plus a range test over the cells of a slot, about
+    cells / ``slots``. This is the twin that SQL can check; large tables use the multinomial draws.
     """
     running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
@@ -156,7 +165,8 @@ def draw_cells(
         .withColumn("_slot", slot_of(F.col("pos")))
         .select(*by, "rep", "pos", "_slot")
     )
-    hit = draws.join(ranges, [*by, "_slot"]).filter("pos >= _lo AND pos < _hi")
+    # The planner can't know how many rows the draws explode into: they must never be the broadcast side.
+    hit = draws.hint("merge").join(broadcast_checked(ranges), [*by, "_slot"]).filter("pos >= _lo AND pos < _hi")
     return hit.groupBy(*by, *order, "rep").agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -206,9 +216,26 @@ def part_draws(sizes: DataFrame, by: Sequence[str], B: int, seed: int) -> DataFr
     return seeded.groupBy(*by).applyInPandas(split, f"{_typed(sizes, by)}, _part int, draws array<long>")
 
 
-def _n_parts(rows: DataFrame, per_part: int) -> int:
-    """Enough parts that a task holds about per_part rows; ``rows`` is a written table, so counting is cheap."""
-    return max(1, -(-rows.count() // per_part))
+#: Parts that cells or clusters of a group are hashed into; the same at every size, so replicates don't depend on it.
+PARTS = 64
+
+
+def multinomial_weights(cells: DataFrame, by: Sequence[str], order: Sequence[str], B: int, seed: int, parts: int = PARTS, block: int = 100) -> DataFrame:
+    """Replicate weights (by, order, rep, w) by multinomial draws over cells (by, order, n); weights of 0 are left out."""
+    parted = cells.withColumn("_part", F.pmod(ph(composite_key(F.lit(f"p{seed}"), *order, sep=":")), F.lit(parts)).cast("int"))
+    header = part_draws(parted.groupBy(*by, "_part").agg(F.sum("n").alias("k")), by, B, seed)
+    seeded = header.withColumn("_seed", ph(composite_key(F.lit(seed), *by, "_part", sep=":")))
+
+    def draw(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order)).reset_index(drop=True)
+        n = pdf["n"].to_numpy(dtype=float)
+        quota, rng, out = np.asarray(head["draws"].iloc[0]), np.random.default_rng(int(head["_seed"].iloc[0])), []
+        for first in range(0, B, block):
+            rep, cell = np.nonzero(w := rng.multinomial(quota[first : first + block], n / n.sum()))
+            out.append(pdf.loc[cell, [*by, *order]].assign(rep=rep + first, w=w[rep, cell]))
+        return pd.concat(out, ignore_index=True)
+
+    return _paired(parted, seeded, [*by, "_part"]).applyInPandas(draw, f"{_typed(cells, [*by, *order])}, rep int, w long")
 
 
 def multinomial_f1(
@@ -219,38 +246,35 @@ def multinomial_f1(
     seed: int,
     member_cols: Sequence[str] = MEMBER,
     block: int = 100,
-    parts: int | None = None,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Replicate F1 from multinomial cell counts.
 
-    Cells are hashed into parts of bounded size; a draw over parts fixes how many draws each part
-    gets, then every (part, block of replicates) task draws its own cells. Tasks return class
-    totals, which are added up per replicate, so no task needs all cells of a group.
+    Cells are hashed into a fixed number of parts; a draw over parts fixes how many draws each part gets, then
+    every part draws its own cells, a block of replicates at a time. Parts return class totals, which are added
+    up per replicate, so no task needs all cells of a group. Raise ``parts`` for more than some millions of cells
+    a group; it is a parameter of the result, like the seed.
     """
     codes, n_members = _codes(len(members)), len(members)
-    n_parts = parts or _n_parts(cells, 50_000)
-    part = F.pmod(ph(composite_key(F.lit(f"p{seed}"), "y", *codes, sep=":")), F.lit(n_parts)).cast("int")
+    part = F.pmod(ph(composite_key(F.lit(f"p{seed}"), "y", *codes, sep=":")), F.lit(parts)).cast("int")
     parted = cells.withColumn("_part", part)
     header = part_draws(parted.groupBy(*by, "_part").agg(F.sum("n").alias("k")), by, B, seed)
-    blocks = lambda df: df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((B - 1) // block))))
-    seeded = blocks(header).withColumn("_seed", ph(composite_key(F.lit(seed), *by, "_part", "_blk", sep=":")))
+    seeded = header.withColumn("_seed", ph(composite_key(F.lit(seed), *by, "_part", sep=":")))
 
     def draw(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", *codes])
         n = pdf["n"].to_numpy(dtype=float)
-        first = int(head["_blk"].iloc[0]) * block
-        reps = np.arange(first, min(first + block, B))
-        quota = np.asarray(head["draws"].iloc[0])[reps]
-        w = np.random.default_rng(int(head["_seed"].iloc[0])).multinomial(quota, n / n.sum()).astype(float)
-        out = _tally_frame(pdf["y"].to_numpy(), _digits(pdf, n_members), w, reps)
-        for c in by:
-            out[c] = head[c].iloc[0]
-        return out
-
-    keys = [*by, "_part", "_blk"]
+        quota, rng, out = np.asarray(head["draws"].iloc[0]), np.random.default_rng(int(head["_seed"].iloc[0])), []
+        for first in range(0, B, block):
+            reps = np.arange(first, min(first + block, B))
+            w = rng.multinomial(quota[reps], n / n.sum()).astype(float)
+            out.append(_tally_frame(pdf["y"].to_numpy(), _digits(pdf, n_members), w, reps))
+        found = pd.concat(out, ignore_index=True)
+        return found.assign(**{c: head[c].iloc[0] for c in by})
+
     sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
     schema = f"{_typed(cells, by)}, rep int, _i int, " + ", ".join(f"{c} double" for c in sums)
-    tallies = _paired(blocks(parted), seeded, keys).applyInPandas(draw, schema)
+    tallies = _paired(parted, seeded, [*by, "_part"]).applyInPandas(draw, schema)
     added = tallies.groupBy(*by, "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
     f1 = added.select(*by, "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()])
     return _named_members(f1, members, member_cols)
@@ -262,7 +286,7 @@ def replicate_f1(
     by: Sequence[str],
     B: int,
     seed: int,
-    draws: str = "hash",
+    draws: str = "multinomial",
     member_cols: Sequence[str] = MEMBER,
 ) -> DataFrame:
     """(by, rep, run, f1_*, macro_f1) for B replicates."""
@@ -280,7 +304,7 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, lo: str = "lo", hi:
 
 
 def bootstrap_macro_f1(
-    preds: DataFrame, members: Sequence[tuple], by: Sequence[str], B: int, seed: int, draws: str = "hash"
+    preds: DataFrame, members: Sequence[tuple], by: Sequence[str], B: int, seed: int, draws: str = "multinomial"
 ) -> DataFrame:
     """Point value and interval of macro F1 per (by, run)."""
     cells = joint_cells(preds, members, by)
@@ -307,7 +331,7 @@ def _point_and_reps(
 
 
 def bootstrap_slope(
-    preds: DataFrame, members: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "hash"
+    preds: DataFrame, members: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "multinomial"
 ) -> DataFrame:
     """Yearly slope per (model, train_set) with interval; seeds are averaged inside a replicate."""
     group = ["model", "train_set"]
@@ -352,7 +376,7 @@ def _diff_summary(point: DataFrame, reps: DataFrame, pairs: Sequence[tuple]) ->
 
 
 def paired_slope_diff(
-    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "hash"
+    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "multinomial"
 ) -> DataFrame:
     """Slope and level differences under shared draws. Pairs name runs as 'model/train_set'."""
     point, reps = _point_and_reps(preds, members, B, seed, value, draws, ["model", "train_set"])
@@ -376,13 +400,12 @@ def cluster_weights(cells: DataFrame, cluster: str, members: Sequence[tuple], B:
 
 
 def cluster_multinomial_weights(
-    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int | None = None
+    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = PARTS
 ) -> DataFrame:
     """The same weights at scale: clusters are hashed into parts, a draw over parts fixes how many
     draws each part gets, and every task draws its own clusters. Only (rep, cell) sums leave a task."""
     codes = _codes(len(members))
-    n_parts = parts or max(16, _n_parts(cells, 100_000))
-    by_cluster = cells.withColumn("_part", F.pmod(ph(F.concat(F.lit(f"{seed}:"), F.col(cluster))), F.lit(n_parts)).cast("int"))
+    by_cluster = cells.withColumn("_part", F.pmod(ph(F.concat(F.lit(f"{seed}:"), F.col(cluster))), F.lit(parts)).cast("int"))
     sizes = by_cluster.select("yr", "_part", cluster).distinct().groupBy("yr", "_part").agg(F.count(F.lit(1)).alias("k"))
     header = part_draws(sizes, ["yr"], B, seed).withColumn("_seed", ph(composite_key(F.lit(seed), "yr", "_part", sep=":")))
 
@@ -415,7 +438,7 @@ def cluster_multinomial_weights(
 
 
 def cluster_bootstrap(
-    preds: DataFrame, members: Sequence[tuple], cluster: str, B: int, seed: int, draws: str = "hash"
+    preds: DataFrame, members: Sequence[tuple], cluster: str, B: int, seed: int, draws: str = "multinomial"
 ) -> tuple[DataFrame, DataFrame]:
     """(slopes with interval, per-replicate slopes) under resampling of products or users."""
     group = ["model", "train_set"]
@@ -434,7 +457,7 @@ def cluster_pair_diff(reps: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
 
 def retraining_gain(
     preds: DataFrame, models: Sequence[str], seeds: Sequence[int], years: Sequence[int], B: int, seed: int,
-    old: str = "early", new: str = "recent", draws: str = "hash",
+    old: str = "early", new: str = "recent", draws: str = "multinomial",
 ) -> DataFrame:
     """(model, cls, old, new, gain, lo, hi): F1 averaged over seeds and years, gain of the newer training set."""
     members = [(m, t, s) for m in models for t in (old, new) for s in seeds]
@@ -456,7 +479,7 @@ def retraining_gain(
 
 def gain_contrast(
     preds: DataFrame, contrasts: dict[str, tuple[str, str]], members: Sequence[tuple], years: Sequence[int], B: int, seed: int,
-    draws: str = "hash",
+    draws: str = "multinomial",
 ) -> DataFrame:
     """(contrast, diff, lo, hi): macro F1 of run a minus run b, e.g. a retrained small model against an old big one."""
     cells = joint_cells(preds.filter(F.col("yr").isin(*years)), members, ["yr"])

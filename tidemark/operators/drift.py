@@ -14,11 +14,11 @@ from tidemark.session import cut
 
 
 def yearly_slope(metrics: DataFrame, keys: Sequence[str], value: str = "macro_f1", year: str = "yr") -> DataFrame:
-    """Least-squares slope per year, and the slope relative to the first year's value."""
+    """Least-squares slope per year, and the slope relative to the first year's value (null if that is 0)."""
     out = metrics.groupBy(*keys).agg(
         F.regr_slope(value, F.col(year).cast("double")).alias("slope"), F.min_by(value, year).alias("first")
     )
-    return out.select(*keys, "slope", (F.col("slope") / F.col("first")).alias("rel_slope"))
+    return out.select(*keys, "slope", F.try_divide("slope", "first").alias("rel_slope"))
 
 
 def seed_averaged(metrics: DataFrame, keys: Sequence[str], value: str = "macro_f1") -> DataFrame:
@@ -52,9 +52,9 @@ def binary_task(preds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def month_mix(items: DataFrame, last_month: int = 9) -> DataFrame:
-    """Share of a year's items up to a month and the label mix of those items."""
+    """Share of a year's items up to a month and the label mix of those items (null in a year without any)."""
     kept = F.col("month") <= last_month
-    share = lambda c: (F.count_if(kept & (F.col("y") == c)) / F.count_if(kept))
+    share = lambda c: F.try_divide(F.count_if(kept & (F.col("y") == c)), F.count_if(kept))
     return items.groupBy("yr").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(kept.cast("double")).alias("kept_share"),
@@ -87,11 +87,12 @@ def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
 def mix_reweighted_f1(preds: DataFrame, items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(model, train_set, yr, raw, reweighted): macro F1 with every year given the reference year's category mix.
 
-    Predictions are counted per (run, year, category, y, pred) first; weights join those counts.
+    Predictions are counted per (run, year, category, y, pred) first; weights join those counts. A year and category
+    that ``items`` does not have has no weight: its predictions count in ``raw`` and not in ``reweighted``.
     """
     keys = ["model", "train_set", "seed", "yr"]
     cells = count_by_category(preds, [*keys, "y", "pred"], meta)
-    weighted = cells.join(mix_weights(items, meta, ref_year), ["yr", "cat_l1"])
+    weighted = cells.join(mix_weights(items, meta, ref_year), ["yr", "cat_l1"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     both = M.macro_f1_variants(weighted, keys, {"raw": F.col("n"), "reweighted": F.col("n") * F.col("w")})
     return both.groupBy("model", "train_set", "yr").agg(F.avg("raw").alias("raw"), F.avg("reweighted").alias("reweighted"))
 
@@ -106,7 +107,7 @@ def mix_reweighted_slopes(per_year: DataFrame) -> DataFrame:
 def recovery_share(
     metrics: DataFrame, base_year: int, years: Sequence[int], old: str = "early", new: str = "recent", value: str = "macro_f1"
 ) -> DataFrame:
-    """Loss of the old training set since the base year and the share the new one wins back."""
+    """Loss of the old training set since the base year and the share the new one wins back (null without a loss)."""
     is_old, is_new = F.col("train_set") == old, F.col("train_set") == new
     late = F.col("yr").isin(*years)
     per_year = seed_averaged(metrics, ["model", "train_set", "yr"], value)
@@ -116,7 +117,7 @@ def recovery_share(
         F.avg(F.when(is_new & late, F.col(value))).alias("new_late"),
     )
     loss = F.col("old_late") - F.col("old_base")
-    return at.select("*", loss.alias("loss"), ((F.col("new_late") - F.col("old_late")) / -loss).alias("recovered"))
+    return at.select("*", loss.alias("loss"), F.try_divide(F.col("new_late") - F.col("old_late"), -loss).alias("recovered"))
 
 
 def seed_vote_share(preds: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
@@ -143,7 +144,7 @@ def shift_share(items: DataFrame, group: str = "label", value: str = "share_neu"
         ]
     )
     part = Window.partitionBy(*(keys or [F.lit(0)]))
-    share = lambda p: F.col(f"_n{p}") / F.sum(f"_n{p}").over(part)
+    share = lambda p: F.try_divide(F.col(f"_n{p}"), F.sum(f"_n{p}").over(part))
     rate = lambda p: F.when(F.col(f"_n{p}") > 0, F.col(f"_s{p}") / F.col(f"_n{p}")).otherwise(0.0)
     rated = cells.select(
         *keys, share("early").alias("we"), share("late").alias("wl"), rate("early").alias("re"), rate("late").alias("rl")
@@ -159,12 +160,15 @@ def shift_share(items: DataFrame, group: str = "label", value: str = "share_neu"
     )
 
 
-def shift_share_bootstrap(items: DataFrame, B: int, seed: int, group: str = "label", value: str = "share_neu") -> DataFrame:
+def shift_share_bootstrap(
+    items: DataFrame, B: int, seed: int, group: str = "label", value: str = "share_neu", draws: str = "multinomial"
+) -> DataFrame:
     """(term, estimate, lo, hi): items resampled within each period, drawn over cells of equal rows."""
-    from tidemark.operators.bootstrap import draw_cells
+    from tidemark.operators.bootstrap import draw_cells, multinomial_weights
 
     cells = cut(items.groupBy("period", group, value).agg(F.count(F.lit(1)).alias("n")))
-    reps = shift_share(draw_cells(cells, ["period"], [group, value], B, seed), group, value, ["rep"], F.col("w"))
+    draw = multinomial_weights if draws == "multinomial" else draw_cells
+    reps = shift_share(draw(cells, ["period"], [group, value], B, seed), group, value, ["rep"], F.col("w"))
     point = shift_share(cells, group, value, [], F.col("n"))
 
     def long(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,7 +189,7 @@ def pred_dist_given_text(items: DataFrame, label: str, group: str = "label") ->
     )
 
 
-def figure_series(preds: DataFrame, members: Sequence[tuple], B: int, seed: int, draws: str = "hash") -> DataFrame:
+def figure_series(preds: DataFrame, members: Sequence[tuple], B: int, seed: int, draws: str = "multinomial") -> DataFrame:
     """(yr, model, train_set, macro, lo, hi, neu): seed means with bootstrap bands, from one set of replicates."""
     from tidemark.operators import bootstrap as bs
 

@@ -16,11 +16,11 @@ from tidemark.functions.keys import composite_key, in_tenths
 
 
 def seen_in_train(df: DataFrame, is_train: Column, key: str) -> DataFrame:
-    """One row: test rows, test rows whose key occurs in train, percent."""
+    """One row: test rows, test rows whose key occurs in train, percent (null without test rows)."""
     per_key = df.groupBy(key).agg(F.count_if(is_train).alias("_tr"), F.count_if(~is_train).alias("_te"))
     seen = F.when(F.col("_tr") > 0, F.col("_te")).otherwise(0)
     out = per_key.agg(F.sum("_te").alias("n_test"), F.sum(seen).alias("n_leak"))
-    return out.withColumn("leak_pct", F.lit(100.0) * F.col("n_leak") / F.col("n_test"))
+    return out.withColumn("leak_pct", F.try_divide(F.lit(100.0) * F.col("n_leak"), F.col("n_test")))
 
 
 def leakage_matrix(keys: DataFrame, splits: Mapping[str, Column], matches: Sequence[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def leakage_matrix(keys: DataFrame, splits: Mapping[str, Column], matches: Seque
         ).alias("s"),
     )
     return long.select(
-        "s.split", "match", "s.n_test", "s.n_leak", (F.lit(100.0) * F.col("s.n_leak") / F.col("s.n_test")).alias("leak_pct")
+        "s.split", "match", "s.n_test", "s.n_leak", F.try_divide(F.lit(100.0) * F.col("s.n_leak"), F.col("s.n_test")).alias("leak_pct")
     )
 
 

@@ -18,14 +18,17 @@ ALL_LABELS = (*LABELS, NO_MAJORITY)
 
 
 def kappa_columns(la: Column, lb: Column, n: Column, labels: Sequence[str] = ALL_LABELS) -> dict[str, Column]:
-    """n, observed agreement and chance-corrected agreement of two label columns weighted by n."""
+    """n, observed agreement and chance-corrected agreement of two label columns weighted by n.
+
+    The latter is null if chance alone would agree always, as when all labels are the same one.
+    """
     total = F.sum(n)
     po = F.sum(F.when(la == lb, n).otherwise(0)) / total
     pe = None
     for lab in labels:
         term = F.sum(F.when(la == lab, n).otherwise(0)) / total * (F.sum(F.when(lb == lab, n).otherwise(0)) / total)
         pe = term if pe is None else pe + term
-    return {"n": total, "agreement": po, "kappa": (po - pe) / (F.lit(1.0) - pe)}
+    return {"n": total, "agreement": po, "kappa": F.try_divide(po - pe, F.lit(1.0) - pe)}
 
 
 def rater_patterns(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -60,24 +63,31 @@ def cohen_kappa(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = ()
 
 
 def _label_counts(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("item_id").agg(
+    """Labels of each kind per item; a label outside the five fails the job."""
+    known = F.when(F.col("label").isNull() | F.col("label").isin(*LABELS), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col("label"))))
+    return labels.withColumn("label", known).groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("label") == lab).alias(f"_c{i}") for i, lab in enumerate(LABELS)]
     )
 
 
 def fleiss_kappa(labels: DataFrame) -> DataFrame:
-    """(n_items, kappa) for items with the same number of raters each."""
+    """(n_items, kappa) for items with the same number of raters each; a different number fails the job.
+
+    Null with one rater an item, or if chance alone would agree always.
+    """
     counts = [F.col(f"_c{i}") for i in range(len(LABELS))]
     n = F.col("_n")
     squares = sum((c * c for c in counts[1:]), counts[0] * counts[0])
-    p_item = (squares - n) / (n * (n - 1))
+    p_item = F.try_divide(squares - n, n * (n - 1))
     out = _label_counts(labels).agg(
-        F.count(F.lit(1)).alias("n_items"), F.avg(p_item).alias("_pb"), F.sum("_n").alias("_all"),
+        F.count(F.lit(1)).alias("n_items"), F.avg(p_item).alias("_pb"), F.sum("_n").alias("_all"), F.min("_n").alias("_least"), F.max("_n").alias("_most"),
         *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(counts)],
     )
-    share = [F.col(f"_s{i}") / F.col("_all") for i in range(len(LABELS))]
+    share = [F.try_divide(f"_s{i}", "_all") for i in range(len(LABELS))]
     pe = sum((s * s for s in share[1:]), share[0] * share[0])
-    return out.select("n_items", F.when(pe < 1, (F.col("_pb") - pe) / (F.lit(1.0) - pe)).alias("kappa"))
+    unequal = F.raise_error(F.lit("items have different numbers of raters")).cast("double")
+    kappa = F.try_divide(F.col("_pb") - pe, F.lit(1.0) - pe)
+    return out.select("n_items", F.when(F.col("_least") < F.col("_most"), unequal).otherwise(kappa).alias("kappa"))
 
 
 def majority_vote(labels: DataFrame) -> DataFrame:

@@ -74,27 +74,30 @@ def logit_trend(df: DataFrame, y: str, x: Sequence[str], factor: str | None = No
     coef = [*model.coefficients, model.intercept]
     se = model.summary.coefficientStandardErrors
     p = model.summary.pValues
+    odds = lambda v: math.exp(v) if v < 709.0 else math.inf  # noqa: E731  beyond it a double has no number
     rows = [
-        (t, float(b), float(s), math.exp(min(b, 700.0)), math.exp(min(b - Z95 * s, 700.0)), math.exp(min(b + Z95 * s, 700.0)), float(q))
+        (t, float(b), float(s), odds(b), odds(b - Z95 * s), odds(b + Z95 * s), float(q))
         for t, b, s, q in zip([*names, "(intercept)"], coef, se, p)
     ]
     return df.sparkSession.createDataFrame(rows, TREND_SCHEMA)
 
 
 def binary_logit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Logit of y on a 0/1 regressor in closed form from the two-by-two table."""
+    """Logit of y on a 0/1 regressor in closed form from the two-by-two table; null where a cell is empty."""
     at = lambda a, b: F.count_if((F.col(y) == a) & (F.col(x) == b)).cast("double")
     cells = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), at(1, 1).alias("_a"), at(0, 1).alias("_b"), at(1, 0).alias("_c"), at(0, 0).alias("_d")
     )
     a, b, c, d = (F.col(v) for v in ("_a", "_b", "_c", "_d"))
-    beta = F.log(a * d / (b * c))
-    se = F.sqrt(F.lit(1.0) / a + F.lit(1.0) / b + F.lit(1.0) / c + F.lit(1.0) / d)
+    beta = F.log(F.try_divide(a * d, b * c))
+    one = F.lit(1.0)
+    se = F.sqrt(F.try_divide(one, a) + F.try_divide(one, b) + F.try_divide(one, c) + F.try_divide(one, d))
+    beta = F.when(se.isNotNull(), beta)
     return cells.select(
         *keys,
         "n",
-        (c / (c + d)).alias("share_0"),
-        (a / (a + b)).alias("share_1"),
+        F.try_divide(c, c + d).alias("share_0"),
+        F.try_divide(a, a + b).alias("share_1"),
         beta.alias("b"),
         se.alias("se"),
         F.exp(beta).alias("odds_ratio"),
@@ -214,15 +217,16 @@ def _t_two_sided(t: float, dof: float) -> float:
 
 
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares slope with its error and t value per group."""
+    """Least-squares slope with its error and t value per group; null where two points or a perfect line leave no error."""
     xx, yy = F.col(x).cast("double"), F.col(y).cast("double")
     s = df.groupBy(*keys).agg(
         F.regr_count(yy, xx).alias("n"), F.regr_slope(yy, xx).alias("slope"), F.regr_sxx(yy, xx).alias("_sxx"),
         F.regr_syy(yy, xx).alias("_syy"), F.regr_sxy(yy, xx).alias("_sxy"),
     )
     rss = F.col("_syy") - F.col("slope") * F.col("_sxy")
-    se = F.sqrt(rss / (F.col("n") - 2) / F.col("_sxx"))
-    return s.select(*keys, "n", "slope", se.alias("se"), (F.col("slope") / se).alias("t"))
+    variance = F.try_divide(F.try_divide(rss, F.col("n") - 2), F.col("_sxx"))
+    se = F.when(variance >= 0, F.sqrt(variance))
+    return s.select(*keys, "n", "slope", se.alias("se"), F.try_divide(F.col("slope"), se).alias("t"))
 
 
 def linear_trend_p(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -230,7 +234,7 @@ def linear_trend_p(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_t_two_sided(a, b - 2) for a, b in zip(t, n)])
+        return pd.Series([None if pd.isna(a) else _t_two_sided(a, b - 2) for a, b in zip(t, n)], dtype="float64")
 
     return linear_trend(df, keys, x, y).withColumn("p", p_value("t", F.col("n").cast("double")))
 
