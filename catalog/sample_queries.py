@@ -185,13 +185,13 @@ query(
 )(lambda v: S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026, n_samples=11))
 query(
     "SP10_paired_subset_same",
-    "SELECT true AS same",
+    # The items that both ways of drawing agree on: all 200 of the smallest hashes, if they are the same sample.
+    "SELECT item_id FROM test_samples WHERE sample='test_1998_natural' QUALIFY row_number() OVER (ORDER BY ph('2026:'||item_id), item_id)<=200",
 )(
-    lambda v: (
-        lambda a, b: J.same_set(a, b)
-    )(
-        S.paired_subset_sample(tests(v).filter("sample = 'test_1998_natural'"), 200, 2026),
-        S.sample_n(tests(v).filter("sample = 'test_1998_natural'").repartition(3), 200, 2026),
+    lambda v: J.semi(
+        S.paired_subset_sample(tests(v).filter("sample = 'test_1998_natural'").select("sample", "item_id"), 200, 2026).select("item_id"),
+        S.sample_n(tests(v).filter("sample = 'test_1998_natural'").repartition(3), 200, 2026).select("item_id"),
+        "item_id",
     )
 )
 query("PR24_surrogate_ids", "SELECT item_id, 'T'||lpad(CAST(row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1 AS VARCHAR),7,'0') AS short_id FROM pool")(

@@ -63,11 +63,11 @@ query("SC4_read_named_samples", "SELECT sample, item_id, yr, y FROM samples")(
 query("SC5_read_csv_text", "SELECT item_id, user_id, asin, ts::VARCHAR AS ts, yr::VARCHAR AS yr, rating_star::VARCHAR AS rating_star FROM annotation")(
     lambda v: through(v, "key_csv", lambda p: WR.write_csv(v.annotation_key, p), lambda p: RD.read_csv_text(v.spark, p))
 )
-query("SC6_read_csv_typed", "SELECT item_id, y, pred, p_neg, p_neu, p_pos FROM preds WHERE model='big' AND train_set='early' AND seed=42")(
+query("SC6_read_csv_typed", "SELECT item_id, y, pred, p_neg, p_neu, p_pos FROM preds")(
     lambda v: through(
         v, "preds_csv",
         lambda p: WR.write_csv(
-            v.preds.filter("model = 'big' AND train_set = 'early' AND seed = 42").select("item_id", "y", "pred", "p_neg", "p_neu", "p_pos"), p
+            v.preds.select("item_id", "y", "pred", "p_neg", "p_neu", "p_pos"), p
         ),
         lambda p: RD.read_csv_typed(v.spark, p, schemas.PREDS),
     )
@@ -130,6 +130,13 @@ query(
     "SK4_remaining",
     "SELECT item_id, yr FROM rated_items WHERE item_id NOT IN (SELECT item_id FROM rater_log WHERE model='rater_c' AND label IS NOT NULL)",
 )(lambda v: INC.remaining(v.rated_items.select("item_id", "yr"), v.rater_log.filter("model = 'rater_c'")))
+query("SK6_save_membership", "SELECT sample, item_id FROM samples")(
+    lambda v: through(
+        v, "membership",
+        lambda p: WR.save_membership(v.samples, p),
+        lambda p: RD.read_csv_typed(v.spark, p, "sample string, item_id string"),
+    )
+)
 _POS = " OR ".join(f"contains(t,'{w}')" for w in X.POSITIVE_CUES)
 _NEG = " OR ".join(f"contains(t,'{w}')" for w in X.NEGATIVE_CUES)
 
