@@ -131,6 +131,21 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(r.kept for r in embedding_dedup.near_duplicates(frame.filter("embedding is null")).collect())
 
 
+def test_embedding_cluster_of_near_copies_loses_no_link(spark):
+    """A third of all vectors are near copies of one: pivots are drawn among them too."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 32))
+    x[:270] = x[0] + 0.05 * rng.normal(size=(270, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
+    only = spark.createDataFrame([(i, v) for i, v in enumerate(x[:100].tolist())], "vec_id long, embedding array<double>")
+    assert {r.component_id for r in embedding_dedup.near_duplicates(only).collect()} == {0}
+
+
 def brute_lines(rows):
     """Texts without the lines that repeat another one of their component, by comparing all pairs of lines."""
     lines = {}

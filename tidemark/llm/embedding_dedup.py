@@ -17,10 +17,28 @@ from tidemark.session import cut
 PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 131_072
 #: Nearest pivots that describe a vector, and how many two vectors must share to be compared.
 NEAREST, SHARED = 12, 3
+#: Greatest cosine between two pivots. Pivots that are near copies of each other would fill the places of all vectors near
+#: them in an order that is noise, and such vectors might share few.
+PIVOT_LIKENESS = 0.8
 #: Vectors of one tile of a pivot's list.
 TILE = 512
 
 
+def spread_pivots(points: np.ndarray, most: float = PIVOT_LIKENESS) -> np.ndarray:
+    """The points that are less like every point kept before them than ``most``, in order."""
+    kept = points[:0]
+    for i in range(0, len(points), 1024):
+        block = points[i : i + 1024]
+        for j in range(0, len(kept), 16_384):
+            block = block[(block @ kept[j : j + 16_384].T < most).all(axis=1)]
+        like, alive = block @ block.T, np.ones(len(block), bool)
+        for k in range(len(block)):
+            if alive[k]:
+                alive[k + 1 :] &= like[k, k + 1 :] < most
+        kept = np.concatenate([kept, block[alive]])
+    return kept
+
+
 def _unit(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # no overflow or underflow of squares
@@ -99,7 +117,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Vectors are linked if their cosine in double precision is at least ``threshold``. A vector is described by its
     ``nearest`` most similar pivots; pivots are the distinct vectors with the smallest hashes, about 4 times the square
-    root of their number and at most 131,072. Vectors that share at least ``shared`` pivots meet in the inverted list of
+    root of their number and at most 131,072, less those of a cosine of 0.8 or more to another pivot. Vectors that share at least ``shared`` pivots meet in the inverted list of
     the smallest pivot they share and are verified there. Lists are cut into tiles and every two tiles of a list meet in
     one group, so a pivot near a third of all vectors is dealt over many tasks. Every row is indexed; recall against
     brute force is measured in the tests.
@@ -126,6 +144,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     points = np.array([r.vector for r in folded.orderBy("h1", "h2").limit(n_pivots).select("vector").collect()], dtype=np.float64)
     points /= np.abs(points).max(axis=1, keepdims=True)
     points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+    points = spread_pivots(points)
+    shared = min(shared, nearest, len(points))
     spark = df.sparkSession
     pivots = spark.sparkContext.broadcast(points)
     described = cut(
