@@ -199,48 +199,56 @@ def _verify(batches, shingle: int, least: float):
 
 
 def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
-    """Links between lines unlike their bucket's smallest and its other lines; pairs already connected are skipped."""
-    hashes, doubtful = group.column("h").to_pylist(), group.column("doubtful").to_pylist()
+    """Links between lines apart from their bucket's smallest and its other lines; pairs already connected are skipped."""
+    hashes, roots, doubtful = (group.column(c).to_pylist() for c in ("h", "root", "doubtful"))
     sets = [_shingles(x, shingle) for x in group.column("line").to_pylist()]
     parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def find(x: int) -> int:
         while parent.get(x, x) != x:
             parent[x] = parent.get(parent[x], parent[x])
             x = parent[x]
         return x
 
     a, b = [], []
+    others = [j for j, d in enumerate(doubtful) if not d]
     for i in (i for i, d in enumerate(doubtful) if d):
-        for j in (j for j, d in enumerate(doubtful) if not d):
-            if hashes[i] != hashes[j] and root(hashes[i]) != root(hashes[j]) and jaccard_at_least(sets[i], sets[j], least):
-                parent[root(hashes[i])] = root(hashes[j])
+        for j in others:
+            if find(roots[i]) != find(roots[j]) and jaccard_at_least(sets[i], sets[j], least):
+                parent[find(roots[i])] = find(roots[j])
                 a.append(hashes[i])
                 b.append(hashes[j])
-    return pa.table({"h": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _mixed_links(stars: DataFrame, unlike: DataFrame, lines: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links in buckets where some line is unlike the smallest: those lines against all others, tile by tile.
+def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) in buckets whose lines are not all connected by ``roots``, the components of the links found so far.
 
-    Two lines that share several bands meet in as many buckets; of buckets with the same lines one is enough, and a bucket
-    of two lines has nothing left to compare.
+    The lines apart from the bucket's smallest are compared with all others of the bucket, tile by tile. Two lines that
+    share several bands meet in as many buckets; of buckets with the same lines one is enough, and a bucket of two lines
+    has nothing left to compare.
     """
-    named = stars.groupBy("bucket").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y"))
-    chosen = named.filter("n > 1").groupBy("rep", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    stars = cut(stars.join(chosen, "bucket", "left_semi"))
-    doubtful = stars.join(unlike, ["h", "rep"], "left_semi").select("bucket", "h").distinct()
-    sizes = stars.join(doubtful.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    known = roots.select(F.col("node").alias("h"), F.col("component").alias("root"))
+    named = stars.join(known, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    named = named.join(known.select(F.col("h").alias("rep"), F.col("root").alias("rep_root")), "rep", "left")
+    named = named.withColumn("doubtful", F.col("root") != F.coalesce("rep_root", "rep")).select("bucket", "rep", "h", "root", "doubtful")
+    sets = named.groupBy("bucket").agg(
+        F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n"), F.count_if("doubtful").alias("apart"),
+        F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y"),
+    )
+    chosen = sets.filter("n > 1 and apart > 0").groupBy("rep", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    sizes = chosen.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    members = cut(named.join(sizes, "bucket"))
     own = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = doubtful.join(sizes, "bucket").select("bucket", "h", own.alias("i"), every.alias("j"), F.lit(True).alias("doubtful"))
-    right = stars.join(sizes, "bucket").select("bucket", "h", own.alias("j"), every.alias("i"), F.lit(False).alias("doubtful")).select(left.columns)
+    left = members.filter("doubtful").select("bucket", "h", "root", own.alias("i"), every.alias("j"), F.lit(True).alias("doubtful"))
+    right = members.select("bucket", "h", "root", own.alias("j"), every.alias("i"), F.lit(False).alias("doubtful")).select(left.columns)
     met = left.unionByName(right).join(lines, "h")
 
     def compare(group: pa.Table) -> pa.Table:
         return _compare_tile(group, shingle, least)
 
-    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "h long, rep long")
+    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _rebuild(batches, text: str, drops: str, keep: list[str]):
@@ -287,8 +295,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan:
     lines = cut(lines_of(plain, body, pairs.select("h").union(pairs.select(F.col("rep").alias("h"))).distinct()))
     texts = pairs.join(lines.withColumnRenamed("line", "one"), "h").join(lines.select(F.col("h").alias("rep"), F.col("line").alias("two")), "rep")
     checked = cut(texts.select("h", "rep", "one", "two").mapInArrow(partial(_verify, shingle=shingle, least=similarity), "h long, rep long, alike boolean"))
-    links = checked.filter("alike").select("h", "rep").unionByName(_mixed_links(stars, checked.filter("not alike"), lines, shingle, similarity))
-    roots = components(links, "h", "rep")
+    starred = components(checked.filter("alike"), "h", "rep")
+    more = _mixed_links(stars, starred, lines, shingle, similarity)
+    roots = components(starred.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     place = F.struct("k", "row", "no")
     first = signed.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     rooted = first.join(roots, first.h == roots.node, "left").select("h", "first", "n", F.coalesce("component", "h").alias("root"))
