@@ -201,9 +201,14 @@ def _verify(batches, shingle: int, least: float):
 def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
     """Links between lines apart from their bucket's smallest and its other lines; pairs already connected are skipped."""
     hashes, roots, doubtful = (group.column(c).to_pylist() for c in ("h", "root", "doubtful"))
-    sets = [_shingles(x, shingle) for x in group.column("line").to_pylist()]
+    lines, sets = dict(zip(hashes, group.column("line").to_pylist(), strict=True)), {}
     parent: dict[int, int] = {}
 
+    def shingles(h: int) -> set[str]:
+        if h not in sets:
+            sets[h] = _shingles(lines[h], shingle)
+        return sets[h]
+
     def find(x: int) -> int:
         while parent.get(x, x) != x:
             parent[x] = parent.get(parent[x], parent[x])
@@ -214,7 +219,7 @@ def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
     others = [j for j, d in enumerate(doubtful) if not d]
     for i in (i for i, d in enumerate(doubtful) if d):
         for j in others:
-            if find(roots[i]) != find(roots[j]) and jaccard_at_least(sets[i], sets[j], least):
+            if find(roots[i]) != find(roots[j]) and jaccard_at_least(shingles(hashes[i]), shingles(hashes[j]), least):
                 parent[find(roots[i])] = find(roots[j])
                 a.append(hashes[i])
                 b.append(hashes[j])
