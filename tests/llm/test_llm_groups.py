@@ -219,6 +219,33 @@ def test_line_dedup_compares_lines_unlike_the_smallest(spark):
     assert got == dict(brute_lines(rows))
 
 
+def test_line_dedup_links_across_the_parts_of_a_hot_bucket(spark, monkeypatch):
+    """Smallest line G in one part; R, unlike G, heads the part of a, which is like both: a is to link them."""
+    import xxhash
+
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 1)
+    part = lambda h: xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42)
+    part3 = lambda h: ((part(h) ^ 1 << 63) - (1 << 63)) % 3
+    rng = random.Random(5)
+    for _ in range(20_000):
+        a = prose(rng, 30)[:80]
+        r, g = prose(rng, 2)[:7] + a[7:], a[:-7] + prose(rng, 2)[:7]
+        lines = [x.strip() for x in (g, r, a)]
+        hg, hr, ha = (line_dedup.line_hash(x.encode()) for x in lines)
+        if not (hg < hr < ha and part3(hr) == part3(ha) != part3(hg)):
+            continue
+        sg, sr, sa = (line_dedup._shingles(x, line_dedup.SHINGLE) for x in lines)
+        if not (line_dedup.jaccard_at_least(sa, sr, 0.8) and line_dedup.jaccard_at_least(sa, sg, 0.8) and not line_dedup.jaccard_at_least(sr, sg, 0.8)):
+            continue
+        if len({int(k) for k in line_dedup.band_keys(line_dedup.signatures(lines, bins=1), 1)[:, 0]}) == 1:
+            break
+    else:
+        raise AssertionError("no such lines")
+    rows = list(enumerate(lines))
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    assert got == {0: lines[0], 1: "", 2: ""} == dict(brute_lines(rows))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -127,7 +127,7 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
     """(bucket, h, rep): lines that share a band value with others, with the smallest line hash of the bucket.
 
     A band value's rows are brought together once. Cells of band values with very many rows are dealt over several tasks
-    by the line's hash, and the smallest of each part is linked to the smallest of all.
+    by the line's hash; every line of every part gets the smallest of all parts.
     """
     rows = signed.select("h", F.explode("bands").alias("bucket")).withColumn("cell", F.pmod("bucket", F.lit(CELLS)).cast("int"))
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -139,9 +139,11 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
     group = Window.partitionBy("bucket", "part")
     found = dealt.select("bucket", "h", "part", F.coalesce("parts", F.lit(1)).alias("parts")).withColumns({"rep": F.min("h").over(group), "top": F.max("h").over(group)})
     found = cut(found.filter("rep <> top or parts > 1"))
-    heads = found.filter("parts > 1").groupBy("bucket", "part").agg(F.min("rep").alias("h"))
-    across = heads.withColumn("rep", F.min("h").over(Window.partitionBy("bucket"))).select("bucket", "h", "rep")
-    return found.select("bucket", "h", "rep").unionByName(across).filter("h <> rep").distinct()
+    heads = found.filter("parts > 1").groupBy("bucket", "part").agg(F.min("rep").alias("head"))
+    heads = heads.select("bucket", "part", F.min("head").over(Window.partitionBy("bucket")).alias("rep"))
+    # Joined back by part, so that a hot band value stays dealt.
+    split = found.filter("parts > 1").drop("rep").join(heads, ["bucket", "part"]).select("bucket", "h", "rep")
+    return found.filter("parts = 1").select("bucket", "h", "rep").unionByName(split).filter("h <> rep").distinct()
 
 
 def _pick(batches, text: str, wanted):
