@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = simhash_dedup.near_duplicates(docs.select("doc_id", "text"))
     best = cut(classes.filter("doc_id = component_id").select("doc_id").distinct())
     row, first = fresh(docs, "row"), fresh(docs, "first")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     # Ids should be unique; where one repeats, its first row is the document.
     firsts = numbered.groupBy("doc_id").agg(F.min(row).alias(first)).join(best, "doc_id", "left_semi").select(F.col(first).alias(row))
     chosen = firsts.unionByName(numbered.filter("doc_id is null").select(row))

@@ -246,6 +246,28 @@ def test_line_dedup_links_across_the_parts_of_a_hot_bucket(spark, monkeypatch):
     assert got == {0: lines[0], 1: "", 2: ""} == dict(brute_lines(rows))
 
 
+def test_line_dedup_when_the_splits_change_between_jobs(spark, tmp_path, monkeypatch):
+    """An executor that comes or goes changes how files are cut into tasks; the rows keep their numbers."""
+    rows = [(i, f"line number {i} of its own {i * 7919}\na line that all of the texts repeat") for i in range(60)]
+    path, inner = str(tmp_path / "docs"), line_dedup.shared_buckets
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(path)
+
+    def later(signed):
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+        return inner(signed)
+
+    monkeypatch.setattr(line_dedup, "shared_buckets", later)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.read.parquet(path), scan=True).collect()}
+    finally:
+        for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -75,17 +75,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def positions(written: DataFrame, *keys: str, name: str = "position") -> DataFrame:
+def positions(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
     """Number the rows of every key from 0 in the order they are stored, without bringing a key to one task.
 
-    ``written`` must be a scan of written files, whose partitions and row order are the same whenever a task is
-    run again. Rows are counted by (partition, key), the counts summed up before each partition, and the rows of
-    one partition numbered among themselves.
+    The rows are written once with their partition and row number, so all jobs see the same ones. Rows are counted by
+    (partition, key), the counts summed up before each partition, and the rows of one partition numbered among themselves.
     """
     from pyspark.sql import Window
 
-    part, row = fresh(written, "part"), fresh(written, "row")
-    marked = written.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()})
+    from tidemark.session import cut
+
+    part, row = fresh(df, "part"), fresh(df, "row")
+    marked = cut(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
     counts = marked.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn(
         "_before",

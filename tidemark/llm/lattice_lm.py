@@ -286,7 +286,7 @@ def score_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     del top
     longs, doubles = T.LongType(), T.DoubleType()
     schema = schema_with(rows, ["k", "held"], n_words=longs, n_known=longs, base=doubles, score=doubles, tail=T.ArrayType(T.StringType()), times=T.ArrayType(T.IntegerType()))
-    partly = cut(rows.mapInArrow(partial(_documents, text=body, keep=["k", "held"], head=head), schema)).withColumn("row", F.monotonically_increasing_id())
+    partly = cut(rows.mapInArrow(partial(_documents, text=body, keep=["k", "held"], head=head), schema).withColumn("row", F.monotonically_increasing_id()))
     tail = partly.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("n"))
     found = tail.join(scored.filter(~in_head), "word").select(
         "row", F.lit(None).cast(rows.schema["k"].dataType).alias("k"), F.lit(None).cast("boolean").alias("held"), F.lit(0).cast("long").alias("n_words"),

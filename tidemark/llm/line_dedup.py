@@ -288,12 +288,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan:
     smallest; where one is unlike it, that line is compared with all others of the bucket, so no candidate link is lost.
     Equal lines are one line throughout (64-bit hashes; for 10^9 different lines some two agree with a chance of 3 %).
 
-    ``scan``: ``docs`` is a plain scan of written files, whose row numbers are the same in every task that reads it; else
-    it is written first.
+    The rows are written with their numbers first: numbers given anew by each job follow the splits of its scan, which
+    change with the executors at hand. ``scan`` says that ``docs`` is a plain scan of files; it is written all the same.
     """
-    docs = docs.drop("n_dropped") if scan else cut(docs.drop("n_dropped"))
+    docs = docs.drop("n_dropped")
     row, body, gone = fresh(docs, "row"), fresh(docs, "body"), fresh(docs, "gone")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     plain = numbered.select(F.col(key).alias("k"), row, text_of(text).alias(body))
     schema = schema_with(plain, ["k"], row=T.LongType(), no=T.IntegerType(), h=T.LongType(), bands=T.ArrayType(T.LongType()))
     signed = cut(plain.mapInArrow(partial(_sign, text=body, row=row, key="k", shingle=shingle, bands=bands, rows=rows), schema))

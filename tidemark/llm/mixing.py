@@ -138,5 +138,5 @@ def mix(
     if not plan.filter("cut_take between 1 and cut_rows - 1").head(1):
         return settled
     place = fresh(docs, "place")
-    ties = positions(cut(joined.filter(tied)), source, name=place)
+    ties = positions(joined.filter(tied), source, name=place)
     return settled.unionByName(final(ties, F.col(place) < F.col("cut_take")))
