@@ -105,3 +105,45 @@ def test_array_element(spark):
 def test_first_largest_probability_wins(spark):
     d = spark.createDataFrame([(0.4, 0.4, 0.2), (0.2, 0.4, 0.4), (0.1, 0.2, 0.7)], "p_neg double, p_neu double, p_pos double")
     assert [r.o for r in d.select(L.pred_from_probs(["p_neg", "p_neu", "p_pos"]).alias("o")).collect()] == [0, 1, 2]
+
+
+def test_registered_models_run_with_the_operators_defaults(monkeypatch):
+    """No smaller vocabulary, hash width or iteration count than the functions' own."""
+    import inspect
+    from unittest.mock import MagicMock
+
+    import catalog
+    from catalog import registry
+    from tidemark.operators import features, models
+
+    catalog.load()
+    used = {}
+
+    def record(module, name):
+        signature = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            used[name] = bound.arguments
+            return MagicMock()
+
+        monkeypatch.setattr(module, name, call)
+        return {k: p.default for k, p in signature.parameters.items()}
+
+    own = {n: record(features, n) for n in ("tfidf_terms", "tfidf_vectors")} | {n: record(models, n) for n in ("text_classifier", "hashed_full_pool_model", "length_model")}
+    for name in ("indexed_terms",):
+        monkeypatch.setattr(features, name, MagicMock())
+    for name in ("score_predictions", "score_hashed"):
+        monkeypatch.setattr(models, name, MagicMock())
+    monkeypatch.setattr("pyspark.sql.functions.lit", MagicMock())
+    monkeypatch.setattr("tidemark.operators.metrics.class_f1", MagicMock())
+    views = MagicMock()
+    views.doc_samples.return_value = (MagicMock(), MagicMock())
+    for name in ("ML2_length_model", "ML5_hashed_full_pool", "ML6_score_predictions"):
+        registry.QUERIES[name](views)
+    assert used["length_model"]["max_iter"] == own["length_model"]["max_iter"]
+    assert used["text_classifier"]["max_iter"] == own["text_classifier"]["max_iter"]
+    assert used["tfidf_terms"]["max_terms"] == used["tfidf_vectors"]["size"] == own["tfidf_terms"]["max_terms"]
+    for k in ("bits", "max_iter"):
+        assert used["hashed_full_pool_model"][k] == own["hashed_full_pool_model"][k]
