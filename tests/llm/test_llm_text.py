@@ -151,6 +151,18 @@ def test_lattice_sums_all_segmentations():
             assert math.isclose(expected[i], sum(w.count(p) * math.prod(weight[x] for x in w) for w in ways(b" " + word)) / total, abs_tol=1e-12)
 
 
+def test_lattice_has_every_piece_of_the_vocabulary():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    special = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
+    found = lattice_lm.read_vocabulary(path)
+    assert {x.replace("▁", " ").encode() for x in names} <= set(found)
+    assert b" relationship" in found
+
+
 def test_lattice_word_weights_are_a_distribution(spark):
     """With a closed set of words the token probabilities may not sum to more than one."""
     rows = [(i, "aa ab ba") for i in range(40)] + [(i, "ab bb") for i in range(40, 60)]

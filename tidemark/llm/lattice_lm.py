@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 from tidemark.llm.common import LOWER_ASCII, fresh, schema_with, text_of, text_steps
 from tidemark.session import cut
 
-#: Longest piece in bytes; longer ones of the vocabulary are left out.
-LONGEST = 12
 #: Rounds of re-estimation.
 ROUNDS = 1
 #: Words that every task keeps in memory: the most frequent ones, at most so many and each of at most so many bytes.
@@ -44,7 +42,7 @@ def read_vocabulary(path: str) -> dict[bytes, float]:
             continue
         name = model.id_to_piece(i)
         piece = bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace("▁", " ").encode()
-        if len(piece) <= LONGEST and not model.is_byte(i):
+        if not model.is_byte(i):
             found[piece] = max(found.get(piece, -math.inf), model.get_score(i))
     return found
 
@@ -98,7 +96,9 @@ class Lattice:
         alpha = np.full((n, length + 1), -np.inf)
         alpha[:, 0] = 0.0
         for j in range(1, length + 1):
-            ways = np.stack([alpha[:, j - m] + padded[arcs[m - 1][:, j - m]] for m in range(1, min(len(arcs), j) + 1)])
+            # Of the lengths above one only those that some word has a piece of here.
+            live = [m for m in range(1, min(len(arcs), j) + 1) if m == 1 or (arcs[m - 1][:, j - m] >= 0).any()]
+            ways = np.stack([alpha[:, j - m] + padded[arcs[m - 1][:, j - m]] for m in live])
             top = ways.max(axis=0)
             alpha[:, j] = top + np.log(np.exp(ways - top).sum(axis=0))
         return alpha
@@ -113,8 +113,9 @@ class Lattice:
         total = alpha[:, length]
         uses, weights = [], []
         for i in range(length - 1, -1, -1):
-            arc = np.stack([arcs[m - 1][:, i] for m in range(1, min(len(arcs), length - i) + 1)])
-            ways = padded[arc] + np.stack([beta[:, i + m] for m in range(1, len(arc) + 1)])
+            live = [m for m in range(1, min(len(arcs), length - i) + 1) if m == 1 or (arcs[m - 1][:, i] >= 0).any()]
+            arc = np.stack([arcs[m - 1][:, i] for m in live])
+            ways = padded[arc] + np.stack([beta[:, i + m] for m in live])
             top = ways.max(axis=0)
             odds = np.exp(ways - top)
             mass = odds.sum(axis=0)
