@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, lattice_lm, line_dedup, mixing, quality_model, quality_rules, sharding, simhash_dedup, token_counts
+from tidemark.llm import byte_bpe, embedding_dedup, exact_dedup, lattice_lm, line_dedup, mixing, quality_model, quality_rules, sharding, simhash_dedup, token_counts
 from tidemark.llm.common import WORD_CLASS, table
 from tidemark.session import configure
 
@@ -76,6 +76,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_quality_rules, op6_shard,
-        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup, pipeline,
+        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup, op13_exact_dedup, pipeline,
     )
 }
 
@@ -134,4 +138,9 @@ FROM b
 """
 
 
-SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op5_quality_rules": _op5()}
+_OP13 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+SQL: dict[str, str] = {"op1_embedding_dedup": _OP1, "op5_quality_rules": _op5(), "op13_exact_dedup": _OP13}
