@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, lattice_lm, line_dedup, mixing, quality_model, quality_rules, sharding, simhash_dedup, token_counts
+from tidemark.llm import byte_bpe, conversation_repair, embedding_dedup, exact_dedup, lattice_lm, line_dedup, mixing, quality_model, quality_rules, sharding, simhash_dedup, spelling_variants, token_counts
 from tidemark.llm.common import WORD_CLASS, table
 from tidemark.session import configure
 
@@ -76,6 +76,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.corpus_words(_docs(spark, sf_dir), misspell=97))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(table(configure(spark), sf_dir, "conversations"))
 
@@ -92,7 +96,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_line_dedup, op3_mix_sources, op4_quality_model, op5_quality_rules, op6_shard,
-        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup, op12_conversation_repair, op13_exact_dedup, pipeline,
+        op7_token_counts, op8_byte_bpe, op9_lattice_lm, op10_simhash_dedup, op11_spelling_variants, op12_conversation_repair, op13_exact_dedup, pipeline,
     )
 }
 
