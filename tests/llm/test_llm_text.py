@@ -85,9 +85,11 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(frame, texts):
         for i, a, b in zip(r.ids[:200], r.starts, r.ends, strict=False):
             token = library.decode_single_token_bytes(i)
             assert token in text[a:b].encode()
-    for r in byte_bpe.decode(encoded, path, ["doc_id"], as_text=True).collect():
+    for r in byte_bpe.decode(encoded, path, P.PATTERN, ["doc_id"], as_text=True).collect():
         assert r.doc_id is None or r.decoded == (texts[r.doc_id] or "")
-    for r in byte_bpe.digests(encoded, path, ["doc_id"]).collect():
+    in_one = byte_bpe.round_trip(frame, path, P.PATTERN, ["doc_id"])
+    assert in_one.count() == frame.count()
+    for r in [*byte_bpe.digests(encoded, path, P.PATTERN, ["doc_id"]).collect(), *in_one.collect()]:
         if r.doc_id is not None:
             text = texts[r.doc_id] or ""
             ids = library.encode_ordinary(text)
@@ -97,7 +99,8 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(frame, texts):
 
 def test_split_characters_come_out_whole():
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    table = byte_bpe.id_bytes(ranks)
+    table = byte_bpe.id_bytes(byte_bpe.library_tokenizer(ranks, P.PATTERN))
+    assert {t: i for i, t in enumerate(table)} == ranks
     single = [ranks[bytes([b])] for b in "a\U0001f642é".encode()]
     parts = byte_bpe.stream_text(table, single)
     assert "".join(parts) == "a\U0001f642é" and parts[1:4] == ["", "", ""]
@@ -110,7 +113,8 @@ def test_text_operators_on_empty_tables(spark):
     assert quality_rules.quality_rules(none, ["doc_id"]).count() == 0
     assert token_counts.token_counts(none, path, ["doc_id"]).count() == 0
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    assert byte_bpe.digests(byte_bpe.encode(none, ranks, P.PATTERN, ["doc_id"]), ranks, ["doc_id"]).count() == 0
+    assert byte_bpe.digests(byte_bpe.encode(none, ranks, P.PATTERN, ["doc_id"]), ranks, P.PATTERN, ["doc_id"]).count() == 0
+    assert byte_bpe.round_trip(none, ranks, P.PATTERN, ["doc_id"]).count() == 0
     assert lattice_lm.score_documents(none, P.path("piece_bpe_32k.model")).count() == 0
 
 

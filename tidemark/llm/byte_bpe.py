@@ -67,11 +67,18 @@ def library_tokenizer(ranks: dict[bytes, int], pattern: str):
     return library
 
 
-def _encode(batches, path: str, pattern: str, text: str, keep: list[str], offsets: bool):
+def load(definition: str):
+    """The library's tokenizer from its text form, to run on one thread of a task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    library = library_tokenizer(read_ranks(path), pattern)
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(definition)
+
+
+def _encode(batches, definition, text: str, keep: list[str], offsets: bool):
+    library = load(definition.value)
 
     def encode(pieces: list[str]) -> list:
         if offsets:
@@ -109,8 +116,8 @@ def _encode(batches, path: str, pattern: str, text: str, keep: list[str], offset
 def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", offsets: bool = False) -> DataFrame:
     """``keep`` columns with ``ids`` (array of int) of every row's whole text.
 
-    ``path`` is a rank file (base64 token and rank a line) that every executor can open, ``pattern`` splits the text
-    before the merges. With ``offsets`` also ``starts`` and ``ends``: for each id the characters of the text it comes
+    ``path`` is a rank file (base64 token and rank a line) that the driver can open; the tokenizer is built there once and its
+    text form, bounded by the vocabulary, goes to every task. ``pattern`` splits the text before the merges. With ``offsets`` also ``starts`` and ``ends``: for each id the characters of the text it comes
     from; ids that share a character share its place. No special tokens. A null or empty text has no ids. One row for
     each input row, repeated rows included; ``keep`` must not name ``ids``, ``starts`` or ``ends``.
     """
@@ -118,16 +125,17 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str =
     lean = df.select(*keep, text_of(text).alias(body))
     ints = T.ArrayType(T.IntegerType(), True)
     types = {"ids": ints} | ({"starts": ints, "ends": ints} if offsets else {})
-    return lean.mapInArrow(partial(_encode, path=path, pattern=pattern, text=body, keep=keep, offsets=offsets), schema_with(lean, keep, **types))
+    definition = df.sparkSession.sparkContext.broadcast(library_tokenizer(read_ranks(path), pattern).to_str())
+    return lean.mapInArrow(partial(_encode, definition=definition, text=body, keep=keep, offsets=offsets), schema_with(lean, keep, **types))
 
 
-def id_bytes(ranks: dict[bytes, int]) -> list[bytes]:
-    """Bytes of every id, through the characters of the vocabulary and the byte table backwards."""
-    shown = byte_characters()
-    back = {c: b for b, c in enumerate(shown)}
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = bytes(back[c] for c in "".join(shown[b] for b in token))
+def id_bytes(library) -> list[bytes]:
+    """Bytes of every id: the characters of the library's vocabulary through the byte table backwards."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    names = library.get_vocab()
+    table = [b""] * (max(names.values()) + 1)
+    for name, i in names.items():
+        table[i] = bytes(map(back.__getitem__, name))
     return table
 
 
@@ -137,8 +145,8 @@ def stream_text(table: list[bytes], ids: list[int]) -> list[str]:
     return [decoder.decode(table[i], last) for i, last in zip(ids, [False] * (len(ids) - 1) + [True], strict=True)] if ids else []
 
 
-def _decode(batches, path: str, ids: str, keep: list[str], as_text: bool):
-    table = id_bytes(read_ranks(path))
+def _decode(batches, definition, ids: str, keep: list[str], as_text: bool):
+    table = id_bytes(load(definition.value))
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(ids))
         sizes = np.diff(column.offsets.to_numpy()).astype(np.int64) * 8
@@ -148,20 +156,60 @@ def _decode(batches, path: str, ids: str, keep: list[str], as_text: bool):
             yield with_columns(batch.slice(start, stop - start), keep, decoded=out)
 
 
-def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids", as_text: bool = False) -> DataFrame:
+def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "ids", as_text: bool = False) -> DataFrame:
     """``keep`` columns with ``decoded``: the bytes of every row's ids, or their text (broken UTF-8 replaced).
 
     Null ids give null, no ids give no bytes; an id outside the vocabulary fails the job.
     """
     lean = df.select(*keep, ids)
     out = T.StringType() if as_text else T.BinaryType()
-    return lean.mapInArrow(partial(_decode, path=path, ids=ids, keep=keep, as_text=as_text), schema_with(lean, keep, decoded=out))
+    definition = df.sparkSession.sparkContext.broadcast(library_tokenizer(read_ranks(path), pattern).to_str())
+    return lean.mapInArrow(partial(_decode, definition=definition, ids=ids, keep=keep, as_text=as_text), schema_with(lean, keep, decoded=out))
+
+
+def _digests(batches, definition, text: str, keep: list[str]):
+    from hashlib import sha256
+
+    library = load(definition.value)
+    table = id_bytes(library)
+    decimal = [str(i) for i in range(len(table))]
+
+    def encode(pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
+        found = [e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [(len(ids), ",".join([decimal[i] for i in ids]).encode(), b"".join([table[i] for i in ids])) for ids in found]
+
+    cache = CutCache(encode)
+    for batch in batches:
+        sizes, ids, decoded = [], [], []
+        for _, _, raw in text_steps(batch.column(batch.schema.get_field_index(text))):
+            pieces = [safe_cuts(x.decode("utf-8", "replace")) for x in raw]
+            known = cache.look_up(pieces)
+            for own in pieces:
+                values = [known[p] for p in own]
+                sizes.append(sum([v[0] for v in values]))
+                ids.append(sha256(b",".join([v[1] for v in values])).hexdigest())
+                decoded.append(sha256(b"".join([v[2] for v in values])).hexdigest())
+        yield with_columns(batch, keep, n_tokens=pa.array(sizes, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (bytes of the ids).
+
+    Every whole text is encoded as by ``encode`` and decoded as by ``decode`` in one pass: a cut's ids, their decimal form and
+    their bytes are kept together, and only the two hashes and the count of a text leave the task. Nulls, empty texts and
+    repeated rows as there.
+    """
+    body = fresh(df, "body")
+    lean = df.select(*keep, text_of(text).alias(body))
+    definition = df.sparkSession.sparkContext.broadcast(library_tokenizer(read_ranks(path), pattern).to_str())
+    types = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return lean.mapInArrow(partial(_digests, definition=definition, text=body, keep=keep), schema_with(lean, keep, **types))
 
 
-def digests(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (bytes of the ids)."""
+def digests(encoded: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns of ``round_trip`` from rows that are encoded already."""
     from pyspark.sql import functions as F
 
     listed = encoded.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    back = decode(listed, path, [*keep, "n_tokens", "ids_sha256"])
+    back = decode(listed, path, pattern, [*keep, "n_tokens", "ids_sha256"])
     return back.select(*keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

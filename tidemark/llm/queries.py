@@ -64,7 +64,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken"), importlib.import_module("public_tokenizers").PATTERN
-    return byte_bpe.digests(byte_bpe.encode(_docs(spark, sf_dir), path, pattern, ["doc_id"]), path, ["doc_id"])
+    return byte_bpe.round_trip(_docs(spark, sf_dir), path, pattern, ["doc_id"])
 
 
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
