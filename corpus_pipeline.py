@@ -60,7 +60,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     tokenizers = importlib.import_module("public_tokenizers")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(docs, path, tokenizers.PATTERN, ["doc_id"]), path, ["doc_id"])
+    return byte_bpe.round_trip(docs, path, tokenizers.PATTERN, ["doc_id"])
 
 
 STAGES = [
