@@ -197,3 +197,30 @@ def test_quality_model_without_both_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality_model.quality_scores(docs, none).collect()} == {0.5}
     assert quality_model.quality_scores(docs.limit(0), none).count() == 0
+
+
+def test_quality_scores_are_the_sum_over_all_pairs(spark):
+    """The linear-time score against the definition: every pair of features with the product of their factors."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["One", "two", "THREE!", "4", "#five", "six\n"][i % 3 :]) for _ in range(rng.randint(0, 25))), float(i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label double")
+    settings = quality_model.Settings(word_buckets=32, stat_buckets=64, factors=3, iterations=8)
+    shaped = quality_model.features(docs, ["doc_id", "label"])
+    model = quality_model.train(shaped, settings)
+    machine = model.stages[-1]
+    v, w = machine.factors.toArray(), machine.linear.toArray()
+    got = {r.doc_id: r.score for r in quality_model.score(shaped, model, ["doc_id"]).collect()}
+    for r in model.transform(shaped).select("doc_id", "_x").collect():
+        x = r["_x"].toArray()
+        pairs = sum(float(v[i] @ v[j]) * x[i] * x[j] for i in range(len(x)) for j in range(i))
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-(machine.intercept + float(w @ x) + pairs))), rel_tol=1e-9)
+
+
+def test_quality_statistics(spark):
+    text = "Ab CD ab!? 12\n#x x x\nAb CD ab!? 12\nÜber"
+    names = quality_model.features(spark.createDataFrame([(1, text, None), (2, None, "m")], "doc_id long, text string, k string"), ["doc_id"], metadata=("k",)).collect()
+    first, empty = (set(r.stats) for r in sorted(names, key=lambda r: r.doc_id))
+    # 12 words of 29 characters: 1 symbol, 4 marks, 7 capitals, 4 digits, 4 lines of which 3 differ, 7 different words.
+    assert first == {"words=2", "length=2", "symbols=3", "marks=5", "upper=6", "digits=5", "lines=6", "different=6", "different_lines=4", "meta0=null"}
+    assert set(names[0].words) == {"ab", "cd", "ab!?", "12", "#x", "x", "über"}
+    assert empty == {"words=0", "length=0", "symbols=0", "marks=0", "upper=0", "digits=0", "lines=0", "different=0", "different_lines=6", "meta0=m"} and names[1].words == []

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, split_words, text_of
+from tidemark.llm.common import SPACE_CLASS, text_of
 
 #: Labelled rows that a fit may use; more are thinned by a hash of the key.
 MOST_TRAINING_ROWS = 20_000
@@ -28,43 +29,44 @@ class Settings:
     seed: int = 7
 
 
-def _levels(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds that a value reaches; null for a null value."""
-    return sum((F.when(value >= b, 1).otherwise(0) for b in bounds[1:]), F.when(value >= bounds[0], 1).otherwise(0))
-
-
 _SHARES = [0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95]
 _SIZES = [1, 10, 30, 60, 120, 250, 500, 1000, 2500, 10_000]
 
 
 def features(df: DataFrame, keep: list[str], text: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns with ``words`` (the words, lower-cased) and ``stats`` (names of the levels of structure statistics).
+    """``keep`` columns with ``words`` (the different words, lower-cased) and ``stats`` (names of the levels of structure statistics).
 
     Metadata columns become one token each. A null text is an empty text; a null metadata value is a token of its own.
     """
-    t, w = F.col("_t"), F.col("_w")
-    base = df.select(*keep, *[F.col(c).alias(f"_m_{i}") for i, c in enumerate(metadata)], text_of(text).alias("_t"))
-    base = base.withColumn("_w", split_words(t)).withColumn("_b", F.length(F.regexp_replace(t, SPACE_CLASS + "+", "")))
-    n = F.size(w).cast("double")
-    chars = F.col("_b").cast("double")
+    # Every step is a projection of its own, so that what several statistics need is computed once a row.
+    t, w, r = F.col("_t"), F.col("_w"), F.col("_r")
+    meta = [f"_m_{i}" for i in range(len(metadata))]
+    base = df.select(*keep, *[F.col(c).alias(m) for c, m in zip(metadata, meta, strict=True)], text_of(text).alias("_t"))
+    # No symbol, mark, digit or capital is among a-z and the space, so these are looked for in the rest of the text.
+    words = F.array_remove(F.split(F.lower(t), SPACE_CLASS + "+"), "")
+    base = base.withColumns({"_w": words, "_r": F.regexp_replace(t, "[a-z ]+", ""), "_l": F.split(t, "\n")})
+    base = base.withColumns({"_d": F.array_distinct(w), "_n": F.size(w).cast("double"), "_c": F.length(F.array_join(w, "")).cast("double"), "_k": F.size("_l").cast("double")})
+    n, chars, lines = F.col("_n"), F.col("_c"), F.col("_k")
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    without = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>{}[]=_~^@\\", ""))
-    marks = F.length(t) - F.length(F.translate(t, "!?", ""))
+    lost = lambda without: F.length(r) - F.length(without)
     stats = {
         "words": (n, _SIZES),
         "length": (share(chars, n), [1, 2, 3, 4, 5, 6, 8, 10, 15, 30]),
-        "symbols": (share(symbols, chars), _SHARES),
-        "marks": (share(marks, chars), _SHARES),
-        "upper": (share(F.length(t) - without(r"[A-ZÀ-ÖØ-Þ]+"), chars), _SHARES),
-        "digits": (share(F.length(t) - without(r"[0-9]+"), chars), _SHARES),
-        "lines": (share(F.size(F.split(t, "\n")).cast("double"), n), _SHARES),
-        "different": (share(F.size(F.array_distinct(w)).cast("double"), n), [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]),
-        "different_lines": (share(F.size(F.array_distinct(F.split(t, "\n"))).cast("double"), F.size(F.split(t, "\n")).cast("double")), [0.1, 0.3, 0.5, 0.7, 0.9, 0.999]),
+        "symbols": (share(lost(F.translate(r, "#*$%&|<>{}[]=_~^@\\", "")), chars), _SHARES),
+        "marks": (share(lost(F.translate(r, "!?", "")), chars), _SHARES),
+        "upper": (share(lost(F.regexp_replace(r, r"[A-ZÀ-ÖØ-Þ]+", "")), chars), _SHARES),
+        "digits": (share(lost(F.regexp_replace(r, r"[0-9]+", "")), chars), _SHARES),
+        "lines": (share(lines, n), _SHARES),
+        "different": (share(F.size("_d").cast("double"), n), [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]),
+        "different_lines": (share(F.size(F.array_distinct("_l")).cast("double"), lines), [0.1, 0.3, 0.5, 0.7, 0.9, 0.999]),
     }
-    tokens = [F.concat(F.lit(f"{name}="), _levels(v, bounds).cast("string")) for name, (v, bounds) in stats.items()]
-    tokens += [F.concat(F.lit(f"meta{i}="), F.coalesce(F.col(f"_m_{i}").cast("string"), F.lit("null"))) for i in range(len(metadata))]
-    return base.select(*keep, F.transform(w, lambda x: F.lower(x)).alias("words"), F.array(*tokens).alias("stats"))
+    base = base.select(*keep, *meta, "_d", *[v.alias(f"_s_{name}") for name, (v, _) in stats.items()])
+    # A statistic's level is the number of bounds that it reaches.
+    ends = [[-math.inf, *map(float, bounds), math.inf] for _, bounds in stats.values()]
+    base = Bucketizer(splitsArray=ends, inputCols=[f"_s_{name}" for name in stats], outputCols=[f"_v_{name}" for name in stats]).transform(base)
+    tokens = [F.concat(F.lit(f"{name}="), F.col(f"_v_{name}").cast("int").cast("string")) for name in stats]
+    tokens += [F.concat(F.lit(f"meta{i}="), F.coalesce(F.col(m).cast("string"), F.lit("null"))) for i, m in enumerate(meta)]
+    return base.select(*keep, F.col("_d").alias("words"), F.array(*tokens).alias("stats"))
 
 
 def train(labelled: DataFrame, settings: Settings = Settings()) -> PipelineModel:
