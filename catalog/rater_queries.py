@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import fitsql
 from catalog.registry import query, rounded
 from catalog.sqlviews import VIEWS
 from tidemark.functions import labels as L
@@ -133,20 +134,44 @@ query(
         "b", "se", "odds_ratio", "lo", "hi",
     )
 )
-query("ST2_logit_trend")(lambda v: ST.logit_trend(three_star(v), "neg", ["yc"]))
-query("ST2_logit_trend_category")(lambda v: ST.logit_trend(three_star(v), "neg", ["yc"], "cat"))
-query("ST2_logit_trend_controls")(lambda v: ST.logit_trend(three_star(v), "neg", ["yc", "loglen", "ver", "loghelp"], "cat"))
+_CAT = "CASE WHEN cat_l1 IN (SELECT cat_l1 FROM voted WHERE rating_star={0} GROUP BY 1 HAVING count(*)>=17) THEN cat_l1 ELSE '(other)' END"
+_FIT = ("b", "se", "odds_ratio", "lo", "hi", "p")
+_X = {"yc": "(yr-2013)::DOUBLE", "loglen": "ln(text_len)", "ver": "(lower(verified)='true')::INT::DOUBLE", "loghelp": "ln(1+helpful_vote)"}
+
+
+def fit_rows(x: list[str], cat: bool, star: int = 3, g: str = "0", y: str = "(majority='NEGATIVE')::INT", source: str = "voted", keep: str = "true") -> str:
+    """Rows of a fit: group, level, outcome, covariates."""
+    level = _CAT.format(star) if cat else "''"
+    return f"SELECT {g} AS g, {level} AS lvl, {y} AS y, {', '.join(f'{_X[c]} AS x{i}' for i, c in enumerate(x))} FROM {source} WHERE rating_star={star} AND {keep}"
+
+
+def fit_query(name: str, rows: str, x: list[str], cat: bool, fit, group: str | None = None, where: str = "true", group_cols: str = "g") -> None:
+    final, parts = fitsql.logit(rows, len(x), x, "cat" if cat else None)
+    shown = f"{group_cols} AS {group}, " if group else ""
+    query(name, f"SELECT {shown}term, {', '.join(_FIT)} FROM ({final}) WHERE {where}", parts)(lambda v: rounded(fit(v), *_FIT, digits=6))
+
+
+fit_query("ST2_logit_trend", fit_rows(["yc"], False), ["yc"], False, lambda v: ST.logit_trend(three_star(v), "neg", ["yc"]))
+fit_query("ST2_logit_trend_category", fit_rows(["yc"], True), ["yc"], True, lambda v: ST.logit_trend(three_star(v), "neg", ["yc"], "cat"))
+_CONTROLS = ["yc", "loglen", "ver", "loghelp"]
+fit_query("ST2_logit_trend_controls", fit_rows(_CONTROLS, True), _CONTROLS, True, lambda v: ST.logit_trend(three_star(v), "neg", _CONTROLS, "cat"))
 _CEN = """(SELECT *, x-avg(x) OVER () AS dx, y-avg(y) OVER () AS dy FROM (SELECT (yr-2013)::DOUBLE AS x, (majority='NEGATIVE')::INT::DOUBLE AS y FROM voted WHERE rating_star=3))"""
 query(
     "ST3_lpm_hc1_single",
     f"""SELECT n, round(b,8) AS b, round(sqrt(n/(n-2)*meat/(sxx*sxx)),8) AS se_hc1 FROM (SELECT any_value(n)::DOUBLE AS n, any_value(b) AS b, any_value(sxx) AS sxx, sum(dx*dx*(dy-b*dx)*(dy-b*dx)) AS meat FROM
       {_CEN}, (SELECT count(*) AS n, sum(dx*dy)/sum(dx*dx) AS b, sum(dx*dx) AS sxx FROM {_CEN}))""",
 )(lambda v: rounded(ST.lpm_hc1_single(three_star(v), "neg", "yc"), "b", "se_hc1"))
-query("ST3_lpm_hc1_category")(lambda v: ST.lpm_hc1(three_star(v), "neg", ["yc"], "cat"))
-query("ST4_tertile_trends")(
-    lambda v: ST.stratified_trend(ST.quantile_bins(three_star(v), "text_len"), "bin", ["short", "medium", "long"], "neg", ["yc"])
+_OLS, _OLS_PARTS = fitsql.ols_hc1(fit_rows(["yc"], True), 1, ["yc"], "cat")
+query("ST3_lpm_hc1_category", f"SELECT term, b, se_hc1, p FROM ({_OLS})", _OLS_PARTS)(
+    lambda v: rounded(ST.lpm_hc1(three_star(v), "neg", ["yc"], "cat"), "b", "se_hc1", "p", digits=6)
 )
-query("ST4_four_star_trend")(lambda v: ST.logit_trend(three_star(v, 4), "neg", ["yc", "loglen"], "cat"))
+_BINS = """(SELECT v.*, CASE WHEN text_len<=c[1] THEN 'short' WHEN text_len<=c[2] THEN 'medium' ELSE 'long' END AS bin FROM voted v,
+  (SELECT quantile_cont(text_len, [1/3, 2/3]) AS c FROM voted WHERE rating_star=3))"""
+fit_query(
+    "ST4_tertile_trends", fit_rows(["yc"], False, g="bin", source=_BINS), ["yc"], False,
+    lambda v: ST.stratified_trend(ST.quantile_bins(three_star(v), "text_len"), "bin", ["short", "medium", "long"], "neg", ["yc"]), "stratum",
+)
+fit_query("ST4_four_star_trend", fit_rows(["yc", "loglen"], True, 4), ["yc", "loglen"], True, lambda v: ST.logit_trend(three_star(v, 4), "neg", ["yc", "loglen"], "cat"))
 query(
     "ST5_linear_trend",
     """SELECT rating_star, n, round(slope,8) AS slope, round(se,8) AS se, round(slope/se,8) AS t FROM (SELECT rating_star, count(*) AS n, regr_slope(y,x) AS slope,
@@ -162,18 +187,18 @@ query("ST5_linear_trend_p")(
 query("ST6_negative_share", "SELECT rating_star, yr, count(*) n, avg((majority='NEGATIVE')::INT) AS share FROM voted GROUP BY 1, 2")(
     lambda v: ST.negative_share_by_year_star(voted(v))
 )
-query("ST7_sensitivity_set")(
-    lambda v: ST.sensitivity_set(
-        three_star(v),
-        {
-            "negative": (None, F.col("majority") == "NEGATIVE"),
-            "neutral": (None, F.col("majority") == "NEUTRAL"),
-            "neutral_or_mixed": (None, F.col("majority").isin("NEUTRAL", "MIXED")),
-            "negative_without_unclear": (~F.col("majority").isin("NO_MAJORITY", "UNCLEAR"), F.col("majority") == "NEGATIVE"),
-        },
-        ["yc"],
-        "cat",
-    )
+_VARIANTS = {
+    "negative": ("true", "majority='NEGATIVE'"),
+    "neutral": ("true", "majority='NEUTRAL'"),
+    "neutral_or_mixed": ("true", "majority IN ('NEUTRAL','MIXED')"),
+    "negative_without_unclear": ("majority NOT IN ('NO_MAJORITY','UNCLEAR')", "majority='NEGATIVE'"),
+}
+fit_query(
+    "ST7_sensitivity_set",
+    " UNION ALL ".join(fit_rows(["yc"], True, g=f"'{name}'", y=f"({y})::INT", keep=keep) for name, (keep, y) in _VARIANTS.items()),
+    ["yc"], True,
+    lambda v: ST.sensitivity_set(three_star(v), {name: (None if keep == "true" else F.expr(keep), F.expr(y)) for name, (keep, y) in _VARIANTS.items()}, ["yc"], "cat"),
+    "variant", "term='yc'",
 )
 
 # ---- shift-share -------------------------------------------------------------------------------

@@ -9,19 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators.fits import Z95, grouped_logit, grouped_ols_hc1
 from tidemark.session import broadcast_checked, cut
 
-Z95 = 1.959963984540054  # Fixed value: normal quantile of a 95 % interval.
-
 
 def collapse_rare(df: DataFrame, col: str, min_n: int = 30, name: str = "cat", other: str = "(other)") -> DataFrame:
     """Values seen fewer than min_n times become one value."""
@@ -40,46 +34,9 @@ def quantile_bins(df: DataFrame, col: str, labels: Sequence[str] = ("short", "me
     return df.withColumn("_cuts", cuts).withColumn(name, out.otherwise(labels[-1])).drop("_cuts")
 
 
-def _design(df: DataFrame, y: str, x: Sequence[str], factor: str | None) -> tuple[DataFrame, list[str]]:
-    """Distinct regressor rows with counts, a feature vector and the names of its slots."""
-    num = [F.col(c).cast("double").alias(c) for c in x]
-    cols = [F.col(y).cast("double").alias("_y"), *num, *([F.col(factor)] if factor else [])]
-    cells = df.select(*cols).groupBy("_y", *x, *([factor] if factor else [])).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    names = list(x)
-    inputs = list(x)
-    if factor:
-        indexer = StringIndexer(inputCol=factor, outputCol="_fi", stringOrderType="alphabetDesc").fit(cells)
-        levels = indexer.labels
-        if len(levels) > 1:
-            cells = indexer.transform(cells)
-            cells = OneHotEncoder(inputCol="_fi", outputCol="_fv", dropLast=True).fit(cells).transform(cells)
-            inputs.append("_fv")
-            names += [f"{factor}={v}" for v in levels[:-1]]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(cells), names
-
-
-TREND_SCHEMA = T.StructType(
-    [T.StructField("term", T.StringType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("b", "se", "odds_ratio", "lo", "hi", "p")]
-)
-
-
 def logit_trend(df: DataFrame, y: str, x: Sequence[str], factor: str | None = None, max_iter: int = 50) -> DataFrame:
     """Binary logit of y on x with optional category effects: coefficient, error, odds ratio, 95 % interval, p."""
-    design, names = _design(df, y, x, factor)
-    glr = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="_y", weightCol="_w", featuresCol="features", maxIter=max_iter, tol=1e-10
-    )
-    model = glr.fit(design)
-    coef = [*model.coefficients, model.intercept]
-    se = model.summary.coefficientStandardErrors
-    p = model.summary.pValues
-    odds = lambda v: math.exp(v) if v < 709.0 else math.inf  # noqa: E731  beyond it a double has no number
-    rows = [
-        (t, float(b), float(s), odds(b), odds(b - Z95 * s), odds(b + Z95 * s), float(q))
-        for t, b, s, q in zip([*names, "(intercept)"], coef, se, p)
-    ]
-    return df.sparkSession.createDataFrame(rows, TREND_SCHEMA)
+    return grouped_logit(df, y, x, factor, max_iter=max_iter)
 
 
 def binary_logit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -106,51 +63,15 @@ def binary_logit(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def _normal_p(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-LPM_SCHEMA = "term string, b double, se_hc1 double, p double"
-
-
 def lpm_hc1(df: DataFrame, y: str, x: Sequence[str], factor: str | None = None) -> DataFrame:
-    """Linear probability model with HC1 errors.
-
-    Tasks reduce their rows to one cross-product matrix; matrices are added by an aggregate on
-    (i, j). Only p x p numbers reach the driver, which solves the normal equations.
-    """
-    design, names = _design(df, y, x, factor)
-    rows = design.select("_y", "_w", vector_to_array("features").alias("x"))
-    p = len(names) + 1
-
-    def products(weights):
-        def run(batches):
-            acc = np.zeros((p + 1, p + 1))
-            for pdf in batches:
-                m = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy()), pdf["_y"].to_numpy()])
-                acc += (m * weights(m, pdf["_w"].to_numpy())[:, None]).T @ m
-            i, j = np.meshgrid(range(p + 1), range(p + 1), indexing="ij")
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": acc.ravel()})
-
-        out = np.zeros((p + 1, p + 1))
-        summed = rows.mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-        for r in summed.collect():  # (p + 1)^2 numbers
-            out[r.i, r.j] = r.v
-        return out
-
-    a = products(lambda m, w: w)
-    xtx, xty, n = a[:p, :p], a[:p, p], a[0, 0]
-    beta = np.linalg.solve(xtx, xty)
-    meat = products(lambda m, w: w * (m[:, p] - m[:, :p] @ beta) ** 2)[:p, :p]
-    bread = np.linalg.inv(xtx)
-    se = np.sqrt(np.diag(bread @ meat @ bread) * n / (n - p))
-    terms = ["(intercept)", *names]
-    data = [(t, float(b), float(s), _normal_p(b / s) if s > 0 else 0.0) for t, b, s in zip(terms, beta, se)]
-    return df.sparkSession.createDataFrame(data, LPM_SCHEMA)
+    """Linear probability model with HC1 errors: (term, b, se_hc1, p)."""
+    return grouped_ols_hc1(df, y, x, factor)
 
 
 def lpm_hc1_single(df: DataFrame, y: str, x: str) -> DataFrame:
-    """The same for one regressor, in closed form: distinct (x, y) pairs, then sums of moments."""
+    """The same for one regressor, in closed form: distinct (x, y) pairs, then sums of moments.
+
+    Null slope and error on a constant regressor, null error with two rows or fewer."""
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy("x", "y").agg(
         F.count(F.lit(1)).cast("double").alias("w")
     )
@@ -159,32 +80,29 @@ def lpm_hc1_single(df: DataFrame, y: str, x: str) -> DataFrame:
     m = pairs.agg(F.struct(F.sum(w).alias("n"), (F.sum(w * xx) / F.sum(w)).alias("x"), (F.sum(w * yy) / F.sum(w)).alias("y"))).scalar()
     centred = pairs.withColumn("_m", m).select("w", (xx - F.col("_m.x")).alias("dx"), (yy - F.col("_m.y")).alias("dy"), "_m.n")
     dx, dy, n = F.col("dx"), F.col("dy"), F.col("n")
-    fit = centred.agg(F.struct((F.sum(w * dx * dy) / F.sum(w * dx * dx)).alias("b"), F.sum(w * dx * dx).alias("sxx"))).scalar()
+    fit = centred.agg(F.struct(F.try_divide(F.sum(w * dx * dy), F.sum(w * dx * dx)).alias("b"), F.sum(w * dx * dx).alias("sxx"))).scalar()
     e = dy - F.col("_f.b") * dx
     out = centred.withColumn("_f", fit).groupBy("n", "_f.b", "_f.sxx").agg(F.sum(w * dx * dx * e * e).alias("meat"))
-    return out.select("n", "b", F.sqrt(n / (n - 2) * F.col("meat") / (F.col("sxx") * F.col("sxx"))).alias("se_hc1"))
+    return out.select("n", "b", F.sqrt(F.try_divide(F.try_divide(n, n - 2) * F.col("meat"), F.col("sxx") * F.col("sxx"))).alias("se_hc1"))
 
 
 def stratified_trend(
     df: DataFrame, strata: str, values: Sequence, y: str, x: Sequence[str], factor: str | None = None
 ) -> DataFrame:
-    """The trend inside each stratum, stacked. One distributed fit per named stratum."""
-    out = None
-    for v in values:
-        part = logit_trend(df.filter(F.col(strata) == v), y, x, factor).select(F.lit(v).alias("stratum"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The trend inside each named stratum, all of them fitted in one job."""
+    fits = grouped_logit(df.filter(F.col(strata).isin(*values)), y, x, factor, [strata])
+    return fits.withColumnRenamed(strata, "stratum")
 
 
 def sensitivity_set(df: DataFrame, variants: dict, x: Sequence[str], factor: str | None = None) -> DataFrame:
-    """The trend under several definitions: name -> (row filter or None, outcome column)."""
-    out = None
-    for name, (keep, outcome) in variants.items():
-        rows = df if keep is None else df.filter(keep)
-        part = logit_trend(rows.withColumn("_out", outcome.cast("int")), "_out", x, factor)
-        part = part.filter(F.col("term") == x[0]).select(F.lit(name).alias("variant"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The trend under several definitions: name -> (row filter or None, outcome column). One job fits all of them.
+
+    A row enters each variant that keeps it; rows with equal regressors are counted before the first round.
+    """
+    kept = [(F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)), F.struct(F.lit(name).alias("variant"), outcome.cast("int").alias("_out"))) for name, (keep, outcome) in variants.items()]
+    each = F.explode(F.array_compact(F.array(*[F.when(keep, value) for keep, value in kept])))
+    rows = df.select(*x, *([factor] if factor else []), each.alias("_v")).select(*x, *([factor] if factor else []), "_v.variant", "_v._out")
+    return grouped_logit(rows, "_out", x, factor, ["variant"]).filter(F.col("term") == x[0])
 
 
 def _t_two_sided(t: float, dof: float) -> float:
