@@ -101,6 +101,34 @@ query(
     )
 )
 
+_UNSURE = "item_id IN (SELECT item_id FROM complete GROUP BY item_id HAVING bool_or(label='UNCLEAR'))"
+_SUBSETS = {
+    "a and b agree": f"item_id IN ({_AGREE})",
+    "none is unsure": f"NOT {_UNSURE}",
+    "early": "item_id IN (SELECT item_id FROM rated_items WHERE period='early')",
+    "late and none is unsure": f"item_id IN (SELECT item_id FROM rated_items WHERE period='late') AND NOT {_UNSURE}",
+}
+query(
+    "AN6_agreement_by_subset",
+    kappa_sql("subset, a, b", "pr"),
+    {"pr": " UNION ALL ".join(f"SELECT '{name}' AS subset, * FROM ({PAIRS.format('complete')}) WHERE {keep}" for name, keep in _SUBSETS.items())},
+)(
+    lambda v: rounded(
+        R.agreement_subsets(
+            complete(v),
+            RATERS,
+            {
+                "a and b agree": F.col("rater_a") == F.col("rater_b"),
+                "none is unsure": ~F.array_contains(F.array(*RATERS), "UNCLEAR"),
+                "early": F.col("period") == "early",
+                "late and none is unsure": (F.col("period") == "late") & ~F.array_contains(F.array(*RATERS), "UNCLEAR"),
+            },
+            v.rated_items.select("item_id", "period"),
+        ),
+        "agreement", "kappa",
+    )
+)
+
 # ---- trends ---------------------------------------------------------------------------------------
 
 query(

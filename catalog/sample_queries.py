@@ -94,6 +94,16 @@ query(
           AND text_hash IN (SELECT text_hash FROM nu)""",
     },
 )(lambda v: J.candidate_rows(D.nonunique_items(v.pool, v.samples), v.reviews))
+query(
+    "JN10_candidate_lists",
+    """SELECT k.key_id, n_items, n_rows, n_different FROM (SELECT md5(concat_ws('|', user_id, parent_asin, text_hash)) AS key_id, count(*) AS n_items FROM nu GROUP BY ALL) k
+      JOIN (SELECT md5(concat_ws('|', user_id, parent_asin, text_hash)) AS key_id, count(*) AS n_rows, count(DISTINCT (asin, ts, rating)) AS n_different
+        FROM reviews WHERE rating BETWEEN 1 AND 5 GROUP BY ALL) USING (key_id)""",
+    {"nu": NONUNIQUE},
+)(
+    lambda v: (lambda keys, lists: lists.groupBy("key_id").agg(F.sum("n").alias("n_rows"), F.sum(F.size("candidates")).alias("n_different"))
+    .join(keys.groupBy("key_id").agg(F.count(F.lit(1)).alias("n_items")), "key_id"))(*J.candidate_lists(D.nonunique_items(v.pool, v.samples), v.reviews, 2))
+)
 query(
     "JN11_chained_using",
     """SELECT item_id, count(*) OVER (PARTITION BY user_id, parent_asin) AS n_pair, count(*) OVER (PARTITION BY user_id, parent_asin, y) AS n_pair_label

@@ -16,6 +16,7 @@ from tidemark.functions import labels as L
 from tidemark.functions import text as X
 from tidemark.functions.time import epoch_month, epoch_year, in_years
 from tidemark.operators.profile import pct_of_total
+from tidemark.operators.winners import split_repeated
 
 RECORD = ("user_id", "asin", "ts", "text_hash")
 
@@ -65,21 +66,22 @@ def duplicate_groups(reviews: DataFrame, min_len: int = 50) -> DataFrame:
 
 
 def text_sharing(reviews: DataFrame, min_len: int = 50) -> DataFrame:
-    """(text_hash, n_rows, n_users, n_parent) with the last two capped at 2 ('several').
+    """(text_hash, n_rows, n_users, n_parent) with the last two as none (0), one (1) or several (2); nulls don't count.
 
-    Telling one from several needs only the smallest and largest value: one aggregation, where
-    exact distinct counts would copy every row once per counted column.
+    Telling one from several needs only the smallest and largest 64-bit hash, which a hash aggregate holds: no row is
+    copied and no string compared. Two different values pass for one if their hashes agree, with odds of 2^-64 a pair.
     """
-    several = lambda lo, hi: F.when(F.col(lo) == F.col(hi), 1).otherwise(2)
+    several = lambda lo, hi: F.when(F.col(lo).isNull(), 0).when(F.col(lo) == F.col(hi), 1).otherwise(2)
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
     ends = (
         reviews.filter(F.col("text_len") >= min_len)
         .groupBy("text_hash")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.min("user_id").alias("_u0"),
-            F.max("user_id").alias("_u1"),
-            F.min("parent_asin").alias("_p0"),
-            F.max("parent_asin").alias("_p1"),
+            F.min(hashed("user_id")).alias("_u0"),
+            F.max(hashed("user_id")).alias("_u1"),
+            F.min(hashed("parent_asin")).alias("_p0"),
+            F.max(hashed("parent_asin")).alias("_p1"),
         )
     )
     return ends.select("text_hash", "n_rows", several("_u0", "_u1").alias("n_users"), several("_p0", "_p1").alias("n_parent"))
@@ -150,27 +152,25 @@ def exact_record_duplicates(reviews: DataFrame) -> DataFrame:
 def dedup_pool(reviews: DataFrame, first_year: int = 2013, last_year: int = 2023, carry: Sequence[str] = ()) -> DataFrame:
     """One row per record, the most helpful copy, for valid ratings, texts and years.
 
-    The winner is found by an aggregate, not a ranking window: copies are combined before
-    the shuffle, so a record repeated a billion times is still one row per map task.
+    Records that occur once, nearly all of them, pass without a shuffle or sort of their texts. Of the others the winner is
+    found by an aggregate, not a ranking window: copies are combined before the shuffle, so a record repeated a billion
+    times is still one row per map task.
     """
     payload = ["rating", "parent_asin", "text", "text_len", "verified_purchase", *carry]
     rank = F.struct(
         F.col("helpful_vote"), F.col("rating"), F.col("parent_asin"), F.col("text"), F.col("verified_purchase"),
         *[F.col(c) for c in carry], F.col("text_len"),
     )
-    best = (
-        reviews.filter(F.col("rating").between(1, 5) & (F.col("text_len") > 0) & in_years("ts", first_year, last_year))
-        .groupBy(*RECORD)
-        .agg(F.max(rank).alias("_v"))
-    )
-    return best.select(
+    valid = reviews.filter(F.col("rating").between(1, 5) & (F.col("text_len") > 0) & in_years("ts", first_year, last_year))
+    wanted = [*RECORD, "helpful_vote", *payload]
+    lone, repeated = split_repeated(valid.select(wanted), RECORD)
+    best = repeated.groupBy(*RECORD).agg(F.max(rank).alias("_v")).select(*RECORD, *[f"_v.{c}" for c in wanted[len(RECORD) :]])
+    return lone.unionByName(best).select(
         K.item_id(*RECORD).alias("item_id"),
-        *RECORD,
-        "_v.helpful_vote",
-        *[f"_v.{c}" for c in payload],
+        *wanted,
         epoch_year("ts").alias("yr"),
         epoch_month("ts").alias("month"),
-        L.rating_to_label(F.col("_v.rating")).alias("y"),
+        L.rating_to_label(F.col("rating")).alias("y"),
     )
 
 
@@ -202,9 +202,9 @@ def distinct_match_keys(keys: DataFrame) -> DataFrame:
 
 
 def _loose_groups(keys: DataFrame) -> DataFrame:
-    variants = keys.groupBy("loose").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("exact").alias("_lo"), F.max("exact").alias("_hi")
-    )
+    """Groups of more than one exact text: their smallest and largest 64-bit hash differ (equal by chance: 2^-64 a pair)."""
+    h = F.xxhash64("exact")
+    variants = keys.groupBy("loose").agg(F.count(F.lit(1)).alias("n_rows"), F.min(h).alias("_lo"), F.max(h).alias("_hi"))
     return variants.filter("_lo <> _hi").select("loose", "n_rows")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize_words, word_tokens
 from tidemark.operators.sampling import dense_index
+from tidemark.operators.winners import largest_n
 
 
 def term_counts(docs: DataFrame, ngrams: tuple[int, ...] = (1, 2), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -36,7 +37,8 @@ def tfidf_terms(
     """(term, df, cf, idf): terms in min_df documents, the max_terms most frequent ones, idf = ln((1+n)/(1+df)) + 1.
 
     Tokens are sorted inside each document, so the first of a run counts the document and every token
-    counts the corpus: one explode and one shuffle of partial counts by term.
+    counts the corpus: one explode and one shuffle of partial counts by term. The cut at max_terms comes from histograms
+    of the written counts.
     """
     sorted_tokens = docs.select(F.sort_array(tokenize_words(text, ngrams)).alias("_t"))
     before = lambda i: F.get(F.col("_t"), i - 1)
@@ -45,7 +47,7 @@ def tfidf_terms(
     counts = (
         tokens.groupBy("t.term").agg(F.count_if("t.first").alias("df"), F.count(F.lit(1)).alias("cf")).filter(F.col("df") >= min_df)
     )
-    top = counts.orderBy(F.desc("cf"), "term").limit(max_terms)
+    top = largest_n(counts, max_terms, "cf", "term")
     n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1) + F.col("_n")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     return top.withColumn("_n", n).select("term", "df", "cf", idf.alias("idf"))

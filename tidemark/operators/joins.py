@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_month, epoch_year
+from tidemark.operators.winners import best_rows
+from tidemark.session import cut
 
 
 def dedup_dimension(dim: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -64,11 +66,35 @@ def recover_timestamp(items: DataFrame, reviews: DataFrame) -> DataFrame:
     return items.select("item_id", *keys).join(earliest, keys).select("item_id", "ts", epoch_month("ts").alias("month"))
 
 
+PUBLIC_KEY = ["user_id", "parent_asin", "text_hash"]
+
+
+def candidate_lists(items: DataFrame, reviews: DataFrame, part_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(key_id, item_id) and (key_id, part, n, candidates): all valid raw rows that share an item's key, once for each key.
+
+    A key with k items and m rows is k + m values here and k x m rows when joined. Keys of more than ``part_rows`` rows are
+    dealt over several lists by a hash of the row, so no list, and no task that makes one, grows with a key. ``candidates`` is
+    an array of (asin, ts, rating, n): equal rows are one entry with their number.
+    """
+    named = items.select("item_id", *PUBLIC_KEY).withColumn("key_id", F.md5(F.concat_ws("|", *PUBLIC_KEY)))
+    wanted = named.select("key_id", *PUBLIC_KEY).distinct()
+    raw = reviews.filter(F.col("rating").between(1, 5)).groupBy(*PUBLIC_KEY, "asin", "ts", "rating").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(raw.join(wanted, PUBLIC_KEY).select("key_id", "asin", "ts", "rating", "n"))
+    parts = rows.groupBy("key_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")).filter("parts > 1")
+    dealt = rows.join(parts, "key_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("asin", "ts", "rating"), F.col("parts")).cast("int"), F.lit(0)))
+    lists = dealt.groupBy("key_id", "part").agg(F.sum("n").alias("n"), F.collect_list(F.struct("asin", "ts", "rating", "n")).alias("candidates"))
+    return named.select("key_id", "item_id"), lists
+
+
+def expand_candidates(keys: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, asin, ts, rating) for every item and candidate row, for those who need k x m rows."""
+    each = keys.join(lists, "key_id").select("item_id", F.explode("candidates").alias("c"))
+    return each.select("item_id", "c.asin", "c.ts", "c.rating", F.explode(F.sequence(F.lit(1), F.col("c.n").cast("int"))).alias("_i")).drop("_i")
+
+
 def candidate_rows(items: DataFrame, reviews: DataFrame) -> DataFrame:
     """All valid raw rows that share an item's key."""
-    keys = ["user_id", "parent_asin", "text_hash"]
-    raw = reviews.filter(F.col("rating").between(1, 5)).select(*keys, "asin", "ts", "rating")
-    return items.select("item_id", *keys).join(raw, keys).select("item_id", "asin", "ts", "rating")
+    return expand_candidates(*candidate_lists(items, reviews))
 
 
 def lookup(df: DataFrame, table: dict, key: str, name: str, default=None) -> DataFrame:
@@ -79,16 +105,14 @@ def lookup(df: DataFrame, table: dict, key: str, name: str, default=None) -> Dat
 
 
 def ratio_of_counts(a: DataFrame, b: DataFrame, name: str = "ratio") -> DataFrame:
-    """count(a) / count(b) with the second count as a scalar subquery."""
+    """count(a) / count(b) with the second count as a scalar subquery; null if b is empty."""
     other = b.agg(F.count(F.lit(1))).scalar()
-    return a.agg(F.count(F.lit(1)).alias("n_a")).withColumn("n_b", other).withColumn(name, F.col("n_a") / F.col("n_b"))
+    return a.agg(F.count(F.lit(1)).alias("n_a")).withColumn("n_b", other).withColumn(name, F.try_divide("n_a", "n_b"))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key: the one that comes last in the given order. Partial aggregation, no sort."""
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_v")).select(*keys, *[f"_v.{c}" for c in rest])
+    """One row per key: the one that comes last in the given order. Rows of lone keys are neither shuffled nor sorted."""
+    return best_rows(df, keys, order)
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:

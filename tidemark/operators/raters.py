@@ -31,17 +31,34 @@ def kappa_columns(la: Column, lb: Column, n: Column, labels: Sequence[str] = ALL
     return {"n": total, "agreement": po, "kappa": F.try_divide(po - pe, F.lit(1.0) - pe)}
 
 
-def rater_patterns(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, r0, r1, ..., n): counts of joint label patterns; null where a rater has no label."""
-    wide = labels.groupBy("item_id", *by).agg(
-        *[F.max(F.when(F.col("rater") == r, F.col("label"))).alias(f"r{i}") for i, r in enumerate(raters)]
-    )
-    return wide.groupBy(*by, *[f"r{i}" for i in range(len(raters))]).agg(F.count(F.lit(1)).alias("n"))
+def rater_patterns(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = (), label_set: Sequence[str] = ALL_LABELS) -> DataFrame:
+    """(by, r0, r1, ..., n): counts of joint label patterns; null where a rater has no label.
+
+    Labels are counted as their places in the sorted label set, small numbers that a hash aggregate holds; a label outside
+    of it fails the job. Of several labels of one rater for an item the last by name counts.
+    """
+    wide = _wide_codes(labels, raters, by, label_set)
+    cells = wide.groupBy(*by, *[f"r{i}" for i in range(len(raters))]).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(x) for x in sorted(label_set)])
+    return cells.withColumns({f"r{i}": F.get(names, F.col(f"r{i}")) for i in range(len(raters))})
+
+
+def _wide_codes(labels: DataFrame, raters: Sequence[str], by: Sequence[str], label_set: Sequence[str]) -> DataFrame:
+    """(item_id, by, r0, r1, ...): each rater's label as its place in the sorted label set."""
+    names = sorted(label_set)
+    code = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label")) - 1
+    known = F.when(code >= 0, code).when(F.col("label").isNotNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.col("label"))).cast("long")).cast("int")
+    coded = labels.filter(F.col("rater").isin(*raters)).select("item_id", *by, "rater", known.alias("_c"))
+    return coded.groupBy("item_id", *by).agg(*[F.max(F.when(F.col("rater") == r, F.col("_c"))).alias(f"r{i}") for i, r in enumerate(raters)])
 
 
 def cohen_kappa(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = (), label_set: Sequence[str] = ALL_LABELS) -> DataFrame:
     """(by, a, b, n, agreement, kappa) for every pair of raters over items both labelled."""
-    cells = rater_patterns(labels, raters, by)
+    return _pair_kappas(rater_patterns(labels, raters, by, label_set), raters, by, label_set)
+
+
+def _pair_kappas(cells: DataFrame, raters: Sequence[str], by: Sequence[str], label_set: Sequence[str]) -> DataFrame:
+    """Kappa of every pair of raters from counted label patterns."""
     pairs = [(i, j) for i in range(len(raters)) for j in range(i + 1, len(raters))]
     long = cells.select(
         *by,
@@ -62,6 +79,33 @@ def cohen_kappa(labels: DataFrame, raters: Sequence[str], by: Sequence[str] = ()
     return long.groupBy(*by, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(*[c.alias(k) for k, c in cols.items()])
 
 
+def agreement_subsets(
+    labels: DataFrame, raters: Sequence[str], subsets: dict[str, Column], items: DataFrame | None = None, label_set: Sequence[str] = ALL_LABELS
+) -> DataFrame:
+    """(subset, a, b, n, agreement, kappa) for every pair of raters over several, possibly overlapping, subsets of items.
+
+    ``subsets`` maps a name to a predicate over the raters' labels (columns named like the raters) and the columns of
+    ``items`` (item_id and attributes; items without a row there have nulls). A predicate that is null keeps the item out.
+    Items are folded once: each label pattern with the bit mask of the predicates it fulfils is one counted row, and every
+    subset sums the rows whose mask has its bit. A subset without items gives no rows.
+    """
+    if len(subsets) > 62:
+        raise ValueError("at most 62 subsets fit a mask")
+    codes = [f"r{i}" for i in range(len(raters))]
+    wide = _wide_codes(labels, raters, (), label_set)
+    names = F.array(*[F.lit(x) for x in sorted(label_set)])
+    told = wide.select("item_id", *codes, *[F.get(names, F.col(c)).alias(r) for c, r in zip(codes, raters)])
+    if items is not None:
+        told = told.join(items, "item_id", "left")
+    mask = F.lit(0).cast("long")
+    for i, keep in enumerate(subsets.values()):
+        mask = mask.bitwiseOR(F.when(keep, F.lit(1 << i)).otherwise(0).cast("long"))
+    cells = told.select(*codes, mask.alias("_mask")).filter("_mask <> 0").groupBy(*codes, "_mask").agg(F.count(F.lit(1)).alias("n"))
+    held = F.array_compact(F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(name)) for i, name in enumerate(subsets)]))
+    each = cells.select(F.explode(held).alias("subset"), *[F.get(names, F.col(c)).alias(c) for c in codes], "n")
+    return _pair_kappas(each, raters, ["subset"], label_set)
+
+
 def _label_counts(labels: DataFrame) -> DataFrame:
     """Labels of each kind per item; a label outside the five fails the job."""
     known = F.when(F.col("label").isNull() | F.col("label").isin(*LABELS), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col("label"))))

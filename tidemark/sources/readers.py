@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import keep_last
+from tidemark.session import cut
 from tidemark.sources import schemas
 
 
@@ -47,7 +48,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def effective_labels(log: DataFrame) -> DataFrame:
     """The label that counts per (source, model, item): the last one that is not null."""
     labelled = log.filter(F.col("label").isNotNull()).select("source", "model", "item_id", "label", "utc")
-    return keep_last(labelled, ["source", "model", "item_id"], ["utc", "label"]).select("source", "model", "item_id", "label")
+    return keep_last(cut(labelled), ["source", "model", "item_id"], ["utc", "label"]).select("source", "model", "item_id", "label")
 
 
 # Fixed value: ``<source>__<model>`` in the name of a log file, or of the folder Spark wrote it to.
