@@ -181,11 +181,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     classes = T.StructType([T.StructField("sha", T.BinaryType()) if f.name == "body" else f for f in links])
     groups = cut(owned.mapInArrow(partial(_own, kind=kind), classes))
 
-    found = entries.select("id", "h", "sha", "row").join(groups.filter("rows > 1"), ["h", "sha"], "left")
     best = F.col("id").eqNullSafe(F.col("top"))
     # Several rows with the largest id: the first of them stays. Only those rows are looked at once more.
     tied = entries.join(groups.filter("tops > 1").select("h", "sha", "top"), ["h", "sha"]).filter(best).groupBy("h", "sha").agg(F.min("row").alias("first"))
-    found = found.join(tied, ["h", "sha"], "left")
+    several = cut(groups.filter("rows > 1").join(tied, ["h", "sha"], "left"))
+    # The one join of all rows stands alone, so that Spark may split a key that very many of them share.
+    found = entries.select("id", "h", "sha", "row").join(several, ["h", "sha"], "left")
     return found.select(
         F.col("id").alias(key),
         F.when(F.col("rows").isNull(), F.col("id")).otherwise(F.col("top")).alias("keep_id"),
