@@ -85,3 +85,12 @@ def base_scores(rows):
             train.update([*words(lower(text)), None])
     n, v = train.total(), len(train)
     return {key: sum(math.log10((train[t] + 1) / (n + v + 1)) for t in [*words(lower(text)), None]) for key, text in rows}, n
+
+
+def shingles(line, k=7):
+    return {line[i : i + k] for i in range(len(line) - k + 1)}
+
+
+def alike(a, b, least=0.8):
+    """Jaccard similarity of two sets of at least ``least``."""
+    return len(a & b) >= least * len(a | b)

@@ -4,6 +4,7 @@ import collections
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def brute_lines(rows):
             if line:
                 lines.setdefault(line, []).append((i, n, j))
     names = list(lines)
-    sets = [line_dedup._shingles(x, line_dedup.SHINGLE) for x in names]
+    sets = [H.shingles(x, line_dedup.SHINGLE) for x in names]
     links = [(i, j) for i in range(len(names)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = H.roots(range(len(names)), links)
     first = {}
@@ -234,8 +235,8 @@ def test_line_dedup_links_across_the_parts_of_a_hot_bucket(spark, monkeypatch):
         hg, hr, ha = (line_dedup.line_hash(x.encode()) for x in lines)
         if not (hg < hr < ha and part3(hr) == part3(ha) != part3(hg)):
             continue
-        sg, sr, sa = (line_dedup._shingles(x, line_dedup.SHINGLE) for x in lines)
-        if not (line_dedup.jaccard_at_least(sa, sr, 0.8) and line_dedup.jaccard_at_least(sa, sg, 0.8) and not line_dedup.jaccard_at_least(sr, sg, 0.8)):
+        sg, sr, sa = (H.shingles(x, line_dedup.SHINGLE) for x in lines)
+        if not (H.alike(sa, sr) and H.alike(sa, sg) and not H.alike(sr, sg)):
             continue
         if len({int(k) for k in line_dedup.band_keys(line_dedup.signatures(lines, bins=1), 1)[:, 0]}) == 1:
             break
@@ -283,7 +284,7 @@ def test_signatures_estimate_jaccard():
     near = [x[:-30] + prose(rng, 6) for x in lines]
     sig = line_dedup.signatures(lines + near + ["1234567"], bins=480)
     for i in range(30):
-        a, b = (line_dedup._shingles(x, line_dedup.SHINGLE) for x in (lines[i], near[i]))
+        a, b = (H.shingles(x, line_dedup.SHINGLE) for x in (lines[i], near[i]))
         assert abs((sig[i] == sig[30 + i]).mean() - len(a & b) / len(a | b)) < 0.12
     assert len(set(sig[60].tolist())) == 1
 
@@ -406,3 +407,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert max(ids(mixed[1]).values()) <= 2 and set(ids(mixed[1])) <= set(ids(mixed[0]))
     assert ids(coded[1]) == ids(mixed[1]) and coded[2] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert collections.Counter(P.run(spark, str(folder)).collect()) == collections.Counter(coded[1])
+
+
+def test_shingle_numbers_are_exact_sets():
+    rng = random.Random(12)
+    for alphabet in ("ab", "abcdefghij \U0001f642é", [chr(c) for c in range(0x100, 0x500)]):
+        lines = ["".join(rng.choice(alphabet) for _ in range(rng.randint(7, 60))) for _ in range(40)]
+        lines += [x[:20] + "zzz" + x[23:] for x in lines if len(x) > 25]
+        sets = line_dedup.shingle_sets(lines, 7)
+        for i, a in enumerate(lines):
+            assert len(sets[i]) == len(H.shingles(a))
+            for j, b in enumerate(lines[:i]):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(H.shingles(a) & H.shingles(b))
+                for least in (0.3, 0.8):
+                    assert line_dedup.jaccard_at_least(sets[i], sets[j], least) == H.alike(H.shingles(a), H.shingles(b), least)

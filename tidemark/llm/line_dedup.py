@@ -19,6 +19,7 @@ SHINGLE, SIMILARITY = 7, 0.8
 #: A signature of BANDS x ROWS minima; lines of similarity 0.8 share a band with a chance of 0.998, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
 BLANK = " \t\n\x0b\x0c\r"
+_BLANK = BLANK.encode()
 #: Rows of one band value that one task may get beyond twice the mean of its cell; more are dealt by the line's hash.
 BUCKET_ROWS = 200_000
 CELLS = 1 << 14
@@ -101,15 +102,16 @@ def _sign(batches, text: str, row: str, key: str, shingle: int, bands: int, rows
         for start, _, raw in text_steps(batch.column(batch.schema.get_field_index(text)), 1_500_000):
             place, number, hashes, new, order = [], [], [], {}, []
             for i, x in enumerate(raw, start):
-                for j, line in enumerate(x.decode("utf-8", "replace").split("\n")):
-                    line = line.strip(BLANK)
+                for j, line in enumerate(x.split(b"\n")):
+                    line = line.strip(_BLANK)
                     if line:
                         place.append(i)
                         number.append(j)
-                        h = line_hash(line.encode())
+                        h = line_hash(line)
                         hashes.append(h)
                         order.append(h in new)
-                        new.setdefault(h, line)
+                        if h not in new:
+                            new[h] = line.decode("utf-8", "replace")
             long = {h: i for i, h in enumerate(h for h, line in new.items() if len(line) >= shingle)}
             if long:
                 keyed = band_keys(signatures([new[h] for h in long], shingle, bands * rows), bands)
@@ -153,8 +155,8 @@ def _pick(batches, text: str, wanted):
         for _, _, raw in text_steps(batch.column(batch.schema.get_field_index(text))):
             found = {}
             for x in raw:
-                for line in x.decode("utf-8", "replace").split("\n"):
-                    line = line.strip(BLANK).encode()
+                for line in x.split(b"\n"):
+                    line = line.strip(_BLANK)
                     if line:
                         h = line_hash(line)
                         bit = h % MAP_BITS
@@ -175,41 +177,78 @@ def lines_of(rows: DataFrame, text: str, hashes: DataFrame) -> DataFrame:
     return likely.join(hashes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
 
 
-def _shingles(line: str, k: int) -> set[str]:
-    return {line[i : i + k] for i in range(len(line) - k + 1)}
-
+def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
+    """The set of shingles of every line of at least ``k`` characters, as sorted numbers that mean the same in all of them.
 
-def jaccard_at_least(a: set, b: set, least: float) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < least * large:
+    A shingle is the number whose digits are its characters, these being numbered within the call: exact, no hash. Where too
+    many different characters occur for a number of 63 bits, the different shingles themselves are numbered.
+    """
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    seen = np.bincount(points) > 0
+    base = int(seen.sum())
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    if base**k < 2**63:
+        code = (np.cumsum(seen) - 1)[points]
+        value = np.zeros(max(0, len(points) - k + 1), np.int64)
+        for i in range(k):
+            value *= base
+            value += code[i : i + len(value)]
+        return [np.unique(value[end - len(line) : end - k + 1]) for line, end in zip(lines, ends.tolist(), strict=True)]
+    names: dict[str, int] = {}
+    return [np.unique([names.setdefault(line[i : i + k], len(names)) for i in range(len(line) - k + 1)]) for line in lines]
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
         return False
-    both = len(a & b)
-    return both >= least * (small + large - both)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both >= least * (len(a) + len(b) - both)
 
 
 def _verify(batches, shingle: int, least: float):
-    """(h, rep, alike) for pairs of lines with their texts; the sets of the last line are kept, as pairs of one line follow."""
+    """(h, rep, alike) for pairs of lines with their texts; every line of a step is cut into shingles once."""
     for batch in batches:
         h, rep, one, two = batch.columns
-        for start, stop, raw in text_steps(one):
-            others, out, last, own = two.slice(start, stop - start).to_pylist(), [], None, set()
-            for a, b in zip(raw, others, strict=True):
-                if b != last:
-                    last, own = b, _shingles(b, shingle)
-                out.append(jaccard_at_least(_shingles(a.decode(), shingle), own, least))
-            yield pa.RecordBatch.from_arrays([h.slice(start, stop - start), rep.slice(start, stop - start), pa.array(out)], names=["h", "rep", "alike"])
-
-
-def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
-    """Links between lines apart from their bucket's smallest and its other lines; pairs already connected are skipped."""
-    hashes, roots, doubtful = (group.column(c).to_pylist() for c in ("h", "root", "doubtful"))
-    lines, sets = dict(zip(hashes, group.column("line").to_pylist(), strict=True)), {}
-    parent: dict[int, int] = {}
+        for start, stop, raw in text_steps(one, 2_000_000):
+            pairs = list(zip([x.decode("utf-8", "replace") for x in raw], two.slice(start, stop - start).to_pylist(), strict=True))
+            lines = list({line for pair in pairs for line in pair})
+            sets = dict(zip(lines, shingle_sets(lines, shingle), strict=True))
+            out = [jaccard_at_least(sets[a], sets[b], least) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays([h.slice(start, stop - start), rep.slice(start, stop - start), pa.array(out, pa.bool_())], names=["h", "rep", "alike"])
+
 
-    def shingles(h: int) -> set[str]:
-        if h not in sets:
-            sets[h] = _shingles(lines[h], shingle)
-        return sets[h]
+def _compare_tile(group: pa.Table, shingle: int, least: float, bands: int, rows: int) -> pa.Table:
+    """Links between lines apart from their bucket's smallest and its other lines.
+
+    Two lines that share several bands meet in as many buckets and are compared in the one of the smallest key only: there
+    at least one of them stands apart, or both are connected already. Lines of one component are never compared.
+    """
+    bucket = group.column("bucket")[0].as_py()
+    lines, number = group.column("line").to_pylist(), {}
+    for line in lines:
+        number.setdefault(line, len(number))
+    at = np.array([number[line] for line in lines])
+    keys = band_keys(signatures(list(number), shingle, bands * rows), bands)
+    roots = np.array(group.column("root").to_pylist(), np.int64)
+    hashes = group.column("h").to_pylist()
+    doubtful = np.array(group.column("doubtful").to_pylist(), bool)
+    left, right = np.flatnonzero(doubtful), np.flatnonzero(~doubtful)
+    found = []
+    for i in left:
+        shared = keys[at[right]] == keys[at[i]]
+        first = np.where(shared, keys[at[i]], np.iinfo(np.int64).max).min(axis=1)
+        own = right[(first == bucket) & (roots[right] != roots[i])]
+        found += [(int(i), int(j)) for j in own]
+    if not found:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    wanted = sorted({int(at[i]) for pair in found for i in pair})
+    names = list(number)
+    sets = dict(zip(wanted, shingle_sets([names[i] for i in wanted], shingle), strict=True))
+    parent: dict[int, int] = {}
 
     def find(x: int) -> int:
         while parent.get(x, x) != x:
@@ -218,17 +257,16 @@ def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
         return x
 
     a, b = [], []
-    others = [j for j, d in enumerate(doubtful) if not d]
-    for i in (i for i, d in enumerate(doubtful) if d):
-        for j in others:
-            if find(roots[i]) != find(roots[j]) and jaccard_at_least(shingles(hashes[i]), shingles(hashes[j]), least):
-                parent[find(roots[i])] = find(roots[j])
-                a.append(hashes[i])
-                b.append(hashes[j])
+    root = roots.tolist()
+    for i, j in found:
+        if find(root[i]) != find(root[j]) and jaccard_at_least(sets[int(at[i])], sets[int(at[j])], least):
+            parent[find(root[i])] = find(root[j])
+            a.append(hashes[i])
+            b.append(hashes[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle: int, least: float) -> DataFrame:
+def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle: int, least: float, bands: int, rows: int) -> DataFrame:
     """Links (a, b) in buckets whose lines are not all connected by ``roots``, the components of the links found so far.
 
     The lines apart from the bucket's smallest are compared with all others of the bucket, tile by tile. Two lines that
@@ -253,11 +291,21 @@ def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle:
     met = left.unionByName(right).join(lines, "h")
 
     def compare(group: pa.Table) -> pa.Table:
-        return _compare_tile(group, shingle, least)
+        return _compare_tile(group, shingle, least, bands, rows)
 
     return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: only the components that these touch go through the rounds again."""
+    root = roots.select("node", "component")
+    for side in ("a", "b"):
+        links = links.join(root.withColumnsRenamed({"node": side, "component": f"_{side}"}), side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    moved = cut(components(links.select("a", "b")))
+    again = moved.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return root.join(again, "component", "left").select("node", F.coalesce("new", "component").alias("component")).unionByName(moved.select("node", "component"))
+
+
 def _rebuild(batches, text: str, drops: str, keep: list[str]):
     for batch in batches:
         texts, dropped = batch.column(batch.schema.get_field_index(text)), batch.column(batch.schema.get_field_index(drops))
@@ -303,8 +351,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan:
     texts = pairs.join(lines.withColumnRenamed("line", "one"), "h").join(lines.select(F.col("h").alias("rep"), F.col("line").alias("two")), "rep")
     checked = cut(texts.select("h", "rep", "one", "two").mapInArrow(partial(_verify, shingle=shingle, least=similarity), "h long, rep long, alike boolean"))
     starred = components(checked.filter("alike"), "h", "rep")
-    more = _mixed_links(stars, starred, lines, shingle, similarity)
-    roots = components(starred.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = _mixed_links(stars, starred, lines, shingle, similarity, bands, rows)
+    roots = _merged(starred, more)
     place = F.struct("k", "row", "no")
     first = signed.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     rooted = first.join(roots, first.h == roots.node, "left").select("h", "first", "n", F.coalesce("component", "h").alias("root"))
