@@ -256,6 +256,8 @@ query(
     },
 )(lambda v: rounded(B.gain_contrast(v.preds, CONTRASTS, MEMBERS, [2000, 2001], TWIN_REPS, 77, draws="hash"), "diff", "lo", "hi"))
 
+query("BO2_bootstrap_slope_neutral_multinomial")(lambda v: B.bootstrap_slope(v.preds, EARLY, REPS, 11, "f1_1"))
+query("BO6_gain_contrast_multinomial")(lambda v: B.gain_contrast(v.preds, CONTRASTS, MEMBERS, [2000, 2001], REPS, 77))
 query("BO3_paired_slope_diff_multinomial")(lambda v: B.paired_slope_diff(v.preds, EARLY, PAIRS, REPS, 11))
 query("BO5_paired_zero_shot_multinomial")(
     lambda v: B.paired_slope_diff(with_zero_shot(v), ZS_MEMBERS, [("big/early", "zs/none"), ("small/early", "zs/none")], REPS, 7)
@@ -291,6 +293,46 @@ query(
     f"""SELECT a.model, a.train_set, round(a.slope,8) AS slope_all, round(b.slope,8) AS slope_matched FROM ({SLOPE.format("slope", "f1_runs")}) a
       JOIN ({SLOPE.format("slope", "(" + tally(RUN4, "(SELECT * FROM preds WHERE month<=9)") + ")")}) b USING (model, train_set)""",
 )(lambda v: rounded(D.month_matched_slopes(v.preds), "slope_all", "slope_matched"))
+# Both decodings of every run in one code, and the flag of the first months: one set of draws for all robustness runs.
+_TWICE = [(*m, d) for m in EARLY for d in (0, 1)]
+_ROBUST = {
+    "mem": "SELECT * FROM (VALUES " + ", ".join(f"('{m}','{t}',{s},{d},{i},{3**i}::BIGINT)" for i, (m, t, s, d) in enumerate(_TWICE)) + ") x(model,train_set,seed,d,i,pw)",
+    "aligned": """SELECT yr, item_id, min(y) AS y, sum(pw*CASE WHEN d=0 THEN pred WHEN p_neg>p_pos THEN 0 ELSE 2 END)::BIGINT AS code, min((month<=9)::INT) AS f
+      FROM preds JOIN mem USING (model, train_set, seed) GROUP BY yr, item_id""",
+    "cells": "SELECT yr, y, code, f, count(*) AS n FROM aligned GROUP BY ALL",
+    "ranged": "SELECT *, hi-n AS lo FROM (SELECT *, (sum(n) OVER (PARTITION BY yr ORDER BY y, code, f))::BIGINT AS hi FROM cells)",
+    "totals": "SELECT yr, sum(n)::BIGINT AS total FROM cells GROUP BY yr",
+    "draws": f"""SELECT yr, b, ph('13:'||yr||':'||b||':'||j)%total AS pos FROM (SELECT yr, total, b, unnest(range(total)) AS j
+      FROM (SELECT yr, total, unnest(range({TWIN_REPS})) AS b FROM totals))""",
+    "weighted": "SELECT d.yr, d.b AS rep, r.y, r.code, r.f, count(*) AS w FROM draws d ASOF JOIN ranged r ON d.yr=r.yr AND d.pos>=r.lo GROUP BY ALL",
+    "allcells": "SELECT yr, -1 AS rep, y, code, f, n AS w FROM cells UNION ALL SELECT yr, rep, y, code, f, w FROM weighted",
+    "told": "SELECT yr, rep, model, train_set, seed, d, y, f, w, ((code // pw) % 3)::INT AS pred FROM allcells, mem",
+    "robust": "SELECT variant, model, train_set, rep, regr_slope(v, yr) AS slope FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS variant, model, train_set, yr, rep, avg(macro_f1) AS v FROM ({tally('model, train_set, seed, yr, rep', f'(SELECT * FROM told WHERE {keep})', 'w', classes)}) GROUP BY ALL"
+        for name, keep, classes in (
+            ("all", "d=0", (0, 1, 2)), ("dropped", "d=0 AND yr<>2001", (0, 1, 2)), ("binary", "d=1 AND y<>1", (0, 2)), ("months", "d=0 AND f=1", (0, 1, 2)),
+        )
+    ) + ") GROUP BY ALL",
+}
+_ROBUST_SLOPE = f"""SELECT variant, model, train_set, {r8("slope, lo, hi")} FROM (SELECT variant, model, train_set, slope FROM robust WHERE rep<0)
+  JOIN (SELECT variant, model, train_set, {Q.format("slope", "lo", "hi")} FROM robust WHERE rep>=0 GROUP BY ALL) USING (variant, model, train_set) WHERE variant IN ({{0}})"""
+_ROBUST_DIFF = f"""SELECT variant, 'big/early' AS a, 'small/early' AS b, {r8("slope_diff, lo, hi")} FROM
+  (SELECT variant, slope AS slope_diff FROM rdiff WHERE rep<0) JOIN (SELECT variant, {Q.format("slope", "lo", "hi")} FROM rdiff WHERE rep>=0 GROUP BY 1) USING (variant)"""
+
+
+def robust(v, B: int, draws: str):
+    return D.robustness(v.preds, EARLY, PAIRS, [2001], B, 13, draws=draws)
+
+
+for _name, _kinds in (("DR3_drop_period_interval", ("all", "dropped")), ("DR4_binary_task_interval", ("binary",)), ("DR5_month_matched_interval", ("all", "months"))):
+    query(_name, _ROBUST_SLOPE.format(", ".join(f"'{k}'" for k in _kinds)), _ROBUST)(
+        lambda v, kinds=_kinds: rounded(robust(v, TWIN_REPS, "hash")[0].filter(F.col("variant").isin(*kinds)), "slope", "lo", "hi")
+    )
+query(
+    "DR3_robustness_diffs", _ROBUST_DIFF,
+    {**_ROBUST, "rdiff": "SELECT a.variant, a.rep, a.slope-b.slope AS slope FROM robust a JOIN robust b USING (variant, rep) WHERE a.model='big' AND b.model='small'"},
+)(lambda v: rounded(robust(v, TWIN_REPS, "hash")[1], "slope_diff", "lo", "hi"))
+query("DR3_robustness_multinomial")(lambda v: robust(v, REPS, "multinomial")[0])
 MIX = {
     "items": """SELECT p.yr, COALESCE(c.cat_l1,'(none)') AS cat_l1, p.item_id FROM pool p LEFT JOIN cats c ON c.parent_asin=p.parent_asin WHERE p.yr>=1997""",
     "mixw": """SELECT a.yr, a.cat_l1, COALESCE(b.share,0)/a.share AS w FROM (SELECT yr, cat_l1, count(*)/sum(count(*)) OVER (PARTITION BY yr) AS share FROM items GROUP BY 1,2) a

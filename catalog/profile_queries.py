@@ -172,8 +172,8 @@ query(
 )(lambda v: v.spread(v.table("documents")).select("doc_id", X.language_flag("text").alias("english")))
 query(
     "PR21_parse_label_reply",
-    "SELECT item_id, CASE WHEN u<=3 THEN label END AS label, CASE WHEN u<=3 THEN 'because' END AS reason FROM replies",
-)(lambda v: v.replies.withColumn("p", X.parse_label_reply("raw")).select("item_id", "p.label", "p.reason"))
+    "SELECT rater, item_id, CASE WHEN u<=3 THEN label END AS label, CASE WHEN u<=3 THEN 'because' END AS reason FROM replies",
+)(lambda v: v.replies.withColumn("p", X.parse_label_reply("raw")).select("rater", "item_id", "p.label", "p.reason"))
 _POS = " OR ".join(f"contains(t,'{w}')" for w in X.POSITIVE_CUES)
 _NEG = " OR ".join(f"contains(t,'{w}')" for w in X.NEGATIVE_CUES)
 query(

@@ -10,6 +10,7 @@ from catalog.sqlviews import LOOSE
 from tidemark.functions import keys as K
 from tidemark.functions import text as X
 from tidemark.operators import duplicates as D
+from tidemark.operators import bootstrap as BS
 from tidemark.operators import joins as J
 from tidemark.operators import leakage as LK
 from tidemark.operators import profile as P
@@ -47,13 +48,13 @@ query("JN3_seen_in_train", _SEEN, {"s": "SELECT text_hash, ph(user_id)%10<8 AS t
 )
 query(
     "JN4_computed_key_join",
-    """SELECT a.doc_id, b.doc_id AS copy_id FROM h a JOIN h b ON a.loose=b.loose AND a.doc_id<100000000 AND b.doc_id=a.doc_id+100000000""",
+    """SELECT a.doc_id, b.doc_id AS copy_id FROM h a JOIN h b ON a.loose=b.loose AND a.doc_id%2=0 AND b.doc_id=a.doc_id+1""",
     {"h": f"SELECT doc_id, {LOOSE} AS loose FROM docs"},
 )(
     lambda v: (
-        lambda h: h.filter("doc_id < 100000000").alias("a").join(
-            h.filter("doc_id >= 100000000").alias("b"),
-            (F.col("a.loose") == F.col("b.loose")) & (F.col("b.doc_id") == F.col("a.doc_id") + 100000000),
+        lambda h: h.filter("doc_id % 2 = 0").alias("a").join(
+            h.filter("doc_id % 2 = 1").alias("b"),
+            (F.col("a.loose") == F.col("b.loose")) & (F.col("b.doc_id") == F.col("a.doc_id") + 1),
         ).select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("copy_id"))
     )(v.docs.select("doc_id", X.loose_norm("text").alias("loose")))
 )
@@ -195,32 +196,29 @@ query(
 )(lambda v: S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026, n_samples=11))
 query(
     "SP10_paired_subset_same",
-    # The items that both ways of drawing agree on: all 200 of the smallest hashes, if they are the same sample.
-    "SELECT item_id FROM test_samples WHERE sample='test_1998_natural' QUALIFY row_number() OVER (ORDER BY ph('2026:'||item_id), item_id)<=200",
+    "SELECT sample, least(count(*), 200) AS n, true AS same FROM test_samples GROUP BY sample",
 )(
-    lambda v: J.semi(
-        S.paired_subset_sample(tests(v).filter("sample = 'test_1998_natural'").select("sample", "item_id"), 200, 2026).select("item_id"),
-        S.sample_n(tests(v).filter("sample = 'test_1998_natural'").repartition(3), 200, 2026).select("item_id"),
-        "item_id",
+    lambda v: J.same_sets(
+        S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026),
+        # The same draw from rows that lie elsewhere and in another order.
+        S.paired_subset_sample(tests(v).select("item_id", "sample").repartition(7, "item_id").sortWithinPartitions(F.desc("item_id")), 200, 2026),
+        "item_id", ["sample"],
     )
 )
-query("PR24_surrogate_ids", "SELECT item_id, 'T'||lpad(CAST(row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1 AS VARCHAR),7,'0') AS short_id FROM pool")(
+query("PR24_surrogate_ids", "SELECT item_id, 'T'||printf('%07d', row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1) AS short_id FROM pool")(
     lambda v: S.surrogate_ids(v.pool.select("item_id"), "item_id", 9, "T%07d", "short_id")
 )
-_B = 5
+# Every replicate is drawn item by item; as the table of all weights is B samples long, it is summed by item to be compared.
+_B = 1000
 query(
     "SP11_resample_with_replacement",
-    f"""SELECT b::INT AS rep, item_id, count(*) AS weight FROM (SELECT b, ph('3:'||b||':'||j)%(SELECT count(*) FROM pool_train) AS pos
-      FROM (SELECT unnest(range({_B})) AS b), (SELECT unnest(range((SELECT count(*) FROM pool_train))) AS j)) d
+    f"""SELECT item_id, sum(n)::BIGINT AS drawn, count(*) AS n_reps, max(n) AS most FROM (SELECT b, ph('3:'||b||':'||j)%(SELECT count(*) FROM pool_train) AS pos, count(*) AS n
+      FROM (SELECT unnest(range({_B})) AS b), (SELECT unnest(range((SELECT count(*) FROM pool_train))) AS j) GROUP BY ALL) d
       JOIN (SELECT item_id, row_number() OVER (ORDER BY ph('3:'||item_id), item_id)-1 AS pos FROM pool_train) USING (pos) GROUP BY ALL""",
-)(lambda v: S_resample(v))
-
-
-def S_resample(v):
-    from tidemark.operators.bootstrap import resample_with_replacement
-
-    return resample_with_replacement(SP.train_rows(v.pool, V.TRAIN_YEARS).select("item_id"), _B, 3)
-
+)(
+    lambda v: BS.resample_with_replacement(SP.train_rows(v.pool, V.TRAIN_YEARS).select("item_id"), _B, 3)
+    .groupBy("item_id").agg(F.sum("weight").alias("drawn"), F.count(F.lit(1)).alias("n_reps"), F.max("weight").alias("most"))
+)
 
 # ---- keys, membership, leakage -----------------------------------------------------------------
 

@@ -84,20 +84,25 @@ query(
         lambda p: RD.read_annotation_log(v.spark, f"{p}/run=*"),
     )
 )
+def write_sentences(v, path: str) -> None:
+    """Two files of sentences with the whole texts of the documents in words; every fifth sentence is there twice."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " ")).alias("text")
+    texts = v.table("documents").select(F.col("doc_id").alias("sentence_id"), words)
+    terms = F.struct(F.transform("polarities", lambda x: F.struct(F.lit("x").alias("_term"), x.alias("_polarity"))).alias("aspectTerm"))
+    rows = v.aspects.join(texts, "sentence_id").select(F.col("sentence_id").alias("_id"), "text", terms.alias("aspectTerms"))
+    rows = rows.unionByName(rows.filter("_id % 5 = 0"))
+    for name, rest in (("restaurants", 0), ("laptops", 1)):
+        rows.filter(F.col("_id") % 2 == rest).write.format("xml").option("rootTag", "sentences").option("rowTag", "sentence").save(f"{path}/{name}.xml")
+
+
 query(
     "SC8_read_aspect_xml",
-    "SELECT a.sentence_id::VARCHAR AS sentence_id, d.source||' in '||d.lang AS text, array_to_string(polarities,',') AS polarities FROM aspects a JOIN documents d ON d.doc_id=a.sentence_id",
+    """SELECT 'S'||CASE WHEN a.sentence_id%2=0 THEN 'res' ELSE 'lap' END||'_'||a.sentence_id AS sentence_id, trim(regexp_replace(COALESCE(d.text,''), '[^A-Za-z0-9]+', ' ', 'g')) AS text,
+      array_to_string(polarities,',') AS polarities FROM aspects a JOIN documents d ON d.doc_id=a.sentence_id""",
 )(
     lambda v: through(
-        v, "aspects_xml",
-        lambda p: v.aspects.join(v.table("documents").select(F.col("doc_id").alias("sentence_id"), "source", "lang"), "sentence_id").select(
-            F.col("sentence_id").alias("_id"),
-            F.concat_ws(" in ", "source", "lang").alias("text"),
-            F.struct(
-                F.transform("polarities", lambda x: F.struct(F.lit("x").alias("_term"), x.alias("_polarity"))).alias("aspectTerm")
-            ).alias("aspectTerms"),
-        ).write.format("xml").option("rootTag", "sentences").option("rowTag", "sentence").save(p),
-        lambda p: RD.read_aspect_xml(v.spark, p).select("sentence_id", "text", F.array_join("polarities", ",").alias("polarities")),
+        v, "aspects_xml", lambda p: write_sentences(v, p),
+        lambda p: RD.read_aspect_xml(v.spark, f"{p}/*").select("sentence_id", "text", F.array_join("polarities", ",").alias("polarities")),
     )
 )
 query("SK1_write_parquet_zstd", f"SELECT doc_id, lang, yr, {TEXT_HASH} AS text_hash FROM docs")(

@@ -127,7 +127,7 @@ QUALIFY row_number() OVER (PARTITION BY yr ORDER BY ph('2026:'||item_id), item_i
 
 VIEWS["docs"] = f"""
 SELECT *, {TEXT_HASH} AS text_hash, CAST(length(COALESCE(text,'')) AS INT) AS text_len FROM (
- SELECT doc_id+copy*100000000 AS doc_id, CASE WHEN copy=1 THEN '<b>'||text||'</b> 123' ELSE text END AS text, lang, source,
+ SELECT doc_id*2+copy AS doc_id, CASE WHEN copy=1 THEN '<b>'||text||'</b> 123' ELSE text END AS text, lang, source,
   CAST(2013+doc_id%11 AS INT) AS yr, CASE lang WHEN 'en' THEN 2 WHEN 'es' THEN 1 ELSE 0 END AS y,
   'U'||(doc_id%211) AS user_id, source AS parent_asin
  FROM documents, (SELECT unnest([0,1]) AS copy) WHERE copy=0 OR doc_id%10=3)"""
@@ -154,7 +154,7 @@ FROM (SELECT *, unnest(CASE WHEN u<2 THEN [0,2] WHEN u=2 THEN [1,2] WHEN u=3 THE
   FROM (SELECT *, ph('log'||rater||':'||item_id)%20 AS u FROM raters))"""
 
 VIEWS["replies"] = """
-SELECT item_id, label, ph('raw'||item_id)%6 AS u FROM raters WHERE rater='rater_a'"""
+SELECT rater, item_id, label, ph('raw'||item_id)%6 AS u FROM raters"""
 
 VIEWS["aspects"] = """
 SELECT doc_id AS sentence_id, list_transform(list_filter([0,1,2], lambda i: i < ph('cnt'||doc_id)%4),

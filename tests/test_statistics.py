@@ -355,3 +355,41 @@ def test_regressions_without_error_or_cells(spark):
     empty = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "y int, x int")
     r = ST.binary_logit(empty, "y", "x").first()
     assert r.b is None and r.share_1 == 1.0 and r.share_0 == 0.5
+
+
+def test_hashed_model_gives_probabilities_and_tags(spark):
+    from tidemark.operators import models as ML
+
+    words = {0: "bad broken awful", 1: "okay fine average", 2: "great good lovely"}
+    rows = [(f"i{i}", " ".join(random.Random(i).choice(words[i % 3].split()) for _ in range(6)), i % 3) for i in range(150)]
+    pool = spark.createDataFrame(rows, "item_id string, text string, y int")
+    model = ML.hashed_full_pool_model(pool, bits=10, max_iter=15)
+    got = ML.score_hashed(model, pool.unionByName(spark.createDataFrame([("none", None, 1)], pool.schema)), {"model": F.lit("hashed"), "seed": F.lit(7)}).collect()
+    assert len(got) == 151 and {(r.model, r.seed) for r in got} == {("hashed", 7)}
+    for r in got:
+        p = [r.p_neg, r.p_neu, r.p_pos]
+        assert sum(p) == pytest.approx(1.0) and min(p) >= 0 and p[r.pred] == max(p)
+    assert sum(r.pred == r.y for r in got) >= 148
+
+
+def test_sets_compared_by_group(spark):
+    from tidemark.operators import joins as J
+
+    a = spark.createDataFrame([("s", 1), ("s", 2), ("s", 2), ("t", 1), (None, 5)], "g string, k int")
+    b = spark.createDataFrame([("s", 2), ("s", 1), ("t", 1), ("t", 9), ("u", 3), (None, 5)], "g string, k int")
+    assert {(r.g, r.n, r.same) for r in J.same_sets(a, b, "k", ["g"]).collect()} == {("s", 2, True), ("t", 1, False), ("u", 0, False), (None, 1, True)}
+
+
+def test_robustness_points_equal_the_single_checks(views):
+    from tidemark.operators import drift as D
+
+    spread, diffs = D.robustness(views.preds, list(views.early), [("big/early", "small/early")], [2001], 60, 3)
+    got = {(r.variant, r.model): r for r in spread.collect()}
+    early = views.preds.filter("train_set = 'early'")
+    for name, one in (("all", D.model_slopes(early)), ("dropped", D.drop_period(early, [2001])), ("binary", D.binary_task(early)[1])):
+        for r in one.collect():
+            assert got[name, r.model].slope == pytest.approx(r.slope) and got[name, r.model].lo < got[name, r.model].hi
+    for r in D.month_matched_slopes(early).collect():
+        assert got["months", r.model].slope == pytest.approx(r.slope_matched)
+    for r in diffs.collect():
+        assert r.slope_diff == pytest.approx(got[r.variant, "big"].slope - got[r.variant, "small"].slope) and r.lo <= r.hi

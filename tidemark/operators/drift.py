@@ -75,6 +75,60 @@ def month_matched_slopes(preds: DataFrame, last_month: int = 9) -> DataFrame:
     )
 
 
+#: Three-class slope of all items, without the years left out, of the outer classes by probabilities, of the first months.
+VARIANTS = ("all", "dropped", "binary", "months")
+
+
+def robustness(
+    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], drop_years: Sequence[int], B: int, seed: int, last_month: int = 9, draws: str = "multinomial"
+) -> tuple[DataFrame, DataFrame]:
+    """Yearly slopes of every robustness run with intervals, and differences between models, under one set of draws.
+
+    (variant, model, train_set, slope, lo, hi) and (variant, a, b, slope_diff, lo, hi), variants as in ``VARIANTS``. A cell
+    carries every run's class twice, as predicted and as decided between the outer classes by probabilities, and a flag for
+    the first months. A replicate weighs the cells once; each variant reads its own classes from the same weights, so slopes
+    are paired over variants and models. ``pairs`` name runs as 'model/train_set'.
+    """
+    from tidemark.operators import bootstrap as bs
+
+    cols = [*bs.MEMBER, "_decoding"]
+    both = F.explode(F.array(F.struct(F.lit("as predicted").alias("_decoding"), F.col("pred")), F.struct(F.lit("outer").alias("_decoding"), binary_pred().cast("int").alias("pred"))))
+    first = F.coalesce((F.col("month") <= last_month).cast("int"), F.lit(0))
+    long = preds.select("item_id", "yr", "y", *bs.MEMBER, first.alias("_first"), "pred", "p_neg", "p_pos").select("item_id", "yr", "y", *bs.MEMBER, "_first", both.alias("_d")).select("item_id", "yr", "y", *bs.MEMBER, "_first", "_d.*")
+    twice = [(*m, decoding) for m in members for decoding in ("as predicted", "outer")]
+    cells = bs.joint_cells(long, twice, ["yr"], cols, ["_first"])
+    order = ["y", *bs._codes(len(twice)), "_first"]
+    make = bs.multinomial_weights if draws == "multinomial" else bs.draw_cells
+    weights = cut(make(cells, ["yr"], order, B, seed))
+
+    def slopes(weighted: DataFrame, weight: str, reps: Sequence[str]) -> DataFrame:
+        """One pass: F1 of every variant from the decoded cells."""
+        rows = weighted.select("yr", *reps, "y", "_first", F.col(weight).alias("_w"), F.explode(bs._member_structs(twice, cols)).alias("m"))
+        flat = rows.select("yr", *reps, "y", "_first", "_w", "m.*")
+        keys = [*bs.MEMBER, "yr", *reps]
+        three = F.col("_decoding") == "as predicted"
+        weight_of = {"all": F.when(three, F.col("_w")), "months": F.when(three & (F.col("_first") == 1), F.col("_w"))}
+        two = F.when(~three & (F.col("y") != 1), F.col("_w"))
+        zero = lambda w: F.coalesce(w, F.lit(0))
+        aggs = [a for name, w in weight_of.items() for a in M.f1_aggregates(F.col("y"), F.col("pred"), weight=zero(w), tag=f"_{name}")]
+        aggs += M.f1_aggregates(F.col("y"), F.col("pred"), (0, 2), zero(two), "_binary")
+        f1 = flat.groupBy(*keys).agg(*aggs)
+        macro = {name: M.f1_columns(tag=f"_{name}")["macro_f1"] for name in weight_of} | {"binary": M.f1_columns((0, 2), "_binary")["macro_f1"]}
+        per_year = f1.select(*keys, *[c.alias(name) for name, c in macro.items()]).groupBy("model", "train_set", "yr", *reps).agg(*[F.avg(n).alias(n) for n in macro])
+        kept = F.when(~F.col("yr").isin(*drop_years), F.col("all"))
+        x = F.col("yr").cast("double")
+        wide = per_year.withColumn("dropped", kept).groupBy("model", "train_set", *reps).agg(*[F.regr_slope(n, x).alias(n) for n in VARIANTS])
+        listed = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("slope")) for n in VARIANTS])).alias("v")
+        return wide.select("model", "train_set", *reps, listed).select("v.variant", "model", "train_set", *reps, "v.slope")
+
+    point, reps = slopes(cells, "n", []), cut(slopes(weights, "w", ["rep"]))
+    who = ["variant", "model", "train_set"]
+    spread = point.join(bs.interval(reps, who, "slope"), who)
+    named = bs._pair_diffs(point, pairs, ["variant"], ["slope"])
+    diffs = named.join(bs.interval(bs._pair_diffs(reps, pairs, ["variant", "rep"], ["slope"]), ["variant", "a", "b"], "slope_diff"), ["variant", "a", "b"])
+    return spread, diffs
+
+
 def mix_weights(items: DataFrame, meta: DataFrame, ref_year: int) -> DataFrame:
     """(yr, cat_l1, w): reference-year share of a category over its share in the year."""
     shares = share_in_partition(cut(count_by_category(items, ["yr"], meta)), ["yr"])

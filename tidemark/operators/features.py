@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize_words, word_tokens
-from tidemark.operators.sampling import dense_index
+from tidemark.operators.sampling import bottom_n, dense_index
 from tidemark.operators.winners import largest_n
 
 
@@ -96,8 +96,15 @@ def indexed_terms(terms: DataFrame) -> DataFrame:
     return dense_index(terms, "term", "idx", "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
-def oov_rate(tests: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("test_set",), text: str = "text") -> DataFrame:
-    """(keys, n_tokens, oov_rate). Tokens are counted per (set, term) before the vocabulary join."""
+def oov_rate(
+    tests: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("test_set",), text: str = "text", n: int | None = None, seed: int = 0, doc_id: str = "doc_id"
+) -> DataFrame:
+    """(keys, n_tokens, oov_rate). Tokens are counted per (set, term) before the vocabulary join.
+
+    With ``n`` only the first n documents of a set count, in the order of their hash: an order that rows cannot change.
+    """
+    if n is not None:
+        tests = bottom_n(tests, doc_id, n, seed, keys)
     counts = (
         tests.select(*keys, F.explode(word_tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -107,4 +114,4 @@ def oov_rate(tests: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("test_
         F.sum("_n").alias("n_tokens"),
         F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("_oov"),
     )
-    return out.select(*keys, "n_tokens", (F.col("_oov") / F.col("n_tokens")).alias("oov_rate"))
+    return out.select(*keys, "n_tokens", F.try_divide("_oov", "n_tokens").alias("oov_rate"))

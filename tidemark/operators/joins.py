@@ -122,6 +122,13 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def same_sets(a: DataFrame, b: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """(by, n, same) for every group of either frame: its distinct keys in both, and whether the two sets are equal."""
+    sides = a.select(*by, key, F.lit(1).alias("_s")).unionByName(b.select(*by, key, F.lit(2).alias("_s")))
+    met = sides.groupBy(*by, key).agg(F.bit_or("_s").alias("_m"))
+    return met.groupBy(*by).agg(F.count_if(F.col("_m") == 3).alias("n"), F.bool_and(F.col("_m") == 3).alias("same"))
+
+
 def same_set(a: DataFrame, b: DataFrame, key: str = "item_id") -> DataFrame:
     """One row: do both frames hold the same distinct keys?"""
     left = a.select(key).distinct().withColumn("_a", F.lit(1))

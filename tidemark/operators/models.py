@@ -82,6 +82,19 @@ def hashed_full_pool_model(pool: DataFrame, bits: int = 22, max_iter: int = 20,
     return Pipeline(stages=stages).fit(rows)
 
 
-def score_hashed(model: Model, tests: DataFrame, text: str = "text") -> DataFrame:
+def score_hashed(model: Model, tests: DataFrame, tags: dict[str, Column] | None = None, text: str = "text") -> DataFrame:
+    """Adds pred, class probabilities and run tags: rows of the long prediction table.
+
+    Each class has a model of its own against the rest; its logistic value, divided by the sum over the classes, is the
+    class's probability (a third each where all three values vanish). pred is the class of the largest one.
+    """
     rows = tests.withColumn("tokens", tokenize_words(text))
-    return model.transform(rows).select(*tests.columns, F.col("prediction").cast("int").alias("pred"))
+    margins = vector_to_array("rawPrediction")
+    scored = model.transform(rows).select(*tests.columns, *[(1.0 / (1.0 + F.exp(-margins[i]))).alias(f"_q{i}") for i in CLASSES])
+    total = F.col("_q0") + F.col("_q1") + F.col("_q2")
+    names = ("p_neg", "p_neu", "p_pos")
+    out = scored.withColumns({n: F.coalesce(F.try_divide(F.col(f"_q{i}"), total), F.lit(1.0 / 3)) for i, n in zip(CLASSES, names)})
+    out = out.withColumn("pred", pred_from_probs(names)).drop("_q0", "_q1", "_q2")
+    for k, v in (tags or {}).items():
+        out = out.withColumn(k, v)
+    return out

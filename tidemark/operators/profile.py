@@ -229,11 +229,11 @@ def membership_summary(samples: DataFrame) -> DataFrame:
 
 
 def match_rate(left: DataFrame, matched: DataFrame, key: str = "item_id") -> DataFrame:
-    """How many distinct left keys found a match."""
+    """How many distinct left keys found a match; the rate is null if there are none."""
     hit = matched.select(key).distinct().withColumn("_hit", F.lit(1))
     return left.select(key).distinct().join(hit, key, "left").agg(
         _n(), F.coalesce(F.sum("_hit"), F.lit(0)).cast("long").alias("n_matched")
-    ).withColumn("rate", F.col("n_matched") / F.col("n"))
+    ).withColumn("rate", F.try_divide("n_matched", "n"))
 
 
 def crosstab_normalized(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:

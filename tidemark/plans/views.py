@@ -252,7 +252,7 @@ class Views:
         d = d.withColumn("copy", F.explode(copies))
         text = F.when(F.col("copy") == 1, F.concat(F.lit("<b>"), "text", F.lit("</b> 123"))).otherwise(F.col("text"))
         return d.select(
-            (F.col("doc_id") + F.col("copy") * 100_000_000).alias("doc_id"),
+            (F.col("doc_id") * 2 + F.col("copy")).alias("doc_id"),
             text.alias("text"),
             "lang",
             "source",
@@ -323,7 +323,7 @@ class Views:
     @cached_property
     def replies(self) -> DataFrame:
         """Raw annotator replies in every shape the parser must handle."""
-        r = self.raters.filter(F.col("rater") == "rater_a")
+        r = self.raters
         u = mod(pre("raw", F.col("item_id").cast("string")), 6)
         obj = lambda lab: F.concat(F.lit('{"label": "'), lab, F.lit('", "reason": "because"}'))
         lab = F.col("label")
@@ -335,7 +335,7 @@ class Views:
             .when(u == 4, F.concat(F.lit("{label: broken "), lab))
             .otherwise(obj(F.lit("FINE")))
         )
-        return r.select("item_id", raw.alias("raw"))
+        return r.select("rater", "item_id", raw.alias("raw"))
 
     @cached_property
     def aspects(self) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import keep_last
+from tidemark.operators.joins import dedup_dimension, keep_last
+from tidemark.operators.winners import split_repeated
 from tidemark.session import cut
 from tidemark.sources import schemas
 
@@ -69,9 +70,21 @@ def read_annotation_log(spark: SparkSession, path: str, schema: str = schemas.RA
     return effective_labels(named)
 
 
-def read_aspect_xml(spark: SparkSession, path: str, row_tag: str = "sentence") -> DataFrame:
-    """(sentence_id, text, polarities) from sentences with nested aspect terms."""
+# Fixed value: an item id is S, the first three characters of the file's name, an underline and the sentence's own id.
+XML_NAME = r"([^/=]+?)(?:\.xml)?(?:/part-[^/]*)?$"
+ITEM_ID = "S{0}_{1}"
+
+
+def read_aspect_xml(spark: SparkSession, path: str, row_tag: str = "sentence", pattern: str = XML_NAME) -> DataFrame:
+    """(sentence_id, text, polarities) from XML files of sentences with nested aspect terms, one row per sentence.
+
+    Ids of several files may be alike, so ``sentence_id`` also names the file, or the folder that Spark wrote it to. Of
+    sentences with one id the one of the smallest text and polarities stays.
+    """
     schema = "_id string, text string, aspectTerms struct<aspectTerm: array<struct<_polarity: string>>>"
     df = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    source = F.left(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit(3))
     terms = F.coalesce(F.col("aspectTerms.aspectTerm._polarity"), F.array().cast("array<string>"))
-    return df.select(F.col("_id").alias("sentence_id"), "text", terms.alias("polarities"))
+    named = df.select(F.format_string(ITEM_ID.format("%s", "%s"), source, "_id").alias("sentence_id"), "text", terms.alias("polarities"))
+    lone, repeated = split_repeated(cut(named), ["sentence_id"])
+    return lone.unionByName(dedup_dimension(repeated, ["sentence_id"], ["text", "polarities"]))
