@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
+from tidemark.llm import common
 from tidemark.llm import components as C
 from tidemark.llm import embedding_dedup, line_dedup, mixing, sharding, simhash_dedup
 
@@ -421,3 +422,45 @@ def test_shingle_numbers_are_exact_sets():
                 assert len(np.intersect1d(sets[i], sets[j])) == len(H.shingles(a) & H.shingles(b))
                 for least in (0.3, 0.8):
                     assert line_dedup.jaccard_at_least(sets[i], sets[j], least) == H.alike(H.shingles(a), H.shingles(b), least)
+
+
+def test_embeddings_of_several_widths(spark):
+    """Every width is an index of its own; links within each are those of brute force."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for width, n in ((3, 60), (2, 40), (64, 90), (5, 1)):
+        base = rng.normal(size=(n // 3 + 1, width))
+        for i in range(n):
+            rows.append((len(rows), [float(x) for x in base[i % len(base)] + (i % 2) * 0.05 * rng.normal(size=width)]))
+    rows += [(1000 + i, [1.0, 2.0, 2.0]) for i in range(5)] + [(1100 + i, [1.0, 2.0]) for i in range(3)] + [(2000, None), (2001, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    usable = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    links = [(i, j) for i in usable for j in usable if i < j and len(usable[i]) == len(usable[j]) and usable[i] @ usable[j] >= 0.95]
+    degree = collections.Counter(x for pair in links for x in pair)
+    roots = H.roots([i for i, _ in rows], links)
+    assert got == {i: (degree[i], roots[i]) for i, _ in rows}
+
+
+def test_names_of_the_mix_and_of_row_numbers_may_be_taken(spark):
+    """Columns of the input named like the operator's own: nothing is ambiguous, and the columns come back as they were."""
+    names = ["cut_hash", "cut_rows", "cut_take", "_whole", "_source", "target", "_n", "_before", "_inside", "_mix_target", "mix_source"]
+    rows = [(i % 7, f"text {i % 30}", f"s{i % 3}", *range(len(names))) for i in range(90)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} int" for n in names)]))
+    mixed = mixing.mix(frame, F.length("text"))
+    got = mixed.collect()
+    assert len(got) == 90 and all(r[n] == i for r in got for i, n in enumerate(names) if n != "target")
+    plain = mixing.mix(frame.select("doc_id", "text", "source"), F.length("text"))
+    assert sorted((r.doc_id, r.text, r.copies) for r in got) == sorted((r.doc_id, r.text, r.copies) for r in plain.collect())
+    numbered = common.positions(frame, "source")
+    assert collections.Counter((r.source, r.position) for r in numbered.collect()) == {(f"s{k}", i): 1 for k in range(3) for i in range(30)}
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "m"), (2, a, "n"), (2, b, "o"), (None, b, "p"), (None, c, "q"), (None, c, "r")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, row string"), "")
+    assert out.columns == ["doc_id", "text", "row"]
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c)], key=str)

@@ -85,19 +85,19 @@ def positions(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
 
     from tidemark.session import cut
 
-    part, row = fresh(df, "part"), fresh(df, "row")
+    part, row, count, earlier, own = (fresh(df, stem) for stem in ("part", "row", "count", "earlier", "own"))
     marked = cut(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
-    counts = marked.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    counts = marked.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(count))
     before = counts.withColumn(
-        "_before",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        earlier,
+        F.coalesce(F.sum(count).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    inside = marked.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, part).orderBy(row)) - 1)
+    inside = marked.withColumn(own, F.row_number().over(Window.partitionBy(*keys, part).orderBy(row)) - 1)
     b, i = before.alias("b"), inside.alias("i")
     on = F.col(f"b.{part}") == F.col(f"i.{part}")
     for k in keys:
         on &= F.col(f"b.{k}").eqNullSafe(F.col(f"i.{k}"))
-    return i.join(b, on).select("i.*", (F.col("b._before") + F.col("i._inside")).alias(name)).drop(part, row, "_inside")
+    return i.join(b, on).select("i.*", (F.col(f"b.{earlier}") + F.col(f"i.{own}")).alias(name)).drop(part, row, own)
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,8 +13,10 @@ from tidemark.llm.common import Forest
 from tidemark.llm.components import components
 from tidemark.session import cut
 
-#: Reference points: 4 for each square root of the number of vectors, at most so many (64 MB of 64 floats in double precision).
-PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 131_072
+#: Reference points of every width: 4 for each square root of the number of its vectors. Of all widths together they are at
+#: most so many numbers (64 MB), shared by the widths' rows, and one vector a width beyond that: vectors near one pivot only
+#: are compared all with all, in tiles.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_NUMBERS = 4, 64, 1 << 23
 #: Nearest pivots that describe a vector, and how many two vectors must share to be compared.
 NEAREST, SHARED = 12, 3
 #: Greatest cosine between two pivots. Pivots that are near copies of each other would fill the places of all vectors near
@@ -46,17 +48,26 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _describe(batches, pivots, nearest: int):
-    """(id, copies, vector, its nearest pivots, sorted by number) for every vector; ties go to the smaller number."""
-    points = pivots.value
+    """(id, copies, vector, its nearest pivots, sorted by number) for every vector; ties go to the smaller number.
+
+    ``pivots``: of every width the number of its first pivot and the points.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            x = _unit(part.column(2), points.shape[1])
-            like = x @ points.T
-            k = min(nearest, len(points))
-            order = np.argsort(-like, axis=1, kind="stable")[:, :k] if len(points) <= 64 else _top(like, k)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(x) + 1, k, dtype=np.int32)), pa.array(np.sort(order, axis=1).astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "vector", "near"])
+        sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        for width in np.unique(sizes).tolist():
+            first, points = pivots.value[width]
+            yield from _describe_width(batch.filter(pa.array(sizes == width)), width, first, points, nearest)
+
+
+def _describe_width(batch: pa.RecordBatch, width: int, first: int, points: np.ndarray, nearest: int):
+    for start in range(0, batch.num_rows, 1024):
+        part = batch.slice(start, 1024)
+        x = _unit(part.column(2), width)
+        like = x @ points.T
+        k = min(nearest, len(points))
+        order = np.argsort(-like, axis=1, kind="stable")[:, :k] if len(points) <= 64 else _top(like, k)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(x) + 1, k, dtype=np.int32)), pa.array((first + np.sort(order, axis=1)).astype(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "vector", "near"])
 
 
 def _top(like: np.ndarray, k: int) -> np.ndarray:
@@ -64,7 +75,7 @@ def _top(like: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-like, k - 1, axis=1)[:, :k]
 
 
-def _verify(key, group: pa.Table, threshold: float, shared: int) -> pa.Table:
+def _verify(key, group: pa.Table, threshold: float, most_shared: int) -> pa.Table:
     """Links between the vectors of two tiles of one pivot's list.
 
     Shared pivots are counted by a product of membership matrices. A pair belongs to the list of its smallest shared
@@ -76,6 +87,7 @@ def _verify(key, group: pa.Table, threshold: float, shared: int) -> pa.Table:
     tile = group.column("own").to_numpy()
     near_column = group.column("near").combine_chunks()
     near = near_column.flatten().to_numpy().reshape(len(ids), -1)
+    shared = min(most_shared, near.shape[1])  # all pivots of a list are of one width, which may have few
     vectors = group.column("vector").combine_chunks()
     x = _unit(vectors, len(vectors.flatten()) // len(ids))
     named, local = np.unique(near, return_inverse=True)
@@ -116,8 +128,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """(key, n_links, component_id, kept) for every row of ``df``.
 
     Vectors are linked if their cosine in double precision is at least ``threshold``. A vector is described by its
-    ``nearest`` most similar pivots; pivots are the distinct vectors with the smallest hashes, about 4 times the square
-    root of their number and at most 131,072, less those of a cosine of 0.8 or more to another pivot. Vectors that share at least ``shared`` pivots meet in the inverted list of
+    ``nearest`` most similar pivots of its length; pivots are the distinct vectors with the smallest hashes, about 4 times the
+    square root of their number within 64 MB, less those of a cosine of 0.8 or more to another pivot. Vectors that share at least ``shared`` pivots meet in the inverted list of
     the smallest pivot they share and are verified there. Lists are cut into tiles and every two tiles of a list meet in
     one group, so a pivot near a third of all vectors is dealt over many tasks. Every row is indexed; recall against
     brute force is measured in the tests.
@@ -125,29 +137,38 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Equal vectors are folded to one before, with their number. ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest key reachable, ``kept``
     is ``key = component_id``. Rows of one key are one node of the graph; rows without a key link with nothing. Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing; so do vectors of another length than the pivots, which have the length of most vectors.
+    nothing. Vectors of different lengths never link; each length has pivots of its own.
     """
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
     rows = rows.withColumn("v", F.when(F.col("good"), F.transform("v", lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c))))
-    widths = rows.filter("good").groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").head(1)
-    width = widths[0].w if widths else 0
-    fits = F.col("good") & (F.size("v") == width)
+    fits = F.col("good")
     keyed = rows.select("k", F.when(fits, F.col("v")).alias("v"), F.when(fits, F.xxhash64("v")).alias("h1"), F.when(fits, F.xxhash64(F.lit(1), "v")).alias("h2"))
     # One row for each different vector; of equal vectors any one is the vector, so it can be a plain first value.
     folded = keyed.filter("h1 is not null and k is not null").groupBy("h1", "h2").agg(F.min("k").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("vector"))
     folded = cut(folded)
-    n = folded.count()
+    widths = {r.w: r.n for r in folded.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(widths.values())
     if not n:
         return keyed.select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
-    n_pivots = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
-    points = np.array([r.vector for r in folded.orderBy("h1", "h2").limit(n_pivots).select("vector").collect()], dtype=np.float64)
-    points /= np.abs(points).max(axis=1, keepdims=True)
-    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
-    points = spread_pivots(points)
-    shared = min(shared, nearest, len(points))
+    numbers = sum(w * m for w, m in widths.items())
+    wanted = {w: int(max(1, min(max(LEAST_PIVOTS, PIVOTS_PER_ROOT * m**0.5), MOST_NUMBERS * m / numbers))) for w, m in widths.items()}
+    # The smallest hashes of every width: a part of the hash range that holds a few more than are wanted.
     spark = df.sparkSession
-    pivots = spark.sparkContext.broadcast(points)
+    range_of = [(w, float(-(2**63) + 2**64 * min(1.0, (m + 8 * m**0.5 + 20) / widths[w]))) for w, m in wanted.items()]
+    near_start = folded.join(F.broadcast(spark.createDataFrame(range_of, "w int, below double")), F.size("vector") == F.col("w")).filter(F.col("h1").cast("double") <= F.col("below"))
+    drawn: dict[int, list] = {w: [] for w in widths}
+    for r in near_start.select("w", "h1", "h2", "vector").collect():
+        drawn[r.w].append((r.h1, r.h2, r.vector))
+    first, pivots_of = 0, {}
+    for w in sorted(drawn):
+        points = np.array([v for *_, v in sorted(drawn.pop(w), key=lambda x: x[:2])[: wanted[w]]], dtype=np.float64).reshape(-1, w)
+        points /= np.abs(points).max(axis=1, keepdims=True)
+        points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+        pivots_of[w] = (first, spread_pivots(points))
+        first += len(pivots_of[w][1])
+    shared = min(shared, nearest)
+    pivots = spark.sparkContext.broadcast(pivots_of)
     described = cut(
         folded.select("id", "copies", "vector").mapInArrow(partial(_describe, pivots=pivots, nearest=nearest), "id long, copies long, vector array<double>, near array<int>")
     )

@@ -121,22 +121,24 @@ def mix(
     goals = cut(targets(thin.groupBy("_source").agg(F.sum("size").alias("source_size")), "_source", weights, total_share, most))
     ends = cut(thresholds(placed, goals, "_source"))
     g, e = goals.alias("g"), ends.alias("e")
+    name = {c: fresh(sized, f"mix_{c}") for c in ("source", "source_size", "target", "whole", "cut_hash", "cut_rows", "cut_take")}
     plan = cut(
         g.join(e, F.col("g._source").eqNullSafe(F.col("e._source")), "left").select(
-            F.col("g._source").alias("_source"), "source_size", "target",
-            F.coalesce("whole", F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias("_whole"),
-            "cut_hash", "cut_rows", "cut_take",
+            F.col("g._source").alias(name["source"]), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]),
+            F.coalesce("whole", F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias(name["whole"]),
+            *[F.col(c).alias(name[c]) for c in ("cut_hash", "cut_rows", "cut_take")],
         )
     )
-    joined = sized.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
+    joined = sized.join(plan, F.col(source).eqNullSafe(F.col(name["source"])), "left")
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)))
-    tied = F.coalesce((F.col("mix_size") > 0) & (F.col(h) == F.col("cut_hash")) & F.col("cut_take").between(1, F.col("cut_rows") - 1), F.lit(False))
-    under = F.coalesce((flip(h) < flip("cut_hash")) | ((F.col(h) == F.col("cut_hash")) & (F.col("cut_take") >= F.col("cut_rows"))), F.lit(False))
-    copies = lambda extra: F.when(F.col("mix_size") > 0, F.col("_whole") + extra.cast("long")).otherwise(0).cast("long")
-    final = lambda df, extra: df.select(*out, "mix_size", "source_size", "target", copies(extra).alias("copies"))
+    at, rows, take = (F.col(name[c]) for c in ("cut_hash", "cut_rows", "cut_take"))
+    tied = F.coalesce((F.col("mix_size") > 0) & (F.col(h) == at) & take.between(1, rows - 1), F.lit(False))
+    under = F.coalesce((flip(h) < flip(name["cut_hash"])) | ((F.col(h) == at) & (take >= rows)), F.lit(False))
+    copies = lambda extra: F.when(F.col("mix_size") > 0, F.col(name["whole"]) + extra.cast("long")).otherwise(0).cast("long")
+    final = lambda df, extra: df.select(*out, "mix_size", *[F.col(name[c]).alias(c) for c in ("source_size", "target")], copies(extra).alias("copies"))
     settled = final(joined.filter(~tied), under)
-    if not plan.filter("cut_take between 1 and cut_rows - 1").head(1):
+    if not plan.filter(take.between(1, rows - 1)).head(1):
         return settled
     place = fresh(docs, "place")
     ties = positions(joined.filter(tied), source, name=place)
-    return settled.unionByName(final(ties, F.col(place) < F.col("cut_take")))
+    return settled.unionByName(final(ties, F.col(place) < take))

@@ -46,8 +46,10 @@ RULES = (
 )
 
 
-#: Positions that fit beside 44 bits of a window's hash in one long; longer texts sort (hash, position) pairs.
-_PACKED = 1 << 20
+#: Up to so many windows positions stand beside the upper bits of a window's hash in one long; longer texts sort (hash,
+#: position) pairs by all 64 bits.
+_BITS = 12
+_PACKED = 1 << _BITS
 
 
 def _covered(positions: Column) -> Column:
@@ -77,7 +79,7 @@ def _with_repeats(df: DataFrame, hashes: str) -> DataFrame:
     h = F.col(hashes)
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     df = df.withColumn("_some", F.size(F.array_distinct(h)) < F.size(h))
-    packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 20).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, _BITS), _BITS).bitwiseOR(i.cast("long"))))
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumns(
         {
@@ -85,7 +87,7 @@ def _with_repeats(df: DataFrame, hashes: str) -> DataFrame:
             "_pairs": F.when(F.col("_some") & (F.size(h) > _PACKED), pairs).otherwise(empty("struct<h:bigint,i:int>")),
         }
     )
-    few = _twice("_packed", lambda x: F.shiftrightunsigned(x, 20), lambda x: x.bitwiseAND(F.lit(_PACKED - 1)).cast("int"))
+    few = _twice("_packed", lambda x: F.shiftrightunsigned(x, _BITS), lambda x: x.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int"))
     return df.withColumns({"_few": few, "_many": _twice("_pairs", lambda x: x["h"], lambda x: x["i"])})
 
 
@@ -93,8 +95,8 @@ def measures(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with the counts that rules may name; a null text has no words.
 
     Counts (long): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word),
-    n_stop_words, n_bang (pairs of exclamation marks), n_bars. 3-word windows are compared by 64-bit hashes, and inside
-    texts in which some agree by 44 bits: for a text of 500 words they mistake two windows with a chance below 1e-8.
+    n_stop_words, n_bang (pairs of exclamation marks), n_bars. 3-word windows are compared by 64-bit hashes, in texts of
+    up to 4,096 of them by 52 bits: a text of any length mistakes two windows with a chance below 1e-8 up to 500,000 words.
     """
     t, w = F.col("_t"), F.col("_w")
     step = df.select(*keep, text_of(text).alias("_t")).withColumn("_trim", F.btrim("_t", F.lit(SPACES)))
