@@ -35,15 +35,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows with that id one. Null ids stay."""
-    classes = simhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    best = cut(classes.filter("doc_id = component_id").select("doc_id").distinct())
-    row, first = fresh(docs, "row"), fresh(docs, "first")
+    """Of each group of near-duplicates the row with the smallest id, of rows with that id one; null ids come last.
+
+    Rows are told apart by a written number, so texts under one id are documents of their own.
+    """
+    row = fresh(docs, "row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    # Ids should be unique; where one repeats, its first row is the document.
-    firsts = numbered.groupBy("doc_id").agg(F.min(row).alias(first)).join(best, "doc_id", "left_semi").select(F.col(first).alias(row))
-    chosen = firsts.unionByName(numbered.filter("doc_id is null").select(row))
-    return numbered.join(chosen, row, "left_semi").select(docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    classes = simhash_dedup.near_duplicates(numbered.select(place.alias("place"), "text"), "place")
+    first = classes.filter("place = component_id").select(F.col("place.row").alias(row))
+    return numbered.join(first, row, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
