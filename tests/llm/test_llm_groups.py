@@ -464,3 +464,19 @@ def test_texts_under_one_id_are_documents_of_their_own(spark):
     assert out.columns == ["doc_id", "text", "row"]
     kept = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, c)], key=str)
+
+
+def test_lines_of_rows_that_agree_in_all_but_other_columns(spark):
+    """Rows with one key and one text: one of them keeps its lines, the others lose every line; other columns stay."""
+    text = "a first line of some length\n\n  a second line of some length  \nshort"
+    rows = [(1, "keeps its own", i, text) for i in range(30)] + [(2, "x", 50, "short\nanother line that nobody else has"), (None, "y", 51, text), (None, "z", 52, None), (None, "z", 53, None)]
+    frame = spark.createDataFrame(rows, "k long, text string, n int, body string").repartition(4)
+    for scan in (True, False):
+        got = line_dedup.dedup_lines(frame.cache(), "k", "body", scan=scan).collect()
+        assert len(got) == len(rows) and {(r.n, r.text) for r in got} == {(r[2], r[1]) for r in rows}
+        by = {r.n: r for r in got}
+        assert by[51].body == text and by[51].n_dropped == 0 and by[52].body is None and by[53].n_dropped == 0
+        assert {(by[i].body, by[i].n_dropped) for i in range(30)} == {("", 3)}
+        assert (by[50].body, by[50].n_dropped) == ("another line that nobody else has", 1)
+    alone = line_dedup.dedup_lines(frame.filter("n < 30"), "k", "body", scan=True).collect()
+    assert sorted((r.body, r.n_dropped) for r in alone) == [("", 3)] * 29 + [(text, 0)]

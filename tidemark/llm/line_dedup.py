@@ -95,11 +95,14 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sign(batches, text: str, row: str, key: str, shingle: int, bands: int, rows: int):
-    """(key, row, line number, line hash, band keys) of every line with a word. Bands come once a step and line."""
+def _sign(batches, text: str, shingle: int, bands: int, rows: int):
+    """(k, row, row2, head, line number, line hash, band keys) of every line with a word; ``head`` marks a row's first one.
+
+    Bands come once a step and line.
+    """
     for batch in batches:
-        keys, ids = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index(row)).to_pylist()
-        for start, _, raw in text_steps(batch.column(batch.schema.get_field_index(text)), 1_500_000):
+        names = batch.schema.names
+        for start, _, raw in text_steps(batch.column(names.index(text)), 1_500_000):
             place, number, hashes, new, order = [], [], [], {}, []
             for i, x in enumerate(raw, start):
                 for j, line in enumerate(x.split(b"\n")):
@@ -119,9 +122,13 @@ def _sign(batches, text: str, row: str, key: str, shingle: int, bands: int, rows
             sizes = np.array([0 if x is None else bands for x in lists], np.int32)
             flat = pa.array(np.concatenate([x for x in lists if x is not None]) if sizes.any() else np.empty(0, np.int64), pa.int64())
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            at = np.array(place, np.int64)
+            head = np.ones(len(at), bool)
+            head[1:] = at[1:] != at[:-1]
+            told = [batch.column(names.index(c)).take(pa.array(at)) for c in ("k", "row", "row2")]
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(place, pa.int64())), pa.array([ids[p] for p in place], pa.int64()), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-                names=["k", "row", "no", "h", "bands"],
+                [*told, pa.array(head), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                names=["k", "row", "row2", "head", "no", "h", "bands"],
             )
 
 
@@ -148,8 +155,8 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
     return found.filter("parts = 1").select("bucket", "h", "rep").unionByName(split).filter("h <> rep").distinct()
 
 
-def _pick(batches, text: str, wanted):
-    """(h, line) of lines whose hash may be wanted; once a step."""
+def _pick(batches, text: str, wanted, shingle: int, bands: int, rows: int):
+    """(h, line, band keys) of lines whose hash may be wanted and that have a shingle; once a step."""
     words = wanted.value
     for batch in batches:
         for _, _, raw in text_steps(batch.column(batch.schema.get_field_index(text))):
@@ -162,19 +169,25 @@ def _pick(batches, text: str, wanted):
                         bit = h % MAP_BITS
                         if words[bit >> 6] >> (bit & 63) & 1 and h not in found:
                             found[h] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary()).cast(pa.string())], names=["h", "line"])
+            lines = {h: decoded for h, line in found.items() if len(decoded := line.decode("utf-8", "replace")) >= shingle}
+            if lines:
+                keys = band_keys(signatures(list(lines.values()), shingle, bands * rows), bands)
+                ends = pa.array(np.arange(0, bands * len(lines) + 1, bands, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(list(lines.values()), pa.string()), lists], names=["h", "line", "bands"])
 
 
-def lines_of(rows: DataFrame, text: str, hashes: DataFrame) -> DataFrame:
-    """(h, line) for the wanted line hashes. A map of fixed size, sent to all tasks, spares the shuffle most other lines."""
+def lines_of(docs: DataFrame, text: str, hashes: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(h, line, bands) for the wanted line hashes. A map of fixed size, sent to all tasks, spares the shuffle most other lines."""
     bit = F.pmod("h", F.lit(MAP_BITS))
     words = hashes.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {MAP_BITS}) % 64 as int))")).alias("v")).collect()
     bits = [0] * (MAP_BITS // 64)
     for r in words:
         bits[r.w] = r.v % (1 << 64)
-    wanted = rows.sparkSession.sparkContext.broadcast(bits)
-    likely = rows.select(text).mapInArrow(partial(_pick, text=text, wanted=wanted), "h long, line string")
-    return likely.join(hashes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+    picked = partial(_pick, text=text, wanted=wanted, shingle=shingle, bands=bands, rows=rows)
+    likely = docs.select(text).mapInArrow(picked, "h long, line string, bands array<long>")
+    return likely.join(hashes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"), F.first("bands").alias("bands"))
 
 
 def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
@@ -183,13 +196,17 @@ def shingle_sets(lines: list[str], k: int) -> list[np.ndarray]:
     A shingle is the number whose digits are its characters, these being numbered within the call: exact, no hash. Where too
     many different characters occur for a number of 63 bits, the different shingles themselves are numbered.
     """
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    seen = np.bincount(points) > 0
-    base = int(seen.sum())
+    if not lines:
+        return []
+    text = "".join(lines)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    base = int(code.max()) + 1
+    if base**k >= 2**63:
+        known = np.array(sorted(map(ord, set(text))), np.int64)
+        code, base = np.searchsorted(known, code), len(known)
     ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
     if base**k < 2**63:
-        code = (np.cumsum(seen) - 1)[points]
-        value = np.zeros(max(0, len(points) - k + 1), np.int64)
+        value = np.zeros(max(0, len(code) - k + 1), np.int64)
         for i in range(k):
             value *= base
             value += code[i : i + len(value)]
@@ -221,33 +238,30 @@ def _verify(batches, shingle: int, least: float):
             yield pa.RecordBatch.from_arrays([h.slice(start, stop - start), rep.slice(start, stop - start), pa.array(out, pa.bool_())], names=["h", "rep", "alike"])
 
 
-def _compare_tile(group: pa.Table, shingle: int, least: float, bands: int, rows: int) -> pa.Table:
+def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
     """Links between lines apart from their bucket's smallest and its other lines.
 
     Two lines that share several bands meet in as many buckets and are compared in the one of the smallest key only: there
     at least one of them stands apart, or both are connected already. Lines of one component are never compared.
     """
     bucket = group.column("bucket")[0].as_py()
-    lines, number = group.column("line").to_pylist(), {}
-    for line in lines:
-        number.setdefault(line, len(number))
-    at = np.array([number[line] for line in lines])
-    keys = band_keys(signatures(list(number), shingle, bands * rows), bands)
-    roots = np.array(group.column("root").to_pylist(), np.int64)
-    hashes = group.column("h").to_pylist()
-    doubtful = np.array(group.column("doubtful").to_pylist(), bool)
+    group = group.combine_chunks()
+    lines = group.column("line").to_pylist()
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(lines), -1)
+    roots, hashes = group.column("root").to_numpy(), group.column("h").to_pylist()
+    doubtful = group.column("doubtful").to_numpy(zero_copy_only=False).astype(bool)
     left, right = np.flatnonzero(doubtful), np.flatnonzero(~doubtful)
     found = []
-    for i in left:
-        shared = keys[at[right]] == keys[at[i]]
-        first = np.where(shared, keys[at[i]], np.iinfo(np.int64).max).min(axis=1)
-        own = right[(first == bucket) & (roots[right] != roots[i])]
-        found += [(int(i), int(j)) for j in own]
+    for start in range(0, len(left), 64):
+        i = left[start : start + 64]
+        mine = keys[i][:, None, :]
+        first = np.where(mine == keys[right][None, :, :], mine, np.iinfo(np.int64).max).min(axis=2)
+        p, q = np.nonzero((first == bucket) & (roots[i][:, None] != roots[right][None, :]))
+        found += zip(i[p].tolist(), right[q].tolist(), strict=True)
     if not found:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    wanted = sorted({int(at[i]) for pair in found for i in pair})
-    names = list(number)
-    sets = dict(zip(wanted, shingle_sets([names[i] for i in wanted], shingle), strict=True))
+    wanted = list({lines[i] for pair in found for i in pair})
+    sets = dict(zip(wanted, shingle_sets(wanted, shingle), strict=True))
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -259,14 +273,14 @@ def _compare_tile(group: pa.Table, shingle: int, least: float, bands: int, rows:
     a, b = [], []
     root = roots.tolist()
     for i, j in found:
-        if find(root[i]) != find(root[j]) and jaccard_at_least(sets[int(at[i])], sets[int(at[j])], least):
+        if find(root[i]) != find(root[j]) and jaccard_at_least(sets[lines[i]], sets[lines[j]], least):
             parent[find(root[i])] = find(root[j])
             a.append(hashes[i])
             b.append(hashes[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle: int, least: float, bands: int, rows: int) -> DataFrame:
+def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) in buckets whose lines are not all connected by ``roots``, the components of the links found so far.
 
     The lines apart from the bucket's smallest are compared with all others of the bucket, tile by tile. Two lines that
@@ -291,7 +305,7 @@ def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle:
     met = left.unionByName(right).join(lines, "h")
 
     def compare(group: pa.Table) -> pa.Table:
-        return _compare_tile(group, shingle, least, bands, rows)
+        return _compare_tile(group, shingle, least)
 
     return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -306,20 +320,31 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return root.join(again, "component", "left").select("node", F.coalesce("new", "component").alias("component")).unionByName(moved.select("node", "component"))
 
 
-def _rebuild(batches, text: str, drops: str, keep: list[str]):
+def _rebuild(batches, text: str, drops: str, copy: str, keep: list[str], name: str):
     for batch in batches:
-        texts, dropped = batch.column(batch.schema.get_field_index(text)), batch.column(batch.schema.get_field_index(drops))
+        texts, dropped, again = (batch.column(batch.schema.get_field_index(c)) for c in (text, drops, copy))
         for start, stop, raw in text_steps(texts):
             out, counts = [], []
-            for x, gone in zip(raw, dropped.slice(start, stop - start).to_pylist(), strict=True):
-                if gone:
-                    lost = set(gone)
-                    x = b"\n".join(line for i, line in enumerate(x.split(b"\n")) if i not in lost)
-                out.append(x)
-                counts.append(len(gone or ()))
+            for x, gone, is_copy in zip(raw, dropped.slice(start, stop - start).to_pylist(), again.slice(start, stop - start).to_pylist(), strict=True):
+                lines = x.split(b"\n") if gone or is_copy else []
+                lost = {i for i, line in enumerate(lines) if line.strip(_BLANK)} if is_copy else set(gone or ())
+                out.append(b"\n".join([line for i, line in enumerate(lines) if i not in lost]) if lost else x)
+                counts.append(len(lost))
             nulls = np.asarray(texts.slice(start, stop - start).is_null())
             part = batch.slice(start, stop - start)
-            yield with_columns(part, keep, text=pa.array(out, pa.binary(), mask=nulls).cast(pa.string()), n_dropped=pa.array(counts, pa.int64()))
+            yield with_columns(part, keep, **{name: pa.array(out, pa.binary(), mask=nulls).cast(pa.string()), "n_dropped": pa.array(counts, pa.int64())})
+
+
+def _with_copies(rows: DataFrame, repeated: DataFrame, row: list[str], copy: str) -> DataFrame:
+    """Rows with ``copy``: true for all but one of those that agree in the columns ``row``, which ``repeated`` lists.
+
+    Only rows that repeat are written, with the numbers that pick one of them.
+    """
+    number = fresh(rows, "number")
+    several = cut(rows.join(repeated, row, "left_semi").withColumn(number, F.monotonically_increasing_id()))
+    first = several.groupBy(*row).agg(F.min(number).alias(number)).select(number, F.lit(False).alias(copy))
+    picked = several.join(first, number, "left").withColumn(copy, F.coalesce(copy, F.lit(True))).drop(number)
+    return rows.join(repeated, row, "left_anti").withColumn(copy, F.lit(False)).unionByName(picked)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan: bool = False, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -328,7 +353,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan:
     Lines are split at ``\\n`` and compared without white space at their ends; lines of white space alone stay. Lines are
     linked if they are equal, or if the Jaccard similarity of their sets of ``shingle``-character shingles is at least
     ``similarity``; lines shorter than a shingle only if equal. Of each component of links the line of the smallest
-    (key, row, line number) stays, null keys first, and all others go, wherever they are. Rows are never dropped: a text
+    (key, hash of the row, line number) stays, null keys first, and all others go, wherever they are. Rows are never dropped: a text
     may become empty. Null and empty texts stay as they are. Repeated rows are rows of their own. ``n_dropped`` replaces a
     column of that name.
 
@@ -336,31 +361,45 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", scan:
     smallest; where one is unlike it, that line is compared with all others of the bucket, so no candidate link is lost.
     Equal lines are one line throughout (64-bit hashes; for 10^9 different lines some two agree with a chance of 3 %).
 
-    The rows are written with their numbers first: numbers given anew by each job follow the splits of its scan, which
-    change with the executors at hand. ``scan`` says that ``docs`` is a plain scan of files; it is written all the same.
+    A row is told by its key and two 64-bit hashes of its text, which every job finds again whatever the splits of its scan;
+    rows that agree in all of them have the same lines, so all but one lose every line. Only such rows are written with
+    numbers to pick that one. ``scan`` says that ``docs`` is a plain scan of files, which is read three times; anything else
+    is written first.
     """
     docs = docs.drop("n_dropped")
-    row, body, gone = fresh(docs, "row"), fresh(docs, "body"), fresh(docs, "gone")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    plain = numbered.select(F.col(key).alias("k"), row, text_of(text).alias(body))
-    schema = schema_with(plain, ["k"], row=T.LongType(), no=T.IntegerType(), h=T.LongType(), bands=T.ArrayType(T.LongType()))
-    signed = cut(plain.mapInArrow(partial(_sign, text=body, row=row, key="k", shingle=shingle, bands=bands, rows=rows), schema))
+    if not scan:
+        docs = cut(docs)
+    row = [fresh(docs, "row"), fresh(docs, "row2")]
+    whole = text_of(text)
+    told = docs.withColumns({row[0]: F.xxhash64(key, whole), row[1]: F.xxhash64(F.lit(1), key, whole)})
+    plain = told.select(F.col(key).alias("k"), F.col(row[0]).alias("row"), F.col(row[1]).alias("row2"), whole.alias("body"))
+    schema = schema_with(plain, ["k", "row", "row2"], head=T.BooleanType(), no=T.IntegerType(), h=T.LongType(), bands=T.ArrayType(T.LongType()))
+    signed = cut(plain.mapInArrow(partial(_sign, text="body", shingle=shingle, bands=bands, rows=rows), schema))
     stars = cut(shared_buckets(signed.filter(F.size("bands") > 0)))
     pairs = stars.select("h", "rep").distinct()
-    lines = cut(lines_of(plain, body, pairs.select("h").union(pairs.select(F.col("rep").alias("h"))).distinct()))
-    texts = pairs.join(lines.withColumnRenamed("line", "one"), "h").join(lines.select(F.col("h").alias("rep"), F.col("line").alias("two")), "rep")
+    lines = cut(lines_of(plain, "body", pairs.select("h").union(pairs.select(F.col("rep").alias("h"))).distinct(), shingle, bands, rows))
+    texts = pairs.join(lines.select("h", F.col("line").alias("one")), "h").join(lines.select(F.col("h").alias("rep"), F.col("line").alias("two")), "rep")
     checked = cut(texts.select("h", "rep", "one", "two").mapInArrow(partial(_verify, shingle=shingle, least=similarity), "h long, rep long, alike boolean"))
     starred = components(checked.filter("alike"), "h", "rep")
-    more = _mixed_links(stars, starred, lines, shingle, similarity, bands, rows)
+    more = _mixed_links(stars, starred, lines, shingle, similarity)
     roots = _merged(starred, more)
-    place = F.struct("k", "row", "no")
+    place = F.struct("k", "row", "row2", "no")
     first = signed.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     rooted = first.join(roots, first.h == roots.node, "left").select("h", "first", "n", F.coalesce("component", "h").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).filter("all > 1")
-    repeated = rooted.join(groups, "root").select("h", F.col("kept.row").alias("kept_row"), F.col("kept.no").alias("kept_no"))
-    drops = signed.select("h", "row", "no").join(repeated, "h").filter("row <> kept_row or no <> kept_no")
-    drops = drops.groupBy("row").agg(F.collect_list("no").alias(gone))
-    joined = numbered.join(drops.withColumnRenamed("row", row), row, "left").drop(row)
+    repeated = rooted.join(groups, "root").select("h", "kept")
+    kept = (F.col("row") == F.col("kept.row")) & (F.col("row2") == F.col("kept.row2")) & (F.col("no") == F.col("kept.no"))
+    drops = signed.select("h", "row", "row2", "no").join(repeated, "h").filter(~kept).select("row", "row2", "no")
+    copies = cut(signed.filter("head").groupBy("row", "row2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("row").alias(row[0]), F.col("row2").alias(row[1])))
+    copy, gone = fresh(docs, "copy"), fresh(docs, "gone")
+    if copies.head(1):
+        told, drops = _with_copies(told, copies, row, copy), drops.distinct()
+    else:
+        told = told.withColumn(copy, F.lit(False))
+    lost = drops.groupBy(F.col("row").alias(row[0]), F.col("row2").alias(row[1])).agg(F.collect_list("no").alias(gone))
+    joined = told.join(lost, row, "left").drop(*row)
     keep = [c for c in docs.columns if c != text]
-    out = joined.mapInArrow(partial(_rebuild, text=text, drops=gone, keep=keep), schema_with(joined, keep, text=T.StringType(), n_dropped=T.LongType()))
-    return out.withColumnRenamed("text", text).select(*docs.columns, "n_dropped")
+    name = fresh(docs, "rebuilt")
+    rebuild = partial(_rebuild, text=text, drops=gone, copy=copy, keep=keep, name=name)
+    out = joined.mapInArrow(rebuild, schema_with(joined, keep, **{name: T.StringType(), "n_dropped": T.LongType()}))
+    return out.select(*[F.col(name).alias(text) if c == text else F.col(c) for c in docs.columns], "n_dropped")
