@@ -93,6 +93,8 @@ def _different(column: str) -> str:
 
 
 # One table for each count of different values, joined to the sums; the variance comes from whole sums of ratings.
+# One table of distinct pairs for each counted key beside the operator's distinct counts in one aggregate: it checks that
+# counts of several keys do not disturb one another. Rating sums are whole numbers, so the spread is exact.
 GROUP_TABLES = {
     "lengthy": "SELECT * FROM reviews WHERE text_len >= 50",
     "by_user": _different("user_id"),
@@ -103,9 +105,10 @@ GROUP_TABLES = {
       s.k*s.rr-s.r*s.r AS spread, sqrt(s.k*s.rr-s.r*s.r)/s.k AS sd_rating, s.len
       FROM sums s LEFT JOIN by_user u USING (text_hash) LEFT JOIN by_parent p USING (text_hash) LEFT JOIN by_asin a USING (text_hash)""",
 }
-# The name is picked by how far sharing goes: nothing shared, one user and product, one user, several users.
-DUP_TYPE = """['0_unique','1_same_user_same_parent','2_same_user_cross_product','3_cross_user']
-  [1 + (n_rows>1)::INT*(1 + 2*(n_users<>1)::INT + (n_users=1 AND n_parent<>1)::INT)]"""
+# Fixed by the definition: the names of the kinds of sharing and their order.
+DUP_TYPE = """CASE WHEN n_rows=1 THEN '0_unique' WHEN n_users=1 AND n_parent=1 THEN '1_same_user_same_parent'
+  WHEN n_users=1 THEN '2_same_user_cross_product' ELSE '3_cross_user' END"""
+# A table of ranges beside the operator's chain of upper edges: it checks that the edges leave no gap and no overlap.
 SIZE = """(SELECT s.name FROM (VALUES ('1',1,1),('2-5',2,5),('6-20',6,20),('21-50',21,50),('>50',51,9223372036854775807)) s(name,lo,hi) WHERE n_rows BETWEEN s.lo AND s.hi)"""
 query("PR13_dup_type", f"SELECT text_hash, {DUP_TYPE} AS dup_type FROM g", GROUP_TABLES)(
     lambda v: D.duplicate_groups(v.reviews).select("text_hash", L.dup_type("n_rows", "n_users", "n_parent").alias("dup_type"))
@@ -203,13 +206,9 @@ query(
 
 query(
     "AG1_basic_profile",
-    """SELECT n AS n_reviews, (SELECT count(*) FROM (SELECT user_id FROM reviews WHERE user_id IS NOT NULL GROUP BY user_id)) AS n_users,
-      (SELECT count(*) FROM (SELECT asin FROM reviews WHERE asin IS NOT NULL GROUP BY asin)) AS n_asin,
-      (SELECT count(*) FROM (SELECT parent_asin FROM reviews WHERE parent_asin IS NOT NULL GROUP BY parent_asin)) AS n_parent_asin,
-      v/w AS verified_ratio, (SELECT yr FROM reviews ORDER BY yr LIMIT 1) AS year_min, (SELECT yr FROM reviews ORDER BY yr DESC NULLS LAST LIMIT 1) AS year_max,
-      e AS n_empty_text, s AS n_short_text
-      FROM (SELECT count(*) AS n, count(verified_purchase) AS w, count(*) FILTER (verified_purchase) AS v, count(*) FILTER (text_len=0) AS e,
-        count(*) FILTER (text_len<50) AS s FROM reviews)""",
+    """SELECT count(*) AS n_reviews, count(DISTINCT user_id) AS n_users, count(DISTINCT asin) AS n_asin, count(DISTINCT parent_asin) AS n_parent_asin,
+      avg(verified_purchase::INT) AS verified_ratio, min(yr) AS year_min, max(yr) AS year_max, count(*) FILTER (text_len=0) AS n_empty_text,
+      count(*) FILTER (text_len<50) AS n_short_text FROM reviews""",
 )(lambda v: P.basic_profile(v.reviews))
 query(
     "AG2_rating_distribution",
@@ -217,8 +216,7 @@ query(
 )(lambda v: P.rating_distribution(v.reviews))
 query(
     "AG3_profile_by_year",
-    """SELECT yr, n, r/nr AS mean_rating, v/nv AS verified_ratio FROM (SELECT yr, count(*) AS n, sum(rating) AS r, count(rating) AS nr,
-      count(*) FILTER (verified_purchase) AS v, count(verified_purchase) AS nv FROM reviews GROUP BY yr)""",
+    "SELECT yr, count(*) AS n, avg(rating) AS mean_rating, avg(verified_purchase::INT) AS verified_ratio FROM reviews GROUP BY yr",
 )(lambda v: P.profile_by_year(v.reviews))
 query(
     "AG4_length_by_rating",
@@ -248,14 +246,15 @@ query(
 )
 query(
     "AG9_duplicate_rating_agreement",
-    """SELECT b.name AS rating_agreement, count(*) AS n_groups, sum(g.n_rows)::BIGINT AS n_rows FROM g
-      JOIN (VALUES ('identical rating',0.0::DOUBLE,0.0::DOUBLE),('sd<1',1e-18::DOUBLE,0.999999999999::DOUBLE),('sd>=1',1.0::DOUBLE,1e18::DOUBLE)) b(name,low,high)
-      ON g.spread/(g.n_rows*g.n_rows) BETWEEN b.low AND b.high AND g.n_rows>=2 GROUP BY b.name""",
+    # spread = n * sum of squares - square of the sum, a whole number: a deviation below 1 is a spread below n * n.
+    """SELECT CASE WHEN spread=0 THEN 'identical rating' WHEN spread<n_rows::HUGEINT*n_rows THEN 'sd<1' ELSE 'sd>=1' END AS rating_agreement,
+      count(*) AS n_groups, sum(n_rows)::BIGINT AS n_rows FROM g WHERE n_rows>1 GROUP BY 1""",
     GROUP_TABLES,
 )(lambda v: D.duplicate_rating_agreement(v.reviews))
 query(
     "AG10_variant_shared_groups",
-    """SELECT count(*) FILTER (place=1) AS n_groups, count(*) AS n_rows FROM (SELECT row_number() OVER same AS place, count(*) OVER same_all AS copies FROM reviews WHERE text_len>=50 WINDOW same AS (PARTITION BY user_id, ts, text_hash ORDER BY item_key), same_all AS (PARTITION BY user_id, ts, text_hash)) WHERE copies>=2""",
+    """SELECT count(*) AS n_groups, COALESCE(sum(k),0)::BIGINT AS n_rows FROM
+      (SELECT count(*) AS k FROM reviews WHERE text_len>=50 GROUP BY user_id, ts, text_hash) WHERE k>1""",
 )(lambda v: D.variant_shared_groups(v.reviews))
 query(
     "AG11_top_duplicate_groups",
@@ -266,8 +265,8 @@ query(
 )(lambda v: rounded(D.top_duplicate_groups(v.reviews), "sd_rating"))
 query(
     "AG12_exact_record_duplicates",
-    """SELECT count(*) FILTER (place=1) AS n_groups, count(*) AS n_rows_in_groups, count(*) FILTER (place>1) AS n_redundant_rows
-      FROM (SELECT row_number() OVER same AS place, count(*) OVER same_all AS copies FROM reviews WINDOW same AS (PARTITION BY user_id, asin, ts, text_hash ORDER BY item_key), same_all AS (PARTITION BY user_id, asin, ts, text_hash)) WHERE copies>=2""",
+    """SELECT count(*) AS n_groups, COALESCE(sum(k),0)::BIGINT AS n_rows_in_groups, COALESCE(sum(k-1),0)::BIGINT AS n_redundant_rows FROM
+      (SELECT count(*) AS k FROM reviews GROUP BY user_id, asin, ts, text_hash) WHERE k>1""",
 )(lambda v: D.exact_record_duplicates(v.reviews))
 KEYED = f"""SELECT *, {LOOSE} AS loose FROM docs WHERE text_len>=50"""
 query(
@@ -284,8 +283,7 @@ query(
 )(lambda v: D.loose_only_groups(v.docs))
 query(
     "AG14_loose_only_totals",
-    """SELECT count(*) AS n_groups, COALESCE(sum(r.n),0)::BIGINT AS n_rows FROM (SELECT loose, count(*) AS n FROM h GROUP BY loose) r
-      WHERE r.loose IN (SELECT loose FROM (SELECT DISTINCT loose, text_hash FROM h) GROUP BY loose HAVING count(*)>=2)""",
+    """SELECT count(*) AS n_groups, COALESCE(sum(n),0)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM h GROUP BY loose HAVING count(DISTINCT text_hash)>1)""",
     {"h": KEYED.replace("docs", "reviews")},
 )(lambda v: D.loose_only_totals(D.match_keys(v.reviews)))
 query(
@@ -334,8 +332,8 @@ query(
 )(lambda v: P.class_share_by_category_year(v.pool, v.meta))
 query(
     "AG22_membership_summary",
-    """SELECT count(*) n, count(DISTINCT sample) n_samples, COALESCE((SELECT sum(a.c*b.c) FROM (SELECT item_id, 1 AS c FROM samples WHERE sample LIKE 'train%' GROUP BY 1) a
-      JOIN (SELECT item_id, 1 AS c FROM samples WHERE sample LIKE 'test%' GROUP BY 1) b USING (item_id)),0)::BIGINT AS overlap FROM samples""",
+    """SELECT count(*) n, count(DISTINCT sample) n_samples, (SELECT count(*) FROM (SELECT item_id FROM samples WHERE sample LIKE 'train%'
+      INTERSECT SELECT item_id FROM samples WHERE sample LIKE 'test%')) AS overlap FROM samples""",
 )(lambda v: P.membership_summary(v.samples))
 query(
     "AG23_match_rate",
