@@ -4,9 +4,10 @@ F1 depends on an item only through its true class and the class each run predict
 with the same pattern are counted into one cell and replicates are drawn over cells. All runs
 share a cell, hence share draws: differences between runs are paired without extra work.
 
-Two ways to draw. ``multinomial``, the default, draws cell counts inside Arrow tasks: B x cells numbers
-whatever the number of items is. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n
-light rows, repeatable in any engine, the twin that SQL can check. Both follow the same law.
+Three ways to draw, all of one law. ``tree``, the default, splits a replicate's draws down a fixed binary tree over the
+ordered cells: each split is the binomial quantile of ``ph(seed:group:replicate:height:node)``, so it costs B x cells
+whatever the number of items, repeats on any partitioning, and SQL can draw the same replicates. ``multinomial`` draws cell
+counts by a random generator. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n light rows.
 """
 
 from __future__ import annotations
@@ -280,16 +281,120 @@ def multinomial_f1(
     return _named_members(f1, members, member_cols)
 
 
+def binomial_quantile(u: np.ndarray, m: np.ndarray, p: float) -> np.ndarray:
+    """Smallest k with P(Binomial(m, p) <= k) > u, for each u and m. Values beyond ten deviations and ten are left out: their
+    mass is below 1e-20. Probabilities are ratios from the mode outwards, so m may be large."""
+    if p >= 1.0:
+        return m.copy()
+    out = np.zeros(len(m), np.int64)
+    for size in np.unique(m[m > 0]).tolist():
+        mean, wide = size * p, 10.0 * (size * p * (1.0 - p)) ** 0.5 + 10.0
+        lo, hi = max(0, int(mean - wide)), min(size, int(mean + wide) + 1)
+        mode = min(max(int((size + 1) * p), lo), hi)
+        up, down = np.arange(mode, hi, dtype=float), np.arange(mode, lo, -1, dtype=float)
+        odds = p / (1.0 - p)
+        mass = np.concatenate([np.cumprod(down / (size - down + 1.0) / odds)[::-1], [1.0], np.cumprod((size - up) / (up + 1.0) * odds)])
+        cdf = np.cumsum(mass)
+        own = m == size
+        out[own] = np.minimum(lo + np.searchsorted(cdf / cdf[-1], u[own], side="right"), hi)
+    return out
+
+
+def split_draws(sizes: np.ndarray, draws: np.ndarray, name: str, height: int = 0, node: int = 0) -> np.ndarray:
+    """(replicates, leaves): ``draws`` of every replicate split down to leaves of the given sizes, 2^d of them, empty ones last.
+
+    The root is node ``node`` at ``height`` + d; a node's children are 2j and 2j + 1 one level below. A node is split by its
+    own hash whatever tree it is part of, so a tree may be cut into subtrees, and empty levels above change nothing.
+    """
+    import hashlib
+
+    counts = draws.reshape(len(draws), 1).astype(np.int64)
+    depth = int(len(sizes)).bit_length() - 1
+    for h in range(depth, 0, -1):
+        halves = sizes.reshape(2 ** (depth - h + 1), -1).sum(axis=1)
+        new = np.zeros((len(draws), 2 * counts.shape[1]), np.int64)
+        for j in range(counts.shape[1]):
+            m, left, right = counts[:, j], float(halves[2 * j]), float(halves[2 * j + 1])
+            if not right:
+                new[:, 2 * j] = m
+                continue
+            at = np.flatnonzero(m)
+            tail = f":{height + h}:{(node << (depth - h)) + j}"
+            u = np.array([int(hashlib.md5(f"{name}:{b}{tail}".encode()).hexdigest()[:15], 16) for b in at.tolist()], np.int64) / 2.0**60
+            new[at, 2 * j] = binomial_quantile(u, m[at], left / (left + right))
+            new[:, 2 * j + 1] = m - new[:, 2 * j]
+        counts = new
+    return counts
+
+
+#: Levels of a tree that are split first, one row a group: 64 subtrees, each a task of its own.
+TOP_LEVELS = 6
+
+
+def _in_subtrees(cells: DataFrame, by: Sequence[str], order: Sequence[str], B: int, seed: int, schema: str, use) -> DataFrame:
+    """Replicates by tree draws: ``use(cells of a subtree in order, weights (B, cells))`` gives rows of ``schema`` without ``by``."""
+    place = Window.partitionBy(*by).orderBy(*order)
+    indexed = cut(cells.withColumn("_leaf", F.row_number().over(place) - 1))
+    most = indexed.agg(F.max("_leaf")).first()[0] or 0
+    low = max(0, int(most).bit_length() - TOP_LEVELS)
+    parted = indexed.withColumn("_part", F.shiftright("_leaf", low).cast("int"))
+    names = ":".join
+    tag = lambda pdf: names([str(seed), *(str(pdf[c].iloc[0]) for c in by)])
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = np.zeros(1 << int(pdf["_part"].max()).bit_length())
+        sizes[pdf["_part"]] = pdf["k"]
+        drawn = split_draws(sizes, np.full(B, int(sizes.sum())), tag(pdf), low)
+        return pdf[[*by, "_part"]].assign(draws=[drawn[:, p] for p in pdf["_part"]])
+
+    header = parted.groupBy(*by, "_part").agg(F.sum("n").alias("k")).groupBy(*by).applyInPandas(top, f"{_typed(cells, by)}, _part int, draws array<long>")
+
+    def below(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_leaf")
+        sizes = np.zeros(1 << low)
+        own = pdf["_leaf"].to_numpy() & ((1 << low) - 1)
+        sizes[own] = pdf["n"]
+        drawn = split_draws(sizes, np.asarray(head["draws"].iloc[0]), tag(pdf), 0, int(pdf["_part"].iloc[0]))
+        return use(pdf, drawn[:, own]).assign(**{c: pdf[c].iloc[0] for c in by})
+
+    return _paired(parted, header, [*by, "_part"]).applyInPandas(below, f"{_typed(cells, by)}, {schema}")
+
+
+def tree_weights(cells: DataFrame, by: Sequence[str], order: Sequence[str], B: int, seed: int) -> DataFrame:
+    """Replicate weights (by, order, rep, w) by tree draws over cells (by, order, n); weights of 0 are left out."""
+
+    def use(pdf: pd.DataFrame, weights: np.ndarray) -> pd.DataFrame:
+        rep, cell = np.nonzero(weights)
+        return pdf.iloc[cell][list(order)].assign(rep=rep, w=weights[rep, cell])
+
+    return _in_subtrees(cells, by, order, B, seed, f"{_typed(cells, order)}, rep int, w long", use).select(*by, *order, "rep", "w")
+
+
+def tree_f1(cells: DataFrame, members: Sequence[tuple], by: Sequence[str], B: int, seed: int, member_cols: Sequence[str] = MEMBER) -> DataFrame:
+    """Replicate F1 by tree draws; subtrees return class totals, which are added up per replicate."""
+    codes, n_members = _codes(len(members)), len(members)
+    sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
+
+    def use(pdf: pd.DataFrame, weights: np.ndarray) -> pd.DataFrame:
+        return _tally_frame(pdf["y"].to_numpy(), _digits(pdf, n_members), weights.astype(float), np.arange(B))
+
+    tallies = _in_subtrees(cells, by, ["y", *codes], B, seed, "rep int, _i int, " + ", ".join(f"{c} double" for c in sums), use)
+    added = tallies.groupBy(*by, "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
+    return _named_members(added.select(*by, "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()]), members, member_cols)
+
+
 def replicate_f1(
     cells: DataFrame,
     members: Sequence[tuple],
     by: Sequence[str],
     B: int,
     seed: int,
-    draws: str = "multinomial",
+    draws: str = "tree",
     member_cols: Sequence[str] = MEMBER,
 ) -> DataFrame:
     """(by, rep, run, f1_*, macro_f1) for B replicates."""
+    if draws == "tree":
+        return tree_f1(cells, members, by, B, seed, member_cols)
     if draws == "multinomial":
         return multinomial_f1(cells, members, by, B, seed, member_cols)
     weights = draw_cells(cells, by, ["y", *_codes(len(members))], B, seed)
@@ -304,7 +409,7 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, lo: str = "lo", hi:
 
 
 def bootstrap_macro_f1(
-    preds: DataFrame, members: Sequence[tuple], by: Sequence[str], B: int, seed: int, draws: str = "multinomial"
+    preds: DataFrame, members: Sequence[tuple], by: Sequence[str], B: int, seed: int, draws: str = "tree"
 ) -> DataFrame:
     """Point value and interval of macro F1 per (by, run)."""
     cells = joint_cells(preds, members, by)
@@ -331,7 +436,7 @@ def _point_and_reps(
 
 
 def bootstrap_slope(
-    preds: DataFrame, members: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "multinomial"
+    preds: DataFrame, members: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "tree"
 ) -> DataFrame:
     """Yearly slope per (model, train_set) with interval; seeds are averaged inside a replicate."""
     group = ["model", "train_set"]
@@ -376,7 +481,7 @@ def _diff_summary(point: DataFrame, reps: DataFrame, pairs: Sequence[tuple]) ->
 
 
 def paired_slope_diff(
-    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "multinomial"
+    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], B: int, seed: int, value: str = "macro_f1", draws: str = "tree"
 ) -> DataFrame:
     """Slope and level differences under shared draws. Pairs name runs as 'model/train_set'."""
     point, reps = _point_and_reps(preds, members, B, seed, value, draws, ["model", "train_set"])
@@ -457,7 +562,7 @@ def cluster_pair_diff(reps: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
 
 def retraining_gain(
     preds: DataFrame, models: Sequence[str], seeds: Sequence[int], years: Sequence[int], B: int, seed: int,
-    old: str = "early", new: str = "recent", draws: str = "multinomial",
+    old: str = "early", new: str = "recent", draws: str = "tree",
 ) -> DataFrame:
     """(model, cls, old, new, gain, lo, hi): F1 averaged over seeds and years, gain of the newer training set."""
     members = [(m, t, s) for m in models for t in (old, new) for s in seeds]
@@ -479,7 +584,7 @@ def retraining_gain(
 
 def gain_contrast(
     preds: DataFrame, contrasts: dict[str, tuple[str, str]], members: Sequence[tuple], years: Sequence[int], B: int, seed: int,
-    draws: str = "multinomial",
+    draws: str = "tree",
 ) -> DataFrame:
     """(contrast, diff, lo, hi): macro F1 of run a minus run b, e.g. a retrained small model against an old big one."""
     cells = joint_cells(preds.filter(F.col("yr").isin(*years)), members, ["yr"])

@@ -80,7 +80,7 @@ VARIANTS = ("all", "dropped", "binary", "months")
 
 
 def robustness(
-    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], drop_years: Sequence[int], B: int, seed: int, last_month: int = 9, draws: str = "multinomial"
+    preds: DataFrame, members: Sequence[tuple], pairs: Sequence[tuple], drop_years: Sequence[int], B: int, seed: int, last_month: int = 9, draws: str = "tree"
 ) -> tuple[DataFrame, DataFrame]:
     """Yearly slopes of every robustness run with intervals, and differences between models, under one set of draws.
 
@@ -98,7 +98,7 @@ def robustness(
     twice = [(*m, decoding) for m in members for decoding in ("as predicted", "outer")]
     cells = bs.joint_cells(long, twice, ["yr"], cols, ["_first"])
     order = ["y", *bs._codes(len(twice)), "_first"]
-    make = bs.multinomial_weights if draws == "multinomial" else bs.draw_cells
+    make = {"tree": bs.tree_weights, "multinomial": bs.multinomial_weights, "hash": bs.draw_cells}[draws]
     weights = cut(make(cells, ["yr"], order, B, seed))
 
     def slopes(weighted: DataFrame, weight: str, reps: Sequence[str]) -> DataFrame:
@@ -243,7 +243,7 @@ def pred_dist_given_text(items: DataFrame, label: str, group: str = "label") ->
     )
 
 
-def figure_series(preds: DataFrame, members: Sequence[tuple], B: int, seed: int, draws: str = "multinomial") -> DataFrame:
+def figure_series(preds: DataFrame, members: Sequence[tuple], B: int, seed: int, draws: str = "tree") -> DataFrame:
     """(yr, model, train_set, macro, lo, hi, neu): seed means with bootstrap bands, from one set of replicates."""
     from tidemark.operators import bootstrap as bs
 

@@ -43,26 +43,31 @@ def normalise_reviews(raw: DataFrame) -> DataFrame:
 
 def rating_sd(rating: str = "rating") -> Column:
     """Population deviation from sums. Star ratings are whole numbers, so the sums are exact and a
-    group whose deviation is exactly 1 never lands below 1 by a rounding error."""
+    group whose deviation is exactly 1 never lands below 1 by a rounding error. Null without ratings."""
     r, n = F.col(rating), F.count(rating).cast("double")
-    return F.sqrt((n * F.sum(r * r) - F.sum(r) * F.sum(r)) / (n * n))
+    return F.sqrt(F.try_divide(n * F.sum(r * r) - F.sum(r) * F.sum(r), n * n))
 
 
 def duplicate_groups(reviews: DataFrame, min_len: int = 50) -> DataFrame:
-    """Per text: rows, users, products, variants, rating mean and spread, length."""
-    return (
-        reviews.filter(F.col("text_len") >= min_len)
-        .groupBy("text_hash")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_distinct("user_id").alias("n_users"),
-            F.count_distinct("parent_asin").alias("n_parent"),
-            F.count_distinct("asin").alias("n_asin"),
-            F.avg("rating").alias("mean_rating"),
-            rating_sd().alias("sd_rating"),
-            F.min("text_len").alias("len"),
-        )
+    """Per text: rows, users, products, variants, rating mean and spread, length. Nulls are not counted as values.
+
+    A text that occurs once, as nearly all do, is its own group and is not shuffled. For the others every counted column
+    is made distinct by (text, value) on its own, where copies fold in the map tasks, and only those counts are joined: no
+    row is copied once per counted column.
+    """
+    keys = {"n_users": "user_id", "n_parent": "parent_asin", "n_asin": "asin"}
+    rows = reviews.filter(F.col("text_len") >= min_len).select("text_hash", *keys.values(), "rating", "text_len")
+    lone, repeated = split_repeated(rows, ["text_hash"])
+    known = lambda c: F.col(c).isNotNull().cast("long")
+    single = lone.select(
+        "text_hash", F.lit(1).cast("long").alias("n_rows"), *[known(c).alias(n) for n, c in keys.items()],
+        F.col("rating").cast("double").alias("mean_rating"), F.when(F.col("rating").isNotNull(), F.lit(0.0)).alias("sd_rating"), F.col("text_len").alias("len"),
     )
+    out = repeated.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("rating").alias("mean_rating"), rating_sd().alias("sd_rating"), F.min("text_len").alias("len"))
+    for n, c in keys.items():
+        pairs = repeated.filter(F.col(c).isNotNull()).groupBy("text_hash", c).agg(F.lit(1).alias("_one"))
+        out = out.join(pairs.groupBy("text_hash").agg(F.count(F.lit(1)).alias(n)), "text_hash", "left").withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
+    return single.unionByName(out.select(single.columns))
 
 
 def text_sharing(reviews: DataFrame, min_len: int = 50) -> DataFrame:
