@@ -261,7 +261,8 @@ def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
     if not found:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     wanted = list({lines[i] for pair in found for i in pair})
-    sets = dict(zip(wanted, shingle_sets(wanted, shingle), strict=True))
+    # Compared many times, so as sets; the numbers are the same.
+    sets = {line: set(own.tolist()) for line, own in zip(wanted, shingle_sets(wanted, shingle), strict=True)}
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -273,7 +274,9 @@ def _compare_tile(group: pa.Table, shingle: int, least: float) -> pa.Table:
     a, b = [], []
     root = roots.tolist()
     for i, j in found:
-        if find(root[i]) != find(root[j]) and jaccard_at_least(sets[lines[i]], sets[lines[j]], least):
+        one, two = sets[lines[i]], sets[lines[j]]
+        small, large = (one, two) if len(one) < len(two) else (two, one)
+        if len(small) >= least * len(large) and find(root[i]) != find(root[j]) and (both := len(small & large)) >= least * (len(small) + len(large) - both):
             parent[find(root[i])] = find(root[j])
             a.append(hashes[i])
             b.append(hashes[j])
@@ -302,12 +305,28 @@ def _mixed_links(stars: DataFrame, roots: DataFrame, lines: DataFrame, shingle:
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     left = members.filter("doubtful").select("bucket", "h", "root", own.alias("i"), every.alias("j"), F.lit(True).alias("doubtful"))
     right = members.select("bucket", "h", "root", own.alias("j"), every.alias("i"), F.lit(False).alias("doubtful")).select(left.columns)
-    met = left.unionByName(right).join(lines, "h")
+    met = left.unionByName(right).join(lines, "h").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return met.select("bucket", "i", "j", "h", "root", "doubtful", "line", "bands").mapInArrow(partial(_compare_tiles, shingle=shingle, least=least), "a long, b long")
 
-    def compare(group: pa.Table) -> pa.Table:
-        return _compare_tile(group, shingle, least)
 
-    return met.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+def _compare_tiles(batches, shingle: int, least: float):
+    """Links of all tiles of a partition, which come one after another; most are of a few lines, so many share a batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        ids = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        changed = np.zeros(max(0, len(table) - 1), bool)
+        for x in ids:
+            changed |= x[1:] != x[:-1]
+        ends = np.flatnonzero(changed) + 1
+        starts = np.concatenate([[0], ends])
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=False):
+            yield from _compare_tile(table.slice(a, b - a), shingle, least).to_batches()
+        rest = table.slice(int(starts[-1])) if len(table) else rest
+    if rest is not None and len(rest):
+        yield from _compare_tile(rest.combine_chunks(), shingle, least).to_batches()
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
