@@ -7,11 +7,13 @@ share a cell, hence share draws: differences between runs are paired without ext
 Three ways to draw, all of one law. ``tree``, the default, splits a replicate's draws down a fixed binary tree over the
 ordered cells: each split is the binomial quantile of ``ph(seed:group:replicate:height:node)``, so it costs B x cells
 whatever the number of items, repeats on any partitioning, and SQL can draw the same replicates. ``multinomial`` draws cell
-counts by a random generator. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n light rows.
+counts by a random generator. ``hash`` places draw j of replicate b by ``ph(seed:group:b:j) mod n``: B x n hashes, counted
+in the tasks that make them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashes import ph_numbered
 from tidemark.functions.keys import composite_key, ph
 from tidemark.functions.labels import CLASSES
 from tidemark.operators import metrics as M
 from tidemark.operators.sampling import dense_index
-from tidemark.session import broadcast_checked, cut
+from tidemark.session import cut
 
 MEMBER = ("model", "train_set", "seed")
 DIGITS = 39  # class digits of base 3 that fit a signed 64-bit integer
@@ -140,35 +143,102 @@ def hash_draws(totals: DataFrame, by: Sequence[str], B: int, seed: int | str, ch
     return draws.select(*by, "total", "rep", F.pmod(ph(key), F.col("total")).alias("pos"))
 
 
+#: Draws of a unit of work, and draws hashed at a time.
+UNIT, STEP = 1 << 22, 1 << 15
+
+
+def _draw_units(totals: DataFrame, by: Sequence[str], B: int, seed: int | str) -> DataFrame:
+    """(by, total, rep, _tag, _k): the draws of a replicate in units of ``UNIT``; draw j is ``ph(_tag || j)``. Groups with a
+    null key have no draws."""
+    units = F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / UNIT))
+    known = totals.filter("total > 0")
+    for c in by:
+        known = known.filter(F.col(c).isNotNull())
+    reps = known.select(*by, "total", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rep"))
+    tag = F.concat(composite_key(F.lit(seed), *by, "rep", sep=":"), F.lit(":"))
+    return reps.select(*by, "total", "rep", tag.alias("_tag"), F.explode(units).alias("_k"))
+
+
+def _unit_positions(tag: str, k: int, total: int, unit: int):
+    """Positions of a unit's draws, some at a time."""
+    last = min(total, (k + 1) * unit)
+    for first in range(k * unit, last, STEP):
+        yield ph_numbered(tag, first, min(first + STEP, last)) % total
+
+
 def draw_cells(
-    cells: DataFrame, by: Sequence[str], order: Sequence[str], B: int, seed: int | str, slots: int = 1024
+    cells: DataFrame, by: Sequence[str], order: Sequence[str], B: int, seed: int | str, shares: int = 64
 ) -> DataFrame:
     """Replicate weights (by, order, rep, w) by hash draws.
 
-    A draw finds its cell by an equality join on position slots plus a range test over the cells of a slot, about
-    cells / ``slots``. This is the twin that SQL can check; large tables use the multinomial draws.
+    The draws of a group are dealt over ``shares`` tasks. Each has the upper ends of the group's cells, finds the cell of
+    every draw by binary search and returns counts, so draws are neither written nor shuffled.
     """
     running = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        cells.withColumn("_hi", F.sum("n").over(running))
-        .withColumn("_lo", F.col("_hi") - F.col("n"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-        .withColumn("_width", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / slots)))
-    )
-    slot_of = lambda c: F.floor(c / F.col("_width"))
-    ranges = placed.select(
-        *by, *order, "_lo", "_hi", F.explode(F.sequence(slot_of(F.col("_lo")), slot_of(F.col("_hi") - 1))).alias("_slot")
-    )
-    totals = cells.groupBy(*by).agg(F.sum("n").alias("total"))
-    draws = (
-        hash_draws(totals, by, B, seed)
-        .withColumn("_width", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / slots)))
-        .withColumn("_slot", slot_of(F.col("pos")))
-        .select(*by, "rep", "pos", "_slot")
-    )
-    # The planner can't know how many rows the draws explode into: they must never be the broadcast side.
-    hit = draws.hint("merge").join(broadcast_checked(ranges), [*by, "_slot"]).filter("pos >= _lo AND pos < _hi")
-    return hit.groupBy(*by, *order, "rep").agg(F.count(F.lit(1)).alias("w"))
+    placed = cut(cells.withColumn("_hi", F.sum("n").over(running)).withColumn("_cell", F.row_number().over(running) - 1))
+    dealt = F.pmod(F.col("rep") + F.col("_k"), F.lit(shares))
+    units = _draw_units(placed.groupBy(*by).agg(F.max("_hi").alias("total")), by, B, seed).withColumn("_share", dealt.cast("int"))
+    ends = placed.select(*by, "_hi", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"))
+
+    unit = UNIT
+
+    def count(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        hi, out = np.sort(edges["_hi"].to_numpy()), []
+        for rep, group in own.groupby("rep"):
+            n = np.zeros(len(hi), np.int64)
+            for tag, k, total in zip(group["_tag"], group["_k"], group["total"]):
+                for pos in _unit_positions(tag, int(k), int(total), unit):
+                    n += np.bincount(np.searchsorted(hi, pos, side="right"), minlength=len(hi))
+            hit = np.flatnonzero(n)
+            out.append(pd.DataFrame({"rep": rep, "_cell": hit, "w": n[hit]}))
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"rep": [], "_cell": [], "w": []})
+        return found.assign(**{c: edges[c].iloc[0] if len(edges) else None for c in by})
+
+    found = _paired(units, ends, [*by, "_share"]).applyInPandas(count, f"{_typed(cells, by)}, rep int, _cell int, w long")
+    summed = found.groupBy(*by, "rep", "_cell").agg(F.sum("w").alias("w"))
+    return summed.join(placed.select(*by, *order, "_cell"), [*by, "_cell"]).select(*by, *order, "rep", "w")
+
+
+#: Positions of a part of a group: few enough for offsets and counts in memory.
+PART = 1 << 14
+
+
+def draws_in_parts(totals: DataFrame, by: Sequence[str], B: int, seed: int | str) -> DataFrame:
+    """(by, _part, rep, hits): hash draws among ``total`` positions, dealt to parts of ``PART`` neighbouring positions.
+
+    ``hits`` is the compressed count of every position of the part, from one unit of draws: rows of a unit and part, not of
+    a draw, are shuffled.
+    """
+    units = _draw_units(totals, by, B, seed)
+    kept, unit, width = [*by, "rep", "total", "_tag", "_k"], UNIT, PART
+
+    def deal(batches):
+        for batch in batches:
+            for row in batch[kept].itertuples(index=False):
+                *keys, rep, total, tag, k = row
+                pos = np.sort(np.concatenate(list(_unit_positions(tag, int(k), int(total), unit))))
+                parts = np.arange(pos[0] // width, pos[-1] // width + 1)
+                at = np.searchsorted(pos, np.append(parts, parts[-1] + 1) * width)
+                hits = [_packed(pos[i:j] - p * width) for p, i, j in zip(parts, at, at[1:])]
+                yield pd.DataFrame({**dict(zip(by, keys)), "_part": parts, "rep": rep, "hits": hits})
+
+    spread = units.repartition(max(_tasks(totals), 64), *by, "rep", "_k")
+    return spread.select(*kept).mapInPandas(deal, f"{_typed(totals, by) + ', ' if by else ''}_part long, rep int, hits binary")
+
+
+def _packed(offsets: np.ndarray) -> bytes:
+    n = np.bincount(offsets, minlength=1)
+    return zlib.compress(n.astype("<u1" if n.max() < 255 else "<u4").tobytes() + (b"\1" if n.max() < 255 else b"\4"), 1)
+
+
+def _added_hits(reps: np.ndarray, hits: Sequence[bytes], size: int) -> np.ndarray:
+    """(replicates, positions) of a block of replicates, units added up. ``reps`` counts from 0."""
+    m = np.zeros((int(reps.max()) + 1, size), np.int32)
+    for rep, packed in zip(reps, hits):
+        raw = zlib.decompress(packed)
+        n = np.frombuffer(raw[:-1], "<u1" if raw[-1] == 1 else "<u4")
+        m[rep, : len(n)] += n.astype(np.int32)
+    return m
 
 
 def _tally_frame(y: np.ndarray, digits: np.ndarray, weights: np.ndarray, reps: np.ndarray) -> pd.DataFrame:
