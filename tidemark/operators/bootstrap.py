@@ -562,16 +562,45 @@ def cluster_cells(preds: DataFrame, members: Sequence[tuple], cluster: str) -> D
     return joint_cells(preds, members, ["yr"], carry=[cluster])
 
 
-def cluster_weights(cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int) -> DataFrame:
-    """Cells (yr, rep, y, codes, w) after drawing whole clusters with replacement, by hash draws."""
-    clusters = dense_index(cells.select("yr", cluster).distinct(), cluster, seed, "_pos", ["yr"])
-    totals = clusters.groupBy("yr").agg(F.count(F.lit(1)).alias("total"))
-    picked = hash_draws(totals, ["yr"], B, f"{seed}:{cluster}").groupBy("yr", "rep", "pos").agg(F.count(F.lit(1)).alias("_m"))
-    named = picked.join(clusters, (picked.yr == clusters.yr) & (picked.pos == clusters._pos)).select(
-        picked.yr, "rep", "_m", cluster
+def cluster_hash_f1(
+    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, member_cols: Sequence[str] = MEMBER, block: int = 4_000_000
+) -> DataFrame:
+    """(yr, rep, run, f1_*, macro_f1) after drawing whole clusters with replacement, by hash draws.
+
+    Clusters are numbered and cut into parts of neighbouring numbers. A part meets the draws that fell into it and returns
+    class totals, which are added up per replicate: neither draws nor weights of cells are joined or shuffled one by one.
+    """
+    codes, n_members = _codes(len(members)), len(members)
+    clusters = cut(dense_index(cells.select("yr", cluster).distinct(), cluster, seed, "_pos", ["yr"]))
+    hits = draws_in_parts(clusters.groupBy("yr").agg(F.count(F.lit(1)).alias("total")), ["yr"], B, f"{seed}:{cluster}")
+    numbered = cells.hint("merge").join(clusters, ["yr", cluster]).select(
+        "yr", F.floor(F.col("_pos") / PART).alias("_part"), F.pmod(F.col("_pos"), F.lit(PART)).cast("int").alias("_at"), "y", *codes, "n"
     )
-    codes = _codes(len(members))
-    return named.join(cells, ["yr", cluster]).groupBy("yr", "rep", "y", *codes).agg(F.sum(F.col("_m") * F.col("n")).alias("w"))
+    sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
+
+    def tally(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        # Rows of a cell lie together, so a cell's weight is the sum over a run of rows.
+        own = own.sort_values(["y", *codes], ignore_index=True)
+        starts = np.flatnonzero((own[["y", *codes]] != own[["y", *codes]].shift()).any(axis=1))
+        y, digits = own["y"].to_numpy()[starts], _digits(own.iloc[starts], n_members)
+        at, n = own["_at"].to_numpy(), own["n"].to_numpy()
+        step = max(1, block // max(len(own), PART))
+        drawn = drawn.sort_values("rep")
+        reps = drawn["rep"].to_numpy()
+        for first in range(0, B if len(own) else 0, step):
+            i, j = np.searchsorted(reps, [first, first + step])
+            if i < j:
+                m = _added_hits(reps[i:j] - first, drawn["hits"].iloc[i:j], PART)
+                w = np.add.reduceat(m[:, at] * n, starts, axis=1)
+                out.append(_tally_frame(y, digits, w.astype(float), np.arange(first, first + len(m))))
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["rep", "_i", *sums])
+        return found.assign(yr=own["yr"].iloc[0] if len(own) else None)
+
+    schema = f"{_typed(cells, ['yr'])}, rep int, _i int, " + ", ".join(f"{c} double" for c in sums)
+    tallies = _paired(numbered, hits, ["yr", "_part"]).applyInPandas(tally, schema)
+    added = tallies.groupBy("yr", "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
+    return _named_members(added.select("yr", "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()]), members, member_cols)
 
 
 def cluster_multinomial_weights(
@@ -619,9 +648,10 @@ def cluster_bootstrap(
     group = ["model", "train_set"]
     cells = cluster_cells(preds, members, cluster)
     point = slopes(seed_mean(member_f1(cells, members, ["yr"]), [*group, "yr"]), group)
-    make = cluster_multinomial_weights if draws == "multinomial" else cluster_weights
-    args = (cells, cluster, members, B, seed)
-    f1 = member_f1(make(*args), members, ["yr", "rep"], "w")
+    if draws == "multinomial":
+        f1 = member_f1(cluster_multinomial_weights(cells, cluster, members, B, seed), members, ["yr", "rep"], "w")
+    else:
+        f1 = cluster_hash_f1(cells, cluster, members, B, seed)
     reps = slopes(seed_mean(f1, [*group, "yr", "rep"]), [*group, "rep"])
     return point.select(*group, "slope").join(interval(reps, group, "slope"), group), reps
 
