@@ -208,7 +208,7 @@ query(
 query("PR24_surrogate_ids", "SELECT item_id, 'T'||printf('%07d', row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1) AS short_id FROM pool")(
     lambda v: S.surrogate_ids(v.pool.select("item_id"), "item_id", 9, "T%07d", "short_id")
 )
-# Every replicate is drawn item by item; as the table of all weights is B samples long, it is summed by item to be compared.
+# Every replicate is drawn item by item; the table of all weights would be B samples long, so it is summed by item.
 _B = 1000
 query(
     "SP11_resample_with_replacement",
@@ -216,8 +216,7 @@ query(
       FROM (SELECT unnest(range({_B})) AS b), (SELECT unnest(range((SELECT count(*) FROM pool_train))) AS j) GROUP BY ALL) d
       JOIN (SELECT item_id, row_number() OVER (ORDER BY ph('3:'||item_id), item_id)-1 AS pos FROM pool_train) USING (pos) GROUP BY ALL""",
 )(
-    lambda v: BS.resample_with_replacement(SP.train_rows(v.pool, V.TRAIN_YEARS).select("item_id"), _B, 3)
-    .groupBy("item_id").agg(F.sum("weight").alias("drawn"), F.count(F.lit(1)).alias("n_reps"), F.max("weight").alias("most"))
+    lambda v: BS.resample_totals(SP.train_rows(v.pool, V.TRAIN_YEARS).select("item_id"), _B, 3)
 )
 
 # ---- keys, membership, leakage -----------------------------------------------------------------

@@ -700,9 +700,43 @@ def gain_contrast(
     return p.join(r, ["a", "b"]).select(name.alias("contrast"), "diff", "lo", "hi")
 
 
-def resample_with_replacement(df: DataFrame, B: int, seed: int, id_col: str = "item_id") -> DataFrame:
+def resample_with_replacement(df: DataFrame, B: int, seed: int, id_col: str = "item_id", block: int = 64) -> DataFrame:
     """(rep, item, weight): n draws with replacement per replicate."""
-    indexed = dense_index(df.select(id_col), id_col, seed, "_pos")
-    totals = indexed.agg(F.count(F.lit(1)).alias("total"))
-    picked = hash_draws(totals, [], B, seed).groupBy("rep", "pos").agg(F.count(F.lit(1)).alias("weight"))
-    return picked.join(indexed, picked.pos == indexed._pos).select("rep", id_col, "weight")
+    indexed, hits = _item_draws(df, B, seed, id_col)
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["rep"].min())
+        m = _added_hits(pdf["rep"].to_numpy() - first, pdf["hits"], PART)
+        rep, at = np.nonzero(m)
+        return pd.DataFrame({"_pos": at + pdf["_part"].iloc[0] * PART, "rep": rep + first, "weight": m[rep, at]})
+
+    blocks = hits.withColumn("_block", F.floor(F.col("rep") / block)).repartition(_tasks(df), "_part", "_block")
+    weights = blocks.groupBy("_part", "_block").applyInPandas(weigh, "_pos long, rep int, weight long")
+    return weights.hint("merge").join(indexed, "_pos").select("rep", id_col, "weight")
+
+
+def resample_totals(df: DataFrame, B: int, seed: int, id_col: str = "item_id", block: int = 64) -> DataFrame:
+    """(item, drawn, n_reps, most) over the same replicates: all draws of an item, replicates that have it, its largest weight.
+
+    Added up where a part of the items meets its draws, so the table of all weights, ``B`` samples long, is never made.
+    """
+    indexed, hits = _item_draws(df, B, seed, id_col)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        drawn, n_reps, most = np.zeros((3, PART), np.int64)
+        for _, own in pdf.groupby(pdf["rep"] // block):
+            m = _added_hits((own["rep"] % block).to_numpy(), own["hits"], PART)
+            drawn += m.sum(axis=0)
+            n_reps += np.count_nonzero(m, axis=0)
+            most = np.maximum(most, m.max(axis=0))
+        at = np.flatnonzero(drawn)
+        return pd.DataFrame({"_pos": at + pdf["_part"].iloc[0] * PART, "_drawn": drawn[at], "_reps": n_reps[at], "_most": most[at]})
+
+    sums = hits.repartition(_tasks(df), "_part").groupBy("_part").applyInPandas(add, "_pos long, _drawn long, _reps long, _most long")
+    named = sums.hint("merge").join(indexed, "_pos").groupBy(id_col)
+    return named.agg(F.sum("_drawn").alias("drawn"), F.sum("_reps").alias("n_reps"), F.max("_most").alias("most"))
+
+
+def _item_draws(df: DataFrame, B: int, seed: int, id_col: str) -> tuple[DataFrame, DataFrame]:
+    indexed = cut(dense_index(df.select(id_col), id_col, seed, "_pos"))
+    return indexed, draws_in_parts(indexed.agg(F.count(F.lit(1)).alias("total")), [], B, seed)
