@@ -194,17 +194,18 @@ query(
     "SP10_paired_subset_sample",
     "SELECT sample, item_id FROM test_samples QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ph('2026:'||item_id), item_id)<=200",
 )(lambda v: S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026, n_samples=11))
+def drawn_twice(v):
+    """Every sample's drawn items, their number and whether a draw from rows that lie elsewhere, in another order, is the same."""
+    here = S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026)
+    there = S.paired_subset_sample(tests(v).select("item_id", "sample").repartition(7, "item_id").sortWithinPartitions(F.desc("item_id")), 200, 2026)
+    return here.join(J.same_sets(here, there, "item_id", ["sample"]), "sample").select("sample", "item_id", "n", "same")
+
+
 query(
     "SP10_paired_subset_same",
-    "SELECT sample, least(count(*), 200) AS n, true AS same FROM test_samples GROUP BY sample",
-)(
-    lambda v: J.same_sets(
-        S.paired_subset_sample(tests(v).select("sample", "item_id"), 200, 2026),
-        # The same draw from rows that lie elsewhere and in another order.
-        S.paired_subset_sample(tests(v).select("item_id", "sample").repartition(7, "item_id").sortWithinPartitions(F.desc("item_id")), 200, 2026),
-        "item_id", ["sample"],
-    )
-)
+    """SELECT sample, item_id, count(*) OVER (PARTITION BY sample) AS n, true AS same FROM
+      (SELECT sample, item_id FROM test_samples QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ph('2026:'||item_id), item_id)<=200)""",
+)(drawn_twice)
 query("PR24_surrogate_ids", "SELECT item_id, 'T'||printf('%07d', row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1) AS short_id FROM pool")(
     lambda v: S.surrogate_ids(v.pool.select("item_id"), "item_id", 9, "T%07d", "short_id")
 )
