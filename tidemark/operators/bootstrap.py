@@ -603,12 +603,13 @@ def cluster_hash_f1(
     return _named_members(added.select("yr", "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()]), members, member_cols)
 
 
-def cluster_multinomial_weights(
-    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = PARTS
+def cluster_multinomial_f1(
+    cells: DataFrame, cluster: str, members: Sequence[tuple], B: int, seed: int, parts: int = PARTS, member_cols: Sequence[str] = MEMBER
 ) -> DataFrame:
-    """The same weights at scale: clusters are hashed into parts, a draw over parts fixes how many
-    draws each part gets, and every task draws its own clusters. Only (rep, cell) sums leave a task."""
-    codes = _codes(len(members))
+    """The same by a random generator: clusters are hashed into parts, a draw over parts fixes how many
+    draws each part gets, and every task draws its own clusters. Only class totals of a replicate leave a task."""
+    codes, n_members = _codes(len(members)), len(members)
+    sums = [f"_{k}{c}" for c in CLASSES for k in ("tp", "tot")]
     by_cluster = cells.withColumn("_part", F.pmod(ph(F.concat(F.lit(f"{seed}:"), F.col(cluster))), F.lit(parts)).cast("int"))
     sizes = by_cluster.select("yr", "_part", cluster).distinct().groupBy("yr", "_part").agg(F.count(F.lit(1)).alias("k"))
     header = part_draws(sizes, ["yr"], B, seed).withColumn("_seed", ph(composite_key(F.lit(seed), "yr", "_part", sep=":")))
@@ -621,6 +622,7 @@ def cluster_multinomial_weights(
         starts = np.searchsorted(cell_of.ravel()[order], np.arange(len(cell_keys)))
         row_cluster, row_n = cluster_of.ravel()[order], pdf["n"].to_numpy(dtype=float)[order]
         rng = np.random.default_rng(int(head["_seed"].iloc[0]))
+        y, digits = cell_keys[:, 0], _digits(pd.DataFrame(cell_keys, columns=["y", *codes]), n_members)
         step = max(1, 4_000_000 // max(len(row_n), len(names)))
         out = []
         for first in range(0, B, step):
@@ -629,16 +631,13 @@ def cluster_multinomial_weights(
             hit = rng.integers(0, len(names), len(rep))
             m = np.bincount(rep * len(names) + hit, minlength=len(k_block) * len(names)).reshape(len(k_block), -1)
             w = np.add.reduceat(m[:, row_cluster] * row_n, starts, axis=1)
-            r, c = np.nonzero(w)
-            frame = pd.DataFrame(cell_keys[c], columns=["y", *codes])
-            frame["rep"], frame["w"] = r + first, w[r, c]
-            out.append(frame)
-        return pd.concat(out, ignore_index=True).assign(yr=head["yr"].iloc[0])[["yr", "rep", "y", *codes, "w"]]
+            out.append(_tally_frame(y, digits, w, np.arange(first, first + len(w))))
+        return pd.concat(out, ignore_index=True).assign(yr=head["yr"].iloc[0])
 
-    schema = "yr int, rep int, y int, " + ", ".join(f"{c} long" for c in codes) + ", w double"
-    keys = ["yr", "_part"]
-    drawn = _paired(by_cluster, header, keys).applyInPandas(draw, schema)
-    return drawn.groupBy("yr", "rep", "y", *codes).agg(F.sum("w").alias("w"))
+    schema = f"{_typed(cells, ['yr'])}, rep int, _i int, " + ", ".join(f"{c} double" for c in sums)
+    tallies = _paired(by_cluster, header, ["yr", "_part"]).applyInPandas(draw, schema)
+    added = tallies.groupBy("yr", "rep", "_i").agg(*[F.sum(c).alias(c) for c in sums])
+    return _named_members(added.select("yr", "rep", "_i", *[v.alias(k) for k, v in M.f1_columns().items()]), members, member_cols)
 
 
 def cluster_bootstrap(
@@ -648,10 +647,8 @@ def cluster_bootstrap(
     group = ["model", "train_set"]
     cells = cluster_cells(preds, members, cluster)
     point = slopes(seed_mean(member_f1(cells, members, ["yr"]), [*group, "yr"]), group)
-    if draws == "multinomial":
-        f1 = member_f1(cluster_multinomial_weights(cells, cluster, members, B, seed), members, ["yr", "rep"], "w")
-    else:
-        f1 = cluster_hash_f1(cells, cluster, members, B, seed)
+    make = cluster_multinomial_f1 if draws == "multinomial" else cluster_hash_f1
+    f1 = make(cells, cluster, members, B, seed)
     reps = slopes(seed_mean(f1, [*group, "yr", "rep"]), [*group, "rep"])
     return point.select(*group, "slope").join(interval(reps, group, "slope"), group), reps
 
