@@ -71,3 +71,15 @@ def test_clusters_drawn_by_parts(spark, monkeypatch, unit, part):
             hit = sum(w for y, p, w in own if y == p == c)
             total = sum(w for y, _, w in own if y == c) + sum(w for _, p, w in own if p == c)
             assert f1[c] == pytest.approx(2 * hit / total if total else 0.0)
+
+
+def test_runs_are_counted_where_draws_meet_cells(spark):
+    members = [("m", "t", s) for s in range(4)]
+    cells = spark.createDataFrame(CELLS, "yr int, y int, code_0 long, n long").repartition(3)
+    keys = ["yr", "rep", *B.MEMBER]
+    values = ["f1_0", "f1_1", "f1_2", "macro_f1"]
+    by_cell = B.member_f1(B.draw_cells(cells, ["yr"], ["y", "code_0"], 5, 9), members, ["yr", "rep"], "w")
+    f1 = B.replicate_f1(cells, members, ["yr"], 5, 9, "hash")
+    at = lambda df: {tuple(r[: len(keys)]): tuple(r[len(keys) :]) for r in df.select(*keys, *values).collect()}
+    assert at(f1) == at(by_cell) and f1.count() == 3 * 5 * 4
+    assert "explode(array" not in f1._jdf.queryExecution().executedPlan().toString()
