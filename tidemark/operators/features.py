@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import tokenize_words, word_tokens
 from tidemark.operators.sampling import bottom_n, dense_index
 from tidemark.operators.winners import largest_n
+from tidemark.session import cut
 
 
 def term_counts(docs: DataFrame, ngrams: tuple[int, ...] = (1, 2), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -72,7 +73,13 @@ def tfidf_weights(
 def tfidf_vectors(
     docs: DataFrame, terms: DataFrame, size: int, ngrams: tuple[int, ...] = (1, 2), doc_id: str = "doc_id"
 ) -> DataFrame:
-    """``docs`` plus a unit-length sparse ``features`` column over an indexed term table (term, idx, idf)."""
+    """``docs`` plus a unit-length sparse ``features`` column over an indexed term table (term, idx, idf).
+
+    ``size`` is the most terms there can be. Vectors are as wide as the table's last ``idx`` asks for, so that a model over
+    them has no coefficients without a term.
+    """
+    last = terms.agg(F.max("idx")).first()[0]
+    width = 1 if last is None else last + 1
     lookup = _lookup_side(terms.select("term", "idx", "idf"), size)
     entries = term_counts(docs, ngrams, doc_id=doc_id).join(lookup, "term")
     pairs = entries.groupBy(doc_id).agg(
@@ -81,7 +88,7 @@ def tfidf_vectors(
 
     @F.pandas_udf(VectorUDT())
     def sparse(idx: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"type": 0, "size": size, "indices": idx, "values": w})
+        out = pd.DataFrame({"type": 0, "size": width, "indices": idx, "values": w})
         return out.astype({"type": "int8", "size": "int32"})
 
     empty = F.struct(F.array().cast("array<int>").alias("idx"), F.array().cast("array<double>").alias("w"))
@@ -92,8 +99,8 @@ def tfidf_vectors(
 
 
 def indexed_terms(terms: DataFrame) -> DataFrame:
-    """Adds a dense ``idx`` to a term table."""
-    return dense_index(terms, "term", "idx", "idx").withColumn("idx", F.col("idx").cast("int"))
+    """A term table with a dense ``idx``, written once: counting and numbering it, and all vectors over it, read that copy."""
+    return cut(dense_index(cut(terms), "term", "idx", "idx").withColumn("idx", F.col("idx").cast("int")))
 
 
 def oov_rate(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import CLASSES, length_features, pred_from_probs
 from tidemark.functions.text import tokenize_words
 from tidemark.operators.profile import balanced_weights, majority_class
+from tidemark.session import cut
 
 
 def with_class_weight(train: DataFrame, y: str = "y", full: DataFrame | None = None) -> DataFrame:
@@ -33,13 +34,24 @@ def _softmax_regression(n_rows: int, max_iter: int, features: str = "features")
     )
 
 
+def by_core(rows: DataFrame) -> DataFrame:
+    """The rows in a partition per core at most, for a fit.
+
+    Every step of the optimiser sums one vector of all coefficients per partition, so more partitions than cores add nothing
+    but vectors to move; partitions that grow with the rows made the steps dearer with them.
+    """
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def text_classifier(train: DataFrame, max_iter: int = 100, labels: DataFrame | None = None) -> Model:
     """Class-balanced multinomial logistic regression on a ``features`` column.
 
-    ``labels`` is a cheaper frame with the same ``y`` rows (the texts before vectorising), used for counts.
+    ``labels`` is a cheaper frame with the same ``y`` rows (the texts before vectorising), used for counts. The vectors are
+    written once; the fit reads them twice.
     """
-    counted = train if labels is None else labels
-    return _softmax_regression(counted.count(), max_iter).fit(with_class_weight(train, full=counted))
+    rows = cut(train.select("y", "features"))
+    counted = rows if labels is None else labels
+    return _softmax_regression(counted.count(), max_iter).fit(by_core(with_class_weight(rows, full=counted)))
 
 
 def add_length_features(df: DataFrame, length: str = "text_len") -> DataFrame:
@@ -79,7 +91,7 @@ def hashed_full_pool_model(pool: DataFrame, bits: int = 22, max_iter: int = 20,
         Normalizer(inputCol="_tf", outputCol="features"),
         OneVsRest(classifier=lr, labelCol="y", featuresCol="features", weightCol="weight", predictionCol="prediction"),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(by_core(rows))
 
 
 def score_hashed(model: Model, tests: DataFrame, tags: dict[str, Column] | None = None, text: str = "text") -> DataFrame:
