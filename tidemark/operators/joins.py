@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_month, epoch_year
 from tidemark.operators.winners import best_rows
-from tidemark.session import cut
+from tidemark.session import cut, touched_rows
 
 
 def dedup_dimension(dim: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -76,9 +76,10 @@ def candidate_lists(items: DataFrame, reviews: DataFrame, part_rows: int = 10_00
     dealt over several lists by a hash of the row, so no list, and no task that makes one, grows with a key. ``candidates`` is
     an array of (asin, ts, rating, n): equal rows are one entry with their number.
     """
-    named = items.select("item_id", *PUBLIC_KEY).withColumn("key_id", F.md5(F.concat_ws("|", *PUBLIC_KEY)))
+    named = cut(items.select("item_id", *PUBLIC_KEY).withColumn("key_id", F.md5(F.concat_ws("|", *PUBLIC_KEY))))
     wanted = named.select("key_id", *PUBLIC_KEY).distinct()
-    raw = reviews.filter(F.col("rating").between(1, 5)).groupBy(*PUBLIC_KEY, "asin", "ts", "rating").agg(F.count(F.lit(1)).alias("n"))
+    valid = touched_rows(reviews.filter(F.col("rating").between(1, 5)).select(*PUBLIC_KEY, "asin", "ts", "rating"), wanted, PUBLIC_KEY)
+    raw = valid.groupBy(*PUBLIC_KEY, "asin", "ts", "rating").agg(F.count(F.lit(1)).alias("n"))
     rows = cut(raw.join(wanted, PUBLIC_KEY).select("key_id", "asin", "ts", "rating", "n"))
     parts = rows.groupBy("key_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")).filter("parts > 1")
     dealt = rows.join(parts, "key_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("asin", "ts", "rating"), F.col("parts")).cast("int"), F.lit(0)))

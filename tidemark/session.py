@@ -65,3 +65,10 @@ def broadcast_checked(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast a frame whose size is not known in advance only after counting it; else leave the join to the planner."""
     written = cut(df)
     return F.broadcast(written) if written.count() <= max_rows else written
+
+
+def touched_rows(rows: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 1_000_000) -> DataFrame:
+    """The rows whose key is in ``keys``, picked where they are read if the distinct keys are few enough to be sent to every
+    task; else all rows, so that the caller folds them before it joins them with the keys."""
+    written = cut(keys.select(*on).distinct())
+    return rows.join(F.broadcast(written), on, "left_semi") if written.count() <= max_rows else rows
