@@ -27,10 +27,19 @@ def ph(key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(_col(key).cast("string")), 1, 15), 16, 10).cast("long")
 
 
+def _seeded(seed: int | str | Column, key: Column | str) -> Column:
+    s = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.concat(s.cast("string"), F.lit(":"), _col(key).cast("string"))
+
+
 def seeded_ph(seed: int | str | Column, key: Column | str) -> Column:
     """``ph(seed:key)``: an independent order of the same keys for every seed."""
-    s = seed if isinstance(seed, Column) else F.lit(str(seed))
-    return ph(F.concat(s.cast("string"), F.lit(":"), _col(key).cast("string")))
+    return ph(_seeded(seed, key))
+
+
+def seeded_hex(seed: int | str | Column, key: Column | str) -> Column:
+    """The 15 hex digits of ``seeded_ph``: the same order as text."""
+    return F.substring(F.md5(_seeded(seed, key)), 1, PH_BITS // 4)
 
 
 def item_id(user: Column | str, asin: Column | str, ts: Column | str, text_hash: Column | str) -> Column:

@@ -14,14 +14,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import PH_BITS, seeded_ph
+from tidemark.functions.keys import PH_BITS, seeded_hex
 
 DEFAULT_BITS = 12
 BROADCAST_ROWS = 1_000_000
 
 
 def _with_bucket(df: DataFrame, id_col: str, seed: int | str | Column, bits: int) -> DataFrame:
-    return df.withColumn("_h", seeded_ph(seed, id_col)).withColumn("_b", F.shiftright("_h", PH_BITS - bits))
+    """``_h`` holds the hash as hex digits of one width, which sort as the numbers do and need no conversion; so do the leading
+    digits, which are the bucket unless its bits end inside a digit."""
+    hashed = df.withColumn("_h", seeded_hex(seed, id_col))
+    if bits % 4 == 0:
+        return hashed.withColumn("_b", F.substring("_h", 1, bits // 4))
+    return hashed.withColumn("_b", F.shiftright(F.conv("_h", 16, 10).cast("long"), PH_BITS - bits))
 
 
 def _offsets(bucketed: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -32,6 +37,13 @@ def _offsets(bucketed: DataFrame, strata: Sequence[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")))
 
 
+def _hashed(bucketed: DataFrame) -> DataFrame:
+    """Rows without a hash get a bucket that no row has: a join would test a bucket that may be null in front of it, and with
+    that hash every row twice."""
+    none = F.lit("none") if bucketed.schema["_b"].dataType.simpleString() == "string" else F.lit(-1)
+    return bucketed.withColumn("_b", F.coalesce("_b", none))
+
+
 def _small(df: DataFrame, n_strata: int | None, bits: int) -> DataFrame:
     """Broadcast only when strata x buckets proves the table small; otherwise the planner decides."""
     if n_strata is not None and n_strata * (1 << bits) <= BROADCAST_ROWS:
@@ -66,7 +78,7 @@ def bottom_n(
     cut = offsets.filter("_before < quota").select(*strata, "_b", (F.col("quota") - F.col("_before")).alias("_need"))
     rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", id_col))
     return (
-        bucketed.join(_small(cut, n_strata, bits), [*strata, "_b"])
+        _hashed(bucketed).join(_small(cut, n_strata, bits), [*strata, "_b"])
         .withColumn("_rank", rank)
         .filter("_rank <= _need")
         .select(*df.columns)
@@ -90,7 +102,7 @@ def dense_index(
     offsets = _small(_offsets(bucketed, groups).drop("_n"), n_groups, bits)
     rank = F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", id_col))
     return (
-        bucketed.join(offsets, [*groups, "_b"])
+        _hashed(bucketed).join(offsets, [*groups, "_b"])
         .withColumn(name, (F.col("_before") + rank - 1).cast("long"))
         .select(*df.columns, name)
     )
