@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import PH_BITS, seeded_hex
+from tidemark.functions.keys import PH_BITS, seeded_hex, seeded_ph
 
 DEFAULT_BITS = 12
 BROADCAST_ROWS = 1_000_000
