@@ -234,7 +234,7 @@ def with_zero_shot(v):
 
     cols = ["model", "train_set", "seed", "item_id", "yr", "y", "pred"]
     trained = J.semi(v.preds.filter("train_set = 'early'"), v.zero_shot, "item_id").select(*cols)
-    truth = v.pool.select("item_id", "y")
+    truth = v.items.select("item_id", "y")
     zs = v.zero_shot.join(truth, "item_id").select(
         F.lit("zs").alias("model"), F.lit("none").alias("train_set"), F.lit(0).alias("seed"), "item_id", "yr", "y",
         encode_label("label").alias("pred"),
@@ -334,7 +334,7 @@ query(
     "DR5_month_mix",
     """SELECT yr, count(*) n, avg((month<=9)::INT) AS kept_share, sum((month<=9 AND y=0)::INT)/sum((month<=9)::INT) AS neg,
       sum((month<=9 AND y=1)::INT)/sum((month<=9)::INT) AS neu, sum((month<=9 AND y=2)::INT)/sum((month<=9)::INT) AS pos FROM pool GROUP BY yr""",
-)(lambda v: D.month_mix(v.pool))
+)(lambda v: D.month_mix(v.items))
 query(
     "DR5_month_matched_slopes",
     f"""SELECT a.model, a.train_set, round(a.slope,8) AS slope_all, round(b.slope,8) AS slope_matched FROM ({SLOPE.format("slope", "f1_runs")}) a
@@ -393,7 +393,7 @@ MIX = {
 
 
 def mix(v):
-    return D.mix_reweighted_f1(v.preds, v.pool.filter("yr >= 1997"), v.meta, 1997)
+    return D.mix_reweighted_f1(v.preds, v.items.filter("yr >= 1997"), v.meta, 1997)
 
 
 query("DR6_mix_reweighted_f1", f"SELECT model, train_set, yr, {r8('raw, reweighted')} FROM mix", MIX)(lambda v: rounded(mix(v), "raw", "reweighted"))

@@ -111,14 +111,14 @@ DUP_TYPE = """CASE WHEN n_rows=1 THEN '0_unique' WHEN n_users=1 AND n_parent=1 T
 # A table of ranges beside the operator's chain of upper edges: it checks that the edges leave no gap and no overlap.
 SIZE = """(SELECT s.name FROM (VALUES ('1',1,1),('2-5',2,5),('6-20',6,20),('21-50',21,50),('>50',51,9223372036854775807)) s(name,lo,hi) WHERE n_rows BETWEEN s.lo AND s.hi)"""
 query("PR13_dup_type", f"SELECT text_hash, {DUP_TYPE} AS dup_type FROM g", GROUP_TABLES)(
-    lambda v: D.duplicate_groups(v.reviews).select("text_hash", L.dup_type("n_rows", "n_users", "n_parent").alias("dup_type"))
+    lambda v: D.duplicate_groups(v.records).select("text_hash", L.dup_type("n_rows", "n_users", "n_parent").alias("dup_type"))
 )
 query(
     "PR14_buckets",
     f"SELECT text_hash, {SIZE} AS size_bucket, CASE WHEN len<=60 THEN 'short' WHEN len<=90 THEN 'medium' ELSE 'long' END AS len_bucket FROM g",
     GROUP_TABLES,
 )(
-    lambda v: v.reviews.filter("text_len >= 50").groupBy("text_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.min("text_len").alias("len"))
+    lambda v: v.records.filter("text_len >= 50").groupBy("text_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.min("text_len").alias("len"))
     .select(
         "text_hash", L.group_size("n_rows", (1, 5, 20, 50)).alias("size_bucket"),
         L.bucket("len", [60, 90], ["short", "medium", "long"]).alias("len_bucket"),
@@ -209,20 +209,20 @@ query(
     """SELECT count(*) AS n_reviews, count(DISTINCT user_id) AS n_users, count(DISTINCT asin) AS n_asin, count(DISTINCT parent_asin) AS n_parent_asin,
       avg(verified_purchase::INT) AS verified_ratio, min(yr) AS year_min, max(yr) AS year_max, count(*) FILTER (text_len=0) AS n_empty_text,
       count(*) FILTER (text_len<50) AS n_short_text FROM reviews""",
-)(lambda v: P.basic_profile(v.reviews))
+)(lambda v: P.basic_profile(v.records))
 query(
     "AG2_rating_distribution",
     "SELECT c.rating, c.n, c.n*100.0::DOUBLE/t.n AS pct FROM (SELECT rating, count(*) AS n FROM reviews GROUP BY rating) c, (SELECT count(*) AS n FROM reviews) t",
-)(lambda v: P.rating_distribution(v.reviews))
+)(lambda v: P.rating_distribution(v.records))
 query(
     "AG3_profile_by_year",
     "SELECT yr, count(*) AS n, avg(rating) AS mean_rating, avg(verified_purchase::INT) AS verified_ratio FROM reviews GROUP BY yr",
-)(lambda v: P.profile_by_year(v.reviews))
+)(lambda v: P.profile_by_year(v.records))
 query(
     "AG4_length_by_rating",
     """SELECT rating, count(*) n, round(quantile_cont(text_len,0.1),8) p10, round(quantile_cont(text_len,0.5),8) p50, round(quantile_cont(text_len,0.9),8) p90,
       avg(helpful_vote) mean_helpful FROM reviews GROUP BY rating""",
-)(lambda v: rounded(P.length_by_rating(v.reviews), "p10", "p50", "p90"))
+)(lambda v: rounded(P.length_by_rating(v.records), "p10", "p50", "p90"))
 query("AG5_top_categories", "SELECT main_category, count(*) n FROM meta GROUP BY 1 ORDER BY n DESC, 1 LIMIT 40")(
     lambda v: P.top_categories(v.meta)
 )
@@ -230,19 +230,19 @@ query(
     "AG6_duplicate_groups",
     "SELECT text_hash, n_rows, n_users, n_parent, n_asin, mean_rating, round(sd_rating,8) AS sd_rating, len FROM g",
     GROUP_TABLES,
-)(lambda v: rounded(D.duplicate_groups(v.reviews), "sd_rating"))
+)(lambda v: rounded(D.duplicate_groups(v.records), "sd_rating"))
 query(
     "AG7_duplicate_types",
     f"""SELECT {DUP_TYPE} AS dup_type, count(*) n_groups, sum(n_rows)::BIGINT n_rows,
       100.0::DOUBLE*sum(n_rows)::BIGINT/(sum(sum(n_rows)) OVER ())::BIGINT AS pct_rows FROM g GROUP BY 1""",
     GROUP_TABLES,
-)(lambda v: D.duplicate_types(D.text_sharing(v.reviews)))
+)(lambda v: D.duplicate_types(D.text_sharing(v.records)))
 query(
     "AG8_duplicate_group_sizes",
     f"SELECT group_size, count(*) AS n_groups, sum(n_rows)::BIGINT AS n_rows FROM (SELECT {SIZE} AS group_size, n_rows FROM g) GROUP BY group_size",
     GROUP_TABLES,
 )(
-    lambda v: D.duplicate_group_sizes(v.reviews, edges=(1, 5, 20, 50))
+    lambda v: D.duplicate_group_sizes(v.records, edges=(1, 5, 20, 50))
 )
 query(
     "AG9_duplicate_rating_agreement",
@@ -250,12 +250,12 @@ query(
     """SELECT CASE WHEN spread=0 THEN 'identical rating' WHEN spread<n_rows::HUGEINT*n_rows THEN 'sd<1' ELSE 'sd>=1' END AS rating_agreement,
       count(*) AS n_groups, sum(n_rows)::BIGINT AS n_rows FROM g WHERE n_rows>1 GROUP BY 1""",
     GROUP_TABLES,
-)(lambda v: D.duplicate_rating_agreement(v.reviews))
+)(lambda v: D.duplicate_rating_agreement(v.records))
 query(
     "AG10_variant_shared_groups",
     """SELECT count(*) AS n_groups, COALESCE(sum(k),0)::BIGINT AS n_rows FROM
       (SELECT count(*) AS k FROM reviews WHERE text_len>=50 GROUP BY user_id, ts, text_hash) WHERE k>1""",
-)(lambda v: D.variant_shared_groups(v.reviews))
+)(lambda v: D.variant_shared_groups(v.records))
 query(
     "AG11_top_duplicate_groups",
     """SELECT text_hash, n_rows, n_users, n_parent, n_asin, mean_rating, round(sd_rating,8) AS sd_rating,
@@ -267,7 +267,7 @@ query(
     "AG12_exact_record_duplicates",
     """SELECT count(*) AS n_groups, COALESCE(sum(k),0)::BIGINT AS n_rows_in_groups, COALESCE(sum(k-1),0)::BIGINT AS n_redundant_rows FROM
       (SELECT count(*) AS k FROM reviews GROUP BY user_id, asin, ts, text_hash) WHERE k>1""",
-)(lambda v: D.exact_record_duplicates(v.reviews))
+)(lambda v: D.exact_record_duplicates(v.records))
 KEYED = f"""SELECT *, {LOOSE} AS loose FROM docs WHERE text_len>=50"""
 query(
     "AG13_distinct_match_keys",
@@ -294,7 +294,7 @@ query(
 query(
     "AG16_balanced_weights",
     "SELECT y, count(*) n, count(*)/sum(count(*)) OVER () AS prior, sum(count(*)) OVER ()/(3*count(*)) AS weight FROM pool GROUP BY y",
-)(lambda v: P.balanced_weights(v.pool.select("y")))
+)(lambda v: P.balanced_weights(v.items.select("y")))
 query(
     "AG17_label_dist_by_sample",
     "SELECT sample, count(*) n, avg((y=0)::INT) neg, avg((y=1)::INT) neu, avg((y=2)::INT) pos FROM samples GROUP BY sample",
@@ -304,32 +304,32 @@ query(
     """SELECT count(*) n_keys, sum((k>1)::INT)::BIGINT n_dup_keys, sum(CASE WHEN k>1 THEN k ELSE 0 END)::BIGINT n_rows,
       sum(CASE WHEN k>1 THEN s ELSE 0 END)::BIGINT n_sampled_rows FROM (
       SELECT count(*) k, sum((item_id IN (SELECT item_id FROM samples))::INT) s FROM pool GROUP BY user_id, parent_asin, text_hash)""",
-)(lambda v: D.key_uniqueness(v.pool, v.samples))
+)(lambda v: D.key_uniqueness(v.items, v.samples))
 NONUNIQUE = """SELECT item_id, user_id, parent_asin, text_hash, y, n_key, n_key_and_label FROM (SELECT *,
   count(*) OVER (PARTITION BY user_id, parent_asin, text_hash) AS n_key,
   count(*) OVER (PARTITION BY user_id, parent_asin, text_hash, y) AS n_key_and_label FROM pool)
   WHERE n_key>1 AND item_id IN (SELECT item_id FROM samples)"""
 query("AG19_nonunique_items", "SELECT item_id, y, n_key, n_key_and_label FROM nu", {"nu": NONUNIQUE})(
-    lambda v: D.nonunique_items(v.pool, v.samples).select("item_id", "y", "n_key", "n_key_and_label")
+    lambda v: D.nonunique_items(v.items, v.samples).select("item_id", "y", "n_key", "n_key_and_label")
 )
 query(
     "AG19_nonunique_summary",
     """SELECT count(*) n_items, sum((n_key_and_label=1)::INT)::BIGINT unique_with_label, (count(*)-sum((n_key_and_label=1)::INT))::BIGINT still_ambiguous FROM nu""",
     {"nu": NONUNIQUE},
-)(lambda v: D.nonunique_summary(D.nonunique_items(v.pool, v.samples)))
+)(lambda v: D.nonunique_summary(D.nonunique_items(v.items, v.samples)))
 PC = {
     "pc": "SELECT yr, y, COALESCE(cat_l1,'(none)') AS cat_l1 FROM pool LEFT JOIN cats USING (parent_asin)",
     "top_cats": "SELECT cat_l1 FROM pc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15",
     "pc2": "SELECT yr, y, CASE WHEN cat_l1 IN (SELECT cat_l1 FROM top_cats) THEN cat_l1 ELSE '(other)' END AS cat FROM pc",
 }
 query("AG20_category_share_by_year", "SELECT yr, cat, count(*) AS n, count(*)/sum(count(*)) OVER (PARTITION BY yr) AS share FROM pc2 GROUP BY yr, cat", PC)(
-    lambda v: P.category_share_by_year(v.pool, v.meta)
+    lambda v: P.category_share_by_year(v.items, v.meta)
 )
 query(
     "AG21_class_share_by_category_year",
     "SELECT yr, cat, count(*) AS n, avg((y=1)::INT) AS neu_share, avg((y=0)::INT) AS neg_share FROM pc2 GROUP BY yr, cat",
     PC,
-)(lambda v: P.class_share_by_category_year(v.pool, v.meta))
+)(lambda v: P.class_share_by_category_year(v.items, v.meta))
 query(
     "AG22_membership_summary",
     """SELECT count(*) n, count(DISTINCT sample) n_samples, (SELECT count(*) FROM (SELECT item_id FROM samples WHERE sample LIKE 'train%'
@@ -339,7 +339,7 @@ query(
     "AG23_match_rate",
     """SELECT count(*) n, sum((parent_asin IN (SELECT parent_asin FROM meta))::INT)::BIGINT n_matched,
       sum((parent_asin IN (SELECT parent_asin FROM meta))::INT)/count(*) AS rate FROM (SELECT DISTINCT parent_asin FROM reviews)""",
-)(lambda v: P.match_rate(v.reviews, v.meta, "parent_asin"))
+)(lambda v: P.match_rate(v.records, v.meta, "parent_asin"))
 LABS = ("POSITIVE", "NEGATIVE", "MIXED", "NEUTRAL", "UNCLEAR", "NO_MAJORITY")
 _XT = ", ".join(f"avg((majority='{x}')::INT) AS \"{x}\"" for x in LABS)
 
@@ -370,7 +370,7 @@ query(
       FROM (SELECT yr, cat, count(*)/sum(count(*)) OVER (PARTITION BY yr) AS share FROM pc2 GROUP BY yr, cat), (VALUES (1995,2000),(1997,2001)) t(y0,y1)
       GROUP BY y0, y1, cat) a GROUP BY 1, 2""",
     PC,
-)(lambda v: rounded(P.dissimilarity(P.category_share_by_year(v.pool, v.meta), [(1995, 2000), (1997, 2001)]), "dissimilarity"))
+)(lambda v: rounded(P.dissimilarity(P.category_share_by_year(v.items, v.meta), [(1995, 2000), (1997, 2001)]), "dissimilarity"))
 query("AG28_margins", "SELECT yr, y, count(*) n FROM samples GROUP BY CUBE (yr, y)")(lambda v: P.margins(v.samples))
 query("AG29_majority_class", "SELECT y FROM train_sample GROUP BY y ORDER BY count(*) DESC, y LIMIT 1")(
     lambda v: P.majority_class(v.samples.filter("sample = 'train_seed42'"))
@@ -379,9 +379,9 @@ query(
     "AG30_keep_last",
     "SELECT user_id, parent_asin, item_id FROM pool QUALIFY row_number() OVER (PARTITION BY user_id, parent_asin ORDER BY ts DESC, item_id DESC)=1",
 )(
-    lambda v: J.keep_last(v.pool.select("user_id", "parent_asin", "item_id", "ts"), ["user_id", "parent_asin"], ["ts", "item_id"]).drop("ts")
+    lambda v: J.keep_last(v.items.select("user_id", "parent_asin", "item_id", "ts"), ["user_id", "parent_asin"], ["ts", "item_id"]).drop("ts")
 )
-query("AG30_distinct", "SELECT DISTINCT user_id, parent_asin FROM reviews")(lambda v: v.reviews.select("user_id", "parent_asin").distinct())
+query("AG30_distinct", "SELECT DISTINCT user_id, parent_asin FROM reviews")(lambda v: v.records.select("user_id", "parent_asin").distinct())
 
 # ---- windows and ordering ------------------------------------------------------------------
 
@@ -391,13 +391,13 @@ query("WN1_dedup_pool", "SELECT item_id, user_id, asin, ts, text_hash, helpful_v
     )
 )
 query("WN2_pct_of_total", "SELECT yr, y, count(*) n, 100.0::DOUBLE*count(*)/sum(count(*)) OVER () AS pct FROM pool GROUP BY yr, y")(
-    lambda v: P.pct_of_total(v.pool.groupBy("yr", "y").agg(F.count(F.lit(1)).alias("n")))
+    lambda v: P.pct_of_total(v.items.groupBy("yr", "y").agg(F.count(F.lit(1)).alias("n")))
 )
 query("WN3_share_in_partition", "SELECT yr, y, count(*) n, count(*)/sum(count(*)) OVER (PARTITION BY yr) AS share FROM pool GROUP BY yr, y")(
-    lambda v: P.share_in_partition(v.pool.groupBy("yr", "y").agg(F.count(F.lit(1)).alias("n")), ["yr"])
+    lambda v: P.share_in_partition(v.items.groupBy("yr", "y").agg(F.count(F.lit(1)).alias("n")), ["yr"])
 )
 query("WN4_content_key", "SELECT count(*) n, count(DISTINCT item_id) n_ids, md5(min(item_id)||max(item_id)) AS ends FROM pool")(
-    lambda v: v.pool.agg(
+    lambda v: v.items.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("item_id").alias("n_ids"), F.md5(F.concat(F.min("item_id"), F.max("item_id"))).alias("ends")
     )
 )
@@ -407,8 +407,8 @@ query(
       FROM rated_items, (SELECT quantile_cont(text_len,1/3) q1, quantile_cont(text_len,2/3) q2 FROM rated_items)""",
 )(lambda v: __import__("tidemark.operators.stats", fromlist=["x"]).quantile_bins(v.rated_items.select("item_id", "text_len"), "text_len"))
 query("SO1_order_by", "SELECT yr, rating, count(*) n FROM reviews GROUP BY 1, 2")(
-    lambda v: v.reviews.groupBy("yr", "rating").agg(F.count(F.lit(1)).alias("n")).orderBy("yr", "rating")
+    lambda v: v.records.groupBy("yr", "rating").agg(F.count(F.lit(1)).alias("n")).orderBy("yr", "rating")
 )
 query("SO2_top_k", "SELECT parent_asin, count(*) n FROM reviews GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")(
-    lambda v: P.top_categories(v.reviews, 15, "parent_asin")
+    lambda v: P.top_categories(v.records, 15, "parent_asin")
 )

@@ -26,7 +26,7 @@ def tests(v):
 # ---- joins -----------------------------------------------------------------------------------
 
 query("JN1_coverage_join", "SELECT sum((parent_asin IN (SELECT parent_asin FROM meta))::INT)/count(*) AS ratio FROM reviews")(
-    lambda v: J.coverage(v.reviews, v.meta, "parent_asin")
+    lambda v: J.coverage(v.records, v.meta, "parent_asin")
 )
 query(
     "JN2_detail_join",
@@ -59,10 +59,10 @@ query(
     )(v.docs.select("doc_id", X.loose_norm("text").alias("loose")))
 )
 query("JN5_semi_join", "SELECT item_id, yr FROM pool WHERE item_id IN (SELECT item_id FROM samples)")(
-    lambda v: J.semi(v.pool.select("item_id", "yr"), v.samples, "item_id")
+    lambda v: J.semi(v.items.select("item_id", "yr"), v.samples, "item_id")
 )
 query("JN6_anti_join", "SELECT item_id, yr FROM pool WHERE item_id NOT IN (SELECT item_id FROM samples)")(
-    lambda v: J.anti(v.pool.select("item_id", "yr"), v.samples, "item_id")
+    lambda v: J.anti(v.items.select("item_id", "yr"), v.samples, "item_id")
 )
 query(
     "JN7_multi_key_left_join",
@@ -70,13 +70,13 @@ query(
       r.v.b AS verified_purchase, r.v.h AS helpful_vote, main_category, cat_l1, cat_l2
       FROM annotation a LEFT JOIN (SELECT user_id, asin, ts, min({'p':parent_asin,'b':verified_purchase,'h':helpful_vote}) AS v FROM reviews GROUP BY 1,2,3) r
       ON a.user_id=r.user_id AND a.asin=r.asin AND a.ts=r.ts LEFT JOIN cats c ON c.parent_asin=r.v.p""",
-)(lambda v: J.annotate_key(v.annotation_key, v.reviews, v.meta))
+)(lambda v: J.annotate_key(v.annotation_key, v.records, v.meta))
 query(
     "JN8_samples_to_category",
     """SELECT s.sample, s.item_id, p.parent_asin, COALESCE(c.cat_l1,'(none)') AS cat_l1 FROM samples s JOIN pool p USING (item_id)
       LEFT JOIN cats c ON c.parent_asin=p.parent_asin""",
 )(
-    lambda v: P.with_category(v.samples.select("sample", "item_id").join(v.pool.select("item_id", "parent_asin"), "item_id"), v.meta).select(
+    lambda v: P.with_category(v.samples.select("sample", "item_id").join(v.items.select("item_id", "parent_asin"), "item_id"), v.meta).select(
         "sample", "item_id", "parent_asin", "cat_l1"
     )
 )
@@ -85,7 +85,7 @@ query(
     """SELECT p.item_id, min(r.ts) AS ts, CAST(month(epoch_ms(min(r.ts))) AS INT) AS month FROM pool p JOIN reviews r
       ON r.user_id=p.user_id AND r.parent_asin=p.parent_asin AND r.text_hash=p.text_hash AND r.yr=p.yr
       WHERE p.item_id IN (SELECT item_id FROM test_samples) GROUP BY 1""",
-)(lambda v: J.recover_timestamp(J.semi(v.pool, tests(v), "item_id"), v.reviews))
+)(lambda v: J.recover_timestamp(J.semi(v.items, tests(v), "item_id"), v.records))
 query(
     "JN10_candidate_rows",
     "SELECT nu.item_id, c.asin, c.ts, c.rating FROM nu JOIN c USING (user_id, parent_asin, text_hash)",
@@ -94,7 +94,7 @@ query(
         "c": """SELECT user_id, parent_asin, text_hash, asin, ts, rating FROM reviews WHERE rating>=1 AND rating<=5
           AND text_hash IN (SELECT text_hash FROM nu)""",
     },
-)(lambda v: J.candidate_rows(D.nonunique_items(v.pool, v.samples), v.reviews))
+)(lambda v: J.candidate_rows(D.nonunique_items(v.items, v.samples), v.records))
 query(
     "JN10_candidate_lists",
     """SELECT k.key_id, n_items, n_rows, n_different FROM (SELECT md5(concat_ws('|', user_id, parent_asin, text_hash)) AS key_id, count(*) AS n_items FROM nu GROUP BY ALL) k
@@ -103,23 +103,23 @@ query(
     {"nu": NONUNIQUE},
 )(
     lambda v: (lambda keys, lists: lists.groupBy("key_id").agg(F.sum("n").alias("n_rows"), F.sum(F.size("candidates")).alias("n_different"))
-    .join(keys.groupBy("key_id").agg(F.count(F.lit(1)).alias("n_items")), "key_id"))(*J.candidate_lists(D.nonunique_items(v.pool, v.samples), v.reviews, 2))
+    .join(keys.groupBy("key_id").agg(F.count(F.lit(1)).alias("n_items")), "key_id"))(*J.candidate_lists(D.nonunique_items(v.items, v.samples), v.records, 2))
 )
 query(
     "JN11_chained_using",
     """SELECT item_id, count(*) OVER (PARTITION BY user_id, parent_asin) AS n_pair, count(*) OVER (PARTITION BY user_id, parent_asin, y) AS n_pair_label
       FROM pool""",
 )(
-    lambda v: v.pool.select("item_id", "user_id", "parent_asin", "y")
-    .join(v.pool.groupBy("user_id", "parent_asin").agg(F.count(F.lit(1)).alias("n_pair")), ["user_id", "parent_asin"])
-    .join(v.pool.groupBy("user_id", "parent_asin", "y").agg(F.count(F.lit(1)).alias("n_pair_label")), ["user_id", "parent_asin", "y"])
+    lambda v: v.items.select("item_id", "user_id", "parent_asin", "y")
+    .join(v.items.groupBy("user_id", "parent_asin").agg(F.count(F.lit(1)).alias("n_pair")), ["user_id", "parent_asin"])
+    .join(v.items.groupBy("user_id", "parent_asin", "y").agg(F.count(F.lit(1)).alias("n_pair_label")), ["user_id", "parent_asin", "y"])
     .select("item_id", "n_pair", "n_pair_label")
 )
 query("JN15_lookup_weights", "SELECT item_id, y, CASE y WHEN 0 THEN 2.0 WHEN 1 THEN 4.0 ELSE 0.5 END::DOUBLE AS w FROM pool")(
-    lambda v: J.lookup(v.pool.select("item_id", "y"), {0: 2.0, 1: 4.0, 2: 0.5}, "y", "w")
+    lambda v: J.lookup(v.items.select("item_id", "y"), {0: 2.0, 1: 4.0, 2: 0.5}, "y", "w")
 )
 query("JN16_scalar_subquery", "SELECT count(*) AS n_a, (SELECT count(*) FROM reviews) AS n_b, count(*)/(SELECT count(*) FROM reviews) AS ratio FROM pool")(
-    lambda v: J.ratio_of_counts(v.pool, v.reviews)
+    lambda v: J.ratio_of_counts(v.items, v.records)
 )
 query("JN14_attach_attributes", "SELECT r.item_id, r.rater, r.label, i.yr, i.cat_l1, i.rating_star FROM raters r JOIN rated_items i USING (item_id)")(
     lambda v: J.attach(v.raters, v.rated_items, ["item_id"], ["yr", "cat_l1", "rating_star"], "inner")
@@ -128,13 +128,13 @@ query("JN14_attach_attributes", "SELECT r.item_id, r.rater, r.label, i.yr, i.cat
 # ---- set operations ----------------------------------------------------------------------------
 
 query("SO3_hash_shuffle", "SELECT item_id, ph('7:'||item_id) AS h FROM pool ORDER BY h, item_id")(
-    lambda v: S.hash_shuffle(v.pool.select("item_id"), 7).select("item_id", K.seeded_ph(7, "item_id").alias("h"))
+    lambda v: S.hash_shuffle(v.items.select("item_id"), 7).select("item_id", K.seeded_ph(7, "item_id").alias("h"))
 )
 query("SO4_head_n", "SELECT doc_id, lang FROM documents ORDER BY ph('5:'||doc_id), doc_id LIMIT 200")(
     lambda v: S.head_n(v.table("documents").select("doc_id", "lang"), 200, 5, "doc_id")
 )
 query("SO5_union_all", "SELECT 'pool' AS src, item_id FROM pool UNION ALL SELECT sample, item_id FROM samples")(
-    lambda v: v.pool.select(F.lit("pool").alias("src"), "item_id").unionByName(v.samples.select(F.col("sample").alias("src"), "item_id"))
+    lambda v: v.items.select(F.lit("pool").alias("src"), "item_id").unionByName(v.samples.select(F.col("sample").alias("src"), "item_id"))
 )
 query("SO6_union_distinct", "SELECT DISTINCT item_id FROM test_samples")(
     lambda v: J.union_distinct(
@@ -142,7 +142,7 @@ query("SO6_union_distinct", "SELECT DISTINCT item_id FROM test_samples")(
     )
 )
 query("SO7_same_set", "SELECT count(*)=0 AS same FROM (SELECT item_id FROM pool EXCEPT SELECT item_id FROM samples)")(
-    lambda v: J.same_set(v.pool, v.samples)
+    lambda v: J.same_set(v.items, v.samples)
 )
 
 # ---- sampling and splits ------------------------------------------------------------------------
@@ -154,23 +154,23 @@ query(
     "SP2_split_by_key",
     "SELECT item_id, ph(item_id)%10<8 AS by_row, ph(parent_asin)%10<8 AS by_product, ph(user_id)%10<8 AS by_user FROM pool",
 )(
-    lambda v: SP.split_by_key(SP.split_by_key(SP.split_by_key(v.pool, "item_id", 8, "by_row"), "parent_asin", 8, "by_product"), "user_id", 8, "by_user")
+    lambda v: SP.split_by_key(SP.split_by_key(SP.split_by_key(v.items, "item_id", 8, "by_row"), "parent_asin", 8, "by_product"), "user_id", 8, "by_user")
     .select("item_id", "by_row", "by_product", "by_user")
 )
 query("SP3_split_temporal", "SELECT item_id, CASE WHEN yr<=1998 THEN 'train' ELSE 'test' END AS set FROM pool WHERE yr<=1998 OR yr>=2000")(
-    lambda v: SP.split_temporal(v.pool, (1995, 1998), (2000, 2001)).select("item_id", "set")
+    lambda v: SP.split_temporal(v.items, (1995, 1998), (2000, 2001)).select("item_id", "set")
 )
 query("SP4_period_tests", "SELECT sample, item_id, yr, y FROM natural_tests")(
-    lambda v: SP.period_tests(v.pool.select("item_id", "yr", "y"), V.N_TEST, V.TRAIN_YEARS, V.TEST_YEARS, 7).select("sample", "item_id", "yr", "y")
+    lambda v: SP.period_tests(v.items.select("item_id", "yr", "y"), V.N_TEST, V.TRAIN_YEARS, V.TEST_YEARS, 7).select("sample", "item_id", "yr", "y")
 )
 query("SP5_matched_tests", "SELECT sample, item_id, yr, y FROM matched_tests")(
     lambda v: SP.matched_tests(
-        v.pool.select("item_id", "yr", "y"), SP.class_prior(SP.train_rows(v.pool.select("item_id", "yr", "y"), V.TRAIN_YEARS)),
+        v.items.select("item_id", "yr", "y"), SP.class_prior(SP.train_rows(v.items.select("item_id", "yr", "y"), V.TRAIN_YEARS)),
         V.N_TEST, V.TEST_YEARS, 7,
     ).select("sample", "item_id", "yr", "y")
 )
 query("SP6_train_excluding", "SELECT item_id, yr, y FROM recent_train")(
-    lambda v: SP.train_excluding(v.pool.select("item_id", "yr", "y"), tests(v), V.RECENT_YEARS, V.N_TRAIN, 42)
+    lambda v: SP.train_excluding(v.items.select("item_id", "yr", "y"), tests(v), V.RECENT_YEARS, V.N_TRAIN, 42)
 )
 query(
     "SP6_overlap_audit",
@@ -189,7 +189,7 @@ query(
     "SP9_seed_subsamples",
     """SELECT seed, item_id FROM pool_train, (VALUES (42),(43),(44)) t(seed)
       QUALIFY row_number() OVER (PARTITION BY seed ORDER BY ph(seed||':'||item_id), item_id)<=800""",
-)(lambda v: S.seed_subsamples(SP.train_rows(v.pool, V.TRAIN_YEARS), 800, V.SEEDS))
+)(lambda v: S.seed_subsamples(SP.train_rows(v.items, V.TRAIN_YEARS), 800, V.SEEDS))
 query(
     "SP10_paired_subset_sample",
     "SELECT sample, item_id FROM test_samples QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ph('2026:'||item_id), item_id)<=200",
@@ -207,7 +207,7 @@ query(
       (SELECT sample, item_id FROM test_samples QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ph('2026:'||item_id), item_id)<=200)""",
 )(drawn_twice)
 query("PR24_surrogate_ids", "SELECT item_id, 'T'||printf('%07d', row_number() OVER (ORDER BY ph('9:'||item_id), item_id)-1) AS short_id FROM pool")(
-    lambda v: S.surrogate_ids(v.pool.select("item_id"), "item_id", 9, "T%07d", "short_id")
+    lambda v: S.surrogate_ids(v.items.select("item_id"), "item_id", 9, "T%07d", "short_id")
 )
 # Every replicate is drawn item by item; the table of all weights would be B samples long, so it is summed by item.
 _B = 1000
@@ -217,7 +217,7 @@ query(
       FROM (SELECT unnest(range({_B})) AS b), (SELECT unnest(range((SELECT count(*) FROM pool_train))) AS j) GROUP BY ALL) d
       JOIN (SELECT item_id, row_number() OVER (ORDER BY ph('3:'||item_id), item_id)-1 AS pos FROM pool_train) USING (pos) GROUP BY ALL""",
 )(
-    lambda v: BS.resample_totals(SP.train_rows(v.pool, V.TRAIN_YEARS).select("item_id"), _B, 3)
+    lambda v: BS.resample_totals(SP.train_rows(v.items, V.TRAIN_YEARS).select("item_id"), _B, 3)
 )
 
 # ---- keys, membership, leakage -----------------------------------------------------------------
@@ -229,7 +229,7 @@ query(
     "SK6_public_keys",
     """SELECT item_id, user_id, parent_asin, text_hash, yr, CASE y WHEN 0 THEN 'neg' WHEN 1 THEN 'neu' ELSE 'pos' END AS label
       FROM pool WHERE item_id IN (SELECT item_id FROM samples)""",
-)(lambda v: D.public_keys(v.pool, v.samples))
+)(lambda v: D.public_keys(v.items, v.samples))
 
 
 def leak_sql(source: str, row_key: str, matches: dict[str, str]) -> tuple[str, dict[str, str]]:
@@ -245,7 +245,7 @@ def leak_sql(source: str, row_key: str, matches: dict[str, str]) -> tuple[str, d
 
 
 _sql, _extra = leak_sql("reviews", "user_id||'|'||ts||'|'||asin", {"exact": "text_hash"})
-query("LK1_leakage_exact", f"SELECT split, n_test, n_leak, leak_pct FROM ({_sql})", _extra)(lambda v: LK.leakage_exact(v.reviews))
+query("LK1_leakage_exact", f"SELECT split, n_test, n_leak, leak_pct FROM ({_sql})", _extra)(lambda v: LK.leakage_exact(v.records))
 _LEVELS = {"exact": "text_hash", "loose": LOOSE, "prefix": f"left({LOOSE},120)"}
 for _src, _key in (("docs", "doc_id"), ("reviews", "item_key")):
     _sql, _extra = leak_sql(_src, f"{_key}::VARCHAR", _LEVELS)
@@ -261,7 +261,7 @@ query(
       avg((user_id IN (SELECT user_id FROM train_sample))::INT) AS user_seen FROM pool WHERE item_id IN (SELECT item_id FROM test_samples)""",
 )(
     lambda v: LK.sampled_leakage(
-        J.semi(v.pool, v.samples.filter("sample = 'train_seed42'"), "item_id"), J.semi(v.pool, tests(v), "item_id")
+        J.semi(v.items, v.samples.filter("sample = 'train_seed42'"), "item_id"), J.semi(v.items, tests(v), "item_id")
     )
 )
 query(
@@ -270,7 +270,7 @@ query(
       item_id IN (SELECT item_id FROM recent_train) AS in_recent FROM pool""",
 )(
     lambda v: LK.item_overlap_flags(
-        v.pool.select("item_id"),
+        v.items.select("item_id"),
         {
             "in_train": v.samples.filter("sample = 'train_seed42'"),
             "in_any_test": tests(v),

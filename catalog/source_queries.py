@@ -115,7 +115,7 @@ query("SK1_write_parquet_zstd", f"SELECT doc_id, lang, yr, {TEXT_HASH} AS text_h
 query("SK2_write_csv", "SELECT yr, count(*) n, avg((y=0)::INT) neg, avg((y=1)::INT) neu, avg((y=2)::INT) pos FROM pool GROUP BY yr")(
     lambda v: through(
         v, "label_csv",
-        lambda p: WR.write_csv(P.class_shares(v.pool, ["yr"]), p),
+        lambda p: WR.write_csv(P.class_shares(v.items, ["yr"]), p),
         lambda p: RD.read_csv_typed(v.spark, p, "yr int, n bigint, neg double, neu double, pos double"),
     )
 )
@@ -125,7 +125,7 @@ query(
 )(
     lambda v: through(
         v, "summary",
-        lambda p: WR.write_summary(WR.summary_struct(basic=P.basic_profile(v.reviews), duplicates=D.exact_record_duplicates(v.reviews)), p),
+        lambda p: WR.write_summary(WR.summary_struct(basic=P.basic_profile(v.records), duplicates=D.exact_record_duplicates(v.reviews)), p),
         lambda p: v.spark.read.schema(
             "basic struct<n_reviews: bigint, n_users: bigint>, duplicates struct<n_groups: bigint>"
         ).json(p).select("basic.n_reviews", "basic.n_users", F.col("duplicates.n_groups").alias("n_dup_groups")),
@@ -166,8 +166,8 @@ query(
 def _once(v):
     """The second call must read what the first one built."""
     path = folder(v, "once")
-    INC.build_once(v.spark, path, lambda: v.pool.groupBy("yr").agg(F.count(F.lit(1)).alias("n")))
-    return INC.build_once(v.spark, path, lambda: v.pool.groupBy("yr").agg(F.lit(0).alias("n")))
+    INC.build_once(v.spark, path, lambda: v.items.groupBy("yr").agg(F.count(F.lit(1)).alias("n")))
+    return INC.build_once(v.spark, path, lambda: v.items.groupBy("yr").agg(F.lit(0).alias("n")))
 
 
 query("SK5_build_once", "SELECT yr, count(*) AS n FROM pool GROUP BY yr")(_once)

@@ -21,12 +21,18 @@ from tidemark.functions.text import LABELS
 from tidemark.functions.time import epoch_month, epoch_year
 from tidemark.operators import duplicates, sampling, splits
 from tidemark.session import configure, shared_folder
-from tidemark.streaming.incremental import build_once
+from tidemark.streaming.incremental import build_once, exists
 
 # Parameters of the derived tables.
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 TRAIN_YEARS, TEST_YEARS, RECENT_YEARS = (1995, 1996), (1997, 2001), (1999, 2000)
 N_TRAIN, N_TEST = 2000, 500
+#: Rows of the part table that are sent to every task (about 20 MB); larger tables are joined by a shuffle.
+BROADCAST_PARTS = 200_000
+#: Columns of a record that are no free text and no running key.
+RECORD_COLUMNS = (
+    "rating", "asin", "parent_asin", "user_id", "ts", "helpful_vote", "verified_purchase", "n_images", "text_hash", "text_len", "yr",
+)
 MODELS = ("big", "small")
 SEEDS = (42, 43, 44)
 # (model, train_set, start accuracy per mille, change per year per mille)
@@ -83,16 +89,24 @@ class Views:
         return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
 
     def stage(self, name: str, make) -> DataFrame:
+        return build_once(self.spark, self.stage_path(name), make)
+
+    def stage_path(self, name: str) -> str:
         app = self.spark.sparkContext.applicationId
         tag = hashlib.md5(self.dir.encode()).hexdigest()[:8]
-        return build_once(self.spark, f"{shared_folder(self.spark)}/tidemark/{app}/{tag}/{name}", make)
+        return f"{shared_folder(self.spark)}/tidemark/{app}/{tag}/{name}"
+
+    def staged(self, name: str) -> bool:
+        return exists(self.spark, self.stage_path(name))
 
     # ---- records -------------------------------------------------------------------------
 
     def raw_source(self) -> DataFrame:
         """Records in the raw input layout, with injected copies and odd rows."""
         part = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        part = F.broadcast(part) if part.count() <= BROADCAST_PARTS else part.hint("shuffle_hash")
+        # Hashed, not sorted: lines are several times as many as orders, and sorting them twice is half of this plan's time.
+        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority").hint("shuffle_hash")
         line = self.spread(self.table("lineitem"))
         j = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
         day = F.col("l_shipdate").cast("date")
@@ -169,6 +183,13 @@ class Views:
     def reviews(self) -> DataFrame:
         return self.stage("reviews", lambda: duplicates.normalise_reviews(self.raw_source()))
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """``reviews`` without item_key, title and text, which most queries never read: their table is a third as large."""
+        if self.staged("reviews"):
+            return self.reviews.select(*RECORD_COLUMNS)
+        return self.stage("records", lambda: duplicates.normalise_reviews(self.raw_source()).select(*RECORD_COLUMNS))
+
     @cached_property
     def meta(self) -> DataFrame:
         part = self.table("part")
@@ -196,13 +217,20 @@ class Views:
     def pool(self) -> DataFrame:
         return self.stage("pool", lambda: duplicates.dedup_pool(self.reviews, FIRST_YEAR, LAST_YEAR))
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """``pool`` without text, text_len and verified_purchase, made from ``records``."""
+        if self.staged("pool"):
+            return self.pool.drop("text", "text_len", "verified_purchase")
+        return self.stage("items", lambda: duplicates.dedup_pool(self.records, FIRST_YEAR, LAST_YEAR, texts=False))
+
     @cached_property
     def samples(self) -> DataFrame:
         return self.stage("samples", self._samples)
 
     def _samples(self) -> DataFrame:
         """Tests are staged before the retraining sample that must avoid them is drawn."""
-        base = self.pool.select("item_id", "yr", "y")
+        base = self.items.select("item_id", "yr", "y")
         fixed = self.stage("samples_fixed", lambda: splits.temporal_samples(base, TRAIN_YEARS, TEST_YEARS, N_TRAIN, N_TEST))
         tests = fixed.filter(F.col("sample").startswith("test"))
         recent = splits.train_excluding(base, tests, RECENT_YEARS, N_TRAIN, 42)
@@ -232,7 +260,7 @@ class Views:
 
     def _preds(self) -> DataFrame:
         items = self.spread(
-            self.pool.filter(F.col("yr").between(*TEST_YEARS)).select("item_id", "yr", "month", "y", "user_id", "parent_asin")
+            self.items.filter(F.col("yr").between(*TEST_YEARS)).select("item_id", "yr", "month", "y", "user_id", "parent_asin")
         )
         runs, first = [(f"{m}|{t}|{s}|", a, d) for m, t, a, d in RUNS for s in SEEDS], TEST_YEARS[0]
 
@@ -254,7 +282,7 @@ class Views:
     @cached_property
     def zero_shot(self) -> DataFrame:
         """A label-only run over a fixed number of items per year."""
-        items = self.pool.filter(F.col("yr").between(*TEST_YEARS)).select("item_id", "yr", "y")
+        items = self.items.filter(F.col("yr").between(*TEST_YEARS)).select("item_id", "yr", "y")
         picked = sampling.bottom_n(items, "item_id", 400, 2026, ["yr"], 5)
         right = mod(pre("zs", F.col("item_id")), 100) < 66
         pred = F.when(right, F.col("y")).otherwise(F.pmod(F.col("y") + 1, F.lit(3)))
