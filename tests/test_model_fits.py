@@ -1,9 +1,12 @@
 """Fits move one vector of coefficients per core and step, whatever the number of partitions, and no coefficients without a term."""
 
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import tokenize_words, word_tokens
 from tidemark.operators import features as FT
 from tidemark.operators import models as ML
 
@@ -46,3 +49,42 @@ def test_no_terms_and_no_texts_still_give_vectors(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 1), (3, "one word", 2)], "doc_id long, text string, y int")
     vectors = FT.tfidf_vectors(docs, FT.indexed_terms(FT.tfidf_terms(docs, 5, 100)), 100)
     assert {(r.features.size, r.features.numNonzeros()) for r in vectors.collect()} == {(1, 0)}
+
+
+def test_hashed_model_over_the_buckets_there_are_is_the_model_over_all(spark, monkeypatch):
+    """Fits see no bucket without a term and take rows in large blocks; models are as wide as before and the same."""
+    widths, fit = [], LogisticRegression.fit
+    seen = lambda self, rows, *a: widths.append((rows.first().features.size, self.getMaxBlockSizeInMB())) or fit(self, rows, *a)
+    docs = texts(spark, 120).unionByName(texts(spark, 40).withColumn("text", F.lit("odd words")))
+    with monkeypatch.context() as m:
+        m.setattr(LogisticRegression, "fit", seen)
+        model = ML.hashed_full_pool_model(docs, bits=12, max_iter=5)
+    assert len(widths) == 3 and all(w == 18 and block >= 32 for w, block in widths)  # 11 words and 7 pairs
+    rows = ML.with_class_weight(docs).withColumn("tokens", tokenize_words("text"))
+    lr = LogisticRegression(weightCol="weight", regParam=1e-6, maxIter=5, standardization=False)
+    whole = Pipeline(stages=[
+        HashingTF(inputCol="tokens", outputCol="_tf", numFeatures=1 << 12), Normalizer(inputCol="_tf", outputCol="features"),
+        OneVsRest(classifier=lr, labelCol="y", featuresCol="features", weightCol="weight"),
+    ]).fit(rows)
+    for a, b in zip(model.stages[-1].models, whole.stages[-1].models, strict=True):
+        assert a.numFeatures == 1 << 12 and a.coefficients.toArray() == pytest.approx(b.coefficients.toArray(), abs=1e-6) and a.intercept == pytest.approx(b.intercept, abs=1e-6)
+    got = {(r.doc_id, r.y): (r.pred, r.p_neg, r.p_neu, r.p_pos) for r in ML.score_hashed(model, docs).collect()}
+    want = {(r.doc_id, r.y): (r.pred, r.p_neg, r.p_neu, r.p_pos) for r in ML.score_hashed(whole, docs).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
+
+
+def test_a_hashed_model_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate([None, "", "a"] * 4)], "doc_id long, text string, y int")
+    model = ML.hashed_full_pool_model(docs, bits=8, max_iter=2)
+    assert ML.score_hashed(model, docs).count() == 12 and not any(m.coefficients.toArray().any() for m in model.stages[-1].models)
+
+
+def test_a_text_is_split_into_words_once(spark):
+    docs = spark.createDataFrame([("One two, two three",), ("one",), ("",), (None,)], "text string")
+    split = docs.select(tokenize_words("text").alias("t"), tokenize_words("text", (2,)).alias("p"), word_tokens("text").alias("w"))
+    assert [(r.t, r.p, r.w) for r in split.collect()] == [
+        (["one", "two", "two", "three", "one two", "two two", "two three"], ["one two", "two two", "two three"], ["one", "two", "two", "three"]),
+        (["one"], [], ["one"]), ([], [], []), ([], [], []),
+    ]
+    plan = docs.select(tokenize_words("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
