@@ -1,5 +1,7 @@
 """Fits move one vector of coefficients per core and step, whatever the number of partitions, and no coefficients without a term."""
 
+import math
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -88,3 +90,40 @@ def test_a_text_is_split_into_words_once(spark):
     ]
     plan = docs.select(tokenize_words("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_vectors_hold_every_token_of_an_id_and_shuffle_no_terms(spark):
+    """Rows of one id count together, documents may span batches, and only folded numbers are dealt by id."""
+    long = " ".join(f"w{i % 7}" for i in range(25_000))
+    docs = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, long), (3, "zz"), (4, ""), (5, None), (None, "aa")], "doc_id long, text string")
+    terms = spark.createDataFrame([(t, i, 1.0 + i) for i, t in enumerate(["aa", "bb", "cc", "aa bb", *[f"w{i}" for i in range(7)]])], "term string, idx int, idf double")
+    vectors = FT.tfidf_vectors(docs, terms, 100)
+    found = {}
+    for r in vectors.collect():
+        found.setdefault(r.doc_id, []).append({int(i): v for i, v in zip(r.features.indices, r.features.values)})
+
+    def unit(counts):
+        raw = {i: (1 + math.log(n)) * (1.0 + i) for i, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        return {i: pytest.approx(v / norm) for i, v in raw.items()}
+
+    assert found[1] == [unit({0: 2, 1: 2, 2: 1, 3: 1})] * 2 and found[3] == found[4] == found[5] == found[None] == [{}]
+    assert found[2] == [unit({4 + i: 25_000 // 7 + (i < 25_000 % 7) for i in range(7)})]
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "term" in line.split("]")[0]]
+
+
+def test_frequent_terms_are_numbered_first(spark):
+    terms = spark.createDataFrame([(f"t{i:03d}", 1 + i % 40, 1 + i, 0.5) for i in range(300)], "term string, df long, cf long, idf double")
+    got = FT.indexed_terms(terms).orderBy("idx").collect()
+    octaves = [r.df.bit_length() for r in got]
+    assert [r.idx for r in got] == list(range(300)) and octaves == sorted(octaves, reverse=True)
+    assert {r.term for r in got} == {f"t{i:03d}" for i in range(300)} and set(terms.columns) < set(got[0].asDict())
+
+
+def test_text_classifier_takes_rows_in_large_blocks(spark, monkeypatch):
+    sizes, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows, *a: sizes.append(self.getMaxBlockSizeInMB()) or fit(self, rows, *a))
+    docs = texts(spark, 30)
+    ML.length_model(docs.withColumn("text_len", F.length("text")), docs.withColumn("text_len", F.length("text")), 3)
+    assert sizes and min(sizes) >= 32

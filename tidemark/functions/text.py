@@ -74,12 +74,8 @@ def _grams(words: Column, ngrams: tuple[int, ...]) -> Column:
     if 1 in ngrams:
         parts.append(words)
     if 2 in ngrams:
-        pairs = F.zip_with(
-            words,
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-        parts.append(F.filter(pairs, lambda p: p.isNotNull()))
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        parts.append(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -81,26 +83,67 @@ def tfidf_vectors(
     last = terms.agg(F.max("idx")).first()[0]
     width = 1 if last is None else last + 1
     lookup = _lookup_side(terms.select("term", "idx", "idf"), size)
-    entries = term_counts(docs, ngrams, doc_id=doc_id).join(lookup, "term")
-    pairs = entries.groupBy(doc_id).agg(
-        F.sort_array(F.collect_list(F.struct("idx", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("w")))).alias("_e")
-    )
+    tokens = docs.select(doc_id, F.explode(tokenize_words("text", ngrams)).alias("term")).join(lookup, "term")
+    parts = _token_counts(tokens.select(doc_id, "idx", "idf"), doc_id)
+    pairs = parts.groupBy(doc_id).agg(F.collect_list(F.struct("idx", "tf", "idf")).alias("_e"))
+
+    @F.arrow_udf(VectorUDT())
+    def sparse(idx: pa.Array, tf: pa.Array, idf: pa.Array) -> pa.Array:
+        rows, counts = len(idx), _numpy(idx.value_lengths())
+        key = (np.repeat(np.arange(rows), counts) << 32) | _numpy(idx.flatten())
+        key, first, where = np.unique(key, return_index=True, return_inverse=True)
+        weights = (1.0 + np.log(np.bincount(where, _numpy(tf.flatten()), len(key)))) * _numpy(idf.flatten())[first]
+        ends = pa.array(np.searchsorted(key, np.arange(rows + 1) << 32).astype(np.int32))
+        indices = pa.ListArray.from_arrays(ends, pa.array((key & 0xFFFFFFFF).astype(np.int32)))
+        fields = [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, width, np.int32)), indices, pa.ListArray.from_arrays(ends, pa.array(weights))]
+        return pa.StructArray.from_arrays(fields, ["type", "size", "indices", "values"])
+
+    # A document without terms has no entries.
+    flat = lambda name, kind: F.coalesce(F.flatten(F.col(f"_e.{name}")), F.array().cast(f"array<{kind}>"))
+    raw = docs.join(pairs, doc_id, "left").withColumn("_raw", sparse(flat("idx", "int"), flat("tf", "bigint"), flat("idf", "double")))
+    return Normalizer(inputCol="_raw", outputCol="features").transform(raw).drop("_e", "_raw")
 
-    @F.pandas_udf(VectorUDT())
-    def sparse(idx: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"type": 0, "size": width, "indices": idx, "values": w})
-        return out.astype({"type": "int8", "size": "int32"})
 
-    empty = F.struct(F.array().cast("array<int>").alias("idx"), F.array().cast("array<double>").alias("w"))
-    split = F.coalesce(F.struct(F.col("_e.idx").alias("idx"), F.col("_e.w").alias("w")), empty)
-    joined = docs.join(pairs, doc_id, "left").withColumn("_e", F.when(F.col("_e").isNull(), empty).otherwise(split))
-    raw = joined.withColumn("_raw", sparse(F.col("_e.idx"), F.col("_e.w")))
-    return Normalizer(inputCol="_raw", outputCol="features").transform(raw).drop("_e", "_raw")
+def _numpy(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _token_counts(tokens: DataFrame, doc_id: str) -> DataFrame:
+    """(doc, idx[], tf[], idf[]): the counted tokens of a document, folded where they were read.
+
+    A document's tokens follow each other, so a batch folds them without a shuffle; a document in several batches, or rows of
+    the same id, are several rows.
+    """
+
+    def fold(batches):
+        for batch in batches:
+            n, doc = len(batch), batch[doc_id]
+            if not n:
+                continue
+            other = np.ones(n, bool)
+            other[1:] = _numpy(pc.fill_null(pc.not_equal(doc.slice(1), doc.slice(0, n - 1)), True))
+            run = np.cumsum(other) - 1
+            key, first, tf = np.unique((run << 32) | _numpy(batch["idx"]), return_index=True, return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(run[-1] + 2) << 32).astype(np.int32))
+            listed = [(key & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int64), _numpy(batch["idf"])[first]]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in listed]
+            yield pa.RecordBatch.from_arrays([doc.filter(pa.array(other)), *lists], [doc_id, "idx", "tf", "idf"])
+
+    kind = tokens.schema[doc_id].dataType.simpleString()
+    return tokens.mapInArrow(fold, f"`{doc_id}` {kind}, idx array<int>, tf array<bigint>, idf array<double>")
 
 
 def indexed_terms(terms: DataFrame) -> DataFrame:
-    """A term table with a dense ``idx``, written once: counting and numbering it, and all vectors over it, read that copy."""
-    return cut(dense_index(cut(terms), "term", "idx", "idx").withColumn("idx", F.col("idx").cast("int")))
+    """A term table with a dense ``idx``, written once: counting and numbering it, and all vectors over it, read that copy.
+
+    Terms are numbered by octaves of ``df``, frequent ones first, so that most steps of a fit touch neighbouring coefficients that
+    stay in a core's cache; inside an octave they come in hash order.
+    """
+    rows = cut(terms).withColumn("_octave", F.length(F.bin("df")))
+    sizes = rows.groupBy("_octave").agg(F.count(F.lit(1)).alias("_n"))
+    larger = F.sum("_n").over(Window.orderBy(F.desc("_octave"))) - F.col("_n")  # at most 64 rows
+    numbered = dense_index(rows, "term", "idx", "_at", ["_octave"], 64).join(F.broadcast(sizes.withColumn("_larger", larger)), "_octave")
+    return cut(numbered.withColumn("idx", (F.col("_larger") + F.col("_at")).cast("int")).select(*terms.columns, "idx"))
 
 
 def oov_rate(
