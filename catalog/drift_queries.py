@@ -393,7 +393,7 @@ MIX = {
 
 
 def mix(v):
-    return D.mix_reweighted_f1(v.preds, v.items.filter("yr >= 1997"), v.meta, 1997)
+    return D.mix_reweighted_f1(v.preds_by_item, v.items.filter("yr >= 1997"), v.meta, 1997, v.run_columns)
 
 
 query("DR6_mix_reweighted_f1", f"SELECT model, train_set, yr, {r8('raw, reweighted')} FROM mix", MIX)(lambda v: rounded(mix(v), "raw", "reweighted"))

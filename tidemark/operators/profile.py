@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,15 +144,25 @@ def with_category(rows: DataFrame, meta: DataFrame, level: int = 2, name: str =
     return _with_dim(rows, category_dimension(meta, level, name), name)
 
 
-def count_by_category(rows: DataFrame, keys: Sequence[str], meta: DataFrame, name: str = "cat_l1", max_rows: int = 1_000_000) -> DataFrame:
+def count_by_category(
+    rows: DataFrame, keys: Sequence[str], meta: DataFrame, name: str = "cat_l1", max_rows: int = 1_000_000,
+    opened: tuple[Sequence[str], Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
     """(keys, category, n). A product table of checked size is broadcast to the rows; a larger one is
-    joined to counts per product, so that a product owning a third of the rows joins as a few rows."""
+    joined to counts per product, so that a product owning a third of the rows joins as a few rows.
+
+    ``opened`` holds other keys to count by and a function that makes them, several rows of one if need be, from rows that
+    already know their category: what a row is opened into is neither joined nor moved.
+    """
+    by, open_rows = opened or (keys, lambda df: df)
     dim = cut(category_dimension(meta, name=name))
     if dim.count() <= max_rows:
         joined = _with_dim(rows.select(*keys, "parent_asin"), F.broadcast(dim), name)
-        return joined.groupBy(*keys, name).agg(_n())
+        return open_rows(joined).groupBy(*by, name).agg(_n())
     per_product = rows.groupBy(*keys, "parent_asin").agg(_n())
-    return _with_dim(per_product, dim, name).groupBy(*keys, name).agg(F.sum("n").alias("n"))
+    # Hashed, not sorted: the dimension has one row per product, so its parts are small.
+    joined = _with_dim(per_product, dim.hint("shuffle_hash"), name)
+    return open_rows(joined).groupBy(*by, name).agg(F.sum("n").alias("n"))
 
 
 def fold_rest(df: DataFrame, col: str, k: int, name: str = "cat", other: str = "(other)") -> DataFrame:
