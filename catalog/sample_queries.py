@@ -110,10 +110,7 @@ query(
     """SELECT item_id, count(*) OVER (PARTITION BY user_id, parent_asin) AS n_pair, count(*) OVER (PARTITION BY user_id, parent_asin, y) AS n_pair_label
       FROM pool""",
 )(
-    lambda v: v.items.select("item_id", "user_id", "parent_asin", "y")
-    .join(v.items.groupBy("user_id", "parent_asin").agg(F.count(F.lit(1)).alias("n_pair")), ["user_id", "parent_asin"])
-    .join(v.items.groupBy("user_id", "parent_asin", "y").agg(F.count(F.lit(1)).alias("n_pair_label")), ["user_id", "parent_asin", "y"])
-    .select("item_id", "n_pair", "n_pair_label")
+    lambda v: J.pair_counts(v.items, ["user_id", "parent_asin"], "y").select("item_id", "n_pair", "n_pair_label")
 )
 query("JN15_lookup_weights", "SELECT item_id, y, CASE y WHEN 0 THEN 2.0 WHEN 1 THEN 4.0 ELSE 0.5 END::DOUBLE AS w FROM pool")(
     lambda v: J.lookup(v.items.select("item_id", "y"), {0: 2.0, 1: 4.0, 2: 0.5}, "y", "w")

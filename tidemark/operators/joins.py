@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import epoch_month, epoch_year
-from tidemark.operators.winners import best_rows
+from tidemark.operators.winners import best_rows, split_repeated
 from tidemark.session import cut, touched_rows
 
 
@@ -136,3 +136,18 @@ def same_set(a: DataFrame, b: DataFrame, key: str = "item_id") -> DataFrame:
     right = b.select(key).distinct().withColumn("_b", F.lit(1))
     lone = F.count_if(F.col("_a").isNull() | F.col("_b").isNull())
     return left.join(right, key, "full").agg((lone == 0).alias("same"))
+
+
+def pair_counts(items: DataFrame, pair: Sequence[str], label: str) -> DataFrame:
+    """Items with ``n_pair`` and ``n_pair_label``: how many items share their pair, and their pair and label.
+
+    Two joins by USING: the counts by pair and label take the counts by pair, the items take both. An item whose pair surely
+    occurs once passes as it is; only the others are shuffled. Items with a null in these columns are left out; without a
+    label they still count for their pair.
+    """
+    lone, repeated = split_repeated(items.select("item_id", *pair, label).dropna(subset=list(pair)), pair)
+    by_label = repeated.groupBy(*pair, label).agg(F.count(F.lit(1)).alias("n_pair_label"))
+    by_pair = repeated.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_pair"))
+    counted = repeated.join(by_label.join(by_pair, list(pair)), [*pair, label])
+    once = lone.dropna(subset=[label]).withColumns({"n_pair_label": F.lit(1).cast("long"), "n_pair": F.lit(1).cast("long")})
+    return once.unionByName(counted)
