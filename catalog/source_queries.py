@@ -67,7 +67,7 @@ query("SC6_read_csv_typed", "SELECT item_id, y, pred, p_neg, p_neu, p_pos FROM p
     lambda v: through(
         v, "preds_csv",
         lambda p: WR.write_csv(
-            v.preds.select("item_id", "y", "pred", "p_neg", "p_neu", "p_pos"), p
+            v.preds.select("item_id", "y", "pred", "p_neg", "p_neu", "p_pos"), p, compression="gzip"
         ),
         lambda p: RD.read_csv_typed(v.spark, p, schemas.PREDS),
     )

@@ -13,8 +13,8 @@ def write_parquet_zstd(df: DataFrame, path: str, partition_by: Sequence[str] = (
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
+    df.write.mode(mode).option("header", True).option("compression", compression).csv(path)
 
 
 def summary_struct(**parts: DataFrame) -> DataFrame:
